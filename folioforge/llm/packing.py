@@ -13,6 +13,7 @@ are opened again and packed across groups in a second pass, which is smaller by
 from __future__ import annotations
 
 import bisect
+import unicodedata
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -20,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bpe import byte_alphabet
 from .common import id_and_text, materialise, row_numbers, rows
 
 CAPACITY = 4096
@@ -27,48 +29,62 @@ GROUP_PIECES = 8192
 #: Bins of the first pass that are filled less than this are packed again across groups.
 REOPEN_BELOW = 0.98
 #: Emptiest bins tried without success before the local search of a group ends.
-PATIENCE = 48
-_CACHE_WORDS = 300_000
+PATIENCE = 10
+_CACHE_WORDS = 400_000
+_LONG_WORD = 64
+_MARKS = b".,;:!?*#$%&|"
 
 _PIECES = "row bigint, id bigint, piece int, start bigint, length bigint, crc bigint"
 
 
-class WordCache:
-    """Ids of white-space separated words as little-endian unsigned 32-bit bytes, from the library.
+class WordCache(dict):
+    """Ids of words as little-endian unsigned 32-bit bytes, from the library, for a text split at white space.
 
     The vocabulary's normaliser and pre-tokenizer never look across ASCII white space and drop it,
-    so a text's ids are those of its words. The newer half of the entries survives a full cache.
+    so a text's ids are those of its words. A word that ends in marks is two: the pre-tokenizer
+    always parts letters and digits from marks. A word of lower-case letters in normal form is one
+    pre-token and goes to the library's model at once; any other word takes the library's whole way.
+    When size entries are held they become the older half, of which what is used again is kept.
     """
 
     def __init__(self, path: str, size: int = _CACHE_WORDS):
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.size, self.new, self.old = size, {}, {}
+        self.model = self.tokenizer.model
+        self.alphabet = dict(byte_alphabet())
+        self.size, self.old = size, {}
 
     def __call__(self, text: bytes) -> bytes:
-        words = text.split()
-        new, old = self.new, self.old
-        missing = set(words).difference(new)
-        if missing:
-            if len(new) + len(missing) > self.size:
-                self.old, self.new = new, {}
-                old, new = self.old, self.new
-                missing = set(words)
-            unknown = []
-            for w in missing:
-                known = old.get(w)
-                if known is None:
-                    unknown.append(w)
-                else:
-                    new[w] = known
-            if unknown:
-                made = self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in unknown], add_special_tokens=False)
-                for w, e in zip(unknown, made):
-                    new[w] = b"".join([i.to_bytes(4, "little") for i in e.ids])
-        return b"".join(map(new.__getitem__, words))
+        if len(self) > self.size:
+            self.old = dict(self)
+            self.clear()
+        # The strings of special tokens are case-sensitive; the vocabulary folds all else to lower case.
+        folded = text if b"<|" in text else text.lower()
+        return b"".join(map(self.__getitem__, folded.split()))
+
+    def __missing__(self, word: bytes) -> bytes:
+        made = self.old.get(word)
+        if made is None:
+            made = self._ids(word)
+        if len(word) <= _LONG_WORD:
+            self[word] = made
+        return made
+
+    def _ids(self, word: bytes) -> bytes:
+        core = word.rstrip(_MARKS)
+        text = word.decode("utf-8", "replace")
+        if len(core) < len(word) and core and (core[-1] > 0x7F or core[-1:].isalnum()) and b"<|" not in word:
+            last = core.decode("utf-8", "replace")[-1]
+            if core[-1] < 0x80 or unicodedata.normalize("NFC", last).lower().isalpha():
+                return self[core] + self[word[len(core) :]]
+        if text.isalpha() and text == text.lower() and unicodedata.is_normalized("NFC", text) and len(word) <= _LONG_WORD:
+            mapped = text if text.isascii() else word.decode("latin-1").translate(self.alphabet)
+            return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(mapped)])
+        return b"".join([i.to_bytes(4, "little") for i in self.tokenizer.encode(text, add_special_tokens=False).ids])
 
 
 _caches: dict[str, WordCache] = {}
@@ -151,6 +167,8 @@ def _gift(source: list[int], target: list[int], room: int, size: Callable[[int],
 def local_search(bins: list[list[int]], size: Callable[[int], int], capacity: int, patience: int = PATIENCE) -> list[list[int]]:
     """Empties the emptiest bins into fuller underfull ones; each step raises the sum of squared fills."""
     fill = [sum(map(size, b)) for b in bins]
+    if len(bins) <= -(-sum(fill) // capacity):
+        return bins  # no bin can be emptied
     failed = 0
     frozen: set[int] = set()
     while failed < patience:

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import id_and_text, materialise, rows
 
 _SYMBOLS = b"#*$%&|<>"
-_COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters", "n_marks", "n_digits")
+_COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters", "n_marks", "n_digits", "n_stops")
 _METRICS = "id bigint, " + ", ".join(f"{c} bigint" for c in _COUNTS)
 _UPPER = re.compile(r"[A-ZÀ-ÖØ-Þ]")
 _LOWER = re.compile(r"[a-zß-öø-ÿ]")
@@ -81,6 +81,7 @@ def text_counts(text: bytes) -> tuple[int, ...]:
         upper + lower,
         len(text.translate(None, _MARKS)),
         len(text.translate(None, _DIGITS)),
+        text.count(b". ") + text.count(b", ") + text.count(b".\n"),
     )
 
 
@@ -102,17 +103,23 @@ def default_rules() -> dict[str, Column]:
     length, upper = F.col("word_chars") / words, F.col("n_upper") / letters
     marks, digits = F.col("n_marks") / words, F.col("n_digits") / F.greatest(F.col("word_chars"), F.lit(1))
     per_line = F.col("n_words") / lines
+    stops = F.col("n_stops") / words
     n = F.col("n_words")
+    never = F.lit(False)
     return {
-        "symbols": _band(symbols, symbols < 0.05, symbols > 0.2),
-        "repeats": _band(repeats, repeats < 0.15, repeats > 0.3),
-        "dup_lines": _band(dups, (dups < 0.1) & (F.col("n_lines") > 1), dups > 0.3),
-        "word_length": _band(length, length.between(3.5, 9), (length < 2) | (length > 14)),
-        "upper": _band(upper, upper < 0.15, upper > 0.5),
-        "marks": _band(marks, marks < 0.05, marks > 0.3),
-        "digits": _band(digits, digits < 0.05, digits > 0.3),
-        "words": _band(n, n >= 80, n < 20),
-        "per_line": _band(per_line, per_line >= 8, (per_line < 2) & (F.col("n_lines") > 3)),
+        # The one rule that knows what is good: sentences, and none of what the other rules look for.
+        "prose": _band(stops, (stops >= 0.04) & (symbols < 0.1) & (repeats < 0.2) & (upper < 0.4) & (n >= 40), never),
+        # The others know what is bad only: to be free of it says little for a text, so they abstain.
+        "symbols": _band(symbols, never, symbols > 0.2),
+        "repeats": _band(repeats, never, repeats > 0.3),
+        "dup_lines": _band(dups, never, dups > 0.5),
+        "no_sentences": _band(stops, never, (stops < 0.01) & (n >= 30)),
+        "word_length": _band(length, never, (length < 2) | (length > 14)),
+        "upper": _band(upper, never, upper > 0.5),
+        "marks": _band(marks, never, marks > 0.3),
+        "digits": _band(digits, never, digits > 0.3),
+        "words": _band(n, never, n < 20),
+        "per_line": _band(per_line, never, (per_line < 2) & (F.col("n_lines") > 3)),
     }
 
 
@@ -127,7 +134,8 @@ def fit_label_model(patterns: np.ndarray, counts: np.ndarray, steps: int = 200,
     if not len(patterns):
         return {"prior": 0.5, "weights": np.zeros((n_rules, 3)), "accuracy": np.full(n_rules, 0.5)}
     hot = np.stack([(patterns == v) for v in (-1, 0, 1)], axis=2).astype(float)
-    q = 1 / (1 + np.exp(-1.5 * (patterns.sum(axis=1) - 0.5)))
+    # Bad votes are the rarer and the more telling, so at first one outweighs the good votes of three rules.
+    q = 1 / (1 + np.exp(-((patterns > 0).sum(axis=1) - 4.0 * (patterns < 0).sum(axis=1))))
     prior, weights = 0.5, np.zeros((n_rules, 3))
     for _ in range(steps):
         good, bad = counts * q, counts * (1 - q)

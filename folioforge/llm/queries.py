@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, html_extract, packing, pii, quality, secret_scan, toxicity, url_filter
+from . import bpe, exact_dedup, html_extract, jaccard_join, packing, pii, quality, secret_scan, toxicity, url_filter
 
 
 def _path(name: str) -> str:
@@ -46,6 +46,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), _path("word_bpe_49k.json"))
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.similar_classes(_table(spark, sf_dir, "documents"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return toxicity.grade_toxicity(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")))
@@ -69,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_rules": op3_quality_rules,
     "op4_bpe": op4_bpe,
     "op5_packing": op5_packing,
+    "op6_jaccard_join": op6_jaccard_join,
     "op7_toxicity": op7_toxicity,
     "op8_pii": op8_pii,
     "op9_exact_dedup": op9_exact_dedup,

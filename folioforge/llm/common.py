@@ -8,6 +8,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -95,3 +96,47 @@ def row_numbers(start_at: int = 0):
 
 def parallelism(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+#: Bits of a bitmap of numbers, whatever the size of the corpus. A full one only stops thinning scans.
+BITMAP_BITS = 22
+
+
+def bitmap(df: DataFrame, column: str) -> bytes:
+    """A bitmap of fixed size with the places of the column's numbers (null as 0), to thin a scan before an exact join.
+
+    It is gathered as at most 2^(BITMAP_BITS - 5) rows of 32 bits.
+    """
+    v = f"(coalesce({column}, 0L) & {(1 << 62) - 1}L)"
+    cell = F.expr(f"(({v} div {1 << 40}L) * 1000003L + {v} % {1 << 40}L) % {1 << BITMAP_BITS}L")
+    words = df.select(cell.alias("cell")).select(F.expr("cell div 32").alias("word"), F.expr("shiftleft(1L, cast(cell % 32 as int))").alias("bits"))
+    out = bytearray(1 << (BITMAP_BITS - 3))
+    for r in words.groupBy("word").agg(F.bit_or("bits").alias("bits")).collect():
+        out[4 * r["word"] : 4 * r["word"] + 4] = int(r["bits"]).to_bytes(4, "little")
+    return bytes(out)
+
+
+def in_bitmap(bits: np.ndarray, numbers: pa.Array) -> np.ndarray:
+    """Which of the numbers (null as 0) have their place set; bits are a bitmap's, unpacked by unpack()."""
+    v = numbers.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) & ((1 << 62) - 1)
+    return bits[((v // (1 << 40)) * 1000003 + v % (1 << 40)) % (1 << BITMAP_BITS)]
+
+
+def unpack(found: bytes) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(found, np.uint8), bitorder="little").astype(bool)
+
+
+def split(df: DataFrame, column: str, found: bytes) -> tuple[DataFrame, DataFrame]:
+    """(rows whose number may be in the bitmap, rows whose number surely is not), with all columns."""
+    at = df.columns.index(column)
+
+    def part(wanted: bool):
+        def select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            bits = unpack(found)
+            for batch in batches:
+                hit = in_bitmap(bits, batch.column(at).cast(pa.int64()))
+                yield batch.filter(pa.array(hit if wanted else ~hit))
+
+        return df.mapInArrow(select, df.schema)
+
+    return part(True), part(False)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, id_and_text, materialise, parallelism, row_numbers, rows
+from .common import SPACE_CLASS, bitmap, discard, id_and_text, materialise, parallelism, row_numbers, rows, split
 
 BLOCK_BYTES = 4096
 _RANGE_BITS = 40
@@ -125,3 +125,20 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         (F.col("row") == F.col("keep.row")).alias("kept"),
         F.col("sha").alias("text_sha256"),
     )
+
+
+def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of docs, with all columns, that exact_duplicates() keeps.
+
+    Rows whose id cannot be that of a dropped row pass by a map; only the others are shuffled, and
+    matched by id and digest of the normalised text. Of rows that repeat both, one stays.
+    """
+    judged = exact_duplicates(docs, id_col, text_col, block_bytes)
+    gone = materialise(judged.where(~F.col("kept")).select(F.col(id_col).alias("_id"), F.col("text_sha256").alias("_sha")), "dropped")
+    stay = judged.where("kept").select(F.col(id_col).alias("_id"), F.col("text_sha256").alias("_sha"))
+    doubtful, sure = split(docs, id_col, bitmap(gone, "_id"))
+    sha = F.sha2(F.encode(F.regexp_replace(F.coalesce(text_col, F.lit("")), SPACE_CLASS + "+", " "), "utf-8"), 256)
+    doubtful = doubtful.withColumn("_sha", sha).withColumn("_id", F.col(id_col))
+    once = doubtful.dropDuplicates(["_id", "_sha"]).alias("d")
+    both = once.join(stay.alias("s"), F.col("d._id").eqNullSafe(F.col("s._id")) & (F.col("d._sha") == F.col("s._sha")), "left_semi")
+    return sure.unionByName(both.select(*docs.columns))

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, id_and_text, materialise, row_numbers, rows
+from .common import bitmap, discard, id_and_text, materialise, row_numbers, rows, split
 from .graph import components
 
 SHINGLE = 4
@@ -38,7 +38,6 @@ LIST_BLOCK = 2048
 _SKIP_BLOCK = 64
 #: Signed hashes below this are the quarter of the range that the first count looks at.
 _PROBE = -(1 << 62)
-_BITS = 22
 _CACHE_WORDS = 300_000
 
 
@@ -113,32 +112,6 @@ def _sets(size: int):
     return make
 
 
-def _cell(row):
-    """A row number's place in the bitmap: the same sum for columns and for arrays."""
-    return (row // (1 << 40)) * 1000003 + row % (1 << 40)
-
-
-def _bitmap(found: DataFrame) -> bytes:
-    """A bitmap of fixed size with the row numbers' places: at most 2^17 rows of 32 bits are collected."""
-    place = F.pmod(F.expr("(row div 1099511627776) * 1000003 + row % 1099511627776"), F.lit(1 << _BITS))
-    cells = found.select(place.alias("cell"))
-    words = cells.select(F.expr("cell div 32").alias("word"), F.expr("shiftleft(1L, cast(cell % 32 as int))").alias("bits")).groupBy("word").agg(F.bit_or("bits").alias("bits"))
-    out = bytearray(1 << (_BITS - 3))
-    for r in words.collect():
-        out[4 * r["word"] : 4 * r["word"] + 4] = int(r["bits"]).to_bytes(4, "little")
-    return bytes(out)
-
-
-def _thin(bitmap: bytes):
-    def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(np.frombuffer(bitmap, np.uint8), bitorder="little")
-        for batch in batches:
-            place = _cell(batch.column(0).to_numpy()) % (1 << _BITS)
-            yield batch.filter(pa.array(bits[place].astype(bool)))
-
-    return thin
-
-
 def _needed(n: Column, percent: int) -> Column:
     """The least overlap that a set of n has with any set it links to."""
     return F.ceil(n * percent / 100.0 - 1e-9)
@@ -254,7 +227,7 @@ def similar_classes(
     possible = materialise(possible.select("row", "n"), "candidates")
 
     # Candidates' whole sets; then the count of every n-gram among them.
-    thinned = sets.select("row", "toks").mapInArrow(_thin(_bitmap(possible)), "row bigint, toks array<bigint>")
+    thinned, _ = split(sets.select("row", "toks"), "row", bitmap(possible, "row"))
     whole = materialise(possible.join(thinned, "row"), "candidatesets")
     discard(sets)
     spread = whole.select("row", "n", F.explode("toks").alias("tok"))
@@ -314,3 +287,17 @@ def similar_classes(
     return out.select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id")
     )
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """The rows of docs, with all columns, whose id names a component; all other members of components go.
+
+    Rows that repeat an id stand or fall together: they stay if the id names a component. Rows
+    without an id stay. Rows that no link concerns pass by a map; only the others are shuffled.
+    """
+    found = similar_classes(docs, id_col, text_col, shingle, percent)
+    named = F.max(F.col(id_col) == F.col("component_id"))
+    gone = found.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(named.alias("named")).where(~F.col("named")).select(id_col)
+    gone = materialise(gone, "linkedaway")
+    doubtful, sure = split(docs, id_col, bitmap(gone, id_col))
+    return sure.unionByName(doubtful.join(gone, id_col, "left_anti").select(*docs.columns))

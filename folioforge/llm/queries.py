@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from . import bpe, exact_dedup, html_extract, jaccard_join, packing, pii, quality, secret_scan, toxicity, url_filter
 
 
-def _path(name: str) -> str:
+def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
@@ -39,11 +39,11 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.encode_decode(_table(spark, sf_dir, "documents"), _path("byte_bpe_50k.json"), digest=True)
+    return bpe.encode_decode(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), digest=True)
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(_table(spark, sf_dir, "documents"), _path("word_bpe_49k.json"))
+    return packing.pack_documents(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -149,3 +149,15 @@ def grade_toxicity(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id",
 
     scored = id_and_text(docs, id_col, text_col).mapInArrow(score, "id bigint, expected_severity double, grade int, p_toxic double, toxic boolean")
     return scored.withColumnRenamed("id", id_col)
+
+
+def drop_toxic(docs: DataFrame, model: OrdinalModel, text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all columns, that the model does not reject; null texts stay. A map without any exchange."""
+    at = docs.columns.index(text_col)
+
+    def select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(at).cast(pa.binary()).to_pylist()
+            yield batch.filter(pa.array([t is None or model.grades(t)[0] >= 0.5 for t in texts], pa.bool_()))
+
+    return docs.mapInArrow(select, docs.schema)

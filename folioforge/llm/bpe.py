@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, rows
+from .common import held, id_and_text, rows
 
 #: Fixed value: how the byte-level pre-tokenizer cuts a text into words.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -136,13 +136,8 @@ class BytePairCodec:
         return b"".join([get(g) or self._decode_word(g) for g in groups]).decode("utf-8", "replace").encode()
 
 
-_codecs: dict[str, BytePairCodec] = {}
-
-
 def codec(path: str) -> BytePairCodec:
-    if path not in _codecs:
-        _codecs[path] = BytePairCodec(path)
-    return _codecs[path]
+    return held(f"bpe {path}", lambda: BytePairCodec(path))
 
 
 _OUT = "id bigint, ids string, n_tokens bigint, decoded string"

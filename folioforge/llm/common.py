@@ -6,7 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -69,10 +69,27 @@ def id_and_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
-def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list]]:
-    """Ids and texts of each batch as Python lists."""
+def rows(batches: Iterator[pa.RecordBatch], at_most: int = 2048) -> Iterator[tuple[list, list]]:
+    """Ids and texts as Python lists, of at_most rows at once."""
     for batch in batches:
-        yield batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        for at in range(0, batch.num_rows, at_most):
+            part = batch.slice(at, at_most)
+            yield part.column(0).to_pylist(), part.column(1).to_pylist()
+
+
+_held: list = [None, None]
+
+
+def held(key: str, make: Callable[[], object]) -> object:
+    """What make() gives, kept in this Python worker until another key is asked for.
+
+    Workers are used again by later stages; with one place only, caches of earlier stages do not
+    add up to more memory than an executor has.
+    """
+    if _held[0] != key:
+        _held[:] = [None, None]
+        _held[:] = [key, make()]
+    return _held[1]
 
 
 def row_numbers(start_at: int = 0):

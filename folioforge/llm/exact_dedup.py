@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, bitmap, discard, id_and_text, materialise, parallelism, row_numbers, rows, split
+from .common import SPACE_CLASS, bitmap, discard, held, id_and_text, materialise, parallelism, row_numbers, rows, split
 
 BLOCK_BYTES = 4096
 _RANGE_BITS = 40
@@ -45,7 +45,8 @@ def normalise(text: bytes) -> bytes:
 def _cut(block_bytes: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = row_numbers()
-        for ids, texts in rows(batches):
+        held("exact dedup", dict)
+        for ids, texts in rows(batches, 8192):
             found: dict[bytes, list] = {}
             for row, key, text in zip(number(len(ids)), ids, texts):
                 flat = normalise(text)

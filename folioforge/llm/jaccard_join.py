@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bitmap, discard, id_and_text, materialise, row_numbers, rows, split
+from .common import bitmap, discard, held, id_and_text, materialise, row_numbers, rows, split
 from .graph import components
 
 SHINGLE = 4
@@ -38,7 +38,7 @@ LIST_BLOCK = 2048
 _SKIP_BLOCK = 64
 #: Signed hashes below this are the quarter of the range that the first count looks at.
 _PROBE = -(1 << 62)
-_CACHE_WORDS = 300_000
+_CACHE_WORDS = 200_000
 
 
 class _WordHashes(dict):
@@ -53,9 +53,6 @@ class _WordHashes(dict):
         return made
 
 
-_hashes = _WordHashes()
-
-
 def _mix(x: np.ndarray, seed: int) -> np.ndarray:
     with np.errstate(over="ignore"):
         x = x + np.uint64(seed)
@@ -69,7 +66,8 @@ def shingle_set(text: bytes, size: int = SHINGLE) -> np.ndarray:
     words = text.lower().split()
     if not words:
         return np.empty(0, np.int64)
-    h = np.frombuffer(b"".join(map(_hashes.__getitem__, words)), dtype=">u8").astype(np.uint64)
+    hashes = held("word hashes", _WordHashes)
+    h = np.frombuffer(b"".join(map(hashes.__getitem__, words)), dtype=">u8").astype(np.uint64)
     short = len(words) < size
     n = 1 if short else len(words) - size + 1
     out = np.full(n, len(words) if short else 0, np.uint64)

@@ -13,6 +13,7 @@ are opened again and packed across groups in a second pass, which is smaller by
 from __future__ import annotations
 
 import bisect
+import os
 import unicodedata
 import zlib
 from collections.abc import Callable, Iterator
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import byte_alphabet
-from .common import id_and_text, materialise, row_numbers, rows
+from .common import held, id_and_text, materialise, row_numbers, rows
 
 CAPACITY = 4096
 GROUP_PIECES = 8192
@@ -30,7 +31,7 @@ GROUP_PIECES = 8192
 REOPEN_BELOW = 0.98
 #: Emptiest bins tried without success before the local search of a group ends.
 PATIENCE = 10
-_CACHE_WORDS = 400_000
+_CACHE_WORDS = 250_000
 _LONG_WORD = 64
 _MARKS = b".,;:!?*#$%&|"
 
@@ -87,17 +88,10 @@ class WordCache(dict):
         return b"".join([i.to_bytes(4, "little") for i in self.tokenizer.encode(text, add_special_tokens=False).ids])
 
 
-_caches: dict[str, WordCache] = {}
-
-
 def _tokenised(path: str, end_id: int, capacity: int):
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = _caches.get(path)
-        if cache is None:
-            import os
-
-            os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-            cache = _caches[path] = WordCache(path)
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        cache = held(f"packing {path}", lambda: WordCache(path))
         end, width, number = end_id.to_bytes(4, "little"), 4 * capacity, row_numbers()
         for ids, texts in rows(batches):
             out = ([], [], [], [], [], [])

@@ -87,28 +87,33 @@ def fit_ordinal(x: np.ndarray, y: np.ndarray, grades: int = GRADES, steps: int =
 
 def fit(texts: list[bytes], toxic: list[int], lexicon_size: int = _LEXICON) -> OrdinalModel:
     """Choose the lexicon and fit the ordinal model. Without both kinds of labels nothing is toxic."""
-    features = [text_features(t) for t in texts]
     n1 = sum(1 for y in toxic if y)
     n0 = len(toxic) - n1
     if not n1 or not n0:
         return OrdinalModel({}, np.array([50.0 + k for k in range(GRADES - 1)]))
-    in1, in0 = Counter(), Counter()
-    for f, y in zip(features, toxic):
-        (in1 if y else in0).update(f)
+    # Only features of several toxic texts can be chosen, so no other text's features are held.
+    in1: Counter = Counter()
+    for t, y in zip(texts, toxic):
+        if y:
+            in1.update(text_features(t))
+    in1 = Counter({f: a for f, a in in1.items() if a >= 4})
+    in0: Counter = Counter()
+    for t, y in zip(texts, toxic):
+        if not y:
+            in0.update(text_features(t) & in1.keys())
     odds = {}
     for f, a in in1.items():
-        if a >= 4:
-            p1, p0 = (a + 0.5) / (n1 + 1), (in0[f] + 0.5) / (n0 + 1)
-            pooled = (a + in0[f]) / (n1 + n0)
-            z = (a / n1 - in0[f] / n0) / math.sqrt(max(1e-12, pooled * (1 - pooled) * (1 / n1 + 1 / n0)))
-            if z > 5 and p1 > 4 * p0:
-                odds[f] = (z, math.log(p1 / p0))
+        p1, p0 = (a + 0.5) / (n1 + 1), (in0[f] + 0.5) / (n0 + 1)
+        pooled = (a + in0[f]) / (n1 + n0)
+        z = (a / n1 - in0[f] / n0) / math.sqrt(max(1e-12, pooled * (1 - pooled) * (1 / n1 + 1 / n0)))
+        if z > 5 and p1 > 4 * p0:
+            odds[f] = (z, math.log(p1 / p0))
     chosen = sorted(odds, key=lambda f: (-odds[f][0], f))[:lexicon_size]
     column = {f: k for k, f in enumerate(chosen)}
     x = np.zeros((len(texts), len(chosen)))
-    for i, f in enumerate(features):
-        for k in f & column.keys():
-            x[i, column[k]] = 1.0
+    for i, t in enumerate(texts):
+        for f in text_features(t) & column.keys():
+            x[i, column[f]] = 1.0
     burden = x @ np.array([odds[f][1] for f in chosen]) if chosen else np.zeros(len(texts))
     of_toxic = np.sort(burden[np.array(toxic, dtype=bool)])
     cuts = [of_toxic[min(len(of_toxic) - 1, len(of_toxic) * k // (GRADES - 1))] for k in range(1, GRADES - 1)]

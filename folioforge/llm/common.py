@@ -61,20 +61,31 @@ def discard(df: DataFrame) -> None:
         target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+#: Rows that go to a Python worker at once: texts of any length count in full, so few rows bound the buffers on both sides.
+BATCH_ROWS = 1024
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lowers the session's rows per Arrow batch to BATCH_ROWS, unless it has fewer already."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name))
+    if now <= 0 or now > BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def id_and_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id long, text binary): the bytes of the whole text, null as empty. Other columns are not read."""
+    bound_batches(df.sparkSession)
     return df.select(
         F.col(id_col).cast("long").alias("id"),
         F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text"),
     )
 
 
-def rows(batches: Iterator[pa.RecordBatch], at_most: int = 2048) -> Iterator[tuple[list, list]]:
-    """Ids and texts as Python lists, of at_most rows at once."""
+def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list]]:
+    """Ids and texts of each batch as Python lists."""
     for batch in batches:
-        for at in range(0, batch.num_rows, at_most):
-            part = batch.slice(at, at_most)
-            yield part.column(0).to_pylist(), part.column(1).to_pylist()
+        yield batch.column(0).to_pylist(), batch.column(1).to_pylist()
 
 
 _held: list = [None, None]

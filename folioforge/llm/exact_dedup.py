@@ -42,29 +42,40 @@ def normalise(text: bytes) -> bytes:
     return (b" " if text[0] in _WHITE else b"") + body + (b" " if text[-1] in _WHITE else b"")
 
 
+#: Distinct bytes and references that a task folds together before it sends them on.
+_FOLD_BYTES, _FOLD_REFS = 16_000_000, 50_000
+
+
 def _cut(block_bytes: int):
+    def sent(found: dict[bytes, list]) -> Iterator[pa.RecordBatch]:
+        blocks = list(found)
+        for at in range(0, len(blocks), 1024):
+            part = blocks[at : at + 1024]
+            refs = [[dict(zip(("row", "id", "idx", "m", "sha"), r)) for r in found[b]] for b in part]
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.binary()), pa.array(refs, _REFS)], ["block", "refs"])
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = row_numbers()
         held("exact dedup", dict)
-        for ids, texts in rows(batches, 8192):
-            found: dict[bytes, list] = {}
+        found: dict[bytes, list] = {}
+        size = refs = 0
+        for ids, texts in rows(batches):
             for row, key, text in zip(number(len(ids)), ids, texts):
                 flat = normalise(text)
                 m = max(1, -(-len(flat) // block_bytes))
                 sha = hashlib.sha256(flat).hexdigest()
                 for i in range(m):
                     block = flat[i * block_bytes : (i + 1) * block_bytes]
-                    found.setdefault(block, []).append((row, key, i, m, sha if i == 0 else None))
-            names = ("row", "id", "idx", "m", "sha")
-            blocks, size = list(found), 0
-            first = 0
-            for last, block in enumerate(blocks):
-                size += len(block)
-                if size > 8_000_000 or last == len(blocks) - 1:
-                    part = blocks[first : last + 1]
-                    refs = [[dict(zip(names, r)) for r in found[b]] for b in part]
-                    yield pa.RecordBatch.from_arrays([pa.array(part, pa.binary()), pa.array(refs, _REFS)], ["block", "refs"])
-                    first, size = last + 1, 0
+                    if block in found:
+                        found[block].append((row, key, i, m, sha if i == 0 else None))
+                    else:
+                        found[block] = [(row, key, i, m, sha if i == 0 else None)]
+                        size += len(block)
+                refs += m
+                if size > _FOLD_BYTES or refs > _FOLD_REFS:
+                    yield from sent(found)
+                    found, size, refs = {}, 0, 0
+        yield from sent(found)
 
     return cut
 

@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bound_batches
 from .html_pages import CONTENT_SIGN, labelled_pages
 
 _BLOCKS = frozenset(
@@ -384,6 +385,7 @@ def extract_main_text(
     A null or empty page, or one without content, has the empty text. Rows are independent: repeated
     and null ids are returned as they come. Other columns are not read.
     """
+    bound_batches(pages.sparkSession)
     source = pages.select(
         F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html")
     )

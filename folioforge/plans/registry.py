@@ -1,18 +1,617 @@
-"""Queries of the library over the driver's tables, with the SQL that gives the same rows."""
+"""Queries of the library over the driver's tables, with the SQL that gives the same rows.
+
+The tables hold no formulas, Hangul or bullets, so some queries first decorate a text, in the same
+way on both sides. Every query runs over its whole tables.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from folioforge.functions import mathtok, parsing
+from folioforge.functions import text as T
+from folioforge.operators import glossary as G
+from folioforge.operators import knowledge, layout, paragraphs, render, scoring
+from folioforge.sources import files
+from folioforge.sources.html import Selectors, content_items, page_url
+from folioforge.streaming import incremental
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Registers a query under its function's name, with its SQL."""
+
+    def register(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def big(*columns: str) -> list:
+    return [F.col(c).cast("bigint").alias(c) for c in columns]
+
+
+# --- SQL fragments -----------------------------------------------------------------------------
+STRIP = r"regexp_replace({0}, '^[ \t\n\v\f\r]+|[ \t\n\v\f\r]+$', '', 'g')"
+LINES = """lines AS (SELECT doc_id, i - 1 AS pos, parts[i] AS para FROM (
+    SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents)))"""
+PARAS = rf"""{LINES}, paras AS (SELECT doc_id, pos, {STRIP.format("para")} AS para FROM lines WHERE regexp_matches(para, '[^ \t\n\v\f\r]'))"""
+
+
+def collapse_sql(x: str) -> str:
+    return rf"regexp_replace(regexp_replace({x}, '\n{{3,}}', chr(10) || chr(10), 'g'), '  +', ' ', 'g')"
+
+
+def clean_output_sql(x: str) -> str:
+    en, ko = "|".join(T.SUPPLEMENT_COMMENTS).replace("'", "''"), "|".join(T.SUPPLEMENT_COMMENTS_KO)
+    x = rf"regexp_replace(regexp_replace({x}, '(?:{en}).*?\n', '', 'g'), '(?:{ko}).*?\n', '', 'g')"
+    x = rf"regexp_replace(regexp_replace({x}, '\*\*(.+?)\*\*', '\1', 'g'), '\*(.+?)\*', '\1', 'g')"
+    return STRIP.format(collapse_sql(rf"regexp_replace({x}, '(?m)^#{{1,3}}\s+', '', 'g')"))
+
+
+# --- Documents: paragraphs ---------------------------------------------------------------------
+def _report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    paras = paragraphs.mark_repeats(paragraphs.explode_paragraphs(docs, "doc_id", "text", "\n"), "doc_id")
+    kept = F.when(~F.col("repeated"), F.length("para")).otherwise(0)
+    per = paras.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_paragraphs"), F.sum(F.col("repeated").cast("int")).alias("n_repeated"), F.sum(kept).alias("chars_kept"))
+    chunks = docs.select("doc_id", F.size(paragraphs.chunk_array(F.col("text"), "\n")).alias("n_chunks"))
+    out = per.join(chunks, "doc_id").withColumn("score", F.floor(100 * (F.col("n_paragraphs") - F.col("n_repeated")) / F.col("n_paragraphs")).cast("int"))
+    return out.select(*big("doc_id", "n_paragraphs", "n_repeated", "chars_kept", "n_chunks", "score"), T.score_band(F.col("score")).alias("band"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    return _report(spark, sf_dir)
+
+
+_CHUNKS = rf"""{LINES}, usable AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS k, length(para) AS n FROM lines WHERE regexp_matches(para, '[^ \t\n\v\f\r]')),
+    fold AS (SELECT doc_id, k, n, n AS size, 0 AS chunk FROM usable WHERE k = 1
+        UNION ALL SELECT u.doc_id, u.k, u.n, CASE WHEN f.size + u.n <= 2000 THEN f.size + u.n ELSE u.n END, CASE WHEN f.size + u.n <= 2000 THEN f.chunk ELSE f.chunk + 1 END
+        FROM fold f JOIN usable u ON u.doc_id = f.doc_id AND u.k = f.k + 1)"""
+_BAND = "CASE WHEN score >= 90 THEN '우수' WHEN score >= 70 THEN '양호' WHEN score >= 50 THEN '주의' ELSE '경고' END"
+_REPEATED = "row_number() OVER (PARTITION BY doc_id, left(para, 30) ORDER BY pos) > 1 AND length(para) > 30"
+
+
+@query(rf"""WITH RECURSIVE {PARAS}, {_CHUNKS.removeprefix(LINES + ", ")},
+    marked AS (SELECT *, {_REPEATED} AS repeated FROM paras),
+    per AS (SELECT doc_id, count(*) AS n_paragraphs, sum(repeated::INT)::BIGINT AS n_repeated, sum(CASE WHEN repeated THEN 0 ELSE length(para) END)::BIGINT AS chars_kept FROM marked GROUP BY doc_id),
+    c AS (SELECT doc_id, max(chunk) + 1 AS n_chunks FROM fold GROUP BY doc_id),
+    s AS (SELECT per.*, n_chunks::BIGINT AS n_chunks, (100 * (n_paragraphs - n_repeated)) // n_paragraphs AS score FROM per JOIN c USING (doc_id))
+    SELECT doc_id, n_paragraphs, n_repeated, chars_kept, n_chunks, score::BIGINT AS score, {_BAND} AS band FROM s""")
+def document_report(spark, sf_dir):
+    return _report(spark, sf_dir)
+
+
+@query(f"WITH {PARAS}, m AS (SELECT *, {_REPEATED} AS repeated FROM paras) SELECT doc_id, pos::BIGINT AS pos, md5(para) AS para_md5 FROM m WHERE NOT repeated")
+def paragraph_dedup(spark, sf_dir):
+    paras = paragraphs.explode_paragraphs(table(spark, sf_dir, "documents"), "doc_id", "text", "\n")
+    return paragraphs.drop_repeats(paras, "doc_id").select(*big("doc_id", "pos"), F.md5(F.col("para").cast("binary")).alias("para_md5"))
+
+
+@query(f"WITH RECURSIVE {_CHUNKS} SELECT doc_id, chunk::BIGINT AS chunk_idx, (sum(n) + count(*) - 1)::BIGINT AS n_chars FROM fold GROUP BY doc_id, chunk")
+def greedy_chunks(spark, sf_dir):
+    out = paragraphs.chunks(table(spark, sf_dir, "documents"), "doc_id", "text", "\n")
+    return out.select(*big("doc_id", "chunk_idx"), F.length("chunk").cast("bigint").alias("n_chars"))
+
+
+_HANGUL_TEXT = "coalesce(text, '') || chr(10) || chr(10) || repeat('가', (doc_id % 40)::INT) || repeat(' word', 20) || chr(10) || chr(10) || repeat('x1-', 40)"
+
+
+@query(rf"""WITH p AS (SELECT doc_id, {STRIP.format("x")} AS para FROM (SELECT doc_id, unnest(string_split({_HANGUL_TEXT}, chr(10) || chr(10))) AS x FROM documents)),
+    c AS (SELECT doc_id, para, len(regexp_extract_all(para, '[\x{{ac00}}-\x{{d7af}}]')) AS h, len(regexp_extract_all(para, '[a-zA-Z]')) AS l FROM p WHERE para <> '')
+    SELECT doc_id, count(*) AS n_paras, sum((h + l > 0 AND h::DOUBLE / greatest(h + l, 1) < 0.15 AND length(para) > 100)::INT)::BIGINT AS n_untranslated FROM c GROUP BY doc_id""")
+def untranslated_paragraphs(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    text = F.concat(F.coalesce("text", F.lit("")), F.lit("\n\n"), F.repeat(F.lit("가"), (F.col("doc_id") % 40).cast("int")), F.lit(" word" * 20 + "\n\n" + "x1-" * 40))
+    paras = paragraphs.explode_paragraphs(docs.withColumn("text", text), "doc_id", "text")
+    return paras.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_paras"), F.sum(paragraphs.is_untranslated(F.col("para")).cast("bigint")).alias("n_untranslated"))
+
+
+@query(rf"""WITH l AS (SELECT doc_id, i, parts[i] AS line FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS i FROM (
+        SELECT doc_id, string_split(replace(coalesce(text, ''), '. ', '.' || chr(10) || '- '), chr(10)) AS parts FROM documents))),
+    b AS (SELECT doc_id, i, regexp_matches(line, '^\s*[*-]\s+') AS bullet FROM l),
+    n AS (SELECT *, coalesce(lag(bullet) OVER (PARTITION BY doc_id ORDER BY i), false) AS before, coalesce(lead(bullet) OVER (PARTITION BY doc_id ORDER BY i), false) AS after FROM b)
+    SELECT doc_id, sum(bullet::INT)::BIGINT AS n_bullets, sum((bullet AND NOT before)::INT)::BIGINT AS n_begins, sum((bullet AND NOT after)::INT)::BIGINT AS n_ends FROM n GROUP BY doc_id""")
+def bullet_lists(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    lines = docs.select("doc_id", F.posexplode(F.split(F.replace(F.coalesce("text", F.lit("")), F.lit(". "), F.lit(".\n- ")), "\n", -1)).alias("pos", "line"))
+    sums = [F.sum(F.col(c).cast("bigint")).alias(n) for c, n in (("is_bullet", "n_bullets"), ("begins_list", "n_begins"), ("ends_list", "n_ends"))]
+    return paragraphs.bullet_runs(lines, "doc_id").groupBy("doc_id").agg(*sums)
+
+
+# --- Documents: scalar functions ---------------------------------------------------------------
+@query(f"SELECT doc_id, md5({clean_output_sql('text')}) AS cleaned_md5 FROM documents")
+def clean_output(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.clean_output(F.col("text")).cast("binary")).alias("cleaned_md5"))
+
+
+@query(rf"""SELECT doc_id, md5(regexp_replace(text, '  +', ' ', 'g')) AS spaces, md5(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')) AS xml,
+    md5({STRIP.format(r"regexp_replace(text, '\s+', ' ', 'g')")}) AS node, len(regexp_extract_all(text, '[a-zA-Z]'))::BIGINT AS latin,
+    replace(source || '.' || doc_id, '.', '_') AS key, (contains(lower(text), 'ring')) AS has_ring, 'I_' || lpad((doc_id % 100)::VARCHAR, 2, '0') AS chapter,
+    CASE WHEN contains(lang, 'e') THEN 4096 + 3000 ELSE 4096 END AS budget FROM documents""")
+def scalar_functions(spark, sf_dir):
+    c, digest = F.col("text"), lambda x: F.md5(x.cast("binary"))
+    model = F.when(F.contains("lang", F.lit("e")), "qwen3:14b").otherwise("other")
+    return table(spark, sf_dir, "documents").select(
+        "doc_id",
+        digest(T.collapse_spaces(c)).alias("spaces"),
+        digest(T.escape_xml(c)).alias("xml"),
+        digest(T.normalize_node(c)).alias("node"),
+        T.script_count(c, "a-zA-Z").cast("bigint").alias("latin"),
+        T.safe_key(F.concat_ws(".", "source", F.col("doc_id").cast("string"))).alias("key"),
+        T.contains_folded(c, F.lit("RING")).alias("has_ring"),
+        T.chapter_id(F.lit("I"), F.col("doc_id") % 100).alias("chapter"),
+        T.token_budget(4096, model).alias("budget"),
+    )
+
+
+_FILLED = "'물론이죠! ' || coalesce(text, '') || chr(10) || '오늘의 주제는 이것' || chr(10) || '끝'"
+
+
+@query(rf"""WITH a AS (SELECT doc_id, {STRIP.format(rf"regexp_replace({_FILLED}, '(?i)^(?:물론이죠!?\s*|당연하죠!?\s*|알겠습니다!?\s*)', '')")} AS t FROM documents),
+    l AS (SELECT doc_id, list_filter(string_split(t, chr(10)), lambda x: NOT regexp_matches({STRIP.format("x")}, '^(?:{"|".join((*T.FILLER_LINES, *T.FILLER_LINES_MORE))})')) AS kept,
+        list_filter(list_transform(string_split({_FILLED}, chr(10)), lambda x: {STRIP.format("x")}), lambda x: x <> '') AS full_lines FROM a JOIN documents USING (doc_id))
+    SELECT doc_id, md5({STRIP.format("array_to_string(kept, chr(10))")}) AS filler_md5,
+        {STRIP.format(r"regexp_replace(full_lines[1], '^(?:물론이죠!?\s*|당연하죠!?\s*|알겠습니다!?\s*)', '')")} AS title FROM l""")
+def filler_cleaning(spark, sf_dir):
+    text = F.concat(F.lit("물론이죠! "), F.coalesce("text", F.lit("")), F.lit("\n오늘의 주제는 이것\n끝"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.clean_filler(text).cast("binary")).alias("filler_md5"), T.clean_title(text).alias("title"))
+
+
+@query("""SELECT doc_id, CASE WHEN length(n) < 0.5 * length(text) THEN 'old' ELSE 'new' END AS taken, coalesce(nullif(left(text, (doc_id % 3)::INT), ''), lang) AS title
+    FROM (SELECT *, left(text, (doc_id * 37 % 400)::INT) AS n FROM documents) WHERE text IS NOT NULL""")
+def polish_guard(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").where("text is not null")
+    new = F.left(F.col("text"), (F.col("doc_id") * 37 % 400).cast("int"))
+    taken = F.when(T.accept_polish(F.col("text"), new) == new, "new").otherwise("old")
+    return docs.select("doc_id", taken.alias("taken"), T.or_default(F.left(F.col("text"), (F.col("doc_id") % 3).cast("int")), F.col("lang")).alias("title"))
+
+
+# --- Glossary ----------------------------------------------------------------------------------
+TERMS = [(t, t[::-1]) for t in "ring the tion and heit lich que ment ción ungen sch able with from that this dans pour einer para series limit".split()]
+_GLOSSARY = "g(ord, term, gloss) AS (VALUES " + ", ".join(f"({i}, '{t}', '{g}')" for i, (t, g) in enumerate(TERMS)) + ")"
+
+
+def glossary_table(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(i, t, g) for i, (t, g) in enumerate(TERMS)], "ord int, term string, gloss string")
+
+
+def _hints_sql(most: int) -> str:
+    return f"""WITH {_GLOSSARY}, h AS (SELECT doc_id, ord, term || ' → ' || gloss AS s, row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS rn FROM documents JOIN g ON contains(lower(text), term))
+        SELECT doc_id, string_agg(s, chr(10) ORDER BY ord) AS hint, count(*) AS n_terms FROM h WHERE rn <= {most} GROUP BY doc_id"""
+
+
+@query(_hints_sql(15))
+def glossary_hints(spark, sf_dir):
+    return G.hints(table(spark, sf_dir, "documents"), glossary_table(spark), "doc_id", "text")
+
+
+@query(_hints_sql(10))
+def glossary_hints_lecture(spark, sf_dir):
+    return G.hints(table(spark, sf_dir, "documents"), glossary_table(spark), "doc_id", "text", most=10, fold_term=False)
+
+
+_TURNS = "t AS (SELECT a.conv_id * 1000 + a.turn AS pair, a.text AS o, b.text AS t FROM conversations a JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1)"
+
+
+def turn_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(pair, o, t): each turn with the next one, in place of original and translation."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    nxt = turns.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("t"))
+    return turns.join(nxt, ["conv_id", "turn"]).select((F.col("conv_id") * 1000 + F.col("turn")).alias("pair"), F.col("text").alias("o"), "t")
+
+
+@query(f"""WITH {_GLOSSARY}, {_TURNS}, i AS (SELECT pair, term, gloss, row_number() OVER (PARTITION BY pair ORDER BY ord) AS rn
+        FROM t JOIN g ON length(term) > 4 AND contains(lower(o), term) AND NOT contains(coalesce(t, ''), gloss)) SELECT pair, rn AS rank, term, gloss FROM i WHERE rn <= 5""")
+def glossary_issues(spark, sf_dir):
+    out = G.issues(turn_pairs(spark, sf_dir), glossary_table(spark), "pair", "o", "t")
+    return out.select("pair", *big("rank"), "term", "gloss")
+
+
+def _sentences_sql(c: str) -> str:
+    return f"list_filter(list_transform(string_split(coalesce({c}, ''), '. '), lambda x: {STRIP.format('x')}), lambda x: x <> '')"
+
+
+@query(f"""WITH {_TURNS}, s AS (SELECT pair, {_sentences_sql("o")} AS a, {_sentences_sql("t")} AS b FROM t), i AS (SELECT *, unnest(range(1, least(len(a), len(b), 8) + 1)) AS i FROM s)
+    SELECT pair, (i - 1)::BIGINT AS pos, left(a[i], 800) AS original_para, left(b[i], 800) AS translated_para FROM i""")
+def paragraph_alignment(spark, sf_dir):
+    out = paragraphs.align(turn_pairs(spark, sf_dir), "pair", "o", "t", r"\. ")
+    return out.select("pair", *big("pos"), "original_para", "translated_para")
+
+
+# --- Formulas and scores -----------------------------------------------------------------------
+_REGION_SQL = " || ".join("regexp_extract_all({0}, '(?s)" + p + "')" for p in mathtok.REGIONS)
+
+
+@query(rf"""WITH d AS (SELECT doc_id, coalesce(text, '') || ' $x_' || (doc_id % 7) || '$ $$y_' || (doc_id % 5) || '$$ \(z\)' AS o, coalesce(text, '') || ' $x_' || (doc_id % 3) || '$ $$y_' || (doc_id % 4) || '$$ \[w\]' AS t FROM documents),
+    k AS (SELECT doc_id, list_distinct({_REGION_SQL.format("o")}) AS a, {_REGION_SQL.format("t")} AS b FROM d), n AS (SELECT doc_id, len(a) AS n, len(list_filter(a, lambda x: NOT list_contains(b, x))) AS m FROM k)
+    SELECT doc_id, n::BIGINT AS n_tokens, m::BIGINT AS n_missing, trunc((1 - m::DOUBLE / n) * 100)::BIGINT AS score FROM n""")
+def formula_preservation(spark, sf_dir):
+    i, text = F.col("doc_id"), F.coalesce("text", F.lit(""))
+    made = lambda a, b, end: F.concat(text, F.lit(" $x_"), (i % a).cast("string"), F.lit("$ $$y_"), (i % b).cast("string"), F.lit("$$ " + end))
+    rows = table(spark, sf_dir, "documents").select("doc_id", mathtok.regions(made(7, 5, r"\(z\)")).alias("o"), mathtok.regions(made(3, 4, r"\[w\]")).alias("t"))
+    missing = mathtok.missing_tokens(F.col("o"), F.col("t"))
+    return rows.select("doc_id", F.size(F.array_distinct("o")).cast("bigint").alias("n_tokens"), F.size(missing).cast("bigint").alias("n_missing"), mathtok.preservation(F.col("o"), missing).cast("bigint").alias("score"))
+
+
+def _module_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, module, score, n_issues, skipped) derived from ids: scores from -5 to 104, some modules skipped."""
+    i = F.col("doc_id")
+    one = lambda m, k: F.struct(F.lit(m).alias("module"), (i * k % 110 - 5).cast("int").alias("score"), (i % k).cast("int").alias("n_issues"), (i % k == 0).alias("skipped"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array(one("formula", 3), one("semantic", 7), one("logic", 11), one("research", 5))).alias("m")).select("doc_id", "m.*")
+
+
+_MODULES = """m(module, k, w, r, label) AS (VALUES ('formula', 3, 35, 0, '수식'), ('semantic', 7, 30, 1, '의미'), ('logic', 11, 20, 2, '논리'), ('research', 5, 15, 3, '검증')),
+    s AS (SELECT doc_id, module, w, r, label, doc_id * k % 110 - 5 AS score, doc_id % k AS n_issues, doc_id % k = 0 AS skipped FROM documents, m)"""
+_OVERALL = f"""{_MODULES}, o AS (SELECT doc_id, CASE WHEN sum(CASE WHEN skipped THEN 0 ELSE w END) = 0 THEN 100
+    ELSE sum(CASE WHEN skipped THEN 0 ELSE w * greatest(0, least(100, score)) END) // sum(CASE WHEN skipped THEN 0 ELSE w END) END AS score FROM s GROUP BY doc_id)"""
+
+
+@query(f"WITH {_OVERALL} SELECT doc_id, score::BIGINT AS score, {_BAND} AS band FROM o")
+def weighted_score(spark, sf_dir):
+    return scoring.overall(_module_rows(spark, sf_dir), "doc_id").select("doc_id", *big("score"), "band")
+
+
+@query(f"WITH {_OVERALL} SELECT count(*) AS n_sections, round(avg(score), 6) AS mean_score, sum((score < 60)::INT)::BIGINT AS n_low FROM o")
+def corpus_summary(spark, sf_dir):
+    return scoring.corpus_summary(scoring.overall(_module_rows(spark, sf_dir), "doc_id")).select("n_sections", "mean_score", *big("n_low"))
+
+
+@query(f"""WITH {_MODULES} SELECT doc_id, string_agg(label || ' ' || score || CASE WHEN n_issues > 0 THEN ' (' || n_issues || '건)' ELSE '' END, ' \\quad ' ORDER BY r) AS line
+    FROM s WHERE NOT skipped GROUP BY doc_id""")
+def render_report(spark, sf_dir):
+    return scoring.report_line(_module_rows(spark, sf_dir), "doc_id")
+
+
+@query("""WITH p AS (SELECT conv_id, CASE WHEN length(text) % 7 = 0 THEN NULL ELSE 1 + length(text) % 10 END AS s, length(text) % 3 AS g FROM conversations),
+    a AS (SELECT conv_id, (sum(coalesce(s, 7)) * 10) // count(*) AS score, sum(g) AS n_issues, count(*) AS n FROM p GROUP BY conv_id), b AS (SELECT *, greatest(0, score - 3 * n_issues) AS s2 FROM a)
+    SELECT conv_id, score::BIGINT AS score, (CASE WHEN 2 * n < 5 OR n > 10 THEN greatest(0, s2 - 10) ELSE s2 END)::BIGINT AS penalised FROM b""")
+def semantic_score(spark, sf_dir):
+    n = F.length("text")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("pos"), F.when(n % 7 != 0, 1 + n % 10).alias("para_score"), (n % 3).alias("g"))
+    counts = rows.groupBy("conv_id").agg(F.sum("g").alias("n_issues"), F.count(F.lit(1)).alias("n"))
+    both = scoring.semantic(rows, "conv_id").join(counts, "conv_id")
+    return both.select("conv_id", *big("score"), scoring.penalised_semantic(F.col("score"), F.col("n_issues"), F.lit(5), F.col("n")).cast("bigint").alias("penalised"))
+
+
+@query("""WITH o AS (SELECT l_orderkey, count(*) AS c, sum((l_returnflag = 'R')::INT) AS f, sum((l_linestatus = 'F')::INT) AS v, sum((l_quantity > 45)::INT) AS i FROM lineitem GROUP BY l_orderkey)
+    SELECT l_orderkey, greatest(0, ((c - f) * 100) // c - 5 * i)::BIGINT AS logic, (CASE WHEN f = 0 THEN 80 ELSE (least(v, f) * 100) // f END)::BIGINT AS research FROM o""")
+def claim_scores(spark, sf_dir):
+    flag = lambda c: F.sum(F.when(c, 1).otherwise(0))
+    o = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(
+        F.count(F.lit(1)).alias("c"), flag(F.col("l_returnflag") == "R").alias("f"), flag(F.col("l_linestatus") == "F").alias("v"), flag(F.col("l_quantity") > 45).alias("i")
+    )
+    c, f, v, i = (F.col(x) for x in "cfvi")
+    return o.select("l_orderkey", scoring.logic(c, f, i).cast("bigint").alias("logic"), scoring.research(c, f, F.least(v, f)).cast("bigint").alias("research"))
+
+
+# --- Layout ------------------------------------------------------------------------------------
+@query("""WITH t AS (SELECT o_custkey, o_orderkey, 1 + o_orderkey % 3 AS level, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) * 5 AS page FROM orders),
+    n AS (SELECT a.o_orderkey, min(b.page) AS nxt FROM t a JOIN t b ON b.o_custkey = a.o_custkey AND b.o_orderkey > a.o_orderkey AND b.level <= a.level GROUP BY a.o_orderkey)
+    SELECT t.o_orderkey, page, coalesce(nxt - 1, 1000) AS end_page, coalesce(nxt - 1, 1000) - page + 1 AS page_count FROM t LEFT JOIN n USING (o_orderkey)""")
+def toc_ranges(spark, sf_dir):
+    w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    toc = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", (1 + F.col("o_orderkey") % 3).alias("level"), (F.row_number().over(w) * 5).alias("page"))
+    out = layout.toc_ranges_by_level(toc, F.lit(1000), [1, 2, 3], ["o_custkey"], "o_orderkey")
+    return out.select("o_orderkey", *big("page", "end_page", "page_count"))
+
+
+@query("""WITH r AS (SELECT conv_id, turn, text, CASE WHEN role = 'user' THEN turn END AS head FROM conversations),
+    f AS (SELECT conv_id, turn, text, last_value(head IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn) AS h FROM r),
+    g AS (SELECT conv_id, h, string_agg(text, chr(10) ORDER BY turn) AS content, max(turn) AS last FROM f WHERE h IS NOT NULL GROUP BY conv_id, h),
+    e AS (SELECT *, lead(h) OVER (PARTITION BY conv_id ORDER BY h) AS nxt FROM g)
+    SELECT e.conv_id, h AS section, left(c.text, 20) AS title, CASE WHEN 8 + h % 3 >= 9 THEN 'section' ELSE 'subsection' END AS level, h + 1 AS start_page, coalesce(nxt, last + 1) AS end_page, md5(content) AS content_md5
+    FROM e JOIN conversations c ON c.conv_id = e.conv_id AND c.turn = h""")
+def section_assembly(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations")
+    pages = turns.select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page"), "text")
+    heads = turns.where("role = 'user'").select(
+        F.col("conv_id").alias("doc_id"), F.col("turn").alias("page"), F.col("turn").cast("string").alias("section_id"), F.left("text", F.lit(20)).alias("title"), (8.0 + F.col("turn") % 3).alias("font_size")
+    )
+    out = layout.assemble_sections(pages, heads)
+    return out.select(F.col("doc_id").alias("conv_id"), F.col("section_id").cast("bigint").alias("section"), "title", "level", *big("start_page", "end_page"), F.md5(F.col("content").cast("binary")).alias("content_md5"))
+
+
+@query("""SELECT user_id, arg_max(event_id, ts) AS event_id, count(*) AS n_rows, min(event_id) AS first_event FROM events GROUP BY user_id""")
+def last_wins(spark, sf_dir):
+    events = table(spark, sf_dir, "events").select("user_id", "event_id", "ts", F.col("event_id").alias("first_event"))
+    return layout.last_wins(events, ["user_id"], F.col("ts"), "first_event").select("user_id", "event_id", "n_rows", "first_event")
+
+
+@query("""WITH t AS (SELECT max(doc_id) + 1 AS total FROM documents), p AS (SELECT doc_id // 40 AS part, min(doc_id) AS a, max(doc_id) AS b FROM documents GROUP BY 1)
+    SELECT part::BIGINT AS part, a AS first_page, b AS last_page, 'book_part_' || lpad((part + 1)::VARCHAR, greatest(2, length((part + 1)::VARCHAR))::INT, '0') || '_pages_' || (a + 1) || '_' || least(b + 1, total) AS name FROM p, t""")
+def split_parts(spark, sf_dir):
+    pages = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("page"))
+    total = pages.agg(F.max("page") + 1).first()[0] or 0
+    return layout.split_parts(pages, 40, F.lit(total)).select(*big("part", "first_page", "last_page"), "name")
+
+
+@query("""WITH s AS (SELECT DISTINCT conv_id FROM conversations WHERE role = 'system') SELECT conv_id, 'page_' || (turn + 1) AS section_id, 'subsection' AS level, turn + 1 AS start_page FROM conversations WHERE conv_id NOT IN (SELECT conv_id FROM s)""")
+def page_sections(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations")
+    pages = turns.select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page"), "text")
+    out = layout.page_sections(pages, turns.where("role = 'system'").select(F.col("conv_id").alias("doc_id")))
+    return out.select(F.col("doc_id").alias("conv_id"), "section_id", "level", *big("start_page"))
+
+
+@query("SELECT doc_id, lang FROM documents WHERE doc_id >= 10 AND doc_id < 500")
+def page_range(spark, sf_dir):
+    pages = table(spark, sf_dir, "documents").withColumnRenamed("doc_id", "page")
+    return layout.page_range(pages, 10, 500).select(F.col("page").alias("doc_id"), "lang")
+
+
+_IDS = "(o_orderkey % 13) || CASE WHEN o_orderkey % 4 = 0 THEN '' ELSE '.' || (o_orderkey % 17) END || CASE WHEN o_orderkey % 5 = 0 THEN '.a' ELSE '' END"
+
+
+def _section_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("o_orderkey")
+    sid = F.concat((i % 13).cast("string"), F.when(i % 4 == 0, "").otherwise(F.concat(F.lit("."), (i % 17).cast("string"))), F.when(i % 5 == 0, ".a").otherwise(""))
+    return table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", sid.alias("section_id"))
+
+
+_KEY = "list_transform(string_split(sid, '.'), lambda x: CASE WHEN regexp_full_match(x, '[0-9]+') THEN '0' || lpad(x, 12, '0') ELSE '1' || x END)"
+
+
+@query(f"""WITH o AS (SELECT o_orderkey, o_custkey, {_IDS} AS sid FROM orders)
+    SELECT o_orderkey, sid AS section_id, row_number() OVER (PARTITION BY o_custkey ORDER BY {_KEY}, o_orderkey) AS rank FROM o""")
+def natural_sort(spark, sf_dir):
+    w = Window.partitionBy("o_custkey").orderBy(T.natural_key(F.col("section_id")), "o_orderkey")
+    return _section_ids(spark, sf_dir).select("o_orderkey", "section_id", F.row_number().over(w).cast("bigint").alias("rank"))
+
+
+@query(f"""WITH o AS (SELECT o_orderkey, {_IDS} AS sid, 8 + (o_orderkey % 7) / 4.0 AS size, CASE WHEN o_orderkey % 11 = 0 THEN 'section' ELSE 'subsection' END AS level FROM orders)
+    SELECT o_orderkey, CASE WHEN size >= 9 OR level = 'section' THEN 'chapter' WHEN length(sid) - length(replace(sid, '.', '')) = 1 THEN 'section' ELSE 'subsection' END AS kind FROM o""")
+def heading_kind(spark, sf_dir):
+    i = F.col("o_orderkey")
+    level = F.when(i % 11 == 0, "section").otherwise("subsection")
+    return _section_ids(spark, sf_dir).select("o_orderkey", T.heading_kind(F.col("section_id"), 8 + (i % 7) / 4.0, level).alias("kind"))
+
+
+# --- Model answers -----------------------------------------------------------------------------
+@query(r"""WITH s AS (SELECT event_id, regexp_extract('Sure: ' || props || ' done', '(?s)\{[^{}]*(?:\{[^{}]*\}[^{}]*)*\}') AS j FROM events)
+    SELECT event_id, (j->>'$.k')::BIGINT AS k, greatest(1, least(10, (j->>'$.k')::BIGINT)) AS score FROM s""")
+def json_salvage(spark, sf_dir):
+    j = parsing.json_from_text(F.concat(F.lit("Sure: "), F.col("props"), F.lit(" done")), "k string")
+    return table(spark, sf_dir, "events").select("event_id", j["k"].cast("bigint").alias("k"), parsing.clamped_score(j["k"]).cast("bigint").alias("score"))
+
+
+_NUMBERED = "'preamble' || chr(10) || '1. ' || text || chr(10) || '2) ' || left(text, 30) || chr(10) || '3. short' || chr(10) || '4. ' || role || ' is a role' || chr(10) || '5. 6. ' || right(text, 25)"
+
+
+@query(rf"""WITH d AS (SELECT conv_id, turn, list_filter(list_transform(string_split_regex({_NUMBERED}, '\n\d+[.)]\s+'), lambda x: {STRIP.format("x")}), lambda x: length(x) > 10) AS p FROM conversations),
+    c AS (SELECT conv_id, turn, list_filter(list_transform(p, lambda x: {clean_output_sql(r"regexp_replace(x, '^\d+[.)]\s*', '')")}), lambda x: x <> '')[1:4] AS items FROM d),
+    i AS (SELECT *, unnest(range(1, len(items) + 1)) AS i FROM c) SELECT conv_id, turn, (i - 1)::BIGINT AS idx, items[i] AS item FROM i""")
+def numbered_items(spark, sf_dir):
+    t = F.col("text")
+    made = F.concat(F.lit("preamble\n1. "), t, F.lit("\n2) "), F.left(t, F.lit(30)), F.lit("\n3. short\n4. "), F.col("role"), F.lit(" is a role\n5. 6. "), F.right(t, F.lit(25)))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(parsing.numbered_items(made)).alias("idx", "item")).select("conv_id", "turn", *big("idx"), "item")
+
+
+@query(rf"""WITH l AS (SELECT item_id, i, x FROM (SELECT item_id, parts, unnest(range(1, len(parts) + 1)) AS i FROM (SELECT item_id, string_split('# head' || chr(10) || '1. alpha | ' || left(text, 9) || chr(10) || '- ' || left(text, 5) || ' - beta' || chr(10) || 'gamma: ' || item_id || chr(10) || 'nothing' || chr(10) || '| empty', chr(10)) AS parts FROM benchmark)), (SELECT 1) one(k), LATERAL (SELECT {STRIP.format("parts[i]")} AS x) v),
+    b AS (SELECT item_id, i, regexp_replace(x, '^[\d.\-*]+\s*', '') AS x FROM l WHERE x <> '' AND NOT starts_with(x, '#')),
+    s AS (SELECT *, CASE WHEN contains(x, '|') THEN '|' WHEN contains(x, ' - ') THEN ' - ' WHEN contains(x, ': ') THEN ': ' END AS sep FROM b),
+    p AS (SELECT item_id, i, {STRIP.format("left(x, strpos(x, sep) - 1)")} AS term, {STRIP.format("substr(x, strpos(x, sep) + length(sep))")} AS gloss FROM s WHERE sep IS NOT NULL)
+    SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY i) - 1 AS idx, term, gloss FROM p WHERE term <> '' AND gloss <> ''""")
+def pair_parse(spark, sf_dir):
+    t = F.col("text")
+    made = F.concat(F.lit("# head\n1. alpha | "), F.left(t, F.lit(9)), F.lit("\n- "), F.left(t, F.lit(5)), F.lit(" - beta\ngamma: "), F.col("item_id").cast("string"), F.lit("\nnothing\n| empty"))
+    rows = table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(parsing.pairs(made)).alias("idx", "p"))
+    return rows.select("item_id", *big("idx"), "p.term", "p.gloss")
+
+
+@query(rf"""WITH l AS (SELECT conv_id, turn, list_filter(list_transform(string_split({STRIP.format("'1. ' || replace(text, '. ', chr(10) || '- ')")}, chr(10)),
+        lambda x: regexp_replace(regexp_replace({STRIP.format("x")}, '^\d+[.)]\s*', ''), '^[-*]\s*', '')), lambda x: length(x) > 15)[1:6] AS c FROM conversations), i AS (SELECT *, unnest(range(1, len(c) + 1)) AS i FROM l)
+    SELECT conv_id, turn, (i - 1)::BIGINT AS idx, c[i] AS claim FROM i""")
+def claim_lines(spark, sf_dir):
+    made = F.concat(F.lit("1. "), F.replace("text", F.lit(". "), F.lit("\n- ")))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(parsing.claims(made)).alias("idx", "claim")).select("conv_id", "turn", *big("idx"), "claim")
+
+
+_CATEGORY = "CASE event_type WHEN 'click' THEN 'quote' WHEN 'view' THEN 'translatornote' WHEN 'error' THEN 'deepresearch' WHEN 'purchase' THEN 'keyconcept' ELSE 'normal' END"
+
+
+@query(f"""WITH e AS (SELECT event_id, {_CATEGORY} AS c, CASE WHEN event_id % 3 = 0 THEN '' ELSE 't' || event_id END AS t, CASE WHEN event_id % 4 = 0 THEN NULL ELSE props END AS x FROM events)
+    SELECT event_id, CASE WHEN c = 'quote' THEN c END AS box_type, CASE WHEN x IS NULL THEN NULL WHEN c = 'translatornote' THEN c WHEN c IN ('deepresearch', 'keyconcept') THEN 'deepresearch' END AS sub_type,
+        CASE WHEN x IS NULL THEN NULL WHEN c = 'deepresearch' THEN coalesce(nullif(t, ''), '심층 해설') WHEN c = 'keyconcept' THEN coalesce(nullif(t, ''), '핵심 개념') END AS sub_title FROM e""")
+def enrichment_categories(spark, sf_dir):
+    kind, i = F.col("event_type"), F.col("event_id")
+    category = F.when(kind == "click", "quote").when(kind == "view", "translatornote").when(kind == "error", "deepresearch").when(kind == "purchase", "keyconcept").otherwise("normal")
+    box, sub = parsing.enrichment(category, F.when(i % 3 == 0, "").otherwise(F.concat(F.lit("t"), i.cast("string"))), F.when(i % 4 != 0, F.col("props")))
+    return table(spark, sf_dir, "events").select("event_id", box.alias("box_type"), sub[0]["type"].alias("sub_type"), sub[0]["title"].alias("sub_title"))
+
+
+# --- Knowledge table ---------------------------------------------------------------------------
+_STOPS = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
+
+
+def _terms_sql(table_: str, key: str) -> str:
+    return rf"""w AS (SELECT {key}, i, regexp_replace(parts[i], '[^a-zA-Z0-9-]', '', 'g') AS w FROM (SELECT {key}, parts, unnest(range(1, len(parts) + 1)) AS i
+            FROM (SELECT {key}, string_split_regex({STRIP.format("coalesce(text, '')")}, '[ \t\n\v\f\r]+') AS parts FROM {table_}))),
+        terms AS (SELECT {key}, w, row_number() OVER (PARTITION BY {key} ORDER BY CASE WHEN regexp_matches(w, '^[A-Z]') THEN 0 ELSE 1 END, -length(w), i) AS rn FROM w WHERE length(w) > 2 AND lower(w) NOT IN ({_STOPS}))"""
+
+
+@query(f"WITH {_terms_sql('benchmark', 'item_id')} SELECT item_id, string_agg(w, ' ' ORDER BY rn) AS terms FROM terms GROUP BY item_id")
+def search_terms(spark, sf_dir):
+    rows = table(spark, sf_dir, "benchmark").select("item_id", T.search_terms(F.coalesce("text", F.lit(""))).alias("t"))
+    return rows.where(F.size("t") > 0).select("item_id", F.array_join("t", " ").alias("terms"))
+
+
+_KB = "kb AS (SELECT array_to_string(string_split(text, ' ')[1:6], ' ') AS title, min(text) AS extract FROM benchmark GROUP BY 1)"
+
+
+def knowledge_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    title = F.array_join(F.slice(F.split("text", " "), 1, 6), " ")
+    return table(spark, sf_dir, "benchmark").groupBy(title.alias("title")).agg(F.min("text").alias("extract"))
+
+
+@query(rf"""WITH {_KB}, {_terms_sql("documents", "doc_id")}, ti AS (SELECT DISTINCT title, unnest(string_split_regex(lower(title), '[^a-z0-9-]+')) AS word FROM kb),
+    q AS (SELECT DISTINCT doc_id, lower(w) AS word FROM terms WHERE rn <= 4), h AS (SELECT doc_id, title, count(*) AS overlap FROM q JOIN ti USING (word) WHERE word <> '' GROUP BY doc_id, title),
+    b AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY -overlap, length(title), title) AS rn FROM h) SELECT doc_id, title, overlap FROM b WHERE rn = 1""")
+def kb_search(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return knowledge.search(docs, knowledge_table(spark, sf_dir), "doc_id", T.search_terms(F.col("text"))).select("doc_id", "title", "overlap")
+
+
+@query("""WITH one AS (SELECT p_name AS title, min(p_type) || repeat('x', 46) AS extract FROM part GROUP BY p_name), two AS (SELECT p_name || ' mathematics' AS title, 'broad ' || p_name || repeat('y', 50) AS extract FROM part GROUP BY p_name),
+    kb AS (SELECT * FROM one WHERE length(extract) > 50 UNION ALL SELECT * FROM two)
+    SELECT p_partkey, coalesce(a.title, b.title) AS title, coalesce(a.extract, b.extract) AS extract FROM part LEFT JOIN kb a ON lower(a.title) = lower(p_name) LEFT JOIN kb b ON lower(b.title) = lower(p_name || ' mathematics')""")
+def kb_lookup(spark, sf_dir):
+    part = table(spark, sf_dir, "part")
+    one = part.groupBy(F.col("p_name").alias("title")).agg(F.concat(F.min("p_type"), F.lit("x" * 46)).alias("extract"))
+    two = part.groupBy("p_name").agg(F.count(F.lit(1)).alias("n")).select(F.concat("p_name", F.lit(" mathematics")).alias("title"), F.concat(F.lit("broad "), "p_name", F.lit("y" * 50)).alias("extract"))
+    return knowledge.lookup(part.select("p_partkey", F.upper("p_name").alias("term")), one.unionByName(two), "p_partkey", "term").select("p_partkey", "title", "extract")
+
+
+# --- Pages and files ---------------------------------------------------------------------------
+@query("SELECT page_id, md5(regexp_replace(html, '<[^>]+>', '', 'g')) AS text_md5 FROM pages")
+def strip_tags(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", F.md5(T.strip_tags(F.col("html")).cast("binary")).alias("text_md5"))
+
+
+@query(rf"""WITH h AS (SELECT page_id, regexp_extract(html, '(?s)<h1[^>]*>(.*?)</h1>', 1) || '<sup>1</sup><a href="#">¶</a>' AS h FROM pages)
+    SELECT page_id, {STRIP.format(r"regexp_replace(regexp_replace(h, '(?s)<(span|sup|a)\b[^>]*>.*?</(span|sup|a)>', '', 'g'), '<[^>]+>', '', 'g')")} AS title FROM h""")
+def heading_text(spark, sf_dir):
+    h = F.concat(F.regexp_extract("html", r"(?s)<h1[^>]*>(.*?)</h1>", 1), F.lit('<sup>1</sup><a href="#">¶</a>'))
+    return table(spark, sf_dir, "pages").select("page_id", T.heading_text(h).alias("title"))
+
+
+@query("""WITH d AS (SELECT page_id, CASE WHEN page_id % 10 = 3 THEN 'Attention Required! now' ELSE 'ok' END AS title, repeat('x', (page_id * 7 % 600)::INT) || CASE WHEN page_id % 2 = 0 THEN 'Cloudflare' ELSE '' END || html AS h FROM pages)
+    SELECT page_id, contains(title, 'Attention Required') OR contains(left(h, 500), 'Cloudflare') AS blocked FROM d""")
+def blockpage_flag(spark, sf_dir):
+    i = F.col("page_id")
+    title = F.when(i % 10 == 3, "Attention Required! now").otherwise("ok")
+    html = F.concat(F.repeat(F.lit("x"), (i * 7 % 600).cast("int")), F.when(i % 2 == 0, "Cloudflare").otherwise(""), F.col("html"))
+    return table(spark, sf_dir, "pages").select("page_id", T.is_block_page(title, html).alias("blocked"))
+
+
+@query("""SELECT name, min(url) AS url FROM (SELECT url, regexp_extract(url, '[^/]*$') AS name FROM pages) WHERE name <> '' AND name NOT IN (SELECT regexp_extract(url, '[^/]*$') FROM pages WHERE page_id % 5 = 0) GROUP BY name""")
+def asset_manifest(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    manifest = pages.where("page_id % 5 = 0").select(T.base_name(F.col("url")).alias("name")).distinct()
+    return files.assets_to_fetch(pages, manifest)
+
+
+_NAME = "'f' || (page_id % 50) || CASE page_id % 4 WHEN 0 THEN '.svgz' WHEN 1 THEN '.svg' WHEN 2 THEN '.png' ELSE '.gif' END"
+
+
+@query(rf"""WITH f AS (SELECT page_id, {_NAME} AS n FROM pages), m AS (SELECT DISTINCT CASE WHEN page_id % 3 = 0 THEN replace(replace(n, '.svgz', '.pdf'), '.svg', '.pdf') ELSE n END AS name FROM f WHERE page_id % 7 < 3)
+    SELECT page_id, CASE WHEN replace(replace(n, '.svgz', '.pdf'), '.svg', '.pdf') IN (SELECT name FROM m) AND (regexp_matches(n, 'svg') OR n IN (SELECT name FROM m)) THEN 'converted'
+        WHEN n IN (SELECT name FROM m) AND NOT regexp_matches(n, '\.(pdf|jpg|png)$') THEN 'unconverted' WHEN n IN (SELECT name FROM m) THEN 'raster' ELSE 'missing' END AS state FROM f""")
+def figure_paths(spark, sf_dir):
+    i = F.col("page_id")
+    name = F.concat(F.lit("f"), (i % 50).cast("string"), F.element_at(F.array(*map(F.lit, (".svgz", ".svg", ".png", ".gif"))), (i % 4 + 1).cast("int")))
+    rows = table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("images/"), name).alias("src"))
+    held = T.base_name(F.col("src"))
+    manifest = rows.where("page_id % 7 < 3").select(F.when(F.col("page_id") % 3 == 0, T.converted_name(held)).otherwise(held).alias("name"))
+    return render.figure_states(rows, manifest).select("page_id", "state")
+
+
+@query("""SELECT page_id, printf('https://host.example/%s_%02d.html', CASE WHEN page_id % 3 = 0 THEN 'I' WHEN page_id % 3 = 1 THEN 'II' ELSE 'III' END, page_id % 60) AS page_url,
+    CASE WHEN page_id % 4 = 0 THEN url WHEN page_id % 4 = 1 THEN 'https://host.example/img/a.png' WHEN page_id % 4 = 2 THEN 'https://other.example/b.png' ELSE 'https://host.example/vol/c.png' END AS joined FROM pages""")
+def page_urls(spark, sf_dir):
+    i = F.col("page_id")
+    volume = F.when(i % 3 == 0, "I").when(i % 3 == 1, "II").otherwise("III")
+    ref = F.when(i % 4 == 0, F.col("url")).when(i % 4 == 1, "/img/a.png").when(i % 4 == 2, "//other.example/b.png").otherwise("c.png")
+    return table(spark, sf_dir, "pages").select("page_id", page_url("https://host.example/", volume, (i % 60).cast("int")).alias("page_url"), T.join_url("https://host.example/vol/index.html", ref).alias("joined"))
+
+
+@query("SELECT doc_id, length(text) AS n FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1)")
+def resume_antijoin(spark, sf_dir):
+    done = table(spark, sf_dir, "labels").select("doc_id", F.when(F.col("quality") == 1, "done").alias("content_translated"))
+    return files.work_left(table(spark, sf_dir, "documents"), done, "doc_id", "content_translated").select("doc_id", F.length("text").cast("bigint").alias("n"))
+
+
+@query("SELECT d.doc_id, CASE WHEN l.quality = 1 THEN 'stored ' || d.doc_id END AS content_translated FROM documents d LEFT JOIN labels l USING (doc_id)")
+def resume_reuse(spark, sf_dir):
+    stored = F.when(F.col("quality") == 1, F.concat(F.lit("stored "), F.col("doc_id").cast("string")))
+    done = table(spark, sf_dir, "labels").select("doc_id", stored.alias("content_translated"))
+    return files.resumed(table(spark, sf_dir, "documents").select("doc_id"), done, "doc_id", "content_translated")
+
+
+@query(f"""WITH o AS (SELECT o_orderkey, {_IDS} AS sid FROM orders), m AS (SELECT CASE WHEN o_orderkey % 3 = 0 THEN sid ELSE replace(sid, '.', '_') END || '.json' AS name FROM o WHERE o_orderkey % 6 < 2)
+    SELECT o_orderkey, CASE WHEN sid || '.json' IN (SELECT name FROM m) THEN sid || '.json' WHEN replace(sid, '.', '_') || '.json' IN (SELECT name FROM m) THEN replace(sid, '.', '_') || '.json' END AS file_name FROM o""")
+def candidate_files(spark, sf_dir):
+    ids = _section_ids(spark, sf_dir)
+    sid = F.col("section_id")
+    manifest = ids.where("o_orderkey % 6 < 2").select(F.concat(F.when(F.col("o_orderkey") % 3 == 0, sid).otherwise(T.safe_key(sid)), F.lit(".json")).alias("name"))
+    return files.candidate_file(ids, manifest).select("o_orderkey", "file_name")
+
+
+@query("SELECT count(*) AS finished, 18000 AS expected, (count(*) * 100 // 18000)::INT AS percent FROM labels")
+def progress(spark, sf_dir):
+    return files.progress(table(spark, sf_dir, "labels"), 18000)
+
+
+@query("SELECT count(*) AS total_sections, string_agg(r_name, ',' ORDER BY r_name) AS section_ids, 5 AS total_pages FROM region")
+def metadata(spark, sf_dir):
+    out = files.metadata(table(spark, sf_dir, "region").withColumnRenamed("r_name", "section_id"), "book.pdf", 5)
+    return out.select("total_sections", F.array_join("section_ids", ",").alias("section_ids"), "total_pages")
+
+
+#: The driver's pages keep their text in paragraphs of an article.
+PAGE_SELECTORS = Selectors(containers=(("article", None),), chapter_title="h1", paragraph=("p", None), paragraph_text=("p", None))
+
+
+@query()
+def html_items(spark, sf_dir):
+    return content_items(table(spark, sf_dir, "pages"), "page_id", "html", PAGE_SELECTORS).select("page_id", "chapter_title", "sec_idx", "item_idx", "type", "text")
+
+
+@query()
+def latex_texts(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(render.clean_for_latex(F.col("text")).cast("binary")).alias("tex_md5"))
+
+
+@query()
+def formula_check(spark, sf_dir):
+    i, text = F.col("doc_id"), F.coalesce("text", F.lit(""))
+    original = F.concat(text, F.lit(r" $\alpha_{1}$ \frac{a}{b} $x^2$"))
+    translated = F.concat(text, F.when(i % 2 == 0, r" $\alpha_{1}$ \frac{a}{b} x^2").otherwise(r" \alpha frac{a}{b} x<sup>2</sup>"))
+    c = mathtok.check(original, translated)
+    return table(spark, sf_dir, "documents").select("doc_id", c.alias("c")).select("doc_id", "c.score", F.size("c.missing").alias("n_missing"))
+
+
+# --- Events: windows for streams and tables ----------------------------------------------------
+@query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def event_windows(spark, sf_dir):
+    return incremental.windowed_counts(table(spark, sf_dir, "events"), "ts", ["event_type"]).select("start", "event_type", "n", F.round("total", 4).alias("total"))
+
+
+@query("""WITH a AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS first FROM events),
+    b AS (SELECT *, sum(first) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM a)
+    SELECT min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS "end", user_id, count(*) AS n FROM b GROUP BY user_id, s""")
+def event_sessions(spark, sf_dir):
+    return incremental.sessions(table(spark, sf_dir, "events"), "ts", ["user_id"])
+
+
+# --- Star schema: the relational operators that plans build on ----------------------------------
+@query("""SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, count(*) AS n
+    FROM lineitem WHERE l_shipdate <= TIMESTAMP '2000-09-02' GROUP BY 1, 2""")
+def pricing_summary(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").where(F.col("l_shipdate") <= F.lit("2000-09-02").cast("timestamp_ntz"))
+    money = F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue")
+    return rows.groupBy("l_returnflag", "l_linestatus").agg(F.round(F.sum("l_quantity"), 2).alias("sum_qty"), money, F.count(F.lit(1)).alias("n"))
+
+
+@query("""SELECT n_name, c_mktsegment, count(*) AS n_orders, round(sum(o_totalprice), 2) AS total FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
+    WHERE r_name = 'ASIA' GROUP BY CUBE (n_name, c_mktsegment)""")
+def regional_cube(spark, sf_dir):
+    t = {n: table(spark, sf_dir, n) for n in ("orders", "customer", "nation", "region")}
+    here = t["nation"].join(t["region"].where("r_name = 'ASIA'"), F.col("n_regionkey") == F.col("r_regionkey"))
+    buyers = t["customer"].join(here, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "n_name", "c_mktsegment")
+    rows = t["orders"].select("o_custkey", "o_totalprice").join(buyers, F.col("o_custkey") == F.col("c_custkey"))
+    return rows.cube("n_name", "c_mktsegment").agg(F.count(F.lit(1)).alias("n_orders"), F.round(F.sum("o_totalprice"), 2).alias("total"))

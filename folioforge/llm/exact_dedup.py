@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, bitmap, discard, held, id_and_text, materialise, parallelism, row_numbers, rows, split
+from .common import SPACE_CLASS, bitmap, discard, held, id_and_text, materialise, parallelism, row_numbers, rows, split, tidied
 
 BLOCK_BYTES = 4096
 _RANGE_BITS = 40
@@ -93,7 +93,7 @@ def identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One row per row of docs: row, id, sha, m, name; texts are equal iff (m, name) are."""
     spark = docs.sparkSession
     n = 4 * parallelism(spark)
-    blocks = id_and_text(docs, id_col, text_col).mapInArrow(_cut(block_bytes), _BLOCKS)
+    blocks = id_and_text(docs, id_col, text_col).mapInArrow(tidied(_cut(block_bytes)), _BLOCKS)
     named = _named(blocks, ["block"], n).select("name", F.explode("refs").alias("r")).select("r.*", "name")
     level = materialise(named, "blocknames")
     done = level.where("m = 1").select("row", "id", "sha", "m", "name")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches
+from .common import bound_batches, tidied
 from .html_pages import CONTENT_SIGN, labelled_pages
 
 _BLOCKS = frozenset(
@@ -389,5 +389,5 @@ def extract_main_text(
     source = pages.select(
         F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html")
     )
-    out = source.mapInArrow(_extract(fitted or model()), "id bigint, url string, text string, n_chars bigint")
+    out = source.mapInArrow(tidied(_extract(fitted or model())), "id bigint, url string, text string, n_chars bigint")
     return out.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text", "n_chars")

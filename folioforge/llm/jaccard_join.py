@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bitmap, discard, held, id_and_text, materialise, row_numbers, rows, split
+from .common import bitmap, discard, held, id_and_text, materialise, row_numbers, rows, split, tidied
 from .graph import components
 
 SHINGLE = 4
@@ -38,7 +38,7 @@ LIST_BLOCK = 2048
 _SKIP_BLOCK = 64
 #: Signed hashes below this are the quarter of the range that the first count looks at.
 _PROBE = -(1 << 62)
-_CACHE_WORDS = 200_000
+_CACHE_WORDS = 100_000
 
 
 class _WordHashes(dict):
@@ -208,7 +208,7 @@ def similar_classes(
     Rows that repeat a text are linked with each other. Null ids stand after all others; a component
     of null ids alone has a null component_id. An empty table gives an empty result.
     """
-    sets = materialise(id_and_text(docs, id_col, text_col).mapInArrow(_sets(shingle), _SETS), "sets")
+    sets = materialise(id_and_text(docs, id_col, text_col).mapInArrow(tidied(_sets(shingle)), _SETS), "sets")
     meta = materialise(sets.select("row", "id", "n", "f1", "f2"), "setmeta")
     first = F.min(F.struct(F.col("id").isNull().alias("last"), F.col("id"), F.col("row")))
     classes = materialise(
@@ -269,7 +269,7 @@ def similar_classes(
     )
     keys = ["tok", "b1", "b2"]
     sorted_ = dealt.repartition(*keys).sortWithinPartitions(*keys, "n", "pos", "row")
-    pairs = sorted_.mapInArrow(_scan_lists(percent), "a bigint, b bigint").distinct()
+    pairs = sorted_.mapInArrow(tidied(_scan_lists(percent)), "a bigint, b bigint").distinct()
     more = materialise(_links(pairs, kept, percent).where("linked").select("a", "b"), "links")
     whose = place.select("row", "comp")
     ties = more.join(whose.select(F.col("row").alias("a"), F.col("comp").alias("ca")), "a").join(whose.select(F.col("row").alias("b"), F.col("comp").alias("cb")), "b")

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import byte_alphabet
-from .common import held, id_and_text, materialise, row_numbers, rows
+from .common import held, id_and_text, materialise, row_numbers, rows, tidied
 
 CAPACITY = 4096
 GROUP_PIECES = 8192
@@ -31,7 +31,7 @@ GROUP_PIECES = 8192
 REOPEN_BELOW = 0.98
 #: Emptiest bins tried without success before the local search of a group ends.
 PATIENCE = 10
-_CACHE_WORDS = 250_000
+_CACHE_WORDS = 100_000
 _LONG_WORD = 64
 _MARKS = b".,;:!?*#$%&|"
 
@@ -246,7 +246,7 @@ def pack_documents(
     row like any others. Only documents longer than the capacity are cut; only a document's last
     piece may be shorter. An empty table gives no rows. Pieces of a sequence lie without gaps from 0.
     """
-    made = id_and_text(docs, id_col, text_col).mapInArrow(_tokenised(tokenizer_path, end_id, capacity), _PIECES)
+    made = id_and_text(docs, id_col, text_col).mapInArrow(tidied(_tokenised(tokenizer_path, end_id, capacity)), _PIECES)
     pieces = materialise(made, "pieces")
     first = materialise(_pass(pieces, pieces.count(), capacity, 0, group_pieces), "packed")
     loose = first.where(F.col("fill") < int(capacity * REOPEN_BELOW)).drop("sequence_id", "offset", "fill")

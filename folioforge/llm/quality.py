@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, materialise, rows
+from .common import id_and_text, materialise, rows, tidied
 
 _SYMBOLS = b"#*$%&|<>"
 _COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters", "n_marks", "n_digits", "n_stops")
@@ -163,7 +163,7 @@ def weak_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     once, repeated ones too. An empty table gives an empty result. Other columns are ignored.
     """
     rules = rules or default_rules()
-    measured = id_and_text(docs, id_col, text_col).mapInArrow(_measure, _METRICS)
+    measured = id_and_text(docs, id_col, text_col).mapInArrow(tidied(_measure), _METRICS)
     voted = materialise(measured.withColumns({f"vote_{k}": v for k, v in rules.items()}), "votes")
     names = [f"vote_{k}" for k in rules]
     found = voted.groupBy(*names).count().collect()

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, materialise, rows
+from .common import id_and_text, materialise, rows, tidied
 from .spans import Span, digest, free_of, joined
 
 KINDS = ("assign", "access", "hex")
@@ -178,7 +178,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     counts once for the false-discovery rule, repeated ones too. An empty table gives an empty
     result; other columns are not read.
     """
-    found = materialise(id_and_text(docs, id_col, text_col).mapInArrow(_scan, _FOUND), "secrets")
+    found = materialise(id_and_text(docs, id_col, text_col).mapInArrow(tidied(_scan), _FOUND), "secrets")
     counted = found.where("bytes is not null").select(F.posexplode("bytes").alias("b", "n")).groupBy("b").agg(F.sum("n").alias("n"))
     counts = np.zeros(256)
     for r in counted.collect():  # at most 256 rows
@@ -200,7 +200,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     tokens = found.select(F.explode("candidates.token").alias("token"))
     histogram = np.zeros(_STEPS)
     total = 0
-    for r in tokens.mapInArrow(measure, "step int").groupBy("step").count().collect():  # at most _STEPS + 1 rows
+    for r in tokens.mapInArrow(tidied(measure), "step int").groupBy("step").count().collect():  # at most _STEPS + 1 rows
         total += r["count"]
         if r["step"] >= 0:
             histogram[r["step"]] = r["count"]
@@ -218,7 +218,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(added, pa.list_(_SPAN))], ["id", "base", "added"])
 
     spans = "array<struct<kind:string,start:bigint,end:bigint>>"
-    return found.select("id", "base", "candidates").mapInArrow(decide, f"id bigint, base {spans}, added {spans}").withColumnRenamed("id", id_col)
+    return found.select("id", "base", "candidates").mapInArrow(tidied(decide), f"id bigint, base {spans}, added {spans}").withColumnRenamed("id", id_col)
 
 
 def scan_digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -239,4 +239,4 @@ def scan_digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(out, types))], names)
 
     schema = "id bigint, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string"
-    return found.select(F.col(id_col).alias("id"), "base", "added").mapInArrow(digests, schema).withColumnRenamed("id", id_col)
+    return found.select(F.col(id_col).alias("id"), "base", "added").mapInArrow(tidied(digests), schema).withColumnRenamed("id", id_col)

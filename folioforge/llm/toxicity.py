@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, rows
+from .common import id_and_text, rows, tidied
 
 MAX_TRAIN = 6000
 GRADES = 4
@@ -152,7 +152,7 @@ def grade_toxicity(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id",
             ]
             yield pa.RecordBatch.from_arrays(arrays, ["id", "expected_severity", "grade", "p_toxic", "toxic"])
 
-    scored = id_and_text(docs, id_col, text_col).mapInArrow(score, "id bigint, expected_severity double, grade int, p_toxic double, toxic boolean")
+    scored = id_and_text(docs, id_col, text_col).mapInArrow(tidied(score), "id bigint, expected_severity double, grade int, p_toxic double, toxic boolean")
     return scored.withColumnRenamed("id", id_col)
 
 
@@ -165,4 +165,4 @@ def drop_toxic(docs: DataFrame, model: OrdinalModel, text_col: str = "text") ->
             texts = batch.column(at).cast(pa.binary()).to_pylist()
             yield batch.filter(pa.array([t is None or model.grades(t)[0] >= 0.5 for t in texts], pa.bool_()))
 
-    return docs.mapInArrow(select, docs.schema)
+    return docs.mapInArrow(tidied(select), docs.schema)

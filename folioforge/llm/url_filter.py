@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidied
+
 #: (host, path, verdict)
 DEFAULT_RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 #: Each alone rejects a URL.
@@ -130,7 +132,7 @@ def judge_urls(
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(out, types))], names)
 
     source = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"))
-    return source.mapInArrow(judge, _OUT).withColumnRenamed("id", id_col)
+    return source.mapInArrow(tidied(judge), _OUT).withColumnRenamed("id", id_col)
 
 
 def _quoted(text: str) -> str:

@@ -62,7 +62,7 @@ def discard(df: DataFrame) -> None:
 
 
 #: Rows that go to a Python worker at once: texts of any length count in full, so few rows bound the buffers on both sides.
-BATCH_ROWS = 1024
+BATCH_ROWS = 256
 
 
 def bound_batches(spark: SparkSession) -> None:
@@ -114,7 +114,7 @@ def tidied(fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -
         try:
             for k, out in enumerate(fn(batches)):
                 yield out
-                if k % 16 == 15:
+                if k % 32 == 31:
                     pa.default_memory_pool().release_unused()
         finally:
             give_back()

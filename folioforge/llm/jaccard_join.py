@@ -38,7 +38,7 @@ LIST_BLOCK = 2048
 _SKIP_BLOCK = 64
 #: Signed hashes below this are the quarter of the range that the first count looks at.
 _PROBE = -(1 << 62)
-_CACHE_WORDS = 100_000
+_CACHE_WORDS = 60_000
 
 
 class _WordHashes(dict):

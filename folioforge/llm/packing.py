@@ -31,7 +31,7 @@ GROUP_PIECES = 8192
 REOPEN_BELOW = 0.98
 #: Emptiest bins tried without success before the local search of a group ends.
 PATIENCE = 10
-_CACHE_WORDS = 100_000
+_CACHE_WORDS = 60_000
 _LONG_WORD = 64
 _MARKS = b".,;:!?*#$%&|"
 

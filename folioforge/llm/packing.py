@@ -7,7 +7,8 @@ fuller one, so that the sum of squared fills grows until bins run empty.
 
 Scale: pieces are dealt by hash into groups of about GROUP_PIECES, each packed by one task, so the
 work grows in proportion to the input and no task grows with it. Bins that a group could not fill
-are opened again and packed across groups in a second pass, which is smaller by orders of magnitude.
+are opened again and packed across groups in further passes, each smaller by orders of magnitude,
+until one group holds all that is loose.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ CAPACITY = 4096
 GROUP_PIECES = 8192
 #: Bins of the first pass that are filled less than this are packed again across groups.
 REOPEN_BELOW = 0.98
+#: Passes over what earlier passes left loose; each is smaller than the one before by the pieces in a group.
+_MOST_PASSES = 8
 #: Emptiest bins tried without success before the local search of a group ends.
 PATIENCE = 10
 _CACHE_WORDS = 60_000
@@ -146,15 +149,16 @@ def _gift(source: list[int], target: list[int], room: int, size: Callable[[int],
             k = bisect.bisect_left(sizes, both - room)
             if k < len(sizes) and best[0] < both - sizes[k]:
                 best = (both - sizes[k], [i, i2], [theirs[k]])
-        high = len(sizes) - 1
-        for low in range(len(sizes)):
-            while high > low and sizes[low] + sizes[high] >= a - room and sizes[low] + sizes[high - 1] >= a - room:
-                high -= 1
-            if high <= low:
-                break
+        # Two of theirs for one: the lightest pair that leaves the target within its room.
+        low, high = 0, len(sizes) - 1
+        while low < high:
             gain = a - sizes[low] - sizes[high]
-            if best[0] < gain <= room:
-                best = (gain, [i], [theirs[low], theirs[high]])
+            if gain > room:
+                low += 1
+            else:
+                if best[0] < gain:
+                    best = (gain, [i], [theirs[low], theirs[high]])
+                high -= 1
     return best
 
 
@@ -248,10 +252,19 @@ def pack_documents(
     """
     made = id_and_text(docs, id_col, text_col).mapInArrow(tidied(_tokenised(tokenizer_path, end_id, capacity)), _PIECES)
     pieces = materialise(made, "pieces")
-    first = materialise(_pass(pieces, pieces.count(), capacity, 0, group_pieces), "packed")
-    loose = first.where(F.col("fill") < int(capacity * REOPEN_BELOW)).drop("sequence_id", "offset", "fill")
-    again = _pass(loose, loose.count(), capacity, 1 << 62, group_pieces)
-    packed = first.where(F.col("fill") >= int(capacity * REOPEN_BELOW)).unionByName(again)
+    cut = int(capacity * REOPEN_BELOW)
+    todo, n, done = pieces, pieces.count(), None
+    for level in range(_MOST_PASSES):
+        out = materialise(_pass(todo, n, capacity, level << 56, group_pieces), "packed")
+        loose = out.where(F.col("fill") < cut)
+        left = loose.count() if n > group_pieces else 0
+        if left == 0 or 2 * left > n or level == _MOST_PASSES - 1:
+            # One group saw all that was loose, or opening bins again no longer helps.
+            packed = out if done is None else done.unionByName(out)
+            break
+        full = out.where(F.col("fill") >= cut)
+        done = full if done is None else done.unionByName(full)
+        todo, n = loose.drop("sequence_id", "offset", "fill"), left
     return packed.select(
         F.col("id").alias(id_col), "piece", "start", "length", F.col("crc").alias("ids_crc32"), "sequence_id", "offset"
     )

@@ -96,7 +96,7 @@ def fit(texts: list[bytes], toxic: list[int], lexicon_size: int = _LEXICON) -> O
     for t, y in zip(texts, toxic):
         if y:
             in1.update(text_features(t))
-    in1 = Counter({f: a for f, a in in1.items() if a >= 4})
+    in1 = Counter({f: a for f, a in in1.items() if a >= 3})
     in0: Counter = Counter()
     for t, y in zip(texts, toxic):
         if not y:
@@ -106,7 +106,7 @@ def fit(texts: list[bytes], toxic: list[int], lexicon_size: int = _LEXICON) -> O
         p1, p0 = (a + 0.5) / (n1 + 1), (in0[f] + 0.5) / (n0 + 1)
         pooled = (a + in0[f]) / (n1 + n0)
         z = (a / n1 - in0[f] / n0) / math.sqrt(max(1e-12, pooled * (1 - pooled) * (1 / n1 + 1 / n0)))
-        if z > 5 and p1 > 4 * p0:
+        if z > 4 and p1 > 4 * p0:
             odds[f] = (z, math.log(p1 / p0))
     chosen = sorted(odds, key=lambda f: (-odds[f][0], f))[:lexicon_size]
     column = {f: k for k, f in enumerate(chosen)}

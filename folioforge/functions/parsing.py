@@ -24,7 +24,8 @@ def json_from_text(c: Column, schema: str) -> Column:
 
 def clamped_score(c: Column) -> Column:
     """A model's score as a whole number from 1 to 10."""
-    return F.greatest(F.lit(1), F.least(F.lit(10), c.try_cast("double").cast("int")))
+    value = c.try_cast("double").cast("int")
+    return F.when(value.isNotNull(), F.greatest(F.lit(1), F.least(F.lit(10), value)))
 
 
 def numbered_items(c: Column, prefix: str = r"\n\d+[.)]\s+", most: int = 4) -> Column:

@@ -16,6 +16,7 @@ from folioforge.functions import text as T
 from folioforge.operators import glossary as G
 from folioforge.operators import knowledge, layout, paragraphs, render, scoring
 from folioforge.plans.model import ModelClient, call
+from folioforge.plans.stages import Persist, tables
 
 
 @dataclass(frozen=True)
@@ -67,20 +68,20 @@ def sections_of(pages: DataFrame, end_page: int | None = None) -> DataFrame:
     return unique.select(*pick).unionByName(lone.select(*pick)).withColumn("key", F.concat_ws("/", "doc_id", "section_id"))
 
 
-def translate(sections: DataFrame, glossary: DataFrame, client: ModelClient, config: BookConfig) -> DataFrame:
+def translate(sections: DataFrame, glossary: DataFrame, client: ModelClient, config: BookConfig, persist: Persist) -> DataFrame:
     """Adds title_translated, content_translated, translation_error: chunk by chunk, cleaned, joined in order."""
     chunks = paragraphs.chunks(sections, "key", "content", "\n\n", config.chunk).withColumn("cid", F.concat_ws("#", "key", F.lpad(F.col("chunk_idx").cast("string"), 6, "0")))
     titles = sections.select("key", F.lit(-1).alias("chunk_idx"), F.col("title").alias("chunk"), F.concat_ws("#", "key", F.lit("title")).alias("cid"))
     parts = chunks.select("key", "chunk_idx", "chunk", "cid").unionByName(titles)
     hinted = parts.join(G.hints(parts, glossary, "cid", "chunk").select("cid", "hint"), "cid", "left")
     asked = F.when(T.is_blank(F.col("chunk")), "").otherwise(fill(config.prompts.translate, hint=F.col("hint"), text=F.col("chunk")))
-    answers = call(hinted, "cid", asked, client)
+    answers = persist(call(hinted, "cid", asked, client), "answers")
     cleaned = paragraphs.clean_translated(answers, "cid", "answer").join(answers.select("cid", "error"), "cid")
     if config.polish:
-        second = call(cleaned, "cid", fill(config.prompts.polish, text=F.col("text")), client).withColumnRenamed("error", "polish_error")
+        second = persist(call(cleaned, "cid", fill(config.prompts.polish, text=F.col("text")), client), "polished").withColumnRenamed("error", "polish_error")
         joined = cleaned.join(second, "cid")
         cleaned = joined.withColumn("text", T.accept_polish(F.col("text"), T.py_strip(F.coalesce("answer", F.lit(""))), F.col("polish_error"))).drop("answer", "polish_error")
-    done = parts.select("key", "chunk_idx", "cid").join(cleaned, "cid")
+    done = persist(parts.select("key", "chunk_idx", "cid").join(cleaned, "cid"), "chunks")
     body = paragraphs.implode(done.where("chunk_idx >= 0"), "key", "chunk_idx", "text", "\n\n", "content_translated")
     title = done.where("chunk_idx < 0").select("key", F.col("text").alias("title_translated"))
     errors = done.where("error is not null").groupBy("key").agg(F.min("error").alias("translation_error"))
@@ -93,17 +94,18 @@ def claims_of(sections: DataFrame, client: ModelClient, config: BookConfig) -> D
     return answers.select("key", F.posexplode(parsing.claims(F.col("answer"))).alias("claim_idx", "claim"))
 
 
-def verify(sections: DataFrame, glossary: DataFrame, kb: DataFrame, claims: DataFrame, client: ModelClient, config: BookConfig) -> tuple[DataFrame, DataFrame]:
+def verify(sections: DataFrame, glossary: DataFrame, kb: DataFrame, claims: DataFrame, client: ModelClient, config: BookConfig, persist: Persist) -> tuple[DataFrame, DataFrame]:
     """(sections with repaired texts, module scores in long form). Modules that are off count as skipped."""
     on = set(config.verify)
     blank = (F.coalesce("content", F.lit("")) == "") | (F.coalesce("content_translated", F.lit("")) == "")
     checked = sections.withColumns({"formula": mathtok.check(F.coalesce("content", F.lit("")), F.coalesce("content_translated", F.lit(""))), "skipped": blank})
+    checked = persist(checked, "formulas")
     scores = checked.select("key", F.lit("formula").alias("module"), F.col("formula.score").alias("score"), F.size("formula.missing").alias("n_issues"), "skipped")
     if "formula" in on:
         checked = checked.withColumn("content_translated", F.when(F.col("skipped"), F.col("content_translated")).otherwise(F.col("formula.fixed_text")))
     else:
         scores = scores.withColumns({"score": F.lit(100), "skipped": F.lit(True)})
-    fixed = checked.drop("formula")
+    fixed = persist(checked.drop("formula"), "fixed")
     base = fixed.select("key", "skipped")
     n_claims = claims.groupBy("key").agg(F.count(F.lit(1)).alias("n_claims"))
 
@@ -149,12 +151,13 @@ def verify(sections: DataFrame, glossary: DataFrame, kb: DataFrame, claims: Data
     return fixed.drop("skipped"), scores
 
 
-def enrich(sections: DataFrame, kb: DataFrame, client: ModelClient, config: BookConfig, least: int = 100, most: int = 6) -> DataFrame:
+def enrich(sections: DataFrame, kb: DataFrame, client: ModelClient, config: BookConfig, persist: Persist, least: int = 100, most: int = 6) -> DataFrame:
     """Adds enrichments: concepts found in the knowledge table, explained and titled. Short sections get none."""
     long = sections.where(F.length("content") >= least)
     answers = call(long, "key", fill(config.prompts.concepts, text=F.left(F.col("content"), F.lit(2500))), client)
     terms = answers.select("key", F.posexplode(F.slice(parsing.concepts(F.col("answer")), 1, most)).alias("i", "term")).withColumn("cid", F.concat_ws("#", "key", F.col("i").cast("string")))
-    known = knowledge.lookup(terms, kb, "cid", "term").where("title is not null")
+    terms = persist(terms, "concepts")
+    known = persist(knowledge.lookup(terms, kb, "cid", "term").where("title is not null"), "known")
     told = call(known, "cid", fill(config.prompts.explain, term=F.col("term"), text=F.left(F.col("extract"), F.lit(1500))), client)
     named = call(known, "cid", fill(config.prompts.title, term=F.col("term")), client).select("cid", F.col("answer").alias("name"))
     rows = known.join(told.where(F.length("answer") >= 30), "cid").join(named, "cid").join(terms.select("cid", "key", "i"), "cid")
@@ -163,12 +166,13 @@ def enrich(sections: DataFrame, kb: DataFrame, client: ModelClient, config: Book
     return sections.join(packed, "key", "left")
 
 
-def supplement(sections: DataFrame, client: ModelClient, config: BookConfig, least: int = 100) -> DataFrame:
+def supplement(sections: DataFrame, client: ModelClient, config: BookConfig, persist: Persist, least: int = 100) -> DataFrame:
     """Adds supplements: summary over 30 characters, balanced diagram, numbered examples and exercises, solutions, glossary pairs."""
     p, text = config.prompts, F.left(F.coalesce("content_translated", F.lit("")), F.lit(3000))
     long = sections.where(F.length("content_translated") >= least).select("key", text.alias("text"))
     out = long.select("key")
     exercises = call(long, "key", fill(p.exercises, text=F.col("text")), client).select("key", parsing.numbered_items(F.concat(F.lit("\n"), F.col("answer"))).alias("exercises"))
+    exercises = persist(exercises, "exercises")
     made = {
         "summary": (p.summary, lambda a: F.when(F.length(T.clean_output(a)) > 30, T.clean_output(a))),
         "tikz_diagram": (p.diagram, lambda a: F.nullif(parsing.diagram(a), F.lit(""))),
@@ -192,24 +196,24 @@ def supplement_summary(sections: DataFrame) -> DataFrame:
     return sections.select("key", size(s["examples"]).alias("n_examples"), size(s["exercises"]).alias("n_exercises"), size(s["glossary"]).alias("n_terms"), F.coalesce(F.length(s["summary"]), F.lit(0)).alias("summary_chars"), kinds.alias("kinds"))
 
 
-def run(pages: DataFrame, glossary: DataFrame, kb: DataFrame, client: ModelClient, config: BookConfig | None = None, preamble: str = "", persist=lambda df, name: df) -> DataFrame:
-    """(doc_id, tex): one document per book. persist(df, name) may write and reread each stage's table."""
-    config = config or BookConfig()
+def run(pages: DataFrame, glossary: DataFrame, kb: DataFrame, client: ModelClient, config: BookConfig | None = None, preamble: str = "", persist: Persist | None = None) -> DataFrame:
+    """(doc_id, tex): one document per book. persist(df, name) writes and rereads each stage's table; the default is stages.tables()."""
+    config, persist = config or BookConfig(), persist or tables(pages.sparkSession)
     out = persist(sections_of(pages), "sections")
     if config.translate:
-        out = persist(translate(out, glossary, client, config), "translated")
+        out = persist(translate(out, glossary, client, config, persist), "translated")
     else:
         out = out.withColumns({"title_translated": F.lit(None).cast("string"), "content_translated": F.col("content")})
     if config.verify:
         claims = persist(claims_of(out, client, config), "claims")
-        out, modules = verify(out, glossary, kb, claims, client, config)
+        out, modules = verify(out, glossary, kb, claims, client, config, persist)
         modules = persist(modules, "modules")
         totals = scoring.overall(modules, "key").join(scoring.report_line(modules, "key"), "key", "left")
         out = persist(out.join(totals, "key", "left"), "verified")
     if config.enrich:
-        out = persist(enrich(out, kb, client, config), "enriched")
+        out = persist(enrich(out, kb, client, config, persist), "enriched")
     if config.supplements:
-        out = persist(supplement(out, client, config), "supplemented")
+        out = persist(supplement(out, client, config, persist), "supplemented")
     rows = render.section(out.withColumnRenamed("title", "title_original").withColumn("section_id", F.col("key")))
     named = rows.select(F.substring_index("section_id", "/", 1).alias("doc_id"), F.substring_index("section_id", "/", -1).alias("section_id"), "tex")
     return render.document(named, ["doc_id"], preamble)

@@ -11,6 +11,7 @@ from folioforge.operators import glossary as G
 from folioforge.operators import render
 from folioforge.plans.book import fill
 from folioforge.plans.model import ModelClient, call
+from folioforge.plans.stages import Persist, tables
 from folioforge.sources.html import Selectors, content_items
 
 TRANSLATE = "Translate, keeping formulas as they are.\n{hint}\n\n{text}"
@@ -44,8 +45,9 @@ def enrich(items: DataFrame, client: ModelClient, template: str = CATEGORY) -> D
     return items.join(parsed.select("iid", box.alias("box_type"), sub.alias("sub_items")), "iid", "left")
 
 
-def run(pages: DataFrame, id_col: str, html_col: str, glossary: DataFrame, manifest: DataFrame, client: ModelClient, selectors: Selectors | None = None, preamble: str = "", persist=lambda df, name: df) -> DataFrame:
-    """(chapter_id, tex)."""
+def run(pages: DataFrame, id_col: str, html_col: str, glossary: DataFrame, manifest: DataFrame, client: ModelClient, selectors: Selectors | None = None, preamble: str = "", persist: Persist | None = None) -> DataFrame:
+    """(chapter_id, tex). persist is as in the book plan."""
+    persist = persist or tables(pages.sparkSession)
     items = persist(items_of(pages, id_col, html_col, selectors), "items")
     items = persist(translate(items, glossary, client), "translated")
     items = persist(enrich(items, client), "enriched")

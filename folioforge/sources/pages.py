@@ -29,7 +29,7 @@ class PageReader(DataSourceReader):
 
     def pushFilters(self, filters: list[Filter]):
         for f in filters:
-            if getattr(f, "attribute", None) == ("page",) and isinstance(f.value, int):
+            if getattr(f, "attribute", None) == ("page",) and isinstance(getattr(f, "value", None), int):
                 if isinstance(f, (GreaterThanOrEqual, EqualTo)):
                     self.low = max(self.low, f.value)
                 if isinstance(f, GreaterThan):
@@ -71,6 +71,7 @@ def read_paginated(spark: SparkSession, paths: list[str], extractor: str) -> Dat
 
     from folioforge.operators.layout import PAGE_SCHEMA
 
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(PageSource)
     rows = spark.read.format("paginated").options(paths=json.dumps(paths), extractor=extractor).load()
     inner = PAGE_SCHEMA.split(", ", 2)[2]

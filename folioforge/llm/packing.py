@@ -235,6 +235,18 @@ def _pass(pieces: DataFrame, n: int, capacity: int, base: int, group_pieces: int
     return dealt.groupBy("grp").applyInArrow(_pack_group(capacity, base), _PACKED)
 
 
+def _merged(loose: DataFrame, capacity: int, base: int, group_pieces: int) -> DataFrame:
+    """Packs the bins of loose as units: their pieces move along, each bin behind the one before it."""
+    units = loose.groupBy(F.col("sequence_id").alias("row")).agg(F.first("fill").alias("length"))
+    none = {"id": F.lit(None).cast("bigint"), "piece": F.lit(0), "start": F.lit(0).cast("bigint"), "crc": F.lit(0).cast("bigint")}
+    units = materialise(units.withColumns(none).select("row", "id", "piece", "start", "length", "crc"), "units")
+    placed = _pass(units, units.count(), capacity, base, group_pieces)
+    places = placed.select(F.col("row").alias("sequence_id"), F.col("sequence_id").alias("_to"), F.col("offset").alias("_from"), F.col("fill").alias("_fill"))
+    moved = loose.drop("fill").join(places, "sequence_id")
+    columns = [F.col("_to").alias("sequence_id"), (F.col("offset") + F.col("_from")).alias("offset"), F.col("_fill").alias("fill")]
+    return moved.select("row", "id", "piece", "start", "length", "crc", *columns)
+
+
 def pack_documents(
     docs: DataFrame,
     tokenizer_path: str,
@@ -258,10 +270,14 @@ def pack_documents(
         out = materialise(_pass(todo, n, capacity, level << 56, group_pieces), "packed")
         loose = out.where(F.col("fill") < cut)
         left = loose.count() if n > group_pieces else 0
-        if left == 0 or 2 * left > n or level == _MOST_PASSES - 1:
-            # One group saw all that was loose, or opening bins again no longer helps.
+        if left == 0:  # one group saw all that was loose
             packed = out if done is None else done.unionByName(out)
             break
+        if 2 * left > n or level == _MOST_PASSES - 1:
+            # Opening bins again no longer helps: so many pieces are so short. Whole loose bins are packed like pieces.
+            kept = out.where(F.col("fill") >= cut)
+            packed = (kept if done is None else done.unionByName(kept)).unionByName(_merged(loose, capacity, (level + 1) << 56, group_pieces))
+            break
         full = out.where(F.col("fill") >= cut)
         done = full if done is None else done.unionByName(full)
         todo, n = loose.drop("sequence_id", "offset", "fill"), left

@@ -33,8 +33,8 @@ def sanitise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces with their places in training sequences."""
-    return packing.pack_documents(docs, tokenizer_path("word_bpe_49k.json"))
+    """Pieces with their places in training sequences; a small word cache, as the executors still hold earlier stages' memory."""
+    return packing.pack_documents(docs, tokenizer_path("word_bpe_49k.json"), cache_words=60_000)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

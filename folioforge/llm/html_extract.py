@@ -303,7 +303,7 @@ def _edges(odds: np.ndarray) -> np.ndarray:
     return np.stack([-np.logaddexp(0, odds), -np.logaddexp(0, -odds)], axis=2)
 
 
-def train(pages: int = 900, steps: int = 300, seed: int = 7) -> dict[str, np.ndarray]:
+def train(pages: int = 500, steps: int = 200, seed: int = 7) -> dict[str, np.ndarray]:
     """Weights by maximum likelihood (with a small L2 penalty) over labelled pages."""
     trees = [parse(p) for p in labelled_pages(pages, seed)]
     label = np.array([y for t in trees for y in _labels(t)])

@@ -10,14 +10,14 @@ from __future__ import annotations
 import random
 
 _NAMES = {
-    "header": ["header", "masthead", "site-header", "topbar", "branding", "page-header", "banner-top"],
-    "nav": ["nav", "menu", "navbar", "main-menu", "breadcrumbs", "navigation", "pagination", "toc-links", "tabs"],
-    "notice": ["notice", "cookie-notice", "cookie-banner", "consent", "alert", "gdpr", "message-bar", "warning", "disclaimer"],
-    "ad": ["ad", "ads", "advert", "advertisement", "ad-slot", "sponsored", "promo", "banner", "adsense", "sponsor-box"],
-    "aside": ["sidebar", "side", "widget", "related", "related-posts", "recommended", "popular", "share", "social-links", "author-box", "tags"],
-    "form": ["search-form", "newsletter", "subscribe", "login", "signup", "contact-form"],
-    "comments": ["comments", "comment-list", "comment", "disqus", "responses", "reader-comments", "replies", "discussion"],
-    "footer": ["footer", "site-footer", "bottom", "copyright", "legal", "colophon"],
+    "header": ["hero-logo", "top-bar", "header", "masthead", "site-header", "topbar", "branding", "page-header", "banner-top"],
+    "nav": ["topnav", "subnav", "skip-link", "breadcrumb", "pager", "toc", "nav", "menu", "navbar", "main-menu", "breadcrumbs", "navigation", "pagination", "toc-links", "tabs"],
+    "notice": ["cookie", "privacy-popup", "modal", "overlay", "paywall", "notification", "notice", "cookie-notice", "cookie-banner", "consent", "alert", "gdpr", "message-bar", "warning", "disclaimer"],
+    "ad": ["advertising", "sponsor", "adv", "ad-container", "promotion", "banner-ad", "ad", "ads", "advert", "advertisement", "ad-slot", "sponsored", "promo", "banner", "adsense", "sponsor-box"],
+    "aside": ["complementary", "rail", "trending", "most-read", "sidebar-right", "see-also", "sharing", "aside", "sidebar", "side", "widget", "related", "related-posts", "recommended", "popular", "share", "social-links", "author-box", "tags"],
+    "form": ["search", "searchbox", "form", "feedback-form", "search-form", "newsletter", "subscribe", "login", "signup", "contact-form"],
+    "comments": ["commentlist", "comment-section", "user-comments", "comment-thread", "comments", "comment-list", "comment", "disqus", "responses", "reader-comments", "replies", "discussion"],
+    "footer": ["contentinfo", "foot", "site-info", "bottom-bar", "footer", "site-footer", "bottom", "copyright", "legal", "colophon"],
 }
 _TAGS = {"header": "header", "nav": "nav", "aside": "aside", "form": "form", "footer": "footer"}
 _BODY = ["content", "article", "post", "entry-content", "article-body", "main-content", "story", "post-body", "text", "entry", "body-text"]

@@ -34,7 +34,7 @@ from .graph import components
 
 SHINGLE = 4
 PERCENT = 85
-LIST_BLOCK = 2048
+LIST_BLOCK = 512
 _SKIP_BLOCK = 64
 #: Signed hashes below this are the quarter of the range that the first count looks at.
 _PROBE = -(1 << 62)

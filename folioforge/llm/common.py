@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 
 _own_dirs: dict[str, str] = {}
+_written: dict[str, SparkSession] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -49,16 +50,30 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stage_path = path
+    if not _written:
+        atexit.register(_clear)
+    _written[path] = spark
     return out
 
 
 def discard(df: DataFrame) -> None:
+    """Deletes the table that materialise() wrote for df; any other DataFrame is left alone."""
     path = getattr(df, "_stage_path", None)
     if path:
-        spark = df.sparkSession
-        jvm = spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        _delete(df.sparkSession, path)
+        _written.pop(path, None)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def _clear() -> None:
+    """At the driver's end: results are lazy and read their tables until then."""
+    for path, spark in _written.items():
+        if spark.sparkContext._jsc is not None:
+            _delete(spark, path)
 
 
 #: Rows that go to a Python worker at once: texts of any length count in full, so few rows bound the buffers on both sides.

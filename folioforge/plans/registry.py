@@ -615,3 +615,159 @@ def regional_cube(spark, sf_dir):
     buyers = t["customer"].join(here, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "n_name", "c_mktsegment")
     rows = t["orders"].select("o_custkey", "o_totalprice").join(buyers, F.col("o_custkey") == F.col("c_custkey"))
     return rows.cube("n_name", "c_mktsegment").agg(F.count(F.lit(1)).alias("n_orders"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+
+
+# --- Layout on pages made of conversations and order lines ---------------------------------------
+def _made_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """layout.PAGE_SCHEMA rows: a turn is a page, its lines are blocks of one line, the parts between commas its spans; some blocks stand apart."""
+    spans = lambda x: F.transform(F.split(x, ", ", -1), lambda s: F.struct(s.alias("text"), F.lit("Body-Bold").alias("font"), F.lit(8.0).alias("size")))
+
+    def block(x, i):
+        y0 = (i * 20 + (i % 3) * 5).cast("double")
+        box = F.struct(F.lit(0.0).alias("x0"), y0.alias("y0"), F.lit(1.0).alias("x1"), (y0 + 10).alias("y1"))
+        return F.struct(F.when(i % 5 == 4, 1).otherwise(0).alias("type"), box.alias("bbox"), F.array(F.struct(spans(x).alias("spans"))).alias("lines"))
+
+    lines = F.split(F.replace("text", F.lit("a, "), F.lit("a,  , ")), "\n", -1)
+    image = F.struct(F.lit("png").alias("ext"), F.lit(None).cast("struct<x:double,y:double,width:double,height:double>").alias("position"))
+    shown = F.transform(F.sequence(F.lit(1), (F.col("turn") % 3 + 1).cast("int")), lambda _: image)
+    return table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").cast("int").alias("page"), F.transform(lines, block).alias("blocks"), shown.alias("images"))
+
+
+@query(r"""WITH b AS (SELECT conv_id, turn, i - 1 AS i, parts[i] AS x FROM (SELECT conv_id, turn, parts, unnest(range(1, len(parts) + 1)) AS i FROM (SELECT conv_id, turn, string_split(replace(text, 'a, ', 'a,  , '), chr(10)) AS parts FROM conversations))),
+    t AS (SELECT conv_id, turn, i, list_filter(string_split(x, ', '), lambda s: trim(s) <> '') AS s, i * 20 + (i % 3) * 5 AS y0 FROM b WHERE i % 5 <> 4),
+    g AS (SELECT *, y0 - lag(y0 + 10) OVER (PARTITION BY conv_id, turn ORDER BY i) > 12 AS apart FROM t),
+    l AS (SELECT conv_id, turn, i, 0 AS k, '' AS line FROM g WHERE apart UNION ALL SELECT conv_id, turn, i, 1, regexp_replace(array_to_string(s, ' '), '  +', ' ', 'g') FROM g WHERE len(s) > 0)
+    SELECT conv_id, turn, md5(string_agg(line, chr(10) ORDER BY i, k)) AS text_md5 FROM l GROUP BY conv_id, turn""")
+def page_text_layout(spark, sf_dir):
+    out = layout.page_text(_made_pages(spark, sf_dir))
+    return out.select(F.col("doc_id").alias("conv_id"), F.col("page").cast("bigint").alias("turn"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+@query("""WITH i AS (SELECT conv_id, turn, unnest(range(1, turn % 3 + 2)) AS k FROM conversations) SELECT conv_id, turn, 'page_' || (turn + 1) || '_img_' || k || '.png' AS filename FROM i""")
+def image_records(spark, sf_dir):
+    return layout.images(_made_pages(spark, sf_dir)).select(F.col("doc_id").alias("conv_id"), F.col("page").cast("bigint").alias("turn"), "filename")
+
+
+@query(r"""WITH s AS (SELECT l_orderkey AS page, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS place_, CASE WHEN l_partkey % 3 = 0 THEN 'Title ' || l_partkey WHEN l_partkey % 3 = 1 THEN (l_partkey % 9) || '.' || l_suppkey ELSE (l_partkey % 9)::VARCHAR END AS text,
+        l_returnflag <> 'N' AS bold, 7.5 + (l_suppkey % 4) * 0.5 AS size FROM lineitem),
+    n AS (SELECT *, coalesce(bold AND size >= 8 AND regexp_full_match(text, '\d+(?:\.\d+)*') AND lead(bold) OVER w AND abs(lead(size) OVER w - size) < 1, false) AS hit, lead(text) OVER w AS title FROM s WINDOW w AS (PARTITION BY page ORDER BY place_)),
+    r AS (SELECT *, sum((NOT hit)::INT) OVER (PARTITION BY page ORDER BY place_ ROWS UNBOUNDED PRECEDING) AS run FROM n),
+    p AS (SELECT *, sum(hit::INT) OVER (PARTITION BY page, run ORDER BY place_ ROWS UNBOUNDED PRECEDING) AS place FROM r)
+    SELECT page, text AS section_id, title, size::DOUBLE AS font_size FROM p WHERE hit AND place % 2 = 1 QUALIFY row_number() OVER (PARTITION BY page ORDER BY place_) = 1""")
+def first_headers(spark, sf_dir):
+    k = F.col("l_partkey")
+    number = (k % 9).cast("string")
+    text = F.when(k % 3 == 0, F.concat(F.lit("Title "), k.cast("string"))).when(k % 3 == 1, F.concat(number, F.lit("."), F.col("l_suppkey").cast("string"))).otherwise(number)
+    spans = table(spark, sf_dir, "lineitem").select(
+        F.lit("book").alias("doc_id"), F.col("l_orderkey").alias("page"), F.col("l_linenumber").alias("block_idx"), k.alias("line_idx"), F.lit(0).alias("span_idx"),
+        text.alias("text"), (7.5 + (F.col("l_suppkey") % 4) * 0.5).alias("size"), (F.col("l_returnflag") != "N").alias("bold"),
+    )
+    return layout.first_header(layout.headers(spans)).select("page", "section_id", "title", "font_size")
+
+
+# --- Cleaning of decorated texts ---------------------------------------------------------------
+_MARKED = "'**' || coalesce(text, '') || '** 漢字カナ *x* <b>y</b> a<sup>2</sup>b<sub>i</sub>' || chr(10) || 'Note: nothing' || chr(10) || chr(10) || '- item' || chr(10) || ' ## head ' || chr(10) || chr(10) || repeat('same words in one paragraph ', 2) || '한국어' || chr(10) || chr(10) || repeat('same words in one paragraph ', 2) || '한국말' || chr(10) || chr(10) || repeat('english ', 15)"
+
+
+def _marked():
+    same, lines = "same words in one paragraph " * 2, "** 漢字カナ *x* <b>y</b> a<sup>2</sup>b<sub>i</sub>\nNote: nothing\n\n- item\n ## head \n\n"
+    return F.concat(F.lit("**"), F.coalesce("text", F.lit("")), F.lit(f"{lines}{same}한국어\n\n{same}한국말\n\n{'english ' * 15}"))
+
+
+_EMPHASIS = r"regexp_replace(regexp_replace({0}, '\*\*(.+?)\*\*', '\1', 'g'), '\*(.+?)\*', '\1', 'g')"
+_MARKERS = r"regexp_replace(regexp_replace({0}, '(?m)^\s*[*\-]\s+', '', 'g'), '(?m)^\s*#+\s+', '', 'g')"
+_TO_TEX = r"regexp_replace(regexp_replace({0}, '<sup>(.*?)</sup>', '^{{\1}}', 'g'), '<sub>(.*?)</sub>', '_{{\1}}', 'g')"
+_EAST = r"regexp_replace({0}, '[\x{{4e00}}-\x{{9fff}}\x{{3400}}-\x{{4dbf}}\x{{3040}}-\x{{309f}}\x{{30a0}}-\x{{30ff}}]', '', 'g')"
+_COMMENTS = rf"regexp_replace({{0}}, '(?:{'|'.join(T.TRANSLATION_COMMENTS).replace(chr(39), chr(39) * 2)}).*?\n', '', 'g')"
+
+
+@query(rf"""SELECT doc_id, md5({_EAST.format(_MARKED)}) AS east, md5({_COMMENTS.format(_MARKED)}) AS comments, md5({_EMPHASIS.format(_MARKED)}) AS emphasis, md5({_MARKERS.format(_MARKED)}) AS markers,
+    md5({_TO_TEX.format(_MARKED)}) AS tex, md5(regexp_replace(regexp_replace({_MARKED}, '([\x{{ac00}}-\x{{d7af}}\x{{4e00}}-\x{{9fff}}\x{{3400}}-\x{{4dbf}}])([a-zA-Z0-9])', '\1 \2', 'g'), '([a-zA-Z0-9])([\x{{ac00}}-\x{{d7af}}\x{{4e00}}-\x{{9fff}}\x{{3400}}-\x{{4dbf}}])', '\1 \2', 'g')) AS spaced FROM documents""")
+def markup_cleaning(spark, sf_dir):
+    c, digest = F.col("c"), lambda x: F.md5(x.cast("binary"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", _marked().alias("c"))
+    return rows.select(
+        "doc_id", digest(T.strip_east_asian(c)).alias("east"), digest(T.strip_comment_lines(c)).alias("comments"), digest(T.strip_emphasis(c)).alias("emphasis"),
+        digest(T.strip_headers(T.strip_bullets(c))).alias("markers"), digest(T.scripts_to_tex(c)).alias("tex"), digest(render.space_scripts(c)).alias("spaced"),
+    )
+
+
+_CHAIN = _COMMENTS.format(_EAST.format(_MARKED))
+_CHAIN = "regexp_replace(" + _TO_TEX.format(_MARKERS.format(_EMPHASIS.format(_CHAIN))) + ", '<[^>]+>', '', 'g')"
+
+
+@query(rf"""WITH c AS (SELECT doc_id, string_split({_CHAIN}, chr(10) || chr(10)) AS parts FROM documents), u AS (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS i FROM c),
+    p AS (SELECT doc_id, i, {STRIP.format("parts[i]")} AS para FROM u),
+    f AS (SELECT *, len(regexp_extract_all(para, '[\x{{ac00}}-\x{{d7af}}]')) AS h, len(regexp_extract_all(para, '[a-zA-Z]')) AS l FROM p WHERE para <> ''),
+    k AS (SELECT doc_id, i, para, row_number() OVER (PARTITION BY doc_id, left(para, 30) ORDER BY i) AS rn FROM f WHERE NOT (h + l > 0 AND h::DOUBLE / greatest(h + l, 1) < 0.15 AND length(para) > 100)),
+    j AS (SELECT doc_id, string_agg(para, chr(10) || chr(10) ORDER BY i) AS t FROM k WHERE rn = 1 OR length(para) <= 30 GROUP BY doc_id)
+    SELECT doc_id, md5({STRIP.format(collapse_sql("coalesce(t, '')"))}) AS text_md5 FROM documents LEFT JOIN j USING (doc_id)""")
+def translation_cleaning(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("doc_id", _marked().alias("text"))
+    return paragraphs.clean_translated(rows, "doc_id", "text").select("doc_id", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+@query(rf"""WITH a AS (SELECT conv_id, turn, '<think>' || left(text, 9) || '</think>Here is it' || chr(10) || '"' || left(text, (turn % 4)::INT) || '"' || chr(10) || text AS t FROM conversations), b AS (SELECT *, regexp_replace(t, '(?s)<think>.*?</think>', '', 'g') AS s FROM a),
+    c AS (SELECT *, {STRIP.format("regexp_replace(s, '(?:Here is|Below is|다음은|아래는).*?\n', '', 'g')")} AS e FROM b), d AS (SELECT *, trim(string_split(e, chr(10))[1], '"''') AS n FROM c)
+    SELECT conv_id, turn, md5(e) AS explanation_md5, CASE WHEN length(n) < 2 THEN 'term' ELSE n END AS title FROM d""")
+def answer_cleaning(spark, sf_dir):
+    made = F.concat(F.lit("<think>"), F.left("text", F.lit(9)), F.lit('</think>Here is it\n"'), F.left(F.col("text"), (F.col("turn") % 4).cast("int")), F.lit('"\n'), F.col("text"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", T.clean_explanation(T.strip_think(made)).alias("e"))
+    return rows.select("conv_id", "turn", F.md5(F.col("e").cast("binary")).alias("explanation_md5"), T.concept_title(F.col("e"), F.lit("term")).alias("title"))
+
+
+@query(rf"""WITH l AS (SELECT conv_id, turn, list_filter(list_transform(string_split({STRIP.format("replace(text, ', ', chr(10) || '- ')")}, chr(10)),
+        lambda x: trim(regexp_replace(regexp_replace({STRIP.format("x")}, '^\d+[.)]\s*', ''), '^[-*]\s*', ''), '"''')), lambda x: length(x) BETWEEN 3 AND 79)[1:8] AS c FROM conversations), i AS (SELECT *, unnest(range(1, len(c) + 1)) AS i FROM l)
+    SELECT conv_id, turn, (i - 1)::BIGINT AS idx, c[i] AS concept FROM i""")
+def concept_lines(spark, sf_dir):
+    made = F.replace("text", F.lit(", "), F.lit("\n- "))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(parsing.concepts(made)).alias("idx", "concept")).select("conv_id", "turn", *big("idx"), "concept")
+
+
+# --- Rendering and scores ----------------------------------------------------------------------
+@query(rf"""WITH {_OVERALL}, l AS (SELECT doc_id, string_agg(label || ' ' || score || CASE WHEN n_issues > 0 THEN ' (' || n_issues || '건)' ELSE '' END, ' \quad ' ORDER BY r) AS line FROM s WHERE NOT skipped GROUP BY doc_id)
+    SELECT doc_id, '\begin{{verificationbox}}' || chr(10) || '\textbf{{종합 점수: ' || score || '/100 (' || {_BAND} || ')}} \\[2pt]' || chr(10) || '{{\small ' || coalesce(line, '') || '}}' || chr(10) || '\end{{verificationbox}}' AS tex FROM o LEFT JOIN l USING (doc_id)""")
+def verification_boxes(spark, sf_dir):
+    modules = _module_rows(spark, sf_dir)
+    rows = scoring.overall(modules, "doc_id").join(scoring.report_line(modules, "doc_id"), "doc_id", "left")
+    return rows.select("doc_id", render.verification_box(F.col("score"), F.col("band"), F.col("line")).alias("tex"))
+
+
+@query(f"WITH {_OVERALL} SELECT doc_id, score::BIGINT AS score FROM o WHERE score < 60")
+def low_scores(spark, sf_dir):
+    return scoring.low_sections(scoring.overall(_module_rows(spark, sf_dir), "doc_id")).select("doc_id", *big("score"))
+
+
+@query(r"""WITH i AS (SELECT conv_id, turn // 3 AS sec, turn, role, text FROM conversations), q AS (SELECT conv_id, arg_min(text, turn) AS q, min(turn) AS first_ FROM i WHERE role <> 'system' AND contains(lower(text), 'ation') GROUP BY conv_id),
+    m AS (SELECT i.*, first_ IS NOT NULL AND first_ = turn AS is_epigraph, role <> 'system' AND q IS NOT NULL AND contains(text, q) AS is_quoted FROM i LEFT JOIN q USING (conv_id)),
+    b AS (SELECT *, role <> 'system' AND NOT is_quoted AND turn % 4 <> 1 AND text <> '' AS body FROM m)
+    SELECT conv_id, turn, is_epigraph, is_quoted, body AND sum(body::INT) OVER (PARTITION BY conv_id ORDER BY sec, turn ROWS UNBOUNDED PRECEDING) = 1 AS is_first FROM b""")
+def lecture_marks(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").select(
+        F.col("conv_id").alias("chapter_id"), F.expr("turn div 3").alias("sec_idx"), F.col("turn").alias("item_idx"), F.when(F.col("role") == "system", "figure").otherwise("paragraph").alias("type"),
+        "text", F.lit(None).cast("string").alias("text_ko"), F.when(F.col("turn") % 4 == 1, "quote").alias("box_type"),
+    )
+    return render.mark_items(rows, "ation").select(F.col("chapter_id").alias("conv_id"), F.col("item_idx").alias("turn"), "is_epigraph", "is_quoted", "is_first")
+
+
+@query(rf"""WITH f AS (SELECT page_id, {_NAME} AS n, page_id % 3 = 0 AS conv, page_id % 2 = 0 AS here FROM pages), p AS (SELECT *, 'lecture_json/images/' || n AS path FROM f)
+    SELECT page_id, '\begin{{diagrambox}}{{Figure ' || page_id || '}}' || chr(10) || CASE WHEN conv THEN '\includegraphics[width=0.8\textwidth]{{' || replace(replace(path, '.svgz', '.pdf'), '.svg', '.pdf') || '}}'
+        WHEN here AND NOT regexp_matches(n, '\.(pdf|jpg|png)$') THEN '\fbox{{Missing vector conversion: ' || n || '}}' WHEN here THEN '\includegraphics[width=0.8\textwidth]{{' || path || '}}' ELSE '\fbox{{Missing Figure: ' || n || '}}' END || chr(10) || '\end{{diagrambox}}' AS tex FROM p""")
+def figure_boxes(spark, sf_dir):
+    i = F.col("page_id")
+    name = F.concat(F.lit("f"), (i % 50).cast("string"), F.element_at(F.array(*map(F.lit, (".svgz", ".svg", ".png", ".gif"))), (i % 4 + 1).cast("int")))
+    box = render.figure_box(name, F.concat(F.lit("Figure "), i.cast("string")), i % 3 == 0, i % 2 == 0)
+    return table(spark, sf_dir, "pages").select("page_id", box.alias("tex"))
+
+
+@query("""SELECT doc_id, (doc_id % 4)::BIGINT AS n_examples, (doc_id % 3)::BIGINT AS n_terms, (CASE WHEN doc_id % 5 = 0 THEN 0 ELSE length(lang) END)::BIGINT AS summary_chars,
+    concat_ws(',', CASE WHEN doc_id % 5 <> 0 THEN 'summary' END, 'examples', 'exercises', 'glossary') AS kinds FROM documents""")
+def supplement_counts(spark, sf_dir):
+    from folioforge.plans.book import supplement_summary
+
+    i = F.col("doc_id")
+    listed = lambda k: F.slice(F.array(*map(F.lit, "abcd")), F.lit(1), (i % k).cast("int"))
+    none = F.lit(None).cast("string")
+    s = F.struct(F.when(i % 5 != 0, F.col("lang")).alias("summary"), none.alias("tikz_diagram"), listed(4).alias("examples"), listed(2).alias("exercises"), none.alias("solutions"), listed(3).alias("glossary"))
+    out = supplement_summary(table(spark, sf_dir, "documents").select(i.alias("key"), s.alias("supplements")))
+    return out.select(F.col("key").alias("doc_id"), *big("n_examples", "n_terms", "summary_chars"), F.array_join("kinds", ",").alias("kinds"))

@@ -264,8 +264,7 @@ class Forest:
         inward, up = unary.copy(), np.zeros((self.n, 2))
         for level in reversed(self.levels):
             up[level] = np.logaddexp(pair[level, :, 0] + inward[level, None, 0], pair[level, :, 1] + inward[level, None, 1])
-            for y in (0, 1):
-                inward[:, y] += np.bincount(self.parent[level], up[level, y], self.n)
+            np.add.at(inward, self.parent[level], up[level])
         belief, joint = inward.copy(), np.full((self.n, 2, 2), -np.inf)
         for level in self.levels:
             outside = belief[self.parent[level]] - up[level]

@@ -52,7 +52,8 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    return toxicity.grade_toxicity(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")))
+    graded = toxicity.grade_toxicity(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")))
+    return graded.withColumn("kept", ~F.col("toxic"))
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -310,7 +310,7 @@ def test_html(spark):
         "<p>First\n <b>para</b> &eacute;.<p>Second<!-- no --><script>x='</p>'</script><div class=ad>Buy</div><form>Name</form><section id=comments><p>Nice!</p></section></article>"
         "<aside>Other</aside><footer>&copy; me</footer></body></html>"
     )
-    rows = spark.createDataFrame([(1, "u", page), (2, None, None), (3, "v", ""), (None, "w", "<p>" * 3000 + "deep"), (5, "x", "a < b <unfinished")], "page_id long, url string, html string")
+    rows = spark.createDataFrame([(1, "u", page), (2, None, None), (3, "v", ""), (None, "w", "<p>" * 3000 + "<div>" * 20_000 + "deep"), (5, "x", "a < b <unfinished")], "page_id long, url string, html string")
     got = {r["page_id"]: r for r in html_extract.extract_main_text(rows).collect()}
     assert got[1]["text"] == "A & B\nFirst para é.\nSecond" and got[1]["n_chars"] == len(got[1]["text"])
     assert got[2]["text"] == "" and got[3]["n_chars"] == 0 and len(got) == 5

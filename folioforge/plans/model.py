@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folioforge.shipping import ship
+
 
 class ModelClient(Protocol):
     def generate(self, prompts: list[str]) -> list[str]: ...
@@ -86,6 +88,7 @@ def suggest(client: ModelClient, wanted: str) -> tuple[bool, list[str]]:
 
 def call(df: DataFrame, key: str, prompt: Column, client: ModelClient, batch: int = 32) -> DataFrame:
     """(key, answer, error): blank prompts get blank answers; a failed call gets its error, not a text, and costs only its row."""
+    ship(df.sparkSession)
     kind = df.schema[key].dataType
 
     def answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

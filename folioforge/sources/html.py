@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioforge.shipping import ship
+
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 
 
@@ -179,6 +181,7 @@ _ITEMS = "id string, chapter_title string, sec_idx int, item_idx int, section_ti
 
 def content_items(pages: DataFrame, id_col: str, html_col: str, selectors: Selectors | None = None) -> DataFrame:
     """(id, chapter_title, sec_idx, item_idx, section_title, type, text, src, caption, latex) of each page's content."""
+    ship(pages.sparkSession)
     chosen = selectors or Selectors()
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -13,6 +13,8 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
 
+from folioforge.shipping import ship
+
 SCHEMA = "doc_id string, page int, payload string"
 
 
@@ -71,6 +73,7 @@ def read_paginated(spark: SparkSession, paths: list[str], extractor: str) -> Dat
 
     from folioforge.operators.layout import PAGE_SCHEMA
 
+    ship(spark)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(PageSource)
     rows = spark.read.format("paginated").options(paths=json.dumps(paths), extractor=extractor).load()

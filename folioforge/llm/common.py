@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioforge.shipping import ship
+
 #: ASCII white space as the query contracts define it: \x20 and \x09-\x0D.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 
@@ -81,7 +83,8 @@ BATCH_ROWS = 256
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Lowers the session's rows per Arrow batch to BATCH_ROWS, unless it has fewer already."""
+    """Lowers the session's rows per Arrow batch to BATCH_ROWS, unless it has fewer already; lets workers import the package."""
+    ship(spark)
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     now = int(spark.conf.get(name))
     if now <= 0 or now > BATCH_ROWS:

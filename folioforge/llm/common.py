@@ -121,6 +121,16 @@ def held(key: str, make: Callable[[], object]) -> object:
     return _held[1]
 
 
+def rest(spark: SparkSession) -> None:
+    """Has the executors collect their garbage, so that a stage does not start with the heap that the one before it grew.
+
+    A tiny job of two tasks a core; which executor runs which does not matter.
+    """
+    tasks = 2 * spark.sparkContext.defaultParallelism
+    collected = spark.range(0, tasks, 1, tasks).selectExpr("java_method('java.lang.System', 'gc') AS done")
+    collected.write.format("noop").mode("overwrite").save()
+
+
 def tidied(fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """fn for mapInArrow, giving memory back to the system on the way and at its end.
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +15,13 @@ DOLLARS = r"(?s)\$\$.*?\$\$|\$.*?\$"
 PROTECTED = r"\\[a-zA-Z]+\{[^}]*\}|\\\\|\\item\b"
 BREAK_TOKEN = r"\hspace{0pt}"
 
+# Bare math that is wrapped, each with what it becomes.
+BARE_MATH = (
+    (r"(?<!\$)(?<![\\a-zA-Z])([a-zA-Z][a-zA-Z0-9]*)([_^])(\{[^}]+\}|[a-zA-Z0-9]+)(?!\$)", r"\$$1$2$3\$"),
+    (r"(?<!\$)([a-zA-Z0-9])\^\(([^)]+)\)", r"\$$1^{$2}\$"),
+    (r"(?<!\$)([a-zA-Z])\s*\^\s*([0-9]+\.?[0-9]*)(?!\$)", r"\$$1^{$2}\$"),
+)
+
 
 def outside(c: Column, regions: str, change) -> Column:
     """c with change() applied to the texts between matches of regions, which stay as they are.
@@ -30,9 +39,7 @@ def wrap_bare_math(c: Column) -> Column:
     """a_1, x^2, e^(..), r ^1.4 outside math become inline math."""
 
     def wrap(x: Column) -> Column:
-        x = F.regexp_replace(x, r"(?<!\$)(?<![\\a-zA-Z])([a-zA-Z][a-zA-Z0-9]*)([_^])(\{[^}]+\}|[a-zA-Z0-9]+)(?!\$)", r"\$$1$2$3\$")
-        x = F.regexp_replace(x, r"(?<!\$)([a-zA-Z0-9])\^\(([^)]+)\)", r"\$$1^{$2}\$")
-        return F.regexp_replace(x, r"(?<!\$)([a-zA-Z])\s*\^\s*([0-9]+\.?[0-9]*)(?!\$)", r"\$$1^{$2}\$")
+        return reduce(lambda t, rule: F.regexp_replace(t, *rule), BARE_MATH, x)
 
     return outside(c, MATH, wrap)
 

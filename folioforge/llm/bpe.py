@@ -25,7 +25,8 @@ from .common import held, id_and_text, rows, tidied
 #: Fixed value: how the byte-level pre-tokenizer cuts a text into words.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SHORT_WORD = 96
-_CACHE_WORDS = 250_000
+#: Words kept, twice over: when so many are new, they become the older half, of which what is used again is kept.
+_CACHE_WORDS = 300_000
 _NONE = 1 << 60
 
 
@@ -59,6 +60,7 @@ class BytePairCodec:
         self.cache_words = cache_words
         self.encoded: dict[str, str] = {}
         self.decoded: dict[str, bytes] = {}
+        self.older: tuple[dict[str, str], dict[str, bytes]] = ({}, {})
 
     def merge(self, word: bytes) -> list[int]:
         """Ids of one word."""
@@ -104,9 +106,12 @@ class BytePairCodec:
 
     def _encode_word(self, word: str) -> str:
         if len(self.encoded) >= self.cache_words:
-            self.encoded.clear()
-            self.decoded.clear()
-        made = self.encoded[word] = ",".join(map(str, self.merge(word.encode())))
+            self.older = (self.encoded, self.decoded)
+            self.encoded, self.decoded = {}, {}
+        made = self.older[0].get(word)
+        if made is None:
+            made = ",".join(map(str, self.merge(word.encode())))
+        self.encoded[word] = made
         return made
 
     def encode(self, text: str) -> list[str]:
@@ -127,7 +132,10 @@ class BytePairCodec:
         return [int(i) for ids in self.encode(text) for i in ids.split(",")]
 
     def _decode_word(self, ids: str) -> bytes:
-        made = self.decoded[ids] = b"".join([self.content[int(i)] for i in ids.split(",")])
+        made = self.older[1].get(ids)
+        if made is None:
+            made = b"".join([self.content[int(i)] for i in ids.split(",")])
+        self.decoded[ids] = made
         return made
 
     def decode(self, groups: list[str]) -> bytes:

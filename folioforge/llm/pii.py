@@ -1,15 +1,18 @@
 """Personal data by pattern, and terms that give it away by information theory.
 
 Four patterns find the protected entities (e-mail, IP, card, phone). Over the whole corpus, a term
-near an entity discloses it as far as knowing the term makes the entity expected: with document
-counts n(t, e), n(t), n(e) and N, disclosure = PMI(t; e) / IC(e), where PMI = log(N n(t,e) / n(t) n(e))
-and IC(e) = log(N / n(e)). It is 1 for a term that is found only with the entity and about 0 for a
-common word. Terms above the threshold, met with the entity in several different contexts, are
-spans too: removed, or generalised to the kind of entity they disclose.
-
-Scale: one pass over the texts leaves entities and the terms around them, which are few, in the
-shared folder. Terms' document counts come from a second pass over all texts that is thinned by a
-bitmap of fixed size; a term is counted once per batch before the counts are shuffled.
+that shares texts with an entity discloses it as far as knowing the term makes the entity expected:
+with document counts n(t, e), n(t), n(e) and N, disclosure = PMI(t; e) / IC(e), where
+PMI = log(N n(t,e) / n(t) n(e)) and IC(e) = log(N / n(e)). It is 1 for a term that is found only with
+the entity and about 0 for a common word. Terms above the threshold, met with the entity in several
+different contexts (words around the entity), are spans too, wherever they stand in any text:
+removed, or generalised to the kind of entity they disclose.
+
+Scale: a first pass over the texts leaves the entities and the terms of the texts that hold one in
+the shared folder. An entity without enough contexts goes before its terms are looked at, and a pair
+goes as soon as the texts with entities alone hold its term too often. Terms' document counts come
+from a second pass over all texts and their places from a third, both thinned by a bitmap of fixed
+size; a term is counted once per batch before the counts are shuffled.
 """
 
 from __future__ import annotations
@@ -20,12 +23,13 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bitmap, id_and_text, in_bitmap, materialise, row_numbers, rows, split, tidied, unpack
-from .spans import Span, digest, free_of, joined
+from .spans import Span, digest, joined
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]"}
@@ -96,46 +100,93 @@ def _term(word: str) -> str:
     return word.strip(_EDGES).lower()
 
 
-def near_terms(text: str, spans: list[Span], window: int) -> list[tuple[str, str, str, int, int, int]]:
-    """(kind, entity, term, context, start, end) for the words within the window around each entity that no span covers."""
-    out = []
-    words = [(m.start(), m.end()) for m in _TERM.finditer(text)] if spans else []
-    starts = [a for a, _ in words]
+def _words(text: str, spans: list[Span]) -> Iterator[tuple[int, int, bool]]:
+    """(start, end, whether no span meets it) of each word."""
+    covered = sorted((a, b) for _, a, b in spans)
+    k = reach = 0
+    for m in _TERM.finditer(text):
+        x, y = m.span()
+        while k < len(covered) and covered[k][0] < y:
+            reach = max(reach, covered[k][1])
+            k += 1
+        yield x, y, x >= reach
+
+
+def free_words(text: str, spans: list[Span]) -> Iterator[tuple[str, int, int]]:
+    """(term, start, end), marks at the edges aside, of the words that no span meets."""
+    for x, y, free in _words(text, spans):
+        if free:
+            word = text[x:y]
+            yield _term(word), x + len(word) - len(word.lstrip(_EDGES)), y - len(word) + len(word.rstrip(_EDGES))
+
+
+def entity_contexts(text: str, spans: list[Span], window: int) -> dict[tuple[str, str], set[int]]:
+    """The contexts of each (kind, entity): checksums of the terms within the window around its places that no span covers."""
+    out: dict[tuple[str, str], set[int]] = {}
+    words = list(_words(text, spans))
+    starts = [x for x, _, _ in words]
     for kind, a, b in spans:
         first = bisect.bisect_left(starts, a)
         after = bisect.bisect_left(starts, b)
-        around = [w for w in words[max(0, first - window) : first] + words[after : after + window] if free_of(spans, *w)]
-        terms = [_term(text[x:y]) for x, y in around]
-        context = zlib.crc32(" ".join(sorted(terms)).encode("utf-8", "replace"))
-        for term, (x, y) in zip(terms, around):
-            if len(term) >= 4:
-                left = x + len(text[x:y]) - len(text[x:y].lstrip(_EDGES))
-                right = y - (len(text[x:y]) - len(text[x:y].rstrip(_EDGES)))
-                out.append((kind, text[a:b].lower(), term, context, left, right))
+        around = words[max(0, first - window) : first] + words[after : after + window]
+        terms = [_term(text[x:y]) for x, y, free in around if free]
+        out.setdefault((kind, text[a:b].lower()), set()).add(zlib.crc32(" ".join(sorted(terms)).encode("utf-8", "replace")))
     return out
 
 
 _SPAN = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
-_NEAR = pa.struct([("kind", pa.string()), ("entity", pa.string()), ("term", pa.string()), ("context", pa.int64()), ("start", pa.int64()), ("end", pa.int64())])
+_ENTITY = pa.struct([("kind", pa.string()), ("entity", pa.string()), ("contexts", pa.list_(pa.int64()))])
+_PLACE = pa.struct([("term", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
+_HOLDING = "entities array<struct<kind:string,entity:string,contexts:array<bigint>>>, terms array<string>"
 _FOUND = (
     "row bigint, id bigint, crc bigint, base array<struct<kind:string,start:bigint,end:bigint>>, "
-    "near array<struct<kind:string,entity:string,term:string,context:bigint,start:bigint,end:bigint>>"
+    "places array<struct<term:string,start:bigint,end:bigint>>"
 )
 
 
 def _scan(window: int):
+    """Entities with their contexts, and all terms, of each text that holds an entity."""
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, texts in rows(batches):
+            entities, terms = [], []
+            for text in texts:
+                base = base_spans(text)
+                if base:
+                    decoded = text.decode("utf-8", "replace")
+                    found = entity_contexts(decoded, base, window)
+                    entities.append([{"kind": k, "entity": e, "contexts": sorted(c)} for (k, e), c in found.items()])
+                    terms.append(sorted({t for t, _, _ in free_words(decoded, base) if len(t) >= 4}))
+            yield pa.RecordBatch.from_arrays([pa.array(entities, pa.list_(_ENTITY)), pa.array(terms, pa.list_(pa.string()))], ["entities", "terms"])
+
+    return scan
+
+
+def _marks(marked: bytes | None):
+    """Base spans of each text, and the places of the terms whose place in the bitmap is set."""
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = row_numbers()
-        fields = [f.name for f in _NEAR]
+        bits = unpack(marked) if marked else None
         for ids, texts in rows(batches):
             base = [base_spans(t) for t in texts]
-            near = [[dict(zip(fields, n)) for n in near_terms(t.decode("utf-8", "replace"), s, window)] if s else [] for t, s in zip(texts, base)]
+            places: list[list[dict]] = []
+            for text, spans in zip(texts, base):
+                terms = _set_terms(text, bits) if bits is not None else None
+                words = free_words(text.decode("utf-8", "replace"), spans) if terms else ()
+                places.append([{"term": t, "start": a, "end": b} for t, a, b in words if t in terms])
             spans = [[dict(zip(("kind", "start", "end"), s)) for s in b] for b in base]
             crcs = [zlib.crc32(t) for t in texts]
-            arrays = [pa.array(number(len(ids)), pa.int64()), pa.array(ids, pa.int64()), pa.array(crcs, pa.int64()), pa.array(spans, pa.list_(_SPAN)), pa.array(near, pa.list_(_NEAR))]
-            yield pa.RecordBatch.from_arrays(arrays, ["row", "id", "crc", "base", "near"])
+            arrays = [pa.array(number(len(ids)), pa.int64()), pa.array(ids, pa.int64()), pa.array(crcs, pa.int64()), pa.array(spans, pa.list_(_SPAN)), pa.array(places, pa.list_(_PLACE))]
+            yield pa.RecordBatch.from_arrays(arrays, ["row", "id", "crc", "base", "places"])
 
-    return scan
+    return mark
+
+
+def _set_terms(text: bytes, bits: np.ndarray) -> set[str]:
+    """The terms of a text whose place is set."""
+    terms = {_term(w.decode("utf-8", "replace")) for w in set(text.split())}
+    return {t for t in terms if len(t) >= 4 and bits[zlib.crc32(t.encode("utf-8", "replace")) % len(bits)]}
 
 
 def _term_counts(marked: bytes):
@@ -143,35 +194,48 @@ def _term_counts(marked: bytes):
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = unpack(marked)
-        size = len(bits)
         for _, texts in rows(batches):
             counts: Counter = Counter()
             for text in texts:
-                terms = {_term(w.decode("utf-8", "replace")) for w in set(text.split())}
-                counts.update([t for t in terms if len(t) >= 4 and bits[zlib.crc32(t.encode("utf-8", "replace")) % size]])
+                counts.update(_set_terms(text, bits))
             yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["term", "n"])
 
     return count
 
 
-def disclosing_terms(docs: DataFrame, found: DataFrame, id_col: str, text_col: str, threshold: float, min_contexts: int) -> DataFrame | None:
-    """(entity, term) pairs above the threshold, or None if no term has enough contexts."""
-    near = found.select("row", F.explode("near").alias("n")).select("row", "n.*")
-    # Each (entity, term, context) and (entity, term, row) once per task before anything is counted.
-    contexts = near.select("entity", "term", "context").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("contexts"))
-    pairs = materialise(contexts.where(F.col("contexts") >= min_contexts).select("entity", "term"), "piipairs")
-    marked = bitmap(pairs.select(F.expr("crc32(encode(term, 'utf-8'))").alias("crc")), "crc")
+def _term_bitmap(df: DataFrame) -> bytes:
+    return bitmap(df.select(F.expr("crc32(encode(term, 'utf-8'))").alias("crc")), "crc")
+
+
+def disclosing_terms(docs: DataFrame, id_col: str, text_col: str, window: int, threshold: float, min_contexts: int) -> DataFrame | None:
+    """(kind, term) for the terms above the threshold of an entity of the kind, or None if no pair has enough contexts."""
+    key = ["kind", "entity"]
+    texts = id_and_text(docs, id_col, text_col)
+    holding = materialise(texts.mapInArrow(tidied(_scan(window)), _HOLDING), "holding")
+    every = holding.select(F.explode("entities").alias("e"), "terms").select("e.*", "terms")
+    contexts = every.select(*key, F.explode("contexts").alias("context")).distinct().groupBy(*key).agg(F.count(F.lit(1)).alias("contexts"))
+    enough = contexts.where(F.col("contexts") >= min_contexts).select(*key)
+    entities = materialise(every.groupBy(*key).agg(F.count(F.lit(1)).alias("n_entity")).join(enough, key), "piientities")
+    total = F.lit(float(docs.count()))
+
+    def discloses(n_term: str):
+        pmi = F.log(total * F.col("n_both") / (F.col(n_term) * F.col("n_entity")))
+        content = F.log(total / F.col("n_entity"))
+        return (content > 0) & (pmi / content >= threshold)
+
+    known = every.join(entities, key)
+    joint = known.select(*key, "n_entity", F.explode("terms").alias("term")).groupBy(*key, "n_entity", "term").agg(F.count(F.lit(1)).alias("n_both"))
+    # A term stands in at least as many texts as in those that hold an entity: what fails by these fails by all.
+    at_least = holding.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_holding"))
+    likely = materialise(joint.join(at_least, "term").where(discloses("n_holding")).drop("n_holding"), "piilikely")
+    met = known.select(*key, F.explode("terms").alias("term"), "contexts").join(likely.select(*key, "term"), [*key, "term"])
+    met = met.select(*key, "term", F.explode("contexts").alias("context")).distinct().groupBy(*key, "term").agg(F.count(F.lit(1)).alias("contexts"))
+    pairs = materialise(likely.join(met.where(F.col("contexts") >= min_contexts).drop("contexts"), [*key, "term"]), "piipairs")
+    marked = _term_bitmap(pairs)
     if not any(marked):
         return None
-    total = found.count()
-    in_texts = id_and_text(docs, id_col, text_col).mapInArrow(tidied(_term_counts(marked)), "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n_term"))
-    joint = near.join(pairs, ["entity", "term"]).select("entity", "term", "row").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both"))
-    of_entity = near.select("entity", "row").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
-    scored = joint.join(in_texts, "term").join(of_entity, "entity")
-    n = F.lit(float(total))
-    pmi = F.log(n * F.col("n_both") / (F.col("n_term") * F.col("n_entity")))
-    content = F.log(n / F.col("n_entity"))
-    return scored.where((content > 0) & (pmi / content >= threshold)).select("entity", "term")
+    in_texts = texts.mapInArrow(tidied(_term_counts(marked)), "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n_term"))
+    return materialise(pairs.join(in_texts, "term").where(discloses("n_term")).select("kind", "term").distinct(), "disclosing")
 
 
 def find_personal_data(
@@ -184,18 +248,20 @@ def find_personal_data(
 ) -> DataFrame:
     """One row per row of docs: row (its number), id, crc of its text, base and added spans as arrays of (kind, start, end).
 
-    Added spans (kind term_<kind>) mark terms that disclose an entity near them and never overlap
-    base ones. Null and empty texts have none. Repeated rows count as documents, but not as new
-    contexts. An empty table gives an empty result; other columns are not read.
+    Added spans (kind term_<kind>) mark every place, in any text, of the terms that disclose an
+    entity, and never overlap base ones. The window only tells contexts apart. Null and empty texts
+    have none. Repeated rows count as documents, but not as new contexts. An empty table gives an
+    empty result; other columns are not read.
     """
-    found = materialise(id_and_text(docs, id_col, text_col).mapInArrow(tidied(_scan(window)), _FOUND), "personal")
-    disclosing = disclosing_terms(docs, found, id_col, text_col, threshold, min_contexts)
+    disclosing = disclosing_terms(docs, id_col, text_col, window, threshold, min_contexts)
+    marked = _term_bitmap(disclosing) if disclosing is not None else None
+    found = materialise(id_and_text(docs, id_col, text_col).mapInArrow(tidied(_marks(marked)), _FOUND), "personal")
     none = F.array().cast("array<struct<kind:string,start:bigint,end:bigint>>")
     if disclosing is None:
         return found.select("row", F.col("id").alias(id_col), "crc", "base", none.alias("added"))
-    near = found.where(F.size("near") > 0).select("row", F.explode("near").alias("n")).select("row", "n.*")
+    places = found.where(F.size("places") > 0).select("row", F.explode("places").alias("p")).select("row", "p.*")
     span = F.struct(F.concat(F.lit("term_"), F.col("kind")).alias("kind"), "start", "end")
-    hits = near.join(disclosing, ["entity", "term"]).groupBy("row").agg(F.collect_set(span).alias("added"))
+    hits = places.join(disclosing, "term").groupBy("row").agg(F.collect_set(span).alias("added"))
     out = found.select("row", "id", "crc", "base").join(hits, "row", "left")
     return out.select("row", F.col("id").alias(id_col), "crc", "base", F.coalesce("added", none).alias("added"))
 

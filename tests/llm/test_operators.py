@@ -277,6 +277,17 @@ def test_disclosing_terms(spark):
     assert len(pii.personal_digest(pii.find_personal_data(docs(spark, EDGE))).collect()) == len(EDGE)
 
 
+def test_disclosing_terms_far_and_alone(spark):
+    r = random.Random(19)
+    text = lambda *w: " ".join([*w, *r.choices("alpha beta gamma delta omega sigma kappa theta".split(), k=30)])
+    far = [f"{text('Kowalskine,')} {text('jk@mail.example')} {text()}" for _ in range(6)]
+    texts = far + [text("Kowalskine"), text("(kowalskine)") + " Kowalskine."] + [text("nothing") for _ in range(400)]
+    added = [[texts[x["doc_id"]][s["start"] : s["end"]] for s in sorted(x["added"])] for x in sorted(pii.find_personal_data(docs(spark, texts)).collect(), key=lambda x: x["doc_id"])]
+    assert added[:8] == [["Kowalskine"]] * 7 + [["kowalskine", "Kowalskine"]] and not any(added[8:])
+    clean = {x["doc_id"]: x["text"] for x in pii.sanitise_documents(docs(spark, texts)).collect()}
+    assert not any("owalskine" in clean[i] for i in range(8)) and clean[9] == texts[9]
+
+
 def test_random_secrets(spark):
     r = random.Random(11)
     draw = lambda a, n: "".join(r.choice(a) for _ in range(n))

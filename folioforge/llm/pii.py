@@ -156,7 +156,7 @@ def _scan(window: int):
                     decoded = text.decode("utf-8", "replace")
                     found = entity_contexts(decoded, base, window)
                     entities.append([{"kind": k, "entity": e, "contexts": sorted(c)} for (k, e), c in found.items()])
-                    terms.append(sorted({t for t, _, _ in free_words(decoded, base) if len(t) >= 4}))
+                    terms.append(sorted({t for t, _, _ in free_words(decoded, base) if t}))
             yield pa.RecordBatch.from_arrays([pa.array(entities, pa.list_(_ENTITY)), pa.array(terms, pa.list_(pa.string()))], ["entities", "terms"])
 
     return scan
@@ -186,7 +186,7 @@ def _marks(marked: bytes | None):
 def _set_terms(text: bytes, bits: np.ndarray) -> set[str]:
     """The terms of a text whose place is set."""
     terms = {_term(w.decode("utf-8", "replace")) for w in set(text.split())}
-    return {t for t in terms if len(t) >= 4 and bits[zlib.crc32(t.encode("utf-8", "replace")) % len(bits)]}
+    return {t for t in terms if t and bits[zlib.crc32(t.encode("utf-8", "replace")) % len(bits)]}
 
 
 def _term_counts(marked: bytes):

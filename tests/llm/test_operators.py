@@ -288,6 +288,14 @@ def test_disclosing_terms_far_and_alone(spark):
     assert not any("owalskine" in clean[i] for i in range(8)) and clean[9] == texts[9]
 
 
+def test_short_disclosing_terms(spark):
+    r = random.Random(20)
+    text = lambda *w: " ".join([*w, *r.choices("of to in an the and for not".split(), k=12)])
+    texts = [text(name, mail) for name, mail in (("Kim", "k@mail.example"), ("李明", "m@mail.example")) for _ in range(6)] + [text("--") for _ in range(200)]
+    added = {x["doc_id"]: [texts[x["doc_id"]][s["start"] : s["end"]] for s in x["added"]] for x in pii.find_personal_data(docs(spark, texts)).collect()}
+    assert [added[i] for i in range(12)] == [["Kim"]] * 6 + [["李明"]] * 6 and not any(added[i] for i in range(12, len(texts)))
+
+
 def test_random_secrets(spark):
     r = random.Random(11)
     draw = lambda a, n: "".join(r.choice(a) for _ in range(n))

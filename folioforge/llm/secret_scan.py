@@ -1,7 +1,8 @@
 """Secrets by pattern and by tests of randomness.
 
 Three patterns give base spans. Any other unbroken run of key characters that is long enough is a
-candidate: its encoding is inferred from its characters, and a battery tests whether it could be
+candidate, or its parts between "=" and, where no alphabet holds them, their parts in either base64
+alphabet. A candidate's encoding is inferred from its characters, and a battery tests whether it could be
 random in that encoding: chi-squared for a uniform use of the alphabet, the number of runs above and
 below the middle of the alphabet, and the serial correlation of neighbours, combined by Fisher's
 method. Candidates that pass get a p-value against ordinary text: exp(-L), where L is the log
@@ -39,6 +40,8 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _LONG = re.compile(rb"[A-Za-z0-9+/_=-]{20,}")
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+_PIECE = re.compile(r"[^=]+(?:=+\Z)?")
+_PARTS = (re.compile(r"[A-Za-z0-9+/]+=*"), re.compile(r"[A-Za-z0-9_-]+=*"))
 #: p-values are counted in steps of exp(-_STEP), up to exp(-_STEP * (_STEPS - 1)).
 _STEP, _STEPS = 0.25, 800
 
@@ -145,6 +148,16 @@ def base_spans(text: bytes, decoded: str | None = None) -> list[Span]:
     return [(KINDS[k], a, b) for a, k, b in sorted(out)]
 
 
+def candidates_in(text: str) -> Iterator[Span]:
+    """(token, start, end) of what is tested. Only parts of a run that no alphabet holds can overlap each other."""
+    for run in _CANDIDATE.finditer(text):
+        for piece in _PIECE.finditer(run[0]):
+            at, found = run.start() + piece.start(), {(0, piece.end() - piece.start())}
+            if not infer_encoding(piece[0]):
+                found = {m.span() for pattern in _PARTS for m in pattern.finditer(piece[0])}
+            yield from ((piece[0][a:b], at + a, at + b) for a, b in sorted(found) if b - a >= MIN_CANDIDATE)
+
+
 _SPAN = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
 _CAND = pa.struct([("token", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
 _FOUND = (
@@ -161,9 +174,9 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             counts += np.bincount(np.frombuffer(text, np.uint8), minlength=256)
             found, more = base_spans(text), []
             if _LONG.search(text) is not None:
-                for m in _CANDIDATE.finditer(text.decode("utf-8", "replace")):
-                    if free_of(found, m.start(), m.end()) and infer_encoding(m[0]):
-                        more.append({"token": m[0], "start": m.start(), "end": m.end()})
+                for token, a, b in candidates_in(text.decode("utf-8", "replace")):
+                    if free_of(found, a, b):
+                        more.append({"token": token, "start": a, "end": b})
             base.append([dict(zip(("kind", "start", "end"), s)) for s in found])
             candidates.append(more)
         histogram = [counts.tolist()] + [None] * (len(ids) - 1) if ids else []
@@ -213,12 +226,16 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for batch in batches:
             added = []
             for candidates in batch.column(2).to_pylist():
-                hits = [c for c in candidates or () if (v := measured(c["token"])) is not None and v >= cut]
-                added.append([{"kind": "random", "start": c["start"], "end": c["end"]} for c in hits])
+                hits = [(v, c["start"], c["end"]) for c in candidates or () if (v := measured(c["token"])) is not None and v >= cut]
+                spans: list[Span] = []
+                for _, a, b in sorted(hits, key=lambda h: -h[0]):  # of overlapping parts the one with most evidence
+                    if free_of(spans, a, b):
+                        spans.append(("random", a, b))
+                added.append([{"kind": k, "start": a, "end": b} for k, a, b in sorted(spans, key=lambda s: s[1])])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(added, pa.list_(_SPAN))], ["id", "base", "added"])
 
-    spans = "array<struct<kind:string,start:bigint,end:bigint>>"
-    return found.select("id", "base", "candidates").mapInArrow(tidied(decide), f"id bigint, base {spans}, added {spans}").withColumnRenamed("id", id_col)
+    schema = "array<struct<kind:string,start:bigint,end:bigint>>"
+    return found.select("id", "base", "candidates").mapInArrow(tidied(decide), f"id bigint, base {schema}, added {schema}").withColumnRenamed("id", id_col)
 
 
 def scan_digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:

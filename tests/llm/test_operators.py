@@ -308,6 +308,16 @@ def test_random_secrets(spark):
     assert secret_scan.scan_digest(secret_scan.scan_secrets(docs(spark, []))).count() == 0
 
 
+def test_random_secrets_in_longer_runs(spark):
+    r = random.Random(21)
+    key = lambda: "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(40))
+    keys = [key() for _ in range(45)]
+    texts = [f"{('AUTH_KEY=', 'AWS_SECRET_ACCESS_KEY=', 'some-path/of_files/')[i % 3]}{k}" for i, k in enumerate(keys)] + ["=" * 40, "my-long/file_name=2024-final/v2_of_it", "ordinary running text of a page and its sentences " * 500]
+    found = {x["doc_id"]: [texts[x["doc_id"]][s["start"] : s["end"]] for s in x["added"]] for x in secret_scan.scan_secrets(docs(spark, texts)).collect()}
+    assert sum(len(found[i]) == 1 and k in found[i][0] and "=" not in found[i][0] for i, k in enumerate(keys)) >= 42
+    assert not any(found[i] for i in (45, 46, 47))
+
+
 def test_randomness_is_calibrated():
     r = random.Random(12)
     for _, alphabet in secret_scan._ALPHABETS:

@@ -30,7 +30,10 @@ from .common import id_and_text, materialise, rows, tidied
 from .spans import Span, digest, free_of, joined
 
 KINDS = ("assign", "access", "hex")
-MIN_CANDIDATE = 20
+#: Below this not even random hex, which needs least, has the evidence that one secret in a hundred candidates asks for.
+MIN_CANDIDATE = 12
+#: Shorter candidates, mostly words, are ranked for themselves: they do not raise the bar for longer ones.
+LONG_CANDIDATE = 20
 FALSE_DISCOVERIES = 0.001
 MIN_RANDOMNESS = 0.001
 
@@ -38,8 +41,8 @@ _ASSIGN = re.compile(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[
 _ASSIGN_WORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
-_LONG = re.compile(rb"[A-Za-z0-9+/_=-]{20,}")
-_CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+_LONG = re.compile(rb"[A-Za-z0-9+/_=-]{%d,}" % MIN_CANDIDATE)
+_CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % MIN_CANDIDATE)
 _PIECE = re.compile(r"[^=]+(?:=+\Z)?")
 _PARTS = (re.compile(r"[A-Za-z0-9+/]+=*"), re.compile(r"[A-Za-z0-9_-]+=*"))
 #: p-values are counted in steps of exp(-_STEP), up to exp(-_STEP * (_STEPS - 1)).
@@ -60,12 +63,14 @@ _ALPHABETS = (
     ("base64url", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"),
 )
 
+_ALPHABET_SETS = [(name, alphabet, frozenset(alphabet)) for name, alphabet in _ALPHABETS]
+
 
 def infer_encoding(token: str) -> tuple[str, str] | None:
     """The smallest known alphabet that holds the token, padding aside."""
     used = set(token.rstrip("="))
-    for name, alphabet in _ALPHABETS:
-        if used <= set(alphabet):
+    for name, alphabet, characters in _ALPHABET_SETS:
+        if used <= characters:
             return name, alphabet
     return None
 
@@ -197,36 +202,42 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     for r in counted.collect():  # at most 256 rows
         counts[r["b"]] = r["n"]
     model = text_model(counts)
+    least = -math.log(false_discoveries)
 
     def measured(token: str) -> float | None:
         encoding = infer_encoding(token)
-        if encoding is None or randomness(token, encoding[1]) < MIN_RANDOMNESS:
+        if encoding is None:
             return None
-        return evidence(token, encoding[1], model)
+        # No cut is lower than the rate itself, so less evidence than that never passes.
+        value = evidence(token, encoding[1], model)
+        return value if value >= least and randomness(token, encoding[1]) >= MIN_RANDOMNESS else None
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = [measured(t) for t in batch.column(0).to_pylist()]
-            steps = [-1 if v is None else int(min(_STEPS - 1, max(0, v // _STEP))) for v in values]
-            yield pa.RecordBatch.from_arrays([pa.array(steps, pa.int32())], ["step"])
+            tokens = batch.column(0).to_pylist()
+            steps = [-1 if (v := measured(t)) is None else int(min(_STEPS - 1, max(0, v // _STEP))) for t in tokens]
+            longs = [len(t) >= LONG_CANDIDATE for t in tokens]
+            yield pa.RecordBatch.from_arrays([pa.array(longs, pa.bool_()), pa.array(steps, pa.int32())], ["long", "step"])
 
     tokens = found.select(F.explode("candidates.token").alias("token"))
-    histogram = np.zeros(_STEPS)
-    total = 0
-    for r in tokens.mapInArrow(tidied(measure), "step int").groupBy("step").count().collect():  # at most _STEPS + 1 rows
-        total += r["count"]
+    histogram = {False: np.zeros(_STEPS), True: np.zeros(_STEPS)}
+    total = {False: 0, True: 0}
+    for r in tokens.mapInArrow(tidied(measure), "long boolean, step int").groupBy("long", "step").count().collect():  # at most 2 * (_STEPS + 1) rows
+        total[r["long"]] += r["count"]
         if r["step"] >= 0:
-            histogram[r["step"]] = r["count"]
+            histogram[r["long"]][r["step"]] = r["count"]
     # Benjamini-Hochberg: the smallest step whose p-value is at most q * (rank of its last candidate) / candidates.
-    rank = histogram[::-1].cumsum()[::-1]
-    passing = [s for s in range(_STEPS) if rank[s] and math.exp(-s * _STEP) <= false_discoveries * rank[s] / max(1, total)]
-    cut = passing[0] * _STEP if passing else math.inf
+    cut = {}
+    for long, counted_steps in histogram.items():
+        rank = counted_steps[::-1].cumsum()[::-1]
+        passing = [s for s in range(_STEPS) if rank[s] and math.exp(-s * _STEP) <= false_discoveries * rank[s] / max(1, total[long])]
+        cut[long] = passing[0] * _STEP if passing else math.inf
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             added = []
             for candidates in batch.column(2).to_pylist():
-                hits = [(v, c["start"], c["end"]) for c in candidates or () if (v := measured(c["token"])) is not None and v >= cut]
+                hits = [(v, c["start"], c["end"]) for c in candidates or () if (v := measured(c["token"])) is not None and v >= cut[len(c["token"]) >= LONG_CANDIDATE]]
                 spans: list[Span] = []
                 for _, a, b in sorted(hits, key=lambda h: -h[0]):  # of overlapping parts the one with most evidence
                     if free_of(spans, a, b):

@@ -318,6 +318,14 @@ def test_random_secrets_in_longer_runs(spark):
     assert not any(found[i] for i in (45, 46, 47))
 
 
+def test_short_random_secrets(spark):
+    r = random.Random(22)
+    texts = [f"the thing is {''.join(r.choice(a) for _ in range(16))} here" for a in ("0123456789abcdef", "0123456789ABCDEF") for _ in range(20)]
+    texts += ["the quick brown fox jumps over the lazy dog " * 5, "international circumstances", "misunderstanding", "file-name-2024-v2"] * 10
+    found = {x["doc_id"]: x["added"] for x in secret_scan.scan_secrets(docs(spark, texts)).collect()}
+    assert sum(len(found[i]) for i in range(40)) >= 36 and not any(found[i] for i in range(40, len(texts)))
+
+
 def test_randomness_is_calibrated():
     r = random.Random(12)
     for _, alphabet in secret_scan._ALPHABETS:

@@ -31,7 +31,9 @@ _BLOCKS = frozenset(
 )
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose whole inside is never text of the page.
-_SKIPPED = frozenset("script style noscript template svg iframe textarea title select object math canvas audio video head".split())
+_SKIPPED = frozenset("script style noscript template svg iframe textarea title select object annotation annotation-xml canvas audio video head".split())
+#: Those of them that hold no tags: they end at the first end tag, or with the page.
+_RAW = frozenset("script style textarea title".split())
 _HEADED = frozenset("address article aside blockquote center details dialog div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 #: Start tags that end an open element of the given tags, and the ancestors that stop the search.
 _CLOSES = {
@@ -112,6 +114,22 @@ def _run_features(tag: str, text: str, linked: int) -> list[str]:
     return out
 
 
+def _ends(page: str, tag: str) -> dict[int, int]:
+    """Where each element of the tag that has an end tag ends, by its start; elements may be nested."""
+    out: dict[int, int] = {}
+    opened: list[int] = []
+    for m in re.compile(rf"<(/?){tag}(?![\w:-])", re.I).finditer(page):
+        if m[1]:
+            if opened:
+                close = page.find(">", m.end())
+                out[opened.pop()] = len(page) if close < 0 else close + 1
+        else:
+            whole = _TAG.match(page, m.start())
+            if whole and not whole[3].endswith("/"):
+                opened.append(m.start())
+    return out
+
+
 def parse(page: str) -> Tree:
     """The tree of a page. Never fails: whatever is no tag is text, an unfinished tag at the end is dropped."""
     tree = Tree()
@@ -120,6 +138,7 @@ def parse(page: str) -> Tree:
     parts: list[str] = []
     linked, in_link = 0, False
     pos, end = 0, len(page)
+    ends: dict[str, dict[int, int]] = {}
 
     def flush() -> None:
         nonlocal linked
@@ -168,8 +187,13 @@ def parse(page: str) -> Tree:
             if not closing and not attributes.endswith("/"):
                 if tag == "head":
                     continue
-                done = re.compile(rf"</{tag}\s*>?", re.I).search(page, pos)
-                pos = end if done is None else done.end()
+                if tag in _RAW:
+                    done = re.compile(rf"</{tag}\s*>?", re.I).search(page, pos)
+                    pos = end if done is None else done.end()
+                    continue
+                if tag not in ends:
+                    ends[tag] = _ends(page, tag)
+                pos = ends[tag].get(lt, pos)  # without an end tag the start tag means nothing
             continue
         if tag == "a":
             in_link = not closing

@@ -353,6 +353,19 @@ def test_html(spark):
     assert got[2]["text"] == "" and got[3]["n_chars"] == 0 and len(got) == 5
 
 
+def test_html_skipped_elements():
+    def texts(page):
+        return list(html_extract.parse(page).texts.values())
+
+    for tag in ("video", "audio", "object", "canvas", "svg", "iframe", "select", "noscript", "template"):
+        assert texts(f"<p>one</p><{tag} class=x><p>two</p>") == ["one", "two"]
+        assert texts(f"<p>one</p><{tag}>in<{tag}>side</{tag}>out</{tag}><p>two</p>") == ["one", "two"]
+    assert texts("<p>one</p><script>x<p>two</p>") == ["one"] and texts("<p>one</p><object/><svg><p>two</p>") == ["one", "two"]
+    assert texts("<p>so <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>x=1</annotation></math> holds</p>") == ["so x=1 holds"]
+    assert texts("<p>so <math><mi>x</mi><p>two</p>") == ["so x", "two"]
+    assert len(texts("<object><p>a</p>" * 20_000)) == 20_000
+
+
 def test_marginals_are_exact():
     tree = html_extract.parse("<div class=a><p>x</p><div class=b><p>y<p>z</div></div>")
     r = np.random.default_rng(0)

@@ -6,12 +6,18 @@ labels go together, by kind of child. Sum-product messages, upward from the leav
 from the root, give each run's exact marginal of being content; runs above one half are the text.
 Weights are fitted by maximum likelihood on labelled pages, with the same messages.
 
-Scale: a map over pages without any exchange. The trees of a batch are laid into arrays and the
-messages of one depth are passed at once, so the cost is linear in the nodes, however deep a page.
+Names tell most where authors give them. A page is bare if little of its text lies in an element
+whose tag or name tells that it holds content; there the shape of each run (size, links, ending,
+share of the page) speaks too, and edges have potentials of their own.
+
+Scale: a map over pages without any exchange. The parser looks at no character more than a fixed
+number of times; the trees of a batch are laid into arrays and the messages of one depth are passed
+at once, so the cost is linear in the characters and nodes, however deep a page.
 """
 
 from __future__ import annotations
 
+import bisect
 import html
 import re
 from collections.abc import Iterator
@@ -27,52 +33,81 @@ from .html_pages import CONTENT_SIGN, labelled_pages
 _BLOCKS = frozenset(
     "html body article section main div nav aside header footer form fieldset p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table caption "
     "thead tbody tfoot tr td th blockquote pre figure figcaption address details summary hr center dialog menu search legend "
-    "button label".split()
+    "button label select option optgroup noscript".split()
 )
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Elements whose whole inside is never text of the page.
-_SKIPPED = frozenset("script style noscript template svg iframe textarea title select object annotation annotation-xml canvas audio video head".split())
-#: Those of them that hold no tags: they end at the first end tag, or with the page.
-_RAW = frozenset("script style textarea title".split())
-_HEADED = frozenset("address article aside blockquote center details dialog div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
-#: Start tags that end an open element of the given tags, and the ancestors that stop the search.
+#: Elements that hold no tags and no text of the page: they end at the first end tag, or with the page.
+_RAW = frozenset("script style textarea title iframe noembed noframes".split())
+#: Elements that hold tags but nothing that a page shows; without an end tag the start tag means nothing.
+_SKIPPED = frozenset("template annotation annotation-xml".split())
+_HEADED = frozenset(
+    "address article aside blockquote center details dialog div dl dt dd fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main menu nav "
+    "ol p pre search section table ul".split()
+)
+#: Start tags that end open elements of the given tags, up to the nearest of the ancestors that stop the search.
 _CLOSES = {
-    "li": ({"li"}, {"ul", "ol", "menu"}),
-    "dt": ({"dt", "dd"}, {"dl"}),
-    "dd": ({"dt", "dd"}, {"dl"}),
-    "tr": ({"tr", "td", "th"}, {"table"}),
-    "td": ({"td", "th"}, {"tr", "table"}),
-    "th": ({"td", "th"}, {"tr", "table"}),
-    "tbody": ({"thead", "tbody", "tfoot", "tr", "td", "th"}, {"table"}),
-    "tfoot": ({"thead", "tbody", "tfoot", "tr", "td", "th"}, {"table"}),
+    "li": (("li",), ("ul", "ol", "menu")),
+    "dt": (("dt", "dd"), ("dl",)),
+    "dd": (("dt", "dd"), ("dl",)),
+    "tr": (("tr", "td", "th"), ("table",)),
+    "td": (("td", "th"), ("tr", "table")),
+    "th": (("td", "th"), ("tr", "table")),
+    "tbody": (("thead", "tbody", "tfoot", "tr", "td", "th"), ("table",)),
+    "tfoot": (("thead", "tbody", "tfoot", "tr", "td", "th"), ("table",)),
+    "option": (("option",), ("select",)),
 }
-_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>")
-_NAME = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
+#: End tags of other elements, and start tags that end a paragraph, do not reach beyond these.
+_SCOPES = ("td", "th", "caption", "button")
+_TABLES = frozenset("table thead tbody tfoot tr td th caption button html body".split())
+_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+)>""")
+_PLAIN_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
+_NAME = re.compile(r"""\b(?:class|id|role)\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>"']++))""", re.I)
 _WORD = re.compile(r"[a-z]+|[0-9]+")
 _CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
+_LONG_NUMBER = re.compile(r"&#[0-9]{8,};?")
+
+# Tags and words of names by which authors tell what an element holds.
+_CONTENT_TAGS = frozenset(["article", "main"])
+_CONTENT_NAMES = frozenset(["article", "content", "entry", "main", "post", "story"])
+_JUNK_TAGS = frozenset(["aside", "button", "dialog", "footer", "form", "header", "menu", "nav", "noscript", "search", "select"])
+_JUNK_NAMES = frozenset([
+    "ad", "ads", "adv", "advert", "advertisement", "advertising", "aside", "banner", "breadcrumb", "colophon", "comment", "comments", "consent", "cookie", "copyright",
+    "discussion", "disqus", "foot", "footer", "form", "gdpr", "header", "legal", "login", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter",
+    "notice", "notification", "overlay", "pager", "pagination", "paywall", "popup", "privacy", "promo", "promotion", "recommended", "related", "replies", "responses",
+    "search", "share", "sharing", "sidebar", "signup", "social", "sponsor", "sponsored", "subnav", "subscribe", "tabs", "tags", "toc", "topbar", "topnav", "trending",
+    "widget",
+])
+_FREE, _JUNK, _CONTENT = 0, 1, 2
 
 _FEATURES = 1 << 13
 _KINDS = {"run": 0, "p": 1, "heading": 2, "list": 3, "container": 4, "other": 5}
+#: Nodes of bare pages that nothing names have kinds of their own: those above, plus this.
+_BARE = len(_KINDS)
+N_KINDS = 2 * _BARE
 
 
 class Tree:
     """Nodes of one page, parents before children."""
 
-    __slots__ = ("parent", "depth", "features", "kind", "texts", "signed")
+    __slots__ = ("parent", "depth", "features", "kind", "told", "texts", "signed", "bare")
 
     def __init__(self):
         self.parent: list[int] = []
         self.depth: list[int] = []
         self.features: list[list[str]] = []
         self.kind: list[int] = []
+        #: What the tags and names of a node and those above it tell: nothing, junk or content.
+        self.told: list[int] = []
         self.texts: dict[int, str] = {}
         self.signed: set[int] = set()
+        self.bare = False
 
-    def add(self, parent: int, kind: str, features: list[str]) -> int:
+    def add(self, parent: int, kind: str, features: list[str], told: int = _FREE) -> int:
         self.parent.append(parent)
         self.depth.append(self.depth[parent] + 1 if parent >= 0 else 0)
         self.kind.append(_KINDS[kind])
         self.features.append(features)
+        self.told.append(told)
         return len(self.parent) - 1
 
 
@@ -88,23 +123,34 @@ def _kind(tag: str) -> str:
     return "other"
 
 
-def _element_features(tag: str, attributes: str) -> list[str]:
+def _element(tag: str, attributes: str, told: int) -> tuple[list[str], int]:
+    """Features of an element, and what it and those above it (told) tell."""
     # What paragraphs, headings and lists are, their parents decide: evidence that all children
     # of an element share would otherwise count once for each of them.
     out = ["tag=" + tag] if _kind(tag) in ("container", "other") else []
-    if attributes:
+    if tag in _CONTENT_TAGS:
+        told = told or _CONTENT
+    elif tag in _JUNK_TAGS:
+        told = told or _JUNK
+    # The names of a whole page tell what kind of page it is.
+    if attributes and tag not in ("html", "body"):
         for m in _NAME.finditer(attributes):
             value = m[1] or m[2] or m[3] or ""
             # Capitals part words in names, as hyphens do.
-            for w in set(_WORD.findall(_CAMEL.sub(" ", value).lower())):
-                out.append("name=" + (w[:-1] if len(w) > 3 and w[-1] == "s" else w))
-    return out
+            words = set(_WORD.findall(_CAMEL.sub(" ", value).lower()))
+            out += ["name=" + (w[:-1] if len(w) > 3 and w[-1] == "s" else w) for w in words]
+            if not told:
+                told = _JUNK if words & _JUNK_NAMES else _CONTENT if words & _CONTENT_NAMES else _FREE
+    return out, told
 
 
-def _run_features(tag: str, text: str, linked: int) -> list[str]:
+def _link(text: str, linked: int) -> str:
     share = linked / max(1, len(text))
-    link = "none" if not linked else "all" if share > 0.9 else "most" if share > 0.5 else "some"
-    out = [f"link={link}"]
+    return "none" if not linked else "all" if share > 0.9 else "most" if share > 0.5 else "some"
+
+
+def _run_features(tag: str, text: str, linked: int) -> list[str]:
+    out = [f"link={_link(text, linked)}"]
     if _kind(tag) in ("container", "other"):
         n = text.count(" ") + 1
         size = "1" if n == 1 else "4" if n < 5 else "12" if n < 13 else "30" if n < 31 else "big"
@@ -114,57 +160,100 @@ def _run_features(tag: str, text: str, linked: int) -> list[str]:
     return out
 
 
+def _shape(tag: str, text: str, linked: int, total: int) -> list[str]:
+    """What the shape of a run on a bare page says, total being the words of the page."""
+    kind, link, n = _kind(tag), _link(text, linked), text.count(" ") + 1
+    size = "1" if n == 1 else "4" if n < 5 else "12" if n < 13 else "30" if n < 31 else "big"
+    part = n / max(1, total)
+    share = "most" if part > 0.5 else "much" if part > 0.15 else "some" if part > 0.03 else "little"
+    end = "end" if text[-1] in ".!?:…\"”»'’)。" else "open"
+    return ["bare", f"bare|{kind}|link={link}", f"bare|{kind}|size={size}", f"bare|share={share}", f"bare|{end}|size={size}", f"bare|link={link}|size={size}"] + ["bare|h1"] * (tag == "h1")
+
+
 def _ends(page: str, tag: str) -> dict[int, int]:
     """Where each element of the tag that has an end tag ends, by its start; elements may be nested."""
     out: dict[int, int] = {}
     opened: list[int] = []
-    for m in re.compile(rf"<(/?){tag}(?![\w:-])", re.I).finditer(page):
+    for m in re.compile(rf"<(/?){tag}(?![\w:-])([^<>]*+)>?", re.I).finditer(page):
         if m[1]:
             if opened:
-                close = page.find(">", m.end())
-                out[opened.pop()] = len(page) if close < 0 else close + 1
-        else:
-            whole = _TAG.match(page, m.start())
-            if whole and not whole[3].endswith("/"):
-                opened.append(m.start())
+                out[opened.pop()] = m.end()
+        elif not m[2].endswith("/"):
+            opened.append(m.start())
     return out
 
 
+def _decoded(chunk: str) -> str:
+    """One text node with its character references decoded."""
+    if "&" not in chunk:
+        return chunk
+    return html.unescape(_LONG_NUMBER.sub("�", chunk) if "&#" in chunk else chunk)
+
+
+class _Stack:
+    """Open elements, with the places of each tag, so that every search is one look at a list's end."""
+
+    def __init__(self, root: int):
+        self.tags, self.nodes = ["html"], [root]
+        self.at: dict[str, list[int]] = {"html": [0]}
+
+    def push(self, tag: str, node: int) -> None:
+        self.at.setdefault(tag, []).append(len(self.tags))
+        self.tags.append(tag)
+        self.nodes.append(node)
+
+    def nearest(self, tags: tuple[str, ...]) -> int:
+        """The place of the innermost open element of the tags, or 0."""
+        return max([found[-1] for t in tags if (found := self.at.get(t))], default=0)
+
+    def outermost_after(self, tags: tuple[str, ...], place: int) -> int:
+        """The place of the outermost open element of the tags beyond a place, or 0."""
+        found = [places[k] for t in tags if (places := self.at.get(t)) and (k := bisect.bisect_right(places, place)) < len(places)]
+        return min(found, default=0)
+
+    def cut(self, place: int) -> None:
+        for tag in self.tags[place:]:
+            self.at[tag].pop()
+        del self.tags[place:], self.nodes[place:]
+
+
 def parse(page: str) -> Tree:
-    """The tree of a page. Never fails: whatever is no tag is text, an unfinished tag at the end is dropped."""
+    """The tree of a page, in time linear in its length. Never fails: whatever is no tag is text, an unfinished tag at the end is dropped."""
     tree = Tree()
-    root = tree.add(-1, "container", ["tag=html"])
-    stack: list[tuple[str, int]] = [("html", root)]
+    stack = _Stack(tree.add(-1, "container", ["tag=html"]))
     parts: list[str] = []
+    shapes: list[tuple[int, str, int]] = []
     linked, in_link = 0, False
     pos, end = 0, len(page)
     ends: dict[str, dict[int, int]] = {}
+    pattern = _TAG
 
     def flush() -> None:
         nonlocal linked
         if parts:
-            text = " ".join(html.unescape("".join(parts)).split())
+            text = " ".join("".join(parts).split())
             parts.clear()
             if text:
-                tag, node = stack[-1]
-                tree.texts[tree.add(node, "run", _run_features(tag, text, linked))] = text
+                tag, node = stack.tags[-1], stack.nodes[-1]
+                told = tree.told[node]
+                run = tree.add(node, "run", _run_features(tag, text, linked), told)
+                tree.texts[run] = text
+                shapes.append((run, tag, linked))
         linked = 0
 
-    def close_to(at: int) -> None:
-        flush()
-        del stack[at:]
-
     while pos < end:
         lt = page.find("<", pos)
         if lt < 0:
-            parts.append(page[pos:])
-            break
+            lt = end
         if lt > pos:
-            parts.append(page[pos:lt])
+            chunk = _decoded(page[pos:lt])
+            parts.append(chunk)
             if in_link:
-                linked += lt - pos
+                linked += len(chunk)
+        if lt == end:
+            break
         if page.startswith("<!--", lt):
-            close = page.find("-->", lt + 4)
+            close = page.find("-->", lt + 2)
             pos = end if close < 0 else close + 3
             continue
         following = page[lt + 1 : lt + 2]
@@ -172,28 +261,32 @@ def parse(page: str) -> Tree:
             close = page.find(">", lt)
             pos = end if close < 0 else close + 1
             continue
-        m = _TAG.match(page, lt)
+        m = pattern.match(page, lt) if following == "/" or following.isalpha() else None
         if m is None:
-            if following.isalpha() or following == "/":
-                close = page.find(">", lt)
-                pos = end if close < 0 else close + 1
+            if following == "/" or following.isascii() and following.isalpha():
+                # Quotes that hide all later ends of tags are none: from here on a tag ends at its first >.
+                pattern = _PLAIN_TAG
+                m = pattern.match(page, lt)
+                if m is None:
+                    close = page.find(">", lt)
+                    pos = end if close < 0 else close + 1
+                    continue
             else:
                 parts.append("<")
                 pos = lt + 1
-            continue
+                continue
         pos = m.end()
         closing, tag, attributes = m[1], m[2].lower(), m[3]
+        if tag in _RAW:
+            if not closing and not attributes.endswith("/"):
+                done = re.compile(rf"</{tag}\s*>?", re.I).search(page, pos)
+                pos = end if done is None else done.end()
+            continue
         if tag in _SKIPPED:
             if not closing and not attributes.endswith("/"):
-                if tag == "head":
-                    continue
-                if tag in _RAW:
-                    done = re.compile(rf"</{tag}\s*>?", re.I).search(page, pos)
-                    pos = end if done is None else done.end()
-                    continue
                 if tag not in ends:
                     ends[tag] = _ends(page, tag)
-                pos = ends[tag].get(lt, pos)  # without an end tag the start tag means nothing
+                pos = ends[tag].get(lt, pos)
             continue
         if tag == "a":
             in_link = not closing
@@ -204,39 +297,50 @@ def parse(page: str) -> Tree:
         if tag not in _BLOCKS:
             continue
         if closing:
-            for at in range(len(stack) - 1, 0, -1):
-                if stack[at][0] == tag:
-                    close_to(at)
-                    break
+            place = stack.nearest((tag,))
+            if place and (tag in _TABLES or place > stack.nearest(_SCOPES)):
+                flush()
+                stack.cut(place)
+            elif tag == "p":
+                flush()  # it stands for an empty paragraph
             in_link = False
             continue
         if tag == "html":
             continue
         flush()
         in_link = False
+        if tag not in ("option", "optgroup", "hr"):
+            place = stack.nearest(("select",))  # one that nothing ended holds no other blocks
+            if place:
+                stack.cut(place)
         if tag in _HEADED:
-            for at in range(len(stack) - 1, max(0, len(stack) - 4), -1):
-                if stack[at][0] == "p":
-                    close_to(at)
-                    break
-                if stack[at][0] not in ("button", "label"):
-                    break
+            place = stack.nearest(("p",))
+            if place > stack.nearest(_SCOPES):
+                stack.cut(place)
         if tag in _CLOSES:
             closed, stop = _CLOSES[tag]
-            first = None
-            for at in range(len(stack) - 1, 0, -1):
-                if stack[at][0] in stop:
-                    break
-                if stack[at][0] in closed:
-                    first = at
-            if first is not None:
-                close_to(first)
-        if tag in _VOID or attributes.endswith("/") and tag == "hr":
+            place = stack.outermost_after(closed, stack.nearest(stop))
+            if place:
+                stack.cut(place)
+        if tag in _VOID:
             continue
-        stack.append((tag, tree.add(stack[-1][1], _kind(tag), _element_features(tag, attributes))))
+        node = stack.nodes[-1]
+        features, told = _element(tag, attributes, tree.told[node])
+        stack.push(tag, tree.add(node, _kind(tag), features, told))
         if CONTENT_SIGN in attributes:
-            tree.signed.add(stack[-1][1])
+            tree.signed.add(stack.nodes[-1])
     flush()
+    words = [0, 0, 0]
+    for run, text in tree.texts.items():
+        words[tree.told[run]] += text.count(" ") + 1
+    tree.bare = 3 * words[_CONTENT] < words[_FREE]
+    if tree.bare:
+        for i, told in enumerate(tree.told):
+            if not told:
+                tree.kind[i] += _BARE
+        for run, tag, n in shapes:
+            if not tree.told[run]:
+                tree.features[run] += _shape(tag, tree.texts[run], n, sum(words))
     return tree
 
 
@@ -304,20 +408,27 @@ class Forest:
 
 def _labels(tree: Tree) -> list[int]:
     """Labels of all nodes of a labelled page. An element is content if it holds content and lies in
-    a signed element or is one, or is a block of its own (a paragraph, list, heading) without any junk."""
+    a signed element or is one, is a block of its own (a paragraph, list, heading) without any junk,
+    or, where nothing names it on a bare page, most of its text is content."""
     n = len(tree.parent)
     good, bad, label = [0] * n, [0] * n, [0] * n
+    good_words, words = [0] * n, [0] * n
     for i in range(n - 1, -1, -1):
         if i in tree.texts:
             good[i] = int("\ue001" in tree.texts[i])
             bad[i] = 1 - good[i]
-        if tree.parent[i] >= 0:
-            good[tree.parent[i]] += good[i]
-            bad[tree.parent[i]] += bad[i]
+            words[i] = tree.texts[i].count(" ") + 1
+            good_words[i] = words[i] * good[i]
+        if (p := tree.parent[i]) >= 0:
+            good[p] += good[i]
+            bad[p] += bad[i]
+            good_words[p] += good_words[i]
+            words[p] += words[i]
     for i in range(n):
-        inside = tree.parent[i] >= 0 and label[tree.parent[i]]
+        inside = tree.parent[i] >= 0 and label[tree.parent[i]] and tree.kind[i] < _BARE
         whole = not bad[i] and tree.kind[i] != _KINDS["container"]
-        label[i] = int(good[i] > 0 and (i in tree.texts or i in tree.signed or inside or whole))
+        mostly = tree.kind[i] >= _BARE and 2 * good_words[i] > words[i]
+        label[i] = int(good[i] > 0 and (i in tree.texts or i in tree.signed or inside or whole or mostly))
     return label
 
 
@@ -326,7 +437,7 @@ def _edges(odds: np.ndarray) -> np.ndarray:
     return np.stack([-np.logaddexp(0, odds), -np.logaddexp(0, -odds)], axis=2)
 
 
-def train(pages: int = 500, steps: int = 200, seed: int = 7) -> dict[str, np.ndarray]:
+def train(pages: int = 800, steps: int = 200, seed: int = 7) -> dict[str, np.ndarray]:
     """Weights by maximum likelihood (with a small L2 penalty) over labelled pages."""
     trees = [parse(p) for p in labelled_pages(pages, seed)]
     label = np.array([y for t in trees for y in _labels(t)])
@@ -337,15 +448,15 @@ def train(pages: int = 500, steps: int = 200, seed: int = 7) -> dict[str, np.nda
     own = np.bincount(forest.slot, label[forest.owner], _FEATURES)
     child = np.flatnonzero(forest.parent >= 0)
     flat = forest.kind[child] * 4 + label[forest.parent[child]] * 2 + label[child]
-    seen = np.bincount(flat, minlength=4 * len(_KINDS)).reshape(-1, 2, 2)
+    seen = np.bincount(flat, minlength=4 * N_KINDS).reshape(-1, 2, 2)
     # An edge's potential is P(own label | parent's label), by kind: a child without evidence has no say.
-    weights, odds = np.zeros(_FEATURES), np.zeros((len(_KINDS), 2))
+    weights, odds = np.zeros(_FEATURES), np.zeros((N_KINDS, 2))
     m = [np.zeros_like(weights), np.zeros_like(odds)]
     v = [np.zeros_like(weights), np.zeros_like(odds)]
     for step in range(1, steps + 1):
         edge = _edges(odds)
         p, joint = forest.marginals(weights, edge)
-        expected = np.stack([np.bincount(forest.kind[child], joint[child, a, b], len(_KINDS)) for a in (0, 1) for b in (0, 1)], axis=1).reshape(-1, 2, 2)
+        expected = np.stack([np.bincount(forest.kind[child], joint[child, a, b], N_KINDS) for a in (0, 1) for b in (0, 1)], axis=1).reshape(-1, 2, 2)
         left, one = seen - expected, np.exp(edge[:, :, 1])
         gradients = (
             own - np.bincount(forest.slot, p[forest.owner], _FEATURES) - 0.3 * weights,

@@ -2,7 +2,8 @@
 
 Pages are composed here from the parts that web pages are made of, with the names that authors
 give to those parts; every block of text carries its label. Words are random letters, so nothing
-but structure, names and shape can be learned from them.
+but structure, names and shape can be learned from them. Half of the pages name nothing that holds
+content: their articles lie in plain elements, table cells, the body or no element at all.
 """
 
 from __future__ import annotations
@@ -62,7 +63,8 @@ class Composer:
         if kind == "nav":
             inner = self.links(r.randint(2, 8))
         elif kind == "form":
-            inner = f'<label>{text(1, 3)}</label><input type="text"><p>{text(2, 12)}</p><button>{text(1, 2)}</button>'
+            choice = f"<select><option>{text(1, 2)}<option>{text(1, 2)}</select>" if r.random() < 0.3 else ""
+            inner = f'<label>{text(1, 3)}</label><input type="text">{choice}<p>{text(2, 12)}</p><button>{text(1, 2)}</button>'
         elif kind == "comments":
             inner = "".join(f"<div>{'<p>' * (k % 2)}{text(3, 40)}{'</p>' * (k % 2)}</div>" for k in range(r.randint(1, 4)))
             inner = (f"<h2>{text(1, 2)}</h2>" if r.random() < 0.6 else "") + inner
@@ -72,6 +74,8 @@ class Composer:
             inner = r.choice(["", "&copy; "]) + text(3, 25) + (self.links(2) if r.random() < 0.3 else "")
         elif kind == "header":
             inner = r.choice([f"<h1>{text(1, 4)}</h1>", f"<div>{text(1, 5)}</div>", f"<a href='/'>{text(1, 3)}</a>", text(1, 6), f"<h1>{text(1, 3)}</h1><p>{text(2, 8)}</p>"])
+        elif kind == "notice" and r.random() < 0.1:
+            return f"<noscript>{text(3, 12)}</noscript>"
         else:
             inner = text() if r.random() < 0.5 else f"<p>{text()}</p>" * r.randint(1, 2)
         bare = tag == _TAGS.get(kind) and r.random() < 0.6
@@ -129,7 +133,69 @@ class Composer:
             return inner
         return self.named(r.choice(["div", "div", "section"]), _BODY, inner, sign)
 
+    def bare_junk(self, kind: str) -> str:
+        """A part of a page that nothing names: its shape alone tells."""
+        r = self.r
+        text = lambda low, high: self.mark(self.words(low, high), False)
+        tag = r.choice(["div", "div", "p", "section", "center"])
+        link = lambda low, high: f'<a href="#">{text(low, high)}</a>'
+        if kind in ("nav", "aside", "header"):
+            shape = r.random()
+            if shape < 0.45:
+                return self.links(r.randint(2, 9))
+            if shape < 0.7:
+                return f"<{tag}>" + r.choice([" | ", " ", " &middot; ", "<br>"]).join(f'<a href="#">{self.words(1, 3)}</a>' for _ in range(r.randint(2, 7))).replace(">", ">\ue000", 1) + f"</{tag}>"
+            if shape < 0.85:
+                return f"<div><h3>{text(1, 3)}</h3>{self.links(r.randint(2, 6))}</div>"
+            return "".join(f"<div>{link(1, 4)}</div>" for _ in range(r.randint(1, 5)))
+        if kind == "footer":
+            return f"<{tag}>{self.mark('&copy; ' + self.words(1, 10), False)}</{tag}>"
+        if kind == "form":
+            return self.junk("form") if r.random() < 0.5 else f"<form><input><p>{text(1, 6)}</p><button>{text(1, 2)}</button></form>"
+        return f"<{tag}>{r.choice([text(1, 4), link(2, 9)])}</{tag}>"
+
+    def bare_prose(self) -> str:
+        r = self.r
+        style = r.choice([(1, 60), (5, 20), (8, 40), (20, 90)])
+        parts = [self.prose(style) for _ in range(r.choice([1, 1, 2, r.randint(2, 6), r.randint(4, 20)]))]
+        if r.random() < 0.6:
+            parts.insert(0, f"<h{(h := r.choice('1112'))}>{self.mark(self.words(1, 10), True)}</h{h}>")
+        return "".join(parts)
+
+    def bare_page(self) -> str:
+        """A page whose article no tag or name tells."""
+        r = self.r
+        kind = r.random()
+        if kind < 0.12:  # running text without any block
+            text = self.mark(self.words(3, 120), True)
+            article = text if r.random() < 0.5 else text + "<br><br>" + self.words(3, 60)
+            article = article if r.random() < 0.4 else f"<div>{article}</div>"
+        elif kind < 0.22:
+            article = "".join(f"<div>{self.mark(self.words(6, 70), True)}</div>" for _ in range(r.randint(1, 8)))
+        else:
+            article = self.bare_prose()
+        for _ in range(r.choice([0, 0, 1, 1, 2])):
+            article = self.named("div", _PLAIN[:3] + ["c1", "x1", "col", "box", "inner", "row"], article)
+        junk = lambda k: self.junk(k) if r.random() < 0.4 else self.bare_junk(k)
+        first = [junk(k) for k, share in (("header", 0.25), ("nav", 0.45), ("ad", 0.2), ("notice", 0.15)) if r.random() < share]
+        last = [junk(k) for k, share in (("aside", 0.3), ("ad", 0.2), ("form", 0.15), ("footer", 0.45)) if r.random() < share]
+        if r.random() < 0.12:  # cells of a table as columns of a page
+            cells = [f"<td>{''.join(first) or self.links(3)}</td>", f"<td>{article}</td>"] + [f"<td>{self.links(4)}</td>"] * (r.random() < 0.3)
+            body = f"<table><tr>{''.join(cells)}</tr>" + f"<tr><td>{''.join(last)}</td></tr>" * bool(last) + "</table>"
+        else:
+            body = "".join([*first, article, *last])
+        for _ in range(r.choice([0, 0, 0, 1, 2])):
+            body = self.named("div", _WRAP, body)
+        if r.random() < 0.25:
+            return body
+        return f"<html><head><title>{self.words(1, 5)}</title></head><body>{body}</body></html>"
+
     def page(self) -> str:
+        if self.r.random() < 0.5:
+            return self.bare_page()
+        return self.named_page()
+
+    def named_page(self) -> str:
         r = self.r
         parts = [self.article()]
         for kind, share, before in (("notice", 0.35, 0.7), ("ad", 0.5, 0.6), ("nav", 0.75, 0.85), ("header", 0.55, 1.0), ("aside", 0.45, 0.2), ("form", 0.25, 0.4), ("comments", 0.4, 0.0), ("ad", 0.2, 0.0), ("footer", 0.75, 0.0)):

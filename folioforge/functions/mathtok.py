@@ -7,18 +7,22 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from folioforge.functions.text import let
+
 # What counts as math.
 REGIONS = (r"\$[^$]+?\$", r"\$\$[^$]+?\$\$", r"\\\([^)]+?\\\)", r"\\\[[^\]]+?\\\]")
 PLAIN_COMMANDS = (
-    "sum prod int lim inf sup sqrt log ln exp sin cos tan alpha beta gamma delta epsilon zeta eta theta lambda mu nu pi rho sigma tau phi chi psi omega "
-    "Gamma Delta Theta Lambda Sigma Phi Psi Omega subset supset subseteq supseteq in notin cup cap times otimes oplus to rightarrow leftarrow mapsto "
-    "infty partial nabla forall exists leq geq neq approx equiv"
-).split()
+    "sum", "prod", "int", "lim", "inf", "sup", "sqrt", "log", "ln", "exp", "sin", "cos", "tan", "alpha", "beta", "gamma", "delta", "epsilon", "zeta", "eta",
+    "theta", "lambda", "mu", "nu", "pi", "rho", "sigma", "tau", "phi", "chi", "psi", "omega", "Gamma", "Delta", "Theta", "Lambda", "Sigma", "Phi", "Psi", "Omega",
+    "subset", "supset", "subseteq", "supseteq", "in", "notin", "cup", "cap", "times", "otimes", "oplus", "to", "rightarrow", "leftarrow", "mapsto", "infty",
+    "partial", "nabla", "forall", "exists", "leq", "geq", "neq", "approx", "equiv",
+)
+# Those with arguments apart: they need a pattern each, while one scan finds all plain ones.
 ARGUMENT_COMMANDS = (
     r"\\frac\{[^}]*\}\{[^}]*\}", r"\\mathbb\{[A-Z]\}", r"\\mathcal\{[A-Z]\}", r"\\mathfrak\{[a-z]\}", r"\\text\{[^}]*\}", r"\\mathrm\{[^}]*\}", r"\\operatorname\{[^}]*\}",
 )
 VARIABLE = r"(?<![a-zA-Z\\])([A-Za-z])(?:_\{?[^}\s]*\}?)?(?:\^\{?[^}\s]*\}?)?"
-BACKSLASHED = "frac sum prod int lim sqrt log ln sin cos tan exp infty partial nabla".split()
+BACKSLASHED = ("frac", "sum", "prod", "int", "lim", "sqrt", "log", "ln", "sin", "cos", "tan", "exp", "infty", "partial", "nabla")
 
 
 def regions(c: Column) -> Column:
@@ -26,11 +30,6 @@ def regions(c: Column) -> Column:
     return F.flatten(F.array(*[F.regexp_extract_all(c, F.lit("(?s)" + p), F.lit(0)) for p in REGIONS]))
 
 
-def let(value: Column, body) -> Column:
-    """body(value) with value evaluated once, however often body uses it."""
-    return F.transform(F.array(value), body)[0]
-
-
 def commands(c: Column) -> Column:
     """All commands, as prefixes: \\in also stands at the head of \\int. One scan finds the words, each gives the commands it begins with."""
     with_arguments = [F.regexp_extract_all(c, F.lit(p), F.lit(0)) for p in ARGUMENT_COMMANDS]
@@ -72,8 +71,15 @@ def restore_delimiters(text: Column, missing: Column) -> Column:
 
 
 def restore_backslashes(c: Column) -> Column:
-    """Backslashes before command names that lost them, one name after the other, inside words too."""
-    return reduce(lambda t, name: F.regexp_replace(t, rf"(?<!\\)({name})(?=[\s{{(])", r"\\$1"), BACKSLASHED, c)
+    """Backslashes before command names that lost them, one name after the other, inside words too.
+
+    A search for the name alone comes first; the pattern begins with the name, and looks back over it last.
+    """
+
+    def restored(t: Column, name: str) -> Column:
+        return let(t, lambda x: F.when(F.contains(x, F.lit(name)), F.regexp_replace(x, rf"{name}(?=[\s{{(])(?<!\\{name})", rf"\\{name}")).otherwise(x))
+
+    return reduce(restored, BACKSLASHED, c)
 
 
 def preservation(original: Column, still_missing: Column) -> Column:

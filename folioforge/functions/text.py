@@ -28,19 +28,29 @@ FILLER_ENDINGS = ("궁금한 점이 있으면", "언제든지 물어봐주세요
 
 # Words without content, for search terms.
 STOP_WORDS = (
-    "the a an is are was were be been has have had do does did will would could should may might can shall that this these those it its of in on "
-    "at to for with by from as or and not no but if then than so very"
-).split()
+    "the", "a", "an", "is", "are", "was", "were", "be", "been", "has", "have", "had", "do", "does", "did", "will", "would", "could", "should", "may", "might",
+    "can", "shall", "that", "this", "these", "those", "it", "its", "of", "in", "on", "at", "to", "for", "with", "by", "from", "as", "or", "and", "not", "no",
+    "but", "if", "then", "than", "so", "very",
+)
+
+# White space, by ASCII and by Unicode.
+ASCII_SPACE = " \t\n\x0b\x0c\r"
+UNICODE_SPACE = ASCII_SPACE + "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+def let(value: Column, body) -> Column:
+    """body(value) with value evaluated once, however often body uses it."""
+    return F.transform(F.array(value), body)[0]
 
 
 def py_strip(c: Column) -> Column:
     """Both ends without any Unicode white space."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(UNICODE_SPACE))
 
 
 def ascii_strip(c: Column) -> Column:
     """Both ends without space, tab, line feed, vertical tab, form feed, carriage return."""
-    return F.regexp_replace(c, r"^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+$", "")
+    return F.btrim(c, F.lit(ASCII_SPACE))
 
 
 def is_blank(c: Column) -> Column:
@@ -108,7 +118,7 @@ def strip_think(c: Column) -> Column:
 
 def heading_text(c: Column) -> Column:
     """The text of a heading's markup without the bodies of span, sup and a."""
-    return ascii_strip(strip_tags(F.regexp_replace(c, r"(?s)<(span|sup|a)\b[^>]*>.*?</(span|sup|a)>", "")))
+    return ascii_strip(strip_tags(F.regexp_replace(c, r"(?s)<(span|sup|a)\b[^>]*>.*?</\1>", "")))
 
 
 def clean_output(c: Column) -> Column:
@@ -163,15 +173,24 @@ def concept_title(answer: Column, term: Column) -> Column:
     return F.when(F.length(first) < 2, term).otherwise(first)
 
 
-def search_terms(c: Column, stop_words=STOP_WORDS) -> Column:
-    """Words of letters, digits and hyphens longer than 2 that are no stop words: capitalised first, longer first, then in order."""
-    words = F.transform(F.split(ascii_strip(c), r"[ \t\n\x0B\f\r]+"), lambda x: F.regexp_replace(x, "[^a-zA-Z0-9-]", ""))
-    stops = F.array(*map(F.lit, stop_words))
-    keyed = F.transform(
-        words, lambda x, i: F.struct(F.when(x.rlike("^[A-Z]"), 0).otherwise(1).alias("k"), (-F.length(x)).alias("n"), i.alias("i"), x.alias("w"))
-    )
-    kept = F.filter(keyed, lambda s: (F.length(s["w"]) > 2) & ~F.array_contains(stops, F.lower(s["w"])))
-    return F.transform(F.array_sort(kept), lambda s: s["w"])
+def search_terms(c: Column, stop_words=STOP_WORDS, most: int | None = None) -> Column:
+    """Words of letters, digits and hyphens longer than 2 that are no stop words: capitalised first, longer first, then in order; the first ones, if most is given."""
+    words = F.split(F.regexp_replace(c, r"[^a-zA-Z0-9\x20\x09-\x0D-]+", ""), r"[\x20\x09-\x0D]+")
+    # One search in a line of all stop words, and none for words longer than those.
+    stops, longest = F.lit(" " + " ".join(stop_words) + " "), max(map(len, stop_words), default=0)
+    is_stop = lambda x: (F.length(x) <= longest) & F.contains(stops, F.concat(F.lit(" "), F.lower(x), F.lit(" ")))
+    capital = lambda x: F.left(x, F.lit(1)).between("A", "Z")
+
+    def ranked(kept: Column) -> Column:
+        keyed = F.transform(kept, lambda x, i: F.struct(F.when(capital(x), 0).otherwise(1).alias("k"), (-F.length(x)).alias("n"), i.alias("i"), x.alias("w")))
+        return F.transform(F.array_sort(keyed), lambda s: s["w"])
+
+    kept = F.filter(words, lambda x: (F.length(x) > 2) & ~is_stop(x))
+    if most is None:
+        return ranked(kept)
+    # With enough capitalised words the others need no place in the order.
+    enough = let(kept, lambda k: let(F.filter(k, capital), lambda n: F.when(F.size(n) >= most, n).otherwise(k)))
+    return F.slice(ranked(enough), 1, most)
 
 
 def script_count(c: Column, ranges: str) -> Column:

@@ -40,8 +40,9 @@ def drop_repeats(paragraphs: DataFrame, id_col: str, prefix: int = 30) -> DataFr
 def is_untranslated(para: Column, least: float = 0.15, longer: int = 100) -> Column:
     """Long paragraphs whose letters are hardly Hangul; without any letters they count as translated."""
     hangul, latin = T.script_count(para, T.HANGUL), T.script_count(para, "a-zA-Z")
-    total = hangul + latin
-    return (total > 0) & (hangul / F.greatest(total, F.lit(1)) < least) & (F.length(para) > longer)
+    # Without any Hangul one Latin letter is enough to know.
+    few = F.when(~para.rlike(f"[{T.HANGUL}]"), para.rlike("[a-zA-Z]")).otherwise(hangul / (hangul + latin) < least)
+    return (F.length(para) > longer) & few
 
 
 def chunk_array(text: Column, sep: str = "\n\n", most: int = 2000) -> Column:
@@ -85,10 +86,17 @@ def clean_translated(df: DataFrame, id_col: str, text_col: str, prefix: int = 30
     c = T.strip_comment_lines(T.strip_east_asian(F.coalesce(F.col(text_col), F.lit(""))))
     c = T.strip_tags(T.scripts_to_tex(T.strip_headers(T.strip_bullets(T.strip_emphasis(c)))))
     parts = F.filter(F.transform(F.split(c, "\n\n", -1), T.py_strip), lambda x: (x != "") & ~is_untranslated(x))
-    # A paragraph repeats an earlier one if both begin with the same characters and it is longer than those.
-    first = F.filter(parts, lambda x, i: (F.length(x) <= prefix) | ~F.exists(F.slice(parts, F.lit(1), i), lambda y: F.left(y, F.lit(prefix)) == F.left(x, F.lit(prefix))))
-    kept = F.when(F.size(parts) > 1, first).otherwise(parts)
-    return df.select(id_col, T.py_strip(T.collapse_spaces(T.collapse_newlines(F.array_join(kept, "\n\n")))).alias("text"))
+
+    def once(keyed: Column) -> Column:
+        # A paragraph repeats an earlier one if both begin with the same characters and it is longer than those: in order of
+        # beginnings and places, an earlier one stands right before.
+        again = lambda s, i: (F.length(s["x"]) > prefix) & (i > 0) & (F.try_element_at(keyed, i)["b"] == s["b"])
+        kept = F.filter(keyed, lambda s, i: ~F.coalesce(again(s, i), F.lit(False)))
+        return F.transform(F.array_sort(F.transform(kept, lambda s: F.struct(s["i"].alias("i"), s["x"].alias("x")))), lambda s: s["x"])
+
+    keyed = F.array_sort(F.transform(parts, lambda x, i: F.struct(F.left(x, F.lit(prefix)).alias("b"), i.alias("i"), x.alias("x"))))
+    text = F.array_join(T.let(keyed, once), "\n\n")
+    return df.select(id_col, T.py_strip(T.collapse_spaces(T.collapse_newlines(text))).alias("text"))
 
 
 def bullet_runs(lines: DataFrame, id_col: str, pos_col: str = "pos", text_col: str = "line") -> DataFrame:

@@ -23,25 +23,33 @@ BARE_MATH = (
 )
 
 
-def outside(c: Column, regions: str, change) -> Column:
+def _any(c: Column, signs: str) -> Column:
+    return reduce(lambda a, b: a | b, [F.contains(c, F.lit(s)) for s in signs])
+
+
+def outside(c: Column, regions: str, change, signs: str) -> Column:
     """c with change() applied to the texts between matches of regions, which stay as they are.
 
+    Every match holds one of the signs: without any of them the whole text is changed at once.
+
     The texts between and the matches alternate, so both arrays are zipped and joined again; all of
     it is a native expression.
     """
-    between = F.split(c, regions, -1)
-    inside = F.regexp_extract_all(c, F.lit(regions), F.lit(0))
-    woven = F.zip_with(between, inside, lambda a, b: F.concat(change(F.coalesce(a, F.lit(""))), F.coalesce(b, F.lit(""))))
-    return F.array_join(woven, "")
+
+    def woven(t: Column) -> Column:
+        inside = F.regexp_extract_all(t, F.lit(regions), F.lit(0))
+        return F.array_join(F.zip_with(F.split(t, regions, -1), inside, lambda a, b: F.concat(change(F.coalesce(a, F.lit(""))), F.coalesce(b, F.lit("")))), "")
+
+    return T.let(c, lambda t: F.when(_any(t, signs), woven(t)).otherwise(change(t)))
 
 
 def wrap_bare_math(c: Column) -> Column:
     """a_1, x^2, e^(..), r ^1.4 outside math become inline math."""
 
     def wrap(x: Column) -> Column:
-        return reduce(lambda t, rule: F.regexp_replace(t, *rule), BARE_MATH, x)
+        return F.when(_any(x, "_^"), reduce(lambda t, rule: F.regexp_replace(t, *rule), BARE_MATH, x)).otherwise(x)
 
-    return outside(c, MATH, wrap)
+    return outside(c, MATH, wrap, "$\\")
 
 
 def escape_specials(c: Column) -> Column:
@@ -51,7 +59,7 @@ def escape_specials(c: Column) -> Column:
         x = F.regexp_replace(x, "([&%#_])", r"\\$1")
         return F.replace(x, F.lit("^"), F.lit("\\^{}"))
 
-    return outside(c, MATH, lambda x: outside(x, PROTECTED, escape))
+    return outside(c, MATH, lambda x: outside(x, PROTECTED, escape, "\\"), "$\\")
 
 
 def escape_light(c: Column) -> Column:
@@ -60,52 +68,64 @@ def escape_light(c: Column) -> Column:
     def escape(x: Column) -> Column:
         return F.regexp_replace(F.regexp_replace(x, "([&%#])", r"\\$1"), r"(?<!\\)_", r"\\_")
 
-    return outside(F.coalesce(c, F.lit("")), DOLLARS, escape)
+    return outside(F.coalesce(c, F.lit("")), DOLLARS, escape, "$")
 
 
 def space_scripts(c: Column) -> Column:
     """A blank at both kinds of border between East Asian and Latin letters or digits."""
     east, west = f"[{T.HANGUL}{T.HAN}{T.HAN_EXTENSION_A}]", "[a-zA-Z0-9]"
-    c = F.regexp_replace(c, f"({east})({west})", "$1 $2")
-    return F.regexp_replace(c, f"({west})({east})", "$1 $2")
+    spaced = lambda t: F.regexp_replace(F.regexp_replace(t, f"({east})({west})", "$1 $2"), f"({west})({east})", "$1 $2")
+    return T.let(c, lambda t: F.when(t.rlike(east), spaced(t)).otherwise(t))
 
 
 def break_long_runs(c: Column, longer: int = 12, every: int = 10) -> Column:
     """A break token after every so many letters of Hangul runs that are longer than that."""
-    run = f"[{T.HANGUL}]{{{longer + 1},}}"
-    between, inside = F.split(c, run, -1), F.regexp_extract_all(c, F.lit(run), F.lit(0))
-    token = BREAK_TOKEN.replace("\\", "\\\\")
-    broken = F.transform(inside, lambda r: F.regexp_replace(r, f"(.{{{every}}})(?=.)", f"$1{token}"))
-    return F.array_join(F.zip_with(between, broken, lambda a, b: F.concat(F.coalesce(a, F.lit("")), F.coalesce(b, F.lit("")))), "")
+    run, token = f"[{T.HANGUL}]{{{longer + 1},}}", BREAK_TOKEN.replace("\\", "\\\\")
+
+    def broken(t: Column) -> Column:
+        inside = F.transform(F.regexp_extract_all(t, F.lit(run), F.lit(0)), lambda r: F.regexp_replace(r, f"(.{{{every}}})(?=.)", f"$1{token}"))
+        return F.array_join(F.zip_with(F.split(t, run, -1), inside, lambda a, b: F.concat(F.coalesce(a, F.lit("")), F.coalesce(b, F.lit("")))), "")
+
+    return T.let(c, broken)
 
 
 def wrap_bullets(c: Column) -> Column:
     """Runs of bullet lines between list marks: a line's neighbours tell whether it begins or ends a run."""
-    lines = F.split(c, "\n", -1)
     bullet = lambda x: F.coalesce(x, F.lit("")).rlike(r"^\s*[*-]\s+")
 
-    def line(x: Column, i: Column) -> Column:
-        before = (i > 0) & bullet(F.try_element_at(lines, i))
-        after = bullet(F.try_element_at(lines, i + 2))
-        item = F.concat(F.lit("\\item "), F.regexp_replace(x, r"^\s*[*-]\s+", ""))
-        opened = F.when(before, item).otherwise(F.concat(F.lit("\\begin{itemize}\n"), item))
-        closed = F.when(after, opened).otherwise(F.concat(opened, F.lit("\n\\end{itemize}")))
-        return F.when(bullet(x), closed).otherwise(x)
+    def joined(lines: Column) -> Column:
+        def line(x: Column, i: Column) -> Column:
+            before = (i > 0) & bullet(F.try_element_at(lines, i))
+            after = bullet(F.try_element_at(lines, i + 2))
+            item = F.concat(F.lit("\\item "), F.regexp_replace(x, r"^\s*[*-]\s+", ""))
+            opened = F.when(before, F.lit("")).otherwise(F.lit("\\begin{itemize}\n"))
+            closed = F.when(after, F.lit("")).otherwise(F.lit("\n\\end{itemize}"))
+            return F.when(bullet(x), F.concat(opened, item, closed)).otherwise(x)
+
+        return F.array_join(F.transform(lines, line), "\n")
+
+    return T.let(F.split(c, "\n", -1), joined)
 
-    return F.array_join(F.transform(lines, line), "\n")
+
+# Markup that becomes commands, each pattern with what it becomes; first those before lists, then those after.
+MARKUP_BEFORE = (
+    (r"(?d)\*\*(.+?)\*\*", r"\\textbf{$1}"),
+    (r"(?d)(?<!\*)\*(?!\*)(.+?)(?<!\*)\*(?!\*)", r"\\textit{$1}"),
+)
+MARKUP_AFTER = (
+    (r"(?md)^\s*#{1,3}\s+(.+)$", r"\\paragraph{$1}"),
+    (r"(?d)<sup>(.*?)</sup>", r"\\textsuperscript{$1}"),
+    (r"(?d)<sub>(.*?)</sub>", r"\\textsubscript{$1}"),
+    (r"<br\s*/?>", r"\\\\\\\\"),
+)
+DISPLAY_MATH = (r"(?s)\$\$(.+?)\$\$", r"\\[$1\\]")
 
 
 def clean_for_latex(c: Column) -> Column:
     """Markdown, HTML, display math, bare math, escaping, breaks, white space; in this order."""
-    c = F.coalesce(c, F.lit(""))
-    c = F.regexp_replace(c, r"(?d)\*\*(.+?)\*\*", r"\\textbf{$1}")
-    c = F.regexp_replace(c, r"(?d)(?<!\*)\*(?!\*)(.+?)(?<!\*)\*(?!\*)", r"\\textit{$1}")
-    c = wrap_bullets(c)
-    c = F.regexp_replace(c, r"(?md)^\s*#{1,3}\s+(.+)$", r"\\paragraph{$1}")
-    c = F.regexp_replace(c, r"(?d)<sup>(.*?)</sup>", r"\\textsuperscript{$1}")
-    c = F.regexp_replace(c, r"(?d)<sub>(.*?)</sub>", r"\\textsubscript{$1}")
-    c = T.strip_tags(F.regexp_replace(c, r"<br\s*/?>", r"\\\\\\\\"))
-    c = F.regexp_replace(c, r"(?s)\$\$(.+?)\$\$", r"\\[$1\\]")
+    c = reduce(lambda t, rule: F.regexp_replace(t, *rule), MARKUP_BEFORE, F.coalesce(c, F.lit("")))
+    c = reduce(lambda t, rule: F.regexp_replace(t, *rule), MARKUP_AFTER, wrap_bullets(c))
+    c = F.regexp_replace(T.strip_tags(c), *DISPLAY_MATH)
     c = escape_specials(wrap_bare_math(c))
     c = T.collapse_spaces(break_long_runs(space_scripts(c)))
     return T.py_strip(T.collapse_newlines(c))

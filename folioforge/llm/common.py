@@ -7,10 +7,11 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioforge.shipping import ship
@@ -45,7 +46,8 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write df as a Parquet table in the shared folder and return a scan of it.
 
     Cuts lineage: a lost executor costs only tasks of the current stage, and every reader sees
-    the same rows. discard() deletes the table once later tables have replaced it.
+    the same rows. discard() deletes the table once later tables have replaced it; stage_tables()
+    deletes all that a block of code left.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
@@ -66,6 +68,25 @@ def discard(df: DataFrame) -> None:
         _written.pop(path, None)
 
 
+@contextmanager
+def stage_tables() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Deletes the tables written inside the block at its end, but for those given to the function that it yields.
+
+    Results of operators are lazy and read their tables: write what is wanted and keep that.
+    """
+    before, kept = set(_written), set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.add(getattr(df, "_stage_path", None))
+        return df
+
+    try:
+        yield keep
+    finally:
+        for path in [p for p in _written if p not in before and p not in kept]:
+            _delete(_written.pop(path), path)
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
@@ -78,32 +99,34 @@ def _clear() -> None:
             _delete(spark, path)
 
 
-#: Rows that go to a Python worker at once: texts of any length count in full, so few rows bound the buffers on both sides.
-BATCH_ROWS = 256
-
-
-def bound_batches(spark: SparkSession) -> None:
-    """Lowers the session's rows per Arrow batch to BATCH_ROWS, unless it has fewer already; lets workers import the package."""
-    ship(spark)
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(name))
-    if now <= 0 or now > BATCH_ROWS:
-        spark.conf.set(name, str(BATCH_ROWS))
+#: Rows and bytes that are Python objects at once. Arrow's own batches are bounded in bytes by the session
+#: (spark.sql.execution.arrow.maxBytesPerBatch, 64 MB unless the caller says otherwise).
+SLICE_ROWS, SLICE_BYTES = 256, 4_000_000
 
 
 def id_and_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id long, text binary): the bytes of the whole text, null as empty. Other columns are not read."""
-    bound_batches(df.sparkSession)
+    ship(df.sparkSession)
     return df.select(
         F.col(id_col).cast("long").alias("id"),
         F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text"),
     )
 
 
-def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list]]:
-    """Ids and texts of each batch as Python lists."""
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of few rows and bytes; a row of more bytes is a part of its own."""
     for batch in batches:
-        yield batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        step = SLICE_ROWS
+        if batch.num_rows and batch.nbytes > SLICE_BYTES:
+            step = max(1, min(SLICE_ROWS, SLICE_BYTES * batch.num_rows // batch.nbytes))
+        for at in range(0, batch.num_rows, step):
+            yield batch.slice(at, step)
+
+
+def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list]]:
+    """Ids and texts as Python lists, a slice at a time."""
+    for part in slices(batches):
+        yield part.column(0).to_pylist(), part.column(1).to_pylist()
 
 
 _held: list = [None, None]
@@ -122,13 +145,7 @@ def held(key: str, make: Callable[[], object]) -> object:
 
 
 def rest(spark: SparkSession) -> None:
-    """Has the executors collect their garbage, so that a stage does not start with the heap that the one before it grew.
-
-    A tiny job of two tasks a core; which executor runs which does not matter.
-    """
-    tasks = 2 * spark.sparkContext.defaultParallelism
-    collected = spark.range(0, tasks, 1, tasks).selectExpr("java_method('java.lang.System', 'gc') AS done")
-    collected.write.format("noop").mode("overwrite").save()
+    """Nothing any more; stages bound their own memory."""
 
 
 def tidied(fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -185,28 +202,46 @@ def parallelism(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-#: Bits of a bitmap of numbers, whatever the size of the corpus. A full one only stops thinning scans.
-BITMAP_BITS = 22
+#: Keys with more rows than one in so many of the whole are fewer than that, whatever the data.
+HEAVY_KEYS = 4096
+
+
+def join_counted(left: DataFrame, right: DataFrame, keys: list[str], count: str, total: int) -> DataFrame:
+    """left joined with right, which has one row per key, holding in count how many of left's total rows have that key.
+
+    Keys with more than 1 / HEAVY_KEYS of all rows are fewer than HEAVY_KEYS, as their counts add up to
+    no more than the total: they are broadcast, with that bound. All other rows are shuffled by key, so
+    no task gets more than that share of the rows for one key.
+    """
+    heavy = F.broadcast(right.where(F.col(count) * HEAVY_KEYS > total))
+    light = right.where(F.col(count) * HEAVY_KEYS <= total)
+    return left.join(heavy, keys).unionByName(left.join(heavy.select(*keys), keys, "left_anti").join(light, keys))
+
+
+#: Bits of a bitmap for each number marked, and the powers of two that bound a bitmap's size: 4 KB to 8 MB.
+#: Beyond four million marked numbers a bitmap thins less and less; what follows it is exact at any size.
+BITS_EACH, LEAST_BITS, MOST_BITS = 16, 15, 26
 
 
 def bitmap(df: DataFrame, column: str) -> bytes:
-    """A bitmap of fixed size with the places of the column's numbers (null as 0), to thin a scan before an exact join.
+    """A bitmap with the places of the column's numbers (null as 0), to thin a scan before an exact join.
 
-    It is gathered as at most 2^(BITMAP_BITS - 5) rows of 32 bits.
+    Its size follows their count, within bounds; it is gathered as words of 32 bits.
     """
+    size = 1 << min(MOST_BITS, max(LEAST_BITS, (df.count() * BITS_EACH - 1).bit_length()))
     v = f"(coalesce({column}, 0L) & {(1 << 62) - 1}L)"
-    cell = F.expr(f"(({v} div {1 << 40}L) * 1000003L + {v} % {1 << 40}L) % {1 << BITMAP_BITS}L")
+    cell = F.expr(f"(({v} div {1 << 40}L) * 1000003L + {v} % {1 << 40}L) % {size}L")
     words = df.select(cell.alias("cell")).select(F.expr("cell div 32").alias("word"), F.expr("shiftleft(1L, cast(cell % 32 as int))").alias("bits"))
-    out = bytearray(1 << (BITMAP_BITS - 3))
-    for r in words.groupBy("word").agg(F.bit_or("bits").alias("bits")).collect():
-        out[4 * r["word"] : 4 * r["word"] + 4] = int(r["bits"]).to_bytes(4, "little")
-    return bytes(out)
+    found = words.groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()  # at most 2^(MOST_BITS - 5) rows of two numbers
+    out = np.zeros(size // 32, np.uint32)
+    out[found.column("word").to_numpy()] = found.column("bits").to_numpy().astype(np.uint32)
+    return out.astype("<u4").tobytes()
 
 
 def in_bitmap(bits: np.ndarray, numbers: pa.Array) -> np.ndarray:
     """Which of the numbers (null as 0) have their place set; bits are a bitmap's, unpacked by unpack()."""
     v = numbers.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) & ((1 << 62) - 1)
-    return bits[((v // (1 << 40)) * 1000003 + v % (1 << 40)) % (1 << BITMAP_BITS)]
+    return bits[((v // (1 << 40)) * 1000003 + v % (1 << 40)) % len(bits)]
 
 
 def unpack(found: bytes) -> np.ndarray:
@@ -227,3 +262,8 @@ def split(df: DataFrame, column: str, found: bytes) -> tuple[DataFrame, DataFram
         return df.mapInArrow(tidied(select), df.schema)
 
     return part(True), part(False)
+
+
+def whole_rows(df: DataFrame) -> Column:
+    """All columns as one struct, so that no name of the caller's clashes with an operator's own."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns])

@@ -7,10 +7,13 @@ Names come from comparing contents, so two texts share an identity only if they
 is no fingerprint that could collide. The number of blocks belongs to the identity, as a text of
 m blocks is named in exactly ceil(log2 m) rounds.
 
-Scale: the text crosses the network once, as blocks; before that each batch folds equal blocks
-into one row, so a block that a third of all rows hold arrives a few times per map task. Later
-rounds move integers only. A pair of names that is frequent is counted once per map task before
-it is named, and is joined back with a join that Spark may split.
+Scale: the texts are read once and their blocks written once, equal blocks of a batch as one row, with
+the places that they stand at. What crosses the network for naming are the blocks alone, not their
+places; copies of blocks that are frequent in a batch are merged first, dealt out by task, so that no
+task gets one copy from each batch of the corpus. Names go back to places by a 128-bit key of the
+block's content, checked to be free of collisions (else other keys are drawn); keys with many places
+are joined by a bounded broadcast, so a block that a third of all rows hold is no task of its own.
+Later rounds move integers only, joined the same way.
 """
 
 from __future__ import annotations
@@ -22,13 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, bitmap, discard, held, id_and_text, materialise, parallelism, row_numbers, rows, split, tidied
+from .common import SPACE_CLASS, bitmap, discard, held, id_and_text, join_counted, materialise, parallelism, row_numbers, rows, split, tidied, whole_rows
 
 BLOCK_BYTES = 4096
 _RANGE_BITS = 40
 _WHITE = b" \t\n\r\x0b\x0c"
 
-_BLOCKS = "block binary, refs array<struct<row:bigint,id:bigint,idx:int,m:int,sha:string>>"
+_BLOCKS = "k1 bigint, k2 bigint, block binary, frequent boolean, refs array<struct<row:bigint,id:bigint,idx:int,m:int,sha:string>>"
 _REFS = pa.list_(
     pa.struct([("row", pa.int64()), ("id", pa.int64()), ("idx", pa.int32()), ("m", pa.int32()), ("sha", pa.string())])
 )
@@ -44,15 +47,25 @@ def normalise(text: bytes) -> bytes:
 
 #: Distinct bytes and references that a task folds together before it sends them on.
 _FOLD_BYTES, _FOLD_REFS = 16_000_000, 50_000
+#: A block with so many places in one fold is merged with its copies of other folds before it is named.
+_FREQUENT = 8
 
 
-def _cut(block_bytes: int):
+def _keys(block: bytes, attempt: int) -> tuple[int, int]:
+    digest = hashlib.blake2b(block, digest_size=16, salt=attempt.to_bytes(4, "little")).digest()
+    return int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
+
+
+def _cut(block_bytes: int, attempt: int):
     def sent(found: dict[bytes, list]) -> Iterator[pa.RecordBatch]:
         blocks = list(found)
         for at in range(0, len(blocks), 1024):
             part = blocks[at : at + 1024]
+            k1, k2 = zip(*[_keys(b, attempt) for b in part])
             refs = [[dict(zip(("row", "id", "idx", "m", "sha"), r)) for r in found[b]] for b in part]
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.binary()), pa.array(refs, _REFS)], ["block", "refs"])
+            frequent = [len(r) >= _FREQUENT for r in refs]
+            arrays = [pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(part, pa.binary()), pa.array(frequent, pa.bool_()), pa.array(refs, _REFS)]
+            yield pa.RecordBatch.from_arrays(arrays, ["k1", "k2", "block", "frequent", "refs"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = row_numbers()
@@ -89,18 +102,39 @@ def _named(df: DataFrame, cols: list[str], n: int) -> DataFrame:
     ).drop("range")
 
 
+def _block_names(found: DataFrame, n: int) -> DataFrame:
+    """(k1, k2, name, other, places): a key whose name and other differ stands for blocks that are not equal."""
+    places = F.size("refs").cast("bigint").alias("places")
+    rare = found.where("not frequent").select("k1", "k2", "block", places)
+    # Copies of a frequent block meet by the part of the table they lie in first, then once per part.
+    part = F.pmod(F.xxhash64(F.spark_partition_id()), F.lit(n)).alias("part")
+    merged = found.where("frequent").select("k1", "k2", "block", part, places).groupBy("k1", "k2", "block", "part").agg(F.sum("places").alias("places")).drop("part")
+    named = _named(rare.unionByName(merged), ["block"], n)
+    return named.groupBy("k1", "k2").agg(F.min("name").alias("name"), F.max("name").alias("other"), F.sum("places").alias("places"))
+
+
 def identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per row of docs: row, id, sha, m, name; texts are equal iff (m, name) are."""
     spark = docs.sparkSession
     n = 4 * parallelism(spark)
-    blocks = id_and_text(docs, id_col, text_col).mapInArrow(tidied(_cut(block_bytes)), _BLOCKS)
-    named = _named(blocks, ["block"], n).select("name", F.explode("refs").alias("r")).select("r.*", "name")
-    level = materialise(named, "blocknames")
+    attempt = 0
+    while True:
+        found = materialise(id_and_text(docs, id_col, text_col).mapInArrow(tidied(_cut(block_bytes, attempt)), _BLOCKS), "blocks")
+        names = materialise(_block_names(found, n), "blocknames")
+        state = names.agg(F.sum("places").alias("places"), F.max(F.col("name") != F.col("other")).alias("clash")).first()
+        if not state["clash"]:
+            break
+        attempt += 1  # two blocks of 2^128 keys met: draw other keys
+    refs = found.select("k1", "k2", F.explode("refs").alias("r")).select("k1", "k2", "r.*")
+    level = join_counted(refs, names.drop("other"), ["k1", "k2"], "places", state["places"] or 0)
+    level = materialise(level.select("row", "id", "idx", "m", "sha", "name"), "level")
+    discard(found)
+    discard(names)
     done = level.where("m = 1").select("row", "id", "sha", "m", "name")
     heads = level.where("m > 1 and idx = 0").select("row", "id", "sha")
     rest = level.where("m > 1").select("row", "m", "idx", "name")
     longest = level.agg(F.max("m")).first()[0] or 1
-    width, old = 1, None
+    width = 1
     while width < longest:
         width *= 2
         pairs = rest.groupBy("row", "m", F.expr("idx div 2").cast("int").alias("k")).agg(
@@ -108,10 +142,11 @@ def identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             F.coalesce(F.max(F.when(F.col("idx") % 2 == 1, F.col("name"))), F.lit(-1)).alias("b"),
         )
         pairs = materialise(pairs, "blockpairs")
-        names = _named(pairs.select("a", "b").distinct(), ["a", "b"], n)
-        joined = pairs.join(names, ["a", "b"]).select("row", "m", F.col("k").alias("idx"), "name")
-        rest = materialise(joined, "pairnames")
+        names = materialise(_named(pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("places")), ["a", "b"], n), "pairnames")
+        joined = join_counted(pairs, names, ["a", "b"], "places", pairs.count()).select("row", "m", F.col("k").alias("idx"), "name")
+        rest = materialise(joined, "pairlevel")
         discard(pairs)
+        discard(names)
         ready = rest.where((F.col("m") <= width) & (F.col("m") > width // 2)).join(heads, "row")
         done = done.unionByName(ready.select("row", "id", "sha", "m", "name"))
         rest = rest.where(F.col("m") > width)
@@ -125,12 +160,13 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     with the smallest id stays; null ids come after all others; of rows that repeat an id with an
     equal text exactly one stays. An empty table gives an empty result. Other columns are ignored.
     """
-    found = identities(docs, id_col, text_col, block_bytes)
+    found = materialise(identities(docs, id_col, text_col, block_bytes), "identities")
     groups = found.groupBy("m", "name").agg(
         F.min(F.struct(F.col("id").isNull().alias("last"), F.col("id"), F.col("row"))).alias("keep"),
         F.count(F.lit(1)).alias("group_size"),
     )
-    return found.join(groups, ["m", "name"]).select(
+    groups = materialise(groups, "groups")
+    return join_counted(found, groups, ["m", "name"], "group_size", found.count()).select(
         F.col("id").alias(id_col),
         F.col("keep.id").alias("keep_id"),
         "group_size",
@@ -143,14 +179,18 @@ def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """The rows of docs, with all columns, that exact_duplicates() keeps.
 
     Rows whose id cannot be that of a dropped row pass by a map; only the others are shuffled, and
-    matched by id and digest of the normalised text. Of rows that repeat both, one stays.
+    matched by id and digest of the normalised text. Of rows that repeat both, one stays: the one
+    with the least text, then the least other columns. Nulls, empty tables as in exact_duplicates().
     """
     judged = exact_duplicates(docs, id_col, text_col, block_bytes)
-    gone = materialise(judged.where(~F.col("kept")).select(F.col(id_col).alias("_id"), F.col("text_sha256").alias("_sha")), "dropped")
-    stay = judged.where("kept").select(F.col(id_col).alias("_id"), F.col("text_sha256").alias("_sha"))
-    doubtful, sure = split(docs, id_col, bitmap(gone, "_id"))
-    sha = F.sha2(F.encode(F.regexp_replace(F.coalesce(text_col, F.lit("")), SPACE_CLASS + "+", " "), "utf-8"), 256)
-    doubtful = doubtful.withColumn("_sha", sha).withColumn("_id", F.col(id_col))
-    once = doubtful.dropDuplicates(["_id", "_sha"]).alias("d")
-    both = once.join(stay.alias("s"), F.col("d._id").eqNullSafe(F.col("s._id")) & (F.col("d._sha") == F.col("s._sha")), "left_semi")
-    return sure.unionByName(both.select(*docs.columns))
+    gone = judged.where(~F.col("kept")).select(F.col(id_col).alias("id"), F.col("text_sha256").alias("sha"), "keep_id")
+    gone = materialise(gone, "dropped")
+    # Where the row that stays has the same id, the id and text stay once.
+    whole = gone.where(~F.col("id").eqNullSafe(F.col("keep_id"))).select("id", "sha").distinct()
+    doubtful, sure = split(docs, id_col, bitmap(gone, "id"))
+    sha = F.sha2(F.encode(F.regexp_replace(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), SPACE_CLASS + "+", " "), "utf-8"), 256)
+    others = F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]))
+    keyed = doubtful.select(F.col(f"`{id_col}`").cast("long").alias("id"), sha.alias("sha"), F.struct(F.col(f"`{text_col}`").alias("t"), others.alias("o")).alias("least"), whole_rows(docs).alias("doc"))
+    once = keyed.groupBy("id", "sha").agg(F.min_by("doc", "least").alias("doc")).alias("d")
+    left = once.join(whole.alias("w"), F.col("d.id").eqNullSafe(F.col("w.id")) & (F.col("d.sha") == F.col("w.sha")), "left_anti")
+    return sure.unionByName(left.select("doc.*"))

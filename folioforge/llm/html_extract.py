@@ -27,7 +27,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, tidied
+from folioforge.shipping import ship
+
+from .common import slices, tidied
 from .html_pages import CONTENT_SIGN, labelled_pages
 
 _BLOCKS = frozenset(
@@ -488,23 +490,10 @@ def main_texts(pages: list[str], fitted: dict[str, np.ndarray]) -> list[str]:
     return ["\n".join([text for i, text in t.texts.items() if p[first + i] >= 0.5]) for t, first in zip(trees, forest.first)]
 
 
-_AT_ONCE = 256
-_AT_ONCE_CHARS = 4_000_000
-
-
 def _extract(fitted: dict[str, np.ndarray]):
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            pages = batch.column(2).to_pylist()
-            texts: list[str] = []
-            some, size = [], 0
-            for page in pages:
-                some.append(page)
-                size += len(page)
-                if len(some) >= _AT_ONCE or size > _AT_ONCE_CHARS:
-                    texts += main_texts(some, fitted)
-                    some, size = [], 0
-            texts += main_texts(some, fitted)
+        for batch in slices(batches):
+            texts = main_texts(batch.column(2).to_pylist(), fitted)
             sizes = pa.array(map(len, texts), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), sizes], ["id", "url", "text", "n_chars"])
 
@@ -519,7 +508,7 @@ def extract_main_text(
     A null or empty page, or one without content, has the empty text. Rows are independent: repeated
     and null ids are returned as they come. Other columns are not read.
     """
-    bound_batches(pages.sparkSession)
+    ship(pages.sparkSession)
     source = pages.select(
         F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html")
     )

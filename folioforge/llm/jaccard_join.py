@@ -17,7 +17,7 @@ All links between components that the bounds leave are verified on whole sets, s
 
 Scale: n-grams of candidates only are shuffled in full. Lists that are longer than LIST_BLOCK are
 dealt out as pairs of blocks to different tasks. Nothing of the size of the corpus is broadcast or
-collected: the candidates' filter is a bitmap of fixed size, thinning a scan that an exact join follows.
+collected: the candidates' filter is a bitmap of bounded size, thinning a scan that an exact join follows.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bitmap, discard, held, id_and_text, materialise, row_numbers, rows, split, tidied
+from .common import bitmap, discard, held, id_and_text, materialise, row_numbers, rows, split, tidied, whole_rows
 from .graph import components
 
 SHINGLE = 4
@@ -298,4 +298,6 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     gone = found.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(named.alias("named")).where(~F.col("named")).select(id_col)
     gone = materialise(gone, "linkedaway")
     doubtful, sure = split(docs, id_col, bitmap(gone, id_col))
-    return sure.unionByName(doubtful.join(gone, id_col, "left_anti").select(*docs.columns))
+    nested = doubtful.select(F.col(f"`{id_col}`").alias("id"), whole_rows(docs).alias("doc"))
+    stay = nested.join(gone.select(F.col(id_col).alias("id")), "id", "left_anti")
+    return sure.unionByName(stay.select("doc.*"))

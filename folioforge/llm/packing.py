@@ -35,7 +35,7 @@ _MOST_PASSES = 8
 #: Emptiest bins tried without success before the local search of a group ends.
 PATIENCE = 10
 #: Words whose ids a Python worker keeps, twice over: more save time, fewer save memory.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 120_000
 _LONG_WORD = 64
 _MARKS = b".,;:!?*#$%&|"
 

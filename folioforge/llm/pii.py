@@ -18,6 +18,7 @@ size; a term is counted once per batch before the counts are shuffled.
 from __future__ import annotations
 
 import bisect
+import hashlib
 import re
 import zlib
 from collections import Counter
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bitmap, id_and_text, in_bitmap, materialise, row_numbers, rows, split, tidied, unpack
+from .common import bitmap, id_and_text, in_bitmap, materialise, row_numbers, rows, slices, split, tidied, unpack, whole_rows
 from .spans import Span, digest, joined
 
 KINDS = ("email", "ip", "card", "phone")
@@ -139,7 +140,7 @@ _ENTITY = pa.struct([("kind", pa.string()), ("entity", pa.string()), ("contexts"
 _PLACE = pa.struct([("term", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
 _HOLDING = "entities array<struct<kind:string,entity:string,contexts:array<bigint>>>, terms array<string>"
 _FOUND = (
-    "row bigint, id bigint, crc bigint, base array<struct<kind:string,start:bigint,end:bigint>>, "
+    "row bigint, id bigint, sha string, base array<struct<kind:string,start:bigint,end:bigint>>, "
     "places array<struct<term:string,start:bigint,end:bigint>>"
 )
 
@@ -176,9 +177,9 @@ def _marks(marked: bytes | None):
                 words = free_words(text.decode("utf-8", "replace"), spans) if terms else ()
                 places.append([{"term": t, "start": a, "end": b} for t, a, b in words if t in terms])
             spans = [[dict(zip(("kind", "start", "end"), s)) for s in b] for b in base]
-            crcs = [zlib.crc32(t) for t in texts]
-            arrays = [pa.array(number(len(ids)), pa.int64()), pa.array(ids, pa.int64()), pa.array(crcs, pa.int64()), pa.array(spans, pa.list_(_SPAN)), pa.array(places, pa.list_(_PLACE))]
-            yield pa.RecordBatch.from_arrays(arrays, ["row", "id", "crc", "base", "places"])
+            shas = [hashlib.sha256(t).hexdigest() if p else None for t, p in zip(texts, places)]  # asked for where there are places
+            arrays = [pa.array(number(len(ids)), pa.int64()), pa.array(ids, pa.int64()), pa.array(shas, pa.string()), pa.array(spans, pa.list_(_SPAN)), pa.array(places, pa.list_(_PLACE))]
+            yield pa.RecordBatch.from_arrays(arrays, ["row", "id", "sha", "base", "places"])
 
     return mark
 
@@ -246,7 +247,7 @@ def find_personal_data(
     threshold: float = DISCLOSURE,
     min_contexts: int = MIN_CONTEXTS,
 ) -> DataFrame:
-    """One row per row of docs: row (its number), id, crc of its text, base and added spans as arrays of (kind, start, end).
+    """One row per row of docs: row (its number), id, sha (of its text, if terms may be in it), base and added spans as arrays of (kind, start, end).
 
     Added spans (kind term_<kind>) mark every place, in any text, of the terms that disclose an
     entity, and never overlap base ones. The window only tells contexts apart. Null and empty texts
@@ -258,12 +259,12 @@ def find_personal_data(
     found = materialise(id_and_text(docs, id_col, text_col).mapInArrow(tidied(_marks(marked)), _FOUND), "personal")
     none = F.array().cast("array<struct<kind:string,start:bigint,end:bigint>>")
     if disclosing is None:
-        return found.select("row", F.col("id").alias(id_col), "crc", "base", none.alias("added"))
+        return found.select("row", F.col("id").alias(id_col), "sha", "base", none.alias("added"))
     places = found.where(F.size("places") > 0).select("row", F.explode("places").alias("p")).select("row", "p.*")
     span = F.struct(F.concat(F.lit("term_"), F.col("kind")).alias("kind"), "start", "end")
     hits = places.join(disclosing, "term").groupBy("row").agg(F.collect_set(span).alias("added"))
-    out = found.select("row", "id", "crc", "base").join(hits, "row", "left")
-    return out.select("row", F.col("id").alias(id_col), "crc", "base", F.coalesce("added", none).alias("added"))
+    out = found.select("row", "id", "sha", "base").join(hits, "row", "left")
+    return out.select("row", F.col("id").alias(id_col), "sha", "base", F.coalesce("added", none).alias("added"))
 
 
 def _ordered(base: list[dict], added: list[dict]) -> tuple[list[Span], list[Span]]:
@@ -276,7 +277,7 @@ def personal_digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Counts and digests of find_personal_data()'s spans."""
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             out = ([], [], [], [], [], [])
             for base, added in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 spans, both = _ordered(base, added)
@@ -309,16 +310,17 @@ def sanitise_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """The rows of docs, with all columns, their texts sanitised and length_col, if given, brought in line where a text changed.
 
     Rows without added spans are rewritten by a map; only the others are shuffled, and matched by id
-    and checksum of the text. Null texts stay null.
+    and SHA-256 of the text. Null texts stay null; an empty table gives none. Repeated rows are rewritten alike.
     """
     found = find_personal_data(docs, id_col, text_col)
-    more = found.where(F.size("added") > 0).select(F.col(id_col).alias("_id"), F.col("crc").alias("_crc"), "added").dropDuplicates(["_id", "_crc"])
-    more = materialise(more.withColumnRenamed("added", "_added"), "disclosing")
-    marked = bitmap(more, "_id")
-    at, length_at, id_at = docs.columns.index(text_col), docs.columns.index(length_col) if length_col else None, docs.columns.index(id_col)
+    more = found.where(F.size("added") > 0).select(F.col(id_col).alias("id"), "sha", F.array_sort("added").alias("added")).distinct()
+    more = materialise(more, "disclosing")
+    marked = bitmap(more, "id")
+    names = list(docs.columns)
+    at, length_at, id_at = names.index(text_col), names.index(length_col) if length_col else None, names.index(id_col)
 
     def rewritten(batch: pa.RecordBatch, added: list) -> pa.RecordBatch:
-        texts, columns = batch.column(at).to_pylist(), list(batch.columns[: len(docs_names)])
+        texts, columns = batch.column(at).to_pylist(), list(batch.columns[: len(names)])
         lengths = columns[length_at].to_pylist() if length_at is not None else []
         for i, text in enumerate(texts):
             if text:
@@ -330,25 +332,24 @@ def sanitise_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         columns[at] = pa.array(texts, columns[at].type)
         if length_at is not None:
             columns[length_at] = pa.array(lengths, columns[length_at].type)
-        return pa.RecordBatch.from_arrays(columns, docs_names)
-
-    docs_names = list(docs.columns)
+        return pa.RecordBatch.from_arrays(columns, names)
 
     def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = unpack(marked)
-        for batch in batches:
+        for batch in slices(batches):
             part = batch.filter(pa.array(~in_bitmap(bits, batch.column(id_at).cast(pa.int64()))))
             yield rewritten(part, [None] * part.num_rows)
 
     def with_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield rewritten(batch, batch.column(batch.num_columns - 1).to_pylist())
+        for batch in slices(batches):
+            given = pa.RecordBatch.from_struct_array(batch.column(0))
+            yield rewritten(given, batch.column(1).to_pylist())
 
     sure = docs.mapInArrow(tidied(plain), docs.schema)
     if not any(marked):
         return sure
     hit, _ = split(docs, id_col, marked)
-    keyed = hit.withColumn("_crc", F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))).withColumn("_id", F.col(id_col))
-    joined_ = keyed.alias("d").join(more.alias("m"), F.col("d._id").eqNullSafe(F.col("m._id")) & (F.col("d._crc") == F.col("m._crc")), "left")
-    given = [F.col(f"d.`{c}`") for c in docs.columns]
-    return sure.unionByName(joined_.select(*given, "_added").mapInArrow(tidied(with_terms), docs.schema))
+    sha = F.sha2(F.coalesce(F.col(f"`{text_col}`").cast("binary"), F.lit(b"")), 256)
+    keyed = hit.select(F.col(f"`{id_col}`").cast("long").alias("id"), sha.alias("sha"), whole_rows(docs).alias("doc")).alias("d")
+    both = keyed.join(more.alias("m"), F.col("d.id").eqNullSafe(F.col("m.id")) & (F.col("d.sha") == F.col("m.sha")), "left")
+    return sure.unionByName(both.select("doc", "added").mapInArrow(tidied(with_terms), docs.schema))

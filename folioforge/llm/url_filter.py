@@ -16,7 +16,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, tidied
+from folioforge.shipping import ship
+
+from .common import slices, tidied
 
 #: (host, path, verdict)
 DEFAULT_RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
@@ -131,7 +133,7 @@ def judge_urls(
             names = ["id", "host", "path", "rule", "verdict", "strict_hits", "soft_hits", "weight"]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(out, types))], names)
 
-    bound_batches(pages.sparkSession)
+    ship(pages.sparkSession)
     source = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"))
     return source.mapInArrow(tidied(judge), _OUT).withColumnRenamed("id", id_col)
 

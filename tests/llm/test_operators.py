@@ -8,9 +8,10 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from folioforge.llm import bpe, exact_dedup, graph, html_extract, html_pages, jaccard_join, packing, pii, quality, secret_scan, toxicity, url_filter
+from folioforge.llm import bpe, common, exact_dedup, graph, html_extract, html_pages, jaccard_join, packing, pii, quality, secret_scan, toxicity, url_filter
 from folioforge.llm.queries import tokenizer_path
 from tests.llm.hand_pages import PAGES
 
@@ -126,6 +127,57 @@ def test_exact_repeats_and_rows(spark):
     assert exact_dedup.drop_duplicates(docs(spark, [])).count() == 0 and kept.columns == df.columns
 
 
+CLASHING = "doc_id long, text string, _sha string, _id string, _crc string, _added string, doc string, sha string, n_chars int"
+
+
+def clashing(spark, texts, ids=None):
+    ids = list(range(len(texts))) if ids is None else ids
+    return spark.createDataFrame([(i, t, "not a digest", "not an id", "c", "d", "e", "f", len(t or "")) for i, t in zip(ids, texts)], CLASHING)
+
+
+def test_stages_leave_the_callers_columns_alone(spark):
+    texts = ["a b c d e f", "a  b c d e f", "write to jk@mail.example now", None, "", "q", "q"]
+    df = clashing(spark, texts)
+    for stage, ids in ((exact_dedup.drop_duplicates, [0, 2, 3, 5]), (jaccard_join.one_of_each, [0, 2, 3, 4, 5]), (lambda d: pii.sanitise_documents(d, length_col="n_chars"), list(range(7)))):
+        out = stage(df)
+        got = sorted(out.collect(), key=lambda r: r["doc_id"])
+        assert out.columns == df.columns and [r["doc_id"] for r in got] == ids
+        assert all(tuple(r)[2:8] == ("not a digest", "not an id", "c", "d", "e", "f") and r["n_chars"] == len(r["text"] or "") for r in got)
+        assert stage(clashing(spark, [])).count() == 0
+
+
+def test_exact_repeats_choose_one_text(spark):
+    rows = [("q  r", 1), ("q r", 1), ("q\tr", 1), ("q r", 3)]
+    for order in (rows, rows[::-1]):
+        got = exact_dedup.drop_duplicates(clashing(spark, [t for t, _ in order], [i for _, i in order])).collect()
+        assert [(r["doc_id"], r["text"]) for r in got] == [(1, "q\tr")]
+
+
+def test_frequent_blocks(spark, monkeypatch):
+    """Blocks that many rows of many batches share, with the heavy keys' way and without."""
+    monkeypatch.setattr(exact_dedup, "_FOLD_REFS", 20)
+    texts = ["same text"] * 300 + ["same text, with an end of its own " + str(k % 7) for k in range(100)] + [None, "", "same  text"]
+    for heavy in (4096, 2):
+        monkeypatch.setattr(common, "HEAVY_KEYS", heavy)
+        got = {r["doc_id"]: r for r in exact_dedup.exact_duplicates(docs(spark, texts), block_bytes=5).collect()}
+        assert len(got) == len(texts) and got[299]["keep_id"] == 0 and got[402]["keep_id"] == 0 and got[0]["group_size"] == 301
+        assert all(got[300 + k]["keep_id"] == 300 + k % 7 for k in range(100)) and got[401]["keep_id"] == 400
+
+
+def test_stage_tables_go(spark):
+    before = set(common._written)
+    with common.stage_tables() as keep:
+        out = keep(common.materialise(exact_dedup.exact_duplicates(docs(spark, ["a", "a"])), "result"))
+    assert out.count() == 2 and set(common._written) - before == {out._stage_path}
+    common.discard(out)
+
+
+def test_bitmap_follows_its_count(spark):
+    few, many = (common.bitmap(spark.range(n).selectExpr("id * 7 AS id"), "id") for n in (10, 20_000))
+    assert len(few) < len(many) and common.unpack(many).sum() == 20_000
+    assert common.in_bitmap(common.unpack(many), pa.array([0, 7, 8, None])).tolist() == [True, True, False, True]
+
+
 def tokenizer(name):
     from tokenizers import Tokenizer
 

@@ -144,10 +144,6 @@ def held(key: str, make: Callable[[], object]) -> object:
     return _held[1]
 
 
-def rest(spark: SparkSession) -> None:
-    """Nothing any more; stages bound their own memory."""
-
-
 def tidied(fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """fn for mapInArrow, giving memory back to the system on the way and at its end.
 

@@ -1,17 +1,23 @@
 """Secrets by pattern and by tests of randomness.
 
 Three patterns give base spans. Any other unbroken run of key characters that is long enough is a
-candidate, or its parts between "=" and, where no alphabet holds them, their parts in either base64
-alphabet. A candidate's encoding is inferred from its characters, and a battery tests whether it could be
-random in that encoding: chi-squared for a uniform use of the alphabet, the number of runs above and
-below the middle of the alphabet, and the serial correlation of neighbours, combined by Fisher's
-method. Candidates that pass get a p-value against ordinary text: exp(-L), where L is the log
-likelihood ratio of the uniform alphabet over the corpus's own letters, which bounds the chance that
-text of that length looks so random (so longer candidates need less per character). The
-Benjamini-Hochberg rule over the candidates of all documents turns p-values into findings.
+candidate: what of it no base span covers, its parts between "=" and, where no alphabet holds them,
+their parts in either base64 alphabet. A candidate's encoding is inferred from its characters, and a
+battery of three tests looks at it twice:
+
+* Is it random in that encoding? Chi-squared for a uniform use of the alphabet, the number of runs above
+  and below the middle of the alphabet, and the serial correlation of neighbours, by Fisher's method.
+* Is it no ordinary text? The same three aspects against the corpus: how its letters are used, how often
+  the kind of character changes from place to place (the runs of letters, capitals, digits and signs),
+  and how neighbours depend on each other. Each is a likelihood ratio of random over ordinary
+  characters, whose mean over ordinary text is one; so the reciprocal of their product is a p-value
+  (by Markov's inequality), with the length of the candidate in it: each character adds its part.
+
+Candidates that are random enough enter the Benjamini-Hochberg rule with that p-value, among the
+candidates of all documents; so evidence, not a list of shapes, turns them into findings.
 
 Scale: one pass over the texts leaves spans and candidates, which are few, in the shared folder.
-Character counts and the histogram of p-values have a fixed size whatever the corpus.
+Letter counts, one row a task, and the histogram of p-values have a fixed size whatever the corpus.
 """
 
 from __future__ import annotations
@@ -26,8 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, materialise, rows, tidied
-from .spans import Span, digest, free_of, joined
+from .common import id_and_text, materialise, rows, slices, tidied
+from .spans import Covered, Span, digest, joined
 
 KINDS = ("assign", "access", "hex")
 #: Below this not even random hex, which needs least, has the evidence that one secret in a hundred candidates asks for.
@@ -43,7 +49,7 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _LONG = re.compile(rb"[A-Za-z0-9+/_=-]{%d,}" % MIN_CANDIDATE)
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % MIN_CANDIDATE)
-_PIECE = re.compile(r"[^=]+(?:=+\Z)?")
+_PIECE = re.compile(r"[^=]++(?:=++(?![A-Za-z0-9+/_-]))?")
 _PARTS = (re.compile(r"[A-Za-z0-9+/]+=*"), re.compile(r"[A-Za-z0-9_-]+=*"))
 #: p-values are counted in steps of exp(-_STEP), up to exp(-_STEP * (_STEPS - 1)).
 _STEP, _STEPS = 0.25, 800
@@ -107,33 +113,52 @@ def randomness(token: str, alphabet: str) -> float:
     return math.exp(-half) * (1 + half + half * half / 2)
 
 
-def text_model(counts: np.ndarray) -> dict[str, float]:
-    """Log probabilities in ordinary text of a letter among letters (cases folded) and of a digit among alphanumerics, by byte counts."""
-    letters = {chr(97 + i): float(counts[97 + i] + counts[65 + i]) + 1 for i in range(26)}
-    digits = float(counts[48:58].sum()) + 1
-    total = sum(letters.values())
-    model = {c: math.log(v / total) for c, v in letters.items()}
-    # A name that mixes letters and digits has more digits than running text: one in five at least.
-    share = min(0.5, max(0.2, digits / (digits + total)))
-    return model | {"digit": math.log(share / 10), "letter": math.log(1 - share)}
+#: How ordinary names change between kinds of characters: a change to each other kind after one character in ten (letters) or
+#: eight (digits) on average, and after most signs. Words of text, with hardly any change, would make every name with a number a secret.
+_ORDINARY = {
+    "lower": {"lower": 0.70, "upper": 0.10, "digit": 0.10, "sign": 0.10},
+    "upper": {"lower": 0.10, "upper": 0.70, "digit": 0.10, "sign": 0.10},
+    "digit": {"lower": 0.12, "upper": 0.12, "digit": 0.64, "sign": 0.12},
+    "sign": {"lower": 0.50, "upper": 0.20, "digit": 0.20, "sign": 0.10},
+}
+#: What of a letter's or pair's probability is the corpus's; the rest allows for names and abbreviations, and bounds what one place may say.
+_CORPUS_LETTERS, _CORPUS_PAIRS = 0.9, 0.5
+
+
+def _character(c: str) -> str:
+    return "lower" if c.islower() else "upper" if c.isupper() else "digit" if c.isdigit() else "sign"
+
+
+class TextModel:
+    """Letters of ordinary text, one by one and in pairs (cases folded), from the corpus's counts; 27th is any other byte."""
 
+    def __init__(self, pairs: np.ndarray):
+        n = np.asarray(pairs, dtype=float).reshape(27, 27)[:26, :26] + 1e-3
+        single = n.sum(axis=0) / n.sum()
+        self.letters = _CORPUS_LETTERS * single + (1 - _CORPUS_LETTERS) / 26
+        follows = n / n.sum(axis=1, keepdims=True)
+        # P(letter) over P(letter | letter before): above one where neighbours are strange to each other.
+        self.strange = -np.log(_CORPUS_PAIRS * follows / single + (1 - _CORPUS_PAIRS))
 
-def evidence(token: str, alphabet: str, model: dict[str, float]) -> float:
-    """Log likelihood ratio of random characters over ordinary text, given the kinds of character used."""
+
+def battery(token: str, alphabet: str, model: TextModel) -> tuple[float, float, float]:
+    """Log likelihood ratios of random over ordinary characters: of the letters used, of the runs of kinds, of neighbours."""
     token = token.rstrip("=")
-    used = set(token)
-    both = any(c.islower() for c in used) and any(c.isupper() for c in used)
-    mixed = any(c.isdigit() for c in used) and any(c.isalpha() for c in used)
-    flat, out = math.log(len(alphabet)), 0.0
-    for c in token:
-        if c.isalpha():
-            p = model[c.lower()] + (math.log(0.5) if both else 0.0) + (model["letter"] if mixed else 0.0)
-        elif c.isdigit():
-            p = model["digit"] if mixed else math.log(0.1)
-        else:
-            p = math.log(1 / 20)
-        out += -flat - p
-    return out
+    kinds = [_character(c) for c in token]
+    of_alphabet = Counter(map(_character, alphabet))
+    share = {k: n / len(alphabet) for k, n in of_alphabet.items()}
+    # Kinds that the encoding lacks take no part, so the ordinary changes between the others sum to one.
+    ordinary = {a: {b: p / sum(_ORDINARY[a][x] for x in share) for b, p in _ORDINARY[a].items() if b in share} for a in share}
+    places = [ord(c) - (97 if k == "lower" else 65) if k in ("lower", "upper") else -1 for c, k in zip(token, kinds)]
+    letters = sum(-math.log(of_alphabet[k]) - math.log(model.letters[x]) for x, k in zip(places, kinds) if x >= 0)
+    runs = sum(math.log(share[b]) - math.log(ordinary[a][b]) for a, b in zip(kinds, kinds[1:]))
+    serial = sum(float(model.strange[x, y]) for x, y in zip(places, places[1:]) if x >= 0 and y >= 0)
+    return letters, runs, serial
+
+
+def evidence(token: str, alphabet: str, model: TextModel) -> float:
+    """Minus the log of the battery's p-value against ordinary text."""
+    return sum(battery(token, alphabet, model))
 
 
 def base_spans(text: bytes, decoded: str | None = None) -> list[Span]:
@@ -153,55 +178,64 @@ def base_spans(text: bytes, decoded: str | None = None) -> list[Span]:
     return [(KINDS[k], a, b) for a, k, b in sorted(out)]
 
 
-def candidates_in(text: str) -> Iterator[Span]:
-    """(token, start, end) of what is tested. Only parts of a run that no alphabet holds can overlap each other."""
+def candidates_in(text: str, base: Covered | None = None) -> Iterator[Span]:
+    """(token, start, end) of what is tested, outside base spans. Only parts of a run that no alphabet holds can overlap each other."""
+    base = base or Covered()
     for run in _CANDIDATE.finditer(text):
-        for piece in _PIECE.finditer(run[0]):
-            at, found = run.start() + piece.start(), {(0, piece.end() - piece.start())}
-            if not infer_encoding(piece[0]):
-                found = {m.span() for pattern in _PARTS for m in pattern.finditer(piece[0])}
-            yield from ((piece[0][a:b], at + a, at + b) for a, b in sorted(found) if b - a >= MIN_CANDIDATE)
+        for first, last in base.gaps(*run.span()):
+            for piece in _PIECE.finditer(text, first, last):
+                at, found = piece.start(), {(0, piece.end() - piece.start())}
+                if not infer_encoding(piece[0]):
+                    found = {m.span() for pattern in _PARTS for m in pattern.finditer(piece[0])}
+                yield from ((piece[0][a:b], at + a, at + b) for a, b in sorted(found) if b - a >= MIN_CANDIDATE)
 
 
 _SPAN = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
 _CAND = pa.struct([("token", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
 _FOUND = (
     "id bigint, base array<struct<kind:string,start:bigint,end:bigint>>, "
-    "candidates array<struct<token:string,start:bigint,end:bigint>>, bytes array<bigint>"
+    "candidates array<struct<token:string,start:bigint,end:bigint>>, pairs array<bigint>"
 )
+_FOLDED = np.full(256, 26, np.int32)
+_FOLDED[65:91] = _FOLDED[97:123] = np.arange(26)
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Base spans and candidates of each text; at a task's end one row without them holds the counts of its pairs of letters."""
+    counts = np.zeros(27 * 27, dtype=np.int64)
+
+    def made(ids: list, base: list, candidates: list, pairs: list) -> pa.RecordBatch:
+        arrays = [pa.array(ids, pa.int64()), pa.array(base, pa.list_(_SPAN)), pa.array(candidates, pa.list_(_CAND)), pa.array(pairs, pa.list_(pa.int64()))]
+        return pa.RecordBatch.from_arrays(arrays, ["id", "base", "candidates", "pairs"])
+
     for ids, texts in rows(batches):
         base, candidates = [], []
-        counts = np.zeros(256, dtype=np.int64)
+        folded = _FOLDED[np.frombuffer(b"\n".join(texts), np.uint8)]
+        counts += np.bincount(folded[:-1] * 27 + folded[1:], minlength=27 * 27)
         for text in texts:
-            counts += np.bincount(np.frombuffer(text, np.uint8), minlength=256)
             found, more = base_spans(text), []
             if _LONG.search(text) is not None:
-                for token, a, b in candidates_in(text.decode("utf-8", "replace")):
-                    if free_of(found, a, b):
-                        more.append({"token": token, "start": a, "end": b})
+                more = [dict(zip(("token", "start", "end"), c)) for c in candidates_in(text.decode("utf-8", "replace"), Covered(found))]
             base.append([dict(zip(("kind", "start", "end"), s)) for s in found])
             candidates.append(more)
-        histogram = [counts.tolist()] + [None] * (len(ids) - 1) if ids else []
-        arrays = [pa.array(ids, pa.int64()), pa.array(base, pa.list_(_SPAN)), pa.array(candidates, pa.list_(_CAND)), pa.array(histogram, pa.list_(pa.int64()))]
-        yield pa.RecordBatch.from_arrays(arrays, ["id", "base", "candidates", "bytes"])
+        yield made(ids, base, candidates, [None] * len(ids))
+    yield made([None], [None], [None], [counts.tolist()])
 
 
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", false_discoveries: float = FALSE_DISCOVERIES) -> DataFrame:
     """One row per row of docs: id, base and added spans as arrays of (kind, start, end).
 
-    Added spans (kind random) never overlap base ones. Null and empty texts have none. Every row
-    counts once for the false-discovery rule, repeated ones too. An empty table gives an empty
-    result; other columns are not read.
+    Added spans (kind random) never overlap base ones or each other. Null and empty texts have none.
+    Every row counts once for the false-discovery rule, repeated ones too. An empty table gives an
+    empty result; other columns are not read.
     """
-    found = materialise(id_and_text(docs, id_col, text_col).mapInArrow(tidied(_scan), _FOUND), "secrets")
-    counted = found.where("bytes is not null").select(F.posexplode("bytes").alias("b", "n")).groupBy("b").agg(F.sum("n").alias("n"))
-    counts = np.zeros(256)
-    for r in counted.collect():  # at most 256 rows
+    written = materialise(id_and_text(docs, id_col, text_col).mapInArrow(tidied(_scan), _FOUND), "secrets")
+    found = written.where("base is not null")
+    counted = written.where("pairs is not null").select(F.posexplode("pairs").alias("b", "n")).groupBy("b").agg(F.sum("n").alias("n"))
+    counts = np.zeros(27 * 27)
+    for r in counted.collect():  # at most 729 rows
         counts[r["b"]] = r["n"]
-    model = text_model(counts)
+    model = TextModel(counts)
     least = -math.log(false_discoveries)
 
     def measured(token: str) -> float | None:
@@ -213,7 +247,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         return value if value >= least and randomness(token, encoding[1]) >= MIN_RANDOMNESS else None
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             tokens = batch.column(0).to_pylist()
             steps = [-1 if (v := measured(t)) is None else int(min(_STEPS - 1, max(0, v // _STEP))) for t in tokens]
             longs = [len(t) >= LONG_CANDIDATE for t in tokens]
@@ -234,15 +268,14 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         cut[long] = passing[0] * _STEP if passing else math.inf
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             added = []
             for candidates in batch.column(2).to_pylist():
                 hits = [(v, c["start"], c["end"]) for c in candidates or () if (v := measured(c["token"])) is not None and v >= cut[len(c["token"]) >= LONG_CANDIDATE]]
-                spans: list[Span] = []
-                for _, a, b in sorted(hits, key=lambda h: -h[0]):  # of overlapping parts the one with most evidence
-                    if free_of(spans, a, b):
-                        spans.append(("random", a, b))
-                added.append([{"kind": k, "start": a, "end": b} for k, a, b in sorted(spans, key=lambda s: s[1])])
+                taken = Covered()
+                for _, a, b in sorted(hits, key=lambda h: (-h[0], h[1])):  # of overlapping parts the one with most evidence
+                    taken.take(a, b)
+                added.append([{"kind": "random", "start": a, "end": b} for a, b in zip(taken.starts, taken.ends)])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(added, pa.list_(_SPAN))], ["id", "base", "added"])
 
     schema = "array<struct<kind:string,start:bigint,end:bigint>>"
@@ -254,7 +287,7 @@ def scan_digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = {k: i for i, k in enumerate((*KINDS, "random"))}
-        for batch in batches:
+        for batch in slices(batches):
             out = ([], [], [], [], [])
             for base, added in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 spans = [(s["kind"], s["start"], s["end"]) for s in base]

@@ -1,6 +1,7 @@
 """The corpus operators on planted and boundary rows, against brute force."""
 
 import hashlib
+import math
 import random
 import re
 import time
@@ -509,3 +510,64 @@ def test_urls(spark):
     assert got[3][2] == got[4][2] == "org/fr/" and got[5][2] is None and got[6] == got[7] == got[8] == ("", "", None, "allow")
     assert got[9][:2] == ("h.com", "") and got[10][3] == "block" and got[11][3] == "allow" and got[12][3] == "block" and got[13][3] == "allow" and got[14][3] == "block"
     assert got[15][:2] == ("", "") and got[16][0] == "u@h.com:80"
+
+
+ALPHABETS = {
+    "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
+    "base64url": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_",
+    "base62": "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz",
+    "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
+    "upper hex": "0123456789ABCDEF",
+}
+
+
+def planted(spark, make, every=4):
+    """Documents of the driver's with what make(k) gives put between two words of every few: (table, texts, {id: planted})."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").orderBy("doc_id").collect()
+    texts, put = {}, {}
+    for r in rows:
+        words = (r["text"] or "").split(" ")
+        if r["doc_id"] % every == 0 and len(words) > 4:
+            put[r["doc_id"]] = make(len(put))
+            words.insert(len(words) // 2, put[r["doc_id"]])
+        texts[r["doc_id"]] = " ".join(words)
+    return spark.createDataFrame(list(texts.items()), "doc_id long, text string"), texts, put
+
+
+@pytest.mark.parametrize("length", [24, 40])
+def test_keys_planted_in_driver_documents(spark, length):
+    r = random.Random(length)
+    names = list(ALPHABETS)
+    df, texts, put = planted(spark, lambda k: "".join(r.choice(ALPHABETS[names[k % 5]]) for _ in range(length)))
+    found = {x["doc_id"]: {texts[x["doc_id"]][s["start"] : s["end"]] for s in x["added"]} for x in secret_scan.scan_secrets(df).collect()}
+    hit = [len(set.intersection(found[i], {key})) or any(len(f) > 0.6 * length and f in key for f in found[i]) for i, key in put.items()]
+    assert sum(hit) >= 0.9 * len(put)
+    assert sum(bool(found[i]) for i in found if i not in put) <= 0.001 * len(found)
+
+
+def test_nothing_random_in_driver_documents(spark):
+    found = secret_scan.scan_secrets(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    assert found.where("size(added) > 0").count() == 0 and found.where("size(base) > 0").count() > 0
+
+
+def test_battery_is_a_likelihood_ratio():
+    """Over ordinary letters the mean of each ratio is one; a part of a base span is no candidate."""
+    r = np.random.default_rng(5)
+    model = secret_scan.TextModel(np.outer(np.arange(27), np.arange(27)) * 1000.0)
+    chars = np.array(list("abcdefghijklmnopqrstuvwxyz"))
+    draws = [secret_scan.battery("".join(r.choice(chars, 6, p=model.letters)), "abcdefghijklmnopqrstuvwxyz", model) for _ in range(20_000)]
+    assert abs(np.mean([math.exp(a) for a, _, _ in draws]) - 1) < 0.1 and all(b == 0 for _, b, _ in draws)
+    covered = secret_scan.Covered([("hex", 5, 9), ("assign", 7, 12), ("hex", 40, 60)])
+    assert list(covered.gaps(0, 50)) == [(0, 5), (12, 40)] and covered.free(12, 40) and not covered.free(0, 6) and not covered.free(59, 70)
+
+
+def test_many_spans_in_one_text():
+    r = random.Random(3)
+    keys = " ".join("".join(r.choice("0123456789abcdef") for _ in range(32)) for _ in range(4000))
+    mails = " ".join(f"user{k}@mail{k}.example.com name{k}" for k in range(10_000))
+    began = time.perf_counter()
+    base = secret_scan.base_spans(keys.encode())
+    assert len(base) == 4000 and not list(secret_scan.candidates_in(keys, secret_scan.Covered(base)))
+    spans = pii.base_spans(mails.encode())
+    assert len(spans) == 10_000 and len(pii.entity_contexts(mails, spans, 6)) == 10_000 and len(list(pii.free_words(mails, spans))) == 10_000
+    assert time.perf_counter() - began < 3

@@ -93,34 +93,40 @@ def _cut(block_bytes: int, attempt: int):
     return cut
 
 
-def _named(df: DataFrame, cols: list[str], n: int) -> DataFrame:
-    """Adds name: equal for equal cols, different otherwise; a function of the contents alone."""
+#: Rows that a task names at most on average, so that tasks of a larger corpus are more, not larger.
+_ROWS_NAMED = 16_384
+
+
+def _named(df: DataFrame, cols: list[str], rows_named: int) -> DataFrame:
+    """Adds name: equal for equal cols, different otherwise. rows_named: how many rows there are, about."""
+    least = parallelism(df.sparkSession)
+    parts = max(least, rows_named // _ROWS_NAMED)
     w = Window.partitionBy("range").orderBy(*cols)
-    ranged = df.withColumn("range", F.pmod(F.xxhash64(*cols), F.lit(n)))
+    ranged = df.withColumn("range", F.pmod(F.xxhash64(*cols), F.lit(4 * parts)))
+    if parts > least:
+        ranged = ranged.repartition(parts, "range")
     return ranged.withColumn(
         "name", F.shiftleft(F.col("range"), _RANGE_BITS) + F.dense_rank().over(w)
     ).drop("range")
 
 
-def _block_names(found: DataFrame, n: int) -> DataFrame:
+def _block_names(found: DataFrame) -> DataFrame:
     """(k1, k2, name, other, places): a key whose name and other differ stands for blocks that are not equal."""
     places = F.size("refs").cast("bigint").alias("places")
     rare = found.where("not frequent").select("k1", "k2", "block", places)
     # Copies of a frequent block meet by the part of the table they lie in first, then once per part.
-    part = F.pmod(F.xxhash64(F.spark_partition_id()), F.lit(n)).alias("part")
+    part = F.pmod(F.xxhash64(F.spark_partition_id()), F.lit(parallelism(found.sparkSession))).alias("part")
     merged = found.where("frequent").select("k1", "k2", "block", part, places).groupBy("k1", "k2", "block", "part").agg(F.sum("places").alias("places")).drop("part")
-    named = _named(rare.unionByName(merged), ["block"], n)
+    named = _named(rare.unionByName(merged), ["block"], found.count())
     return named.groupBy("k1", "k2").agg(F.min("name").alias("name"), F.max("name").alias("other"), F.sum("places").alias("places"))
 
 
 def identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per row of docs: row, id, sha, m, name; texts are equal iff (m, name) are."""
-    spark = docs.sparkSession
-    n = 4 * parallelism(spark)
     attempt = 0
     while True:
         found = materialise(id_and_text(docs, id_col, text_col).mapInArrow(tidied(_cut(block_bytes, attempt)), _BLOCKS), "blocks")
-        names = materialise(_block_names(found, n), "blocknames")
+        names = materialise(_block_names(found), "blocknames")
         state = names.agg(F.sum("places").alias("places"), F.max(F.col("name") != F.col("other")).alias("clash")).first()
         if not state["clash"]:
             break
@@ -142,8 +148,9 @@ def identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             F.coalesce(F.max(F.when(F.col("idx") % 2 == 1, F.col("name"))), F.lit(-1)).alias("b"),
         )
         pairs = materialise(pairs, "blockpairs")
-        names = materialise(_named(pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("places")), ["a", "b"], n), "pairnames")
-        joined = join_counted(pairs, names, ["a", "b"], "places", pairs.count()).select("row", "m", F.col("k").alias("idx"), "name")
+        total = pairs.count()
+        names = materialise(_named(pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("places")), ["a", "b"], total // 64), "pairnames")
+        joined = join_counted(pairs, names, ["a", "b"], "places", total).select("row", "m", F.col("k").alias("idx"), "name")
         rest = materialise(joined, "pairlevel")
         discard(pairs)
         discard(names)

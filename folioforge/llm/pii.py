@@ -34,8 +34,11 @@ from .spans import Span, digest, joined
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]"}
+#: Words on each side of an entity that make a context; None: all of the text.
 WINDOW = 6
+#: Different contexts that an entity, and each term that discloses it, must be met in; 1 asks for none: then copies count too.
 MIN_CONTEXTS = 3
+#: Share of an entity's information content that a term must give away.
 DISCLOSURE = 0.9
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -121,15 +124,15 @@ def free_words(text: str, spans: list[Span]) -> Iterator[tuple[str, int, int]]:
             yield _term(word), x + len(word) - len(word.lstrip(_EDGES)), y - len(word) + len(word.rstrip(_EDGES))
 
 
-def entity_contexts(text: str, spans: list[Span], window: int) -> dict[tuple[str, str], set[int]]:
-    """The contexts of each (kind, entity): checksums of the terms within the window around its places that no span covers."""
+def entity_contexts(text: str, spans: list[Span], window: int | None) -> dict[tuple[str, str], set[int]]:
+    """The contexts of each (kind, entity): checksums of the terms within the window around its places that no span covers; without a window, of the whole text's."""
     out: dict[tuple[str, str], set[int]] = {}
     words = list(_words(text, spans))
     starts = [x for x, _, _ in words]
     for kind, a, b in spans:
         first = bisect.bisect_left(starts, a)
         after = bisect.bisect_left(starts, b)
-        around = words[max(0, first - window) : first] + words[after : after + window]
+        around = words if window is None else words[max(0, first - window) : first] + words[after : after + window]
         terms = [_term(text[x:y]) for x, y, free in around if free]
         out.setdefault((kind, text[a:b].lower()), set()).add(zlib.crc32(" ".join(sorted(terms)).encode("utf-8", "replace")))
     return out
@@ -145,7 +148,7 @@ _FOUND = (
 )
 
 
-def _scan(window: int):
+def _scan(window: int | None):
     """Entities with their contexts, and all terms, of each text that holds an entity."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,7 +211,7 @@ def _term_bitmap(df: DataFrame) -> bytes:
     return bitmap(df.select(F.expr("crc32(encode(term, 'utf-8'))").alias("crc")), "crc")
 
 
-def disclosing_terms(docs: DataFrame, id_col: str, text_col: str, window: int, threshold: float, min_contexts: int) -> DataFrame | None:
+def disclosing_terms(docs: DataFrame, id_col: str, text_col: str, window: int | None, threshold: float, min_contexts: int) -> DataFrame | None:
     """(kind, term) for the terms above the threshold of an entity of the kind, or None if no pair has enough contexts."""
     key = ["kind", "entity"]
     texts = id_and_text(docs, id_col, text_col)
@@ -243,11 +246,13 @@ def find_personal_data(
     docs: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
-    window: int = WINDOW,
+    window: int | None = WINDOW,
     threshold: float = DISCLOSURE,
     min_contexts: int = MIN_CONTEXTS,
 ) -> DataFrame:
-    """One row per row of docs: row (its number), id, sha (of its text, if terms may be in it), base and added spans as arrays of (kind, start, end).
+    """Spans of personal data; terms of any length are scored, over all texts.
+
+    One row per row of docs: row (its number), id, sha (of its text, if terms may be in it), base and added spans as arrays of (kind, start, end).
 
     Added spans (kind term_<kind>) mark every place, in any text, of the terms that disclose an
     entity, and never overlap base ones. The window only tells contexts apart. Null and empty texts

@@ -571,3 +571,29 @@ def test_many_spans_in_one_text():
     spans = pii.base_spans(mails.encode())
     assert len(spans) == 10_000 and len(pii.entity_contexts(mails, spans, 6)) == 10_000 and len(list(pii.free_words(mails, spans))) == 10_000
     assert time.perf_counter() - began < 3
+
+
+def test_names_planted_in_driver_documents(spark):
+    """Each of 30 names lies in six documents with its owner's address, far from it, and in two without."""
+    names = [f"{a}{b}" for a in ("Kov", "Zim", "Bru", "Hal", "Øst", "李") for b in ("ačić", "er", "x", "lund", "明")]
+
+    def make(k):
+        name, use = names[k % 30], k // 30
+        return f"{name}, so and so {name.lower()}" if use >= 6 else f"{name} {'filler ' * (use + 9)}{'.,;:!?'[use]} mail u{k % 30}@mail{k % 30}.example.org {'abcdef'[use]}{'uvwxyz'[use]}"
+
+    df, texts, put = planted(spark, lambda k: make(k) if k < 240 else "", every=4)
+    found = {x["doc_id"]: {texts[x["doc_id"]][s["start"] : s["end"]].lower() for s in x["added"]} for x in pii.find_personal_data(df).collect()}
+    hit = [names[k % 30].lower() in found[i] for k, i in enumerate(put) if k < 240]
+    assert len(hit) == 240 and sum(hit) >= 0.9 * len(hit)
+    assert not any(found[i] for i in found if i not in put)
+    without = pii.find_personal_data(df, threshold=1.1).where("size(added) > 0").count()
+    assert without == 0
+
+
+def test_context_parameters(spark):
+    text = "Kowalskine writes from jk@mail.example and all others do write to us too "
+    texts = [text] * 5 + ["nothing of it at all and no one here"] * 50
+    find = lambda **p: pii.find_personal_data(docs(spark, texts), **p).where("size(added) > 0").count()
+    assert find() == 0 and find(min_contexts=1) == 5
+    texts = [f"{text} {k} of many other words between that make texts differ far from it {k}" for k in range(5)] + texts[5:]
+    assert find() == 0 and find(window=None) == 5

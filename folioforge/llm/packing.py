@@ -1,24 +1,26 @@
 """Packing token sequences into fixed-length training sequences.
 
 Texts become ids, longer documents are cut into pieces, and the pieces are packed into bins of one
-capacity: best fit by decreasing length first, then a local search over the underfull bins that
-moves one piece, swaps one for one, or two for one (either way), always from an emptier bin to a
-fuller one, so that the sum of squared fills grows until bins run empty.
-
-Scale: pieces are dealt by hash into groups of about GROUP_PIECES, each packed by one task, so the
-work grows in proportion to the input and no task grows with it. Bins that a group could not fill
-are opened again and packed across groups in further passes, each smaller by orders of magnitude,
-until one group holds all that is loose.
+capacity. The start is cheap: best fit in the order that pieces come in, without a sort. Then a local
+search empties the emptiest bins into the other underfull ones: it moves one piece or two, or exchanges
+one or two pieces for a smaller one, always the step that raises the sum of squared fills most, until
+bins run empty, the lower bound is reached or no step is left.
+
+Scale: pieces are dealt by hash into groups of about GROUP_PIECES, and of GROUP_BINS bins at least,
+each packed by one task, so the work grows in proportion to the input and no task grows with it. Bins
+that a group left loose are opened and packed across groups in further passes, each smaller by orders
+of magnitude, as long as a pass saves bins.
 """
 
 from __future__ import annotations
 
-import bisect
+import math
 import os
 import unicodedata
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,12 +30,12 @@ from .common import held, id_and_text, materialise, row_numbers, rows, tidied
 
 CAPACITY = 4096
 GROUP_PIECES = 8192
-#: Bins of the first pass that are filled less than this are packed again across groups.
+#: A group's tokens fill so many bins at least, so that what one group cannot fill is little.
+GROUP_BINS = 64
+#: Bins that are filled less than this are packed again across groups.
 REOPEN_BELOW = 0.98
-#: Passes over what earlier passes left loose; each is smaller than the one before by the pieces in a group.
-_MOST_PASSES = 8
-#: Emptiest bins tried without success before the local search of a group ends.
-PATIENCE = 10
+#: A further pass must have saved this share of the bins that it opened for another to follow.
+_SAVED = 0.01
 #: Words whose ids a Python worker keeps, twice over: more save time, fewer save memory.
 CACHE_WORDS = 120_000
 _LONG_WORD = 64
@@ -112,7 +114,7 @@ def _tokenised(path: str, end_id: int, capacity: int, cache_words: int):
 
 
 def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
-    """Bins of indexes into lengths, which must be in decreasing order: each goes to the fullest bin that has room."""
+    """The start: bins of indexes, pieces in the order given, each to the fullest bin that has room."""
     bins: list[list[int]] = []
     by_room: list[list[int]] = [[] for _ in range(capacity + 1)]
     rooms = 0  # bit r: some bin has room r
@@ -133,82 +135,86 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def _gift(source: list[int], target: list[int], room: int, size: Callable[[int], int]) -> tuple[int, list[int], list[int]]:
-    """The largest gain in target's fill, within room, by a move or swap: (gain, out of source, out of target)."""
-    best: tuple[int, list[int], list[int]] = (0, [], [])
-    theirs = sorted(target, key=size)
-    sizes = [size(j) for j in theirs]
-    for x, i in enumerate(source):
-        a = size(i)
-        if best[0] < a <= room:
-            best = (a, [i], [])
-        k = bisect.bisect_left(sizes, a - room)
-        if k < len(sizes) and best[0] < a - sizes[k]:
-            best = (a - sizes[k], [i], [theirs[k]])
-        for i2 in source[x + 1 :]:
-            both = a + size(i2)
-            k = bisect.bisect_left(sizes, both - room)
-            if k < len(sizes) and best[0] < both - sizes[k]:
-                best = (both - sizes[k], [i, i2], [theirs[k]])
-        # Two of theirs for one: the lightest pair that leaves the target within its room.
-        low, high = 0, len(sizes) - 1
-        while low < high:
-            gain = a - sizes[low] - sizes[high]
-            if gain > room:
-                low += 1
-            else:
-                if best[0] < gain:
-                    best = (gain, [i], [theirs[low], theirs[high]])
-                high -= 1
-    return best
-
-
-def local_search(bins: list[list[int]], size: Callable[[int], int], capacity: int, patience: int = PATIENCE) -> list[list[int]]:
-    """Empties the emptiest bins into fuller underfull ones; each step raises the sum of squared fills."""
-    fill = [sum(map(size, b)) for b in bins]
-    if len(bins) <= -(-sum(fill) // capacity):
-        return bins  # no bin can be emptied
-    failed = 0
-    frozen: set[int] = set()
-    while failed < patience:
-        underfull = [k for k, f in enumerate(fill) if 0 < f < capacity]
-        sources = [k for k in underfull if k not in frozen]
-        if len(underfull) < 2 or not sources:
-            break
-        source = min(sources, key=fill.__getitem__)
-        moved = False
-        for target in sorted(underfull, key=lambda k: -fill[k]):
-            if not bins[source]:
-                break
-            if target == source or fill[target] < fill[source]:
-                continue
-            while bins[source]:
-                gain, give, take = _gift(bins[source], bins[target], capacity - fill[target], size)
-                if gain <= 0:
+class LocalSearch:
+    """Bins of indexes into lengths, and the steps that empty them."""
+
+    def __init__(self, bins: list[list[int]], lengths: list[int], capacity: int):
+        self.bins, self.capacity, self.steps = bins, capacity, 0
+        self.size = np.asarray(lengths, dtype=np.int64)
+        self.fill = np.array([self.size[b].sum() for b in bins], dtype=np.int64)
+        self.where = np.zeros(len(self.size), dtype=np.int64)
+        for k, members in enumerate(bins):
+            self.where[members] = k
+
+    def _values(self, source: int) -> tuple[np.ndarray, list[tuple[int, ...]]]:
+        """The distinct lengths of one or two pieces of a bin, in order, each with pieces that make it up."""
+        by_size: dict[int, list[int]] = {}
+        for i in self.bins[source]:
+            by_size.setdefault(int(self.size[i]), []).append(i)
+        made: dict[int, tuple[int, ...]] = {}
+        sizes = sorted(by_size)
+        for x, a in enumerate(sizes):
+            if len(by_size[a]) > 1:
+                made.setdefault(2 * a, (by_size[a][0], by_size[a][1]))
+            for b in sizes[x + 1 :]:
+                made.setdefault(a + b, (by_size[a][0], by_size[b][0]))
+        made |= {a: (of[0],) for a, of in by_size.items()}
+        values = sorted(made)
+        return np.array(values), [made[v] for v in values]
+
+    def _step(self, source: int) -> bool:
+        """The move or exchange out of the source that raises the sum of squared fills most, if any does."""
+        values, pieces = self._values(source)
+        open_bins = np.flatnonzero((self.fill < self.capacity) & (self.fill > 0))
+        open_bins = open_bins[open_bins != source]
+        underfull = np.zeros(len(self.fill), dtype=bool)
+        underfull[open_bins] = True
+        theirs = np.flatnonzero(underfull[self.where])
+        # What comes back: nothing (a move) or one piece of the target.
+        back = np.concatenate([np.zeros(len(open_bins), np.int64), self.size[theirs]])
+        target = np.concatenate([open_bins, self.where[theirs]])
+        at = np.searchsorted(values, back + self.capacity - self.fill[target], side="right") - 1
+        gain = np.where(at >= 0, values[at] - back, 0)
+        rise = np.where(gain > 0, gain * (self.fill[target] - self.fill[source] + gain), 0)
+        if not len(rise) or rise.max() <= 0:
+            return False
+        k = int(rise.argmax())
+        to, give = int(target[k]), pieces[at[k]]
+        take = [int(theirs[k - len(open_bins)])] if k >= len(open_bins) else []
+        self.bins[source] = [i for i in self.bins[source] if i not in give] + take
+        self.bins[to] = [i for i in self.bins[to] if i not in take] + list(give)
+        self.where[list(give)], self.where[take] = to, source
+        self.fill[source] -= gain[k]
+        self.fill[to] += gain[k]
+        self.steps += 1
+        return True
+
+    def run(self) -> list[list[int]]:
+        """Rounds over the underfull bins, emptiest first, until the lower bound or a round without a step."""
+        left, least = len(self.bins), -(-int(self.size.sum()) // self.capacity)
+        moved = True
+        while moved and left > least:
+            moved, tried = False, np.zeros(len(self.bins), dtype=bool)
+            while left > least:
+                free = np.flatnonzero(~tried & (self.fill > 0) & (self.fill < self.capacity))
+                if not len(free):
                     break
-                bins[source] = [i for i in bins[source] if i not in give] + take
-                bins[target] = [i for i in bins[target] if i not in take] + give
-                fill[source] -= gain
-                fill[target] += gain
-                moved = True
-        if bins[source] and not moved:
-            frozen.add(source)
-            failed += 1
-    return [b for b in bins if b]
+                source = int(free[self.fill[free].argmin()])
+                tried[source] = True
+                while self.bins[source] and self._step(source):
+                    moved = True
+                left -= not self.bins[source]
+        return [b for b in self.bins if b]
 
 
 def pack_lengths(lengths: list[int], capacity: int = CAPACITY) -> list[list[int]]:
-    """Bins of indexes into lengths (any order): best fit decreasing, then the local search."""
-    order = sorted(range(len(lengths)), key=lambda i: -lengths[i])
-    bins = [[order[i] for i in b] for b in best_fit([lengths[i] for i in order], capacity)]
-    full = [b for b in bins if sum(lengths[i] for i in b) == capacity]
-    rest = [b for b in bins if sum(lengths[i] for i in b) != capacity]
-    return full + local_search(rest, lengths.__getitem__, capacity)
+    """Bins of indexes into lengths: best fit in the order given, then the local search."""
+    return LocalSearch(best_fit(lengths, capacity), lengths, capacity).run()
 
 
 def _pack_group(capacity: int, base: int):
     def pack(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("length", "descending"), ("row", "ascending"), ("piece", "ascending")])
+        table = table.sort_by([("row", "ascending"), ("piece", "ascending")])
         lengths = table.column("length").to_pylist()
         group = table.column("grp")[0].as_py()
         sequence, offset, fill = [0] * len(lengths), [0] * len(lengths), [0] * len(lengths)
@@ -230,24 +236,11 @@ def _pack_group(capacity: int, base: int):
 _PACKED = _PIECES + ", sequence_id bigint, offset bigint, fill bigint"
 
 
-def _pass(pieces: DataFrame, n: int, capacity: int, base: int, group_pieces: int) -> DataFrame:
-    groups = max(1, -(-n // group_pieces))
-    dealt = pieces.withColumn("grp", F.pmod(F.xxhash64("row", "piece"), F.lit(groups)))
+def _pass(pieces: DataFrame, groups: int, capacity: int, base: int) -> DataFrame:
+    dealt = pieces.select("row", "id", "piece", "start", "length", "crc").withColumn("grp", F.pmod(F.xxhash64("row", "piece"), F.lit(groups)))
     return dealt.groupBy("grp").applyInArrow(_pack_group(capacity, base), _PACKED)
 
 
-def _merged(loose: DataFrame, capacity: int, base: int, group_pieces: int) -> DataFrame:
-    """Packs the bins of loose as units: their pieces move along, each bin behind the one before it."""
-    units = loose.groupBy(F.col("sequence_id").alias("row")).agg(F.first("fill").alias("length"))
-    none = {"id": F.lit(None).cast("bigint"), "piece": F.lit(0), "start": F.lit(0).cast("bigint"), "crc": F.lit(0).cast("bigint")}
-    units = materialise(units.withColumns(none).select("row", "id", "piece", "start", "length", "crc"), "units")
-    placed = _pass(units, units.count(), capacity, base, group_pieces)
-    places = placed.select(F.col("row").alias("sequence_id"), F.col("sequence_id").alias("_to"), F.col("offset").alias("_from"), F.col("fill").alias("_fill"))
-    moved = loose.drop("fill").join(places, "sequence_id")
-    columns = [F.col("_to").alias("sequence_id"), (F.col("offset") + F.col("_from")).alias("offset"), F.col("_fill").alias("fill")]
-    return moved.select("row", "id", "piece", "start", "length", "crc", *columns)
-
-
 def pack_documents(
     docs: DataFrame,
     tokenizer_path: str,
@@ -256,6 +249,7 @@ def pack_documents(
     end_id: int = 1,
     capacity: int = CAPACITY,
     group_pieces: int = GROUP_PIECES,
+    group_bins: int = GROUP_BINS,
     cache_words: int = CACHE_WORDS,
 ) -> DataFrame:
     """One row per piece: id, piece, start, length, ids_crc32, sequence_id, offset.
@@ -266,23 +260,26 @@ def pack_documents(
     """
     made = id_and_text(docs, id_col, text_col).mapInArrow(tidied(_tokenised(tokenizer_path, end_id, capacity, cache_words)), _PIECES)
     pieces = materialise(made, "pieces")
-    cut = int(capacity * REOPEN_BELOW)
-    todo, n, done = pieces, pieces.count(), None
-    for level in range(_MOST_PASSES):
-        out = materialise(_pass(todo, n, capacity, level << 56, group_pieces), "packed")
-        loose = out.where(F.col("fill") < cut)
-        left = loose.count() if n > group_pieces else 0
-        if left == 0:  # one group saw all that was loose
-            packed = out if done is None else done.unionByName(out)
-            break
-        if 2 * left > n or level == _MOST_PASSES - 1:
-            # Opening bins again no longer helps: so many pieces are so short. Whole loose bins are packed like pieces.
-            kept = out.where(F.col("fill") >= cut)
-            packed = (kept if done is None else done.unionByName(kept)).unionByName(_merged(loose, capacity, (level + 1) << 56, group_pieces))
+    cut, every = int(capacity * REOPEN_BELOW), pieces.agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("total")).first()
+    todo, n, total, packed, opened, level = pieces, every["n"], every["total"] or 0, None, math.inf, 0
+    while True:
+        groups = max(1, min(-(-n // group_pieces), total // (group_bins * capacity)))
+        out = materialise(_pass(todo, groups, capacity, level << 56), "packed")
+        first, loose = F.col("offset") == 0, F.col("fill") < cut
+        seen = out.agg(
+            F.count_if(first).alias("bins"), F.count_if(first & loose).alias("loose"), F.count_if(loose).alias("n"), F.sum(F.when(loose, F.col("length"))).alias("total")
+        ).first()
+        if seen["bins"] < opened:
+            done, still = out.where(~loose), out.where(loose)
+        else:  # nothing saved: the bins stay as the pass before left them
+            done, still, seen = todo, None, None
+        packed = done if packed is None else packed.unionByName(done)
+        # One group saw all that is loose, the rest is too little for a bin, or a pass saved too little for another to pay.
+        enough = seen is None or groups == 1 or seen["loose"] <= -(-(seen["total"] or 0) // capacity) or (level > 0 and opened - seen["bins"] < _SAVED * opened)
+        if enough:
+            packed = packed if still is None else packed.unionByName(still)
             break
-        full = out.where(F.col("fill") >= cut)
-        done = full if done is None else done.unionByName(full)
-        todo, n = loose.drop("sequence_id", "offset", "fill"), left
+        todo, n, total, opened, level = still, seen["n"], seen["total"], seen["loose"], level + 1
     return packed.select(
         F.col("id").alias(id_col), "piece", "start", "length", F.col("crc").alias("ids_crc32"), "sequence_id", "offset"
     )

@@ -219,12 +219,57 @@ def test_packing(spark):
     assert packing.pack_documents(docs(spark, []), tokenizer_path("word_bpe_49k.json")).count() == 0
 
 
+def check_bins(bins, lengths, capacity):
+    assert sorted(i for b in bins for i in b) == list(range(len(lengths))) and all(sum(lengths[i] for i in b) <= capacity for b in bins)
+
+
 def test_local_search_empties_bins():
     sizes = [6, 5, 5, 4, 3, 3, 2, 2]
-    bins = packing.local_search([[0, 4], [1, 5], [2], [3], [6], [7]], sizes.__getitem__, 10)
-    assert len(bins) == 3 and sorted(i for b in bins for i in b) == list(range(8)) and all(sum(sizes[i] for i in b) <= 10 for b in bins)
-    assert packing._gift([0], [1, 2], 1, [9, 4, 4].__getitem__) == (1, [0], [1, 2])
-    assert packing._gift([0, 1], [2], 1, [3, 4, 6].__getitem__) == (1, [0, 1], [2])
+    search = packing.LocalSearch([[0, 4], [1, 5], [2], [3], [6], [7]], sizes, 10)
+    bins = search.run()
+    check_bins(bins, sizes, 10)
+    assert len(bins) == 3 and search.steps > 0
+    # One step each: a move, an exchange, two for one, and none.
+    for start, sizes, fills in (([[0], [1]], [3, 5], [0, 8]), ([[0], [1, 2]], [4, 3, 4], [3, 8]), ([[0, 1], [2, 3]], [2, 3, 4, 3], [4, 8]), ([[0], [1]], [5, 5], [5, 5])):
+        search = packing.LocalSearch(start, sizes, 8)
+        search._step(0)
+        assert search.fill.tolist() == fills and [sum(sizes[i] for i in b) for b in search.bins] == fills
+
+
+def test_every_step_raises_the_squares():
+    r = random.Random(5)
+    lengths = [r.randint(1, 100) for _ in range(300)]
+    search = packing.LocalSearch([[i] for i in range(300)], lengths, 100)
+    squares = int((search.fill**2).sum())
+    while (moves := [k for k in search.fill.argsort() if 0 < search.fill[k] < 100 and search._step(k)]):
+        assert int((search.fill**2).sum()) > squares and moves
+        squares = int((search.fill**2).sum())
+    check_bins([b for b in search.bins if b], lengths, 100)
+
+
+def test_search_reaches_the_bound_from_poor_starts():
+    """Lengths like those of documents: bins that the search empties, from pieces alone, in order and by best fit."""
+    r = random.Random(6)
+    lengths = [min(4096, int(r.expovariate(1 / 900)) + 1) for _ in range(3000)]
+    bound = -(-sum(lengths) // 4096)
+    for start in ([[i] for i in range(3000)], packing.best_fit(lengths, 4096)):
+        assert len(start) > bound
+        bins = packing.LocalSearch([list(b) for b in start], lengths, 4096).run()
+        check_bins(bins, lengths, 4096)
+        assert len(bins) == bound
+    for hard in ([2049] * 50, [1] * 9000, [1366] * 60, [4096] * 5, [], [7]):
+        check_bins(packing.pack_lengths(hard), hard, 4096)
+    assert len(packing.pack_lengths([2049] * 50)) == 50 and len(packing.pack_lengths([1] * 9000)) == 3
+
+
+@pytest.mark.parametrize("text", ["word " * 30, "q " * 2060, ""])
+def test_packing_in_many_groups(spark, text):
+    """Passes across groups: pieces that fill bins together, that never do, and many tiny ones."""
+    n = 400
+    rows = packing.pack_documents(docs(spark, [text] * n), tokenizer_path("word_bpe_49k.json"), group_pieces=20, group_bins=1).collect()
+    total, longest = sum(r["length"] for r in rows), max(r["length"] for r in rows)
+    bins = len({r["sequence_id"] for r in rows})
+    assert len(rows) == n and bins == (n if longest > 2048 else -(-total // (4096 // longest * longest)))
 
 
 def brute_quality(t):

@@ -214,9 +214,10 @@ def join_counted(left: DataFrame, right: DataFrame, keys: list[str], count: str,
     return left.join(heavy, keys).unionByName(left.join(heavy.select(*keys), keys, "left_anti").join(light, keys))
 
 
-#: Bits of a bitmap for each number marked, and the powers of two that bound a bitmap's size: 4 KB to 8 MB.
-#: Beyond four million marked numbers a bitmap thins less and less; what follows it is exact at any size.
-BITS_EACH, LEAST_BITS, MOST_BITS = 16, 15, 26
+#: Bits of a bitmap for each number marked, and the powers of two that bound a bitmap's size: 128 KB to 8 MB.
+#: One number in 64 that is not marked passes at most, up to a million marked ones; beyond, a bitmap thins less and
+#: less, and what follows it is exact at any size.
+BITS_EACH, LEAST_BITS, MOST_BITS = 64, 20, 26
 
 
 def bitmap(df: DataFrame, column: str) -> bytes:

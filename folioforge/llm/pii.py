@@ -11,8 +11,8 @@ removed, or generalised to the kind of entity they disclose.
 Scale: a first pass over the texts leaves the entities and the terms of the texts that hold one in
 the shared folder. An entity without enough contexts goes before its terms are looked at, and a pair
 goes as soon as the texts with entities alone hold its term too often. Terms' document counts come
-from a second pass over all texts and their places from a third, both thinned by a bitmap of fixed
-size; a term is counted once per batch before the counts are shuffled.
+from a second pass over all texts and their places from a third, both thinned by a bitmap of bounded
+size; a task counts its terms together before the counts are shuffled.
 """
 
 from __future__ import annotations
@@ -193,16 +193,25 @@ def _set_terms(text: bytes, bits: np.ndarray) -> set[str]:
     return {t for t in terms if t and bits[zlib.crc32(t.encode("utf-8", "replace")) % len(bits)]}
 
 
+#: Distinct terms that a task counts together before it sends them on.
+_FOLD_TERMS = 100_000
+
+
 def _term_counts(marked: bytes):
-    """How many texts of each batch hold each term whose place is set."""
+    """How many texts hold each term whose place is set, counted together for many texts."""
+
+    def sent(counts: Counter) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["term", "n"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = unpack(marked)
+        bits, counts = unpack(marked), Counter()
         for _, texts in rows(batches):
-            counts: Counter = Counter()
             for text in texts:
                 counts.update(_set_terms(text, bits))
-            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["term", "n"])
+            if len(counts) > _FOLD_TERMS:
+                yield sent(counts)
+                counts = Counter()
+        yield sent(counts)
 
     return count
 

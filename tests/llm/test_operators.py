@@ -174,8 +174,8 @@ def test_stage_tables_go(spark):
 
 
 def test_bitmap_follows_its_count(spark):
-    few, many = (common.bitmap(spark.range(n).selectExpr("id * 7 AS id"), "id") for n in (10, 20_000))
-    assert len(few) < len(many) and common.unpack(many).sum() == 20_000
+    few, many = (common.bitmap(spark.range(n).selectExpr("id * 7 AS id"), "id") for n in (10, 60_000))
+    assert len(few) < len(many) and common.unpack(many).sum() == 60_000
     assert common.in_bitmap(common.unpack(many), pa.array([0, 7, 8, None])).tolist() == [True, True, False, True]
 
 
@@ -314,6 +314,9 @@ def test_toxicity(spark):
     edge = toxicity.grade_toxicity(docs(spark, EDGE), model).collect()
     assert len(edge) == len(EDGE) and not any(r["toxic"] for r in edge) and all(0 <= r["expected_severity"] <= 3 for r in edge)
     assert toxicity.drop_toxic(docs(spark, EDGE), model).count() == len(EDGE)
+    # The grades come from counts of the other half's words; texts of higher grades hold more of them.
+    grades = [r["expected_severity"] for r in toxicity.grade_toxicity(docs(spark, ["idiot", "idiot moron", "idiot moron scum loser trash"]), model).orderBy("doc_id").collect()]
+    assert grades == sorted(grades) and grades[2] > grades[0] + 0.5
     none = toxicity.train(docs(spark, []), spark.createDataFrame([], "doc_id long, toxic int"))
     assert not toxicity.grade_toxicity(docs(spark, ["idiot"]), none).first()["toxic"]
 
@@ -323,7 +326,8 @@ def test_ordinal_fit_recovers_order():
     x = r.integers(0, 2, (1500, 6)).astype(float)
     z = x @ np.array([2, 1.5, 1, 0, -1, 0]) + r.logistic(size=1500)
     y = np.digitize(z, [0.5, 2.0, 3.5])
-    w, t = toxicity.fit_ordinal(x, y)
+    held = toxicity.Presence([np.flatnonzero(row) for row in x], 6)
+    w, t = toxicity.fit_ordinal(held, y, steps=1500, least=-np.inf)
     assert np.all(np.diff(t) > 0) and np.allclose(t, [0.5, 2.0, 3.5], atol=0.5) and np.allclose(w, [2, 1.5, 1, 0, -1, 0], atol=0.5)
 
 
@@ -642,3 +646,14 @@ def test_context_parameters(spark):
     assert find() == 0 and find(min_contexts=1) == 5
     texts = [f"{text} {k} of many other words between that make texts differ far from it {k}" for k in range(5)] + texts[5:]
     assert find() == 0 and find(window=None) == 5
+
+
+def test_features_without_toxic_texts_weigh_nothing():
+    """What is left out beforehand has weight zero anyway."""
+    r = random.Random(8)
+    texts = [" ".join(r.choice("abcdefghij") for _ in range(6)).encode() + (b" vile" if k % 5 == 0 else b" fine") for k in range(200)]
+    y = np.array([int(k % 5 == 0) for k in range(200)])
+    names, x = toxicity._features(texts, np.ones(200))
+    w, _ = toxicity.fit_ordinal(x, y, 2)
+    weights = dict(zip(names, w))
+    assert weights[b"fine"] == 0 and weights[b"vile"] == max(w) > 1 and b"fine" not in toxicity._features(texts, y)[0]

@@ -25,8 +25,7 @@ def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = url_filter.judge_urls(_table(spark, sf_dir, "pages"))
-    return out.select("page_id", "host", "path", "rule", "verdict", "strict_hits", "soft_hits")
+    return url_filter.judge_urls(_table(spark, sf_dir, "pages"))
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,10 +2,11 @@
 
 Rules name a host and a path prefix; the longest that fits decides. URLs without a rule go through
 one Aho-Corasick automaton over the vocabulary: a term counts where it is bounded by characters
-that are no ASCII letters or digits. One strict term rejects, and so do several distinct soft terms
-together. The same vocabulary gives a weight to each URL, for ranking.
+that are no ASCII letters or digits. One strict term rejects; so do several distinct soft terms, as
+many as it takes for their weights to reach a sum. The vocabulary is a parameter, or a table.
 
-Scale: a map over rows without any exchange; automaton and rules are of the size of their lists.
+Scale: a map over rows without any exchange, linear in a URL's length; automaton and rules are of the
+size of their lists.
 """
 
 from __future__ import annotations
@@ -22,18 +23,32 @@ from .common import slices, tidied
 
 #: (host, path, verdict)
 DEFAULT_RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
-#: Each alone rejects a URL.
-STRICT_TERMS = {
-    "porn": 3.0, "xxx": 3.0, "adult-x": 3.0, "casino": 2.5, "viagra": 3.0, "cialis": 3.0, "cheap-pills": 3.0, "free-bets": 2.5,
-    "spam-farm": 3.0, "ads-track": 2.0, "camgirls": 3.0, "escorts": 2.5, "warez": 2.0, "malware": 2.0, "phishing": 2.0, "jackpot": 2.0,
-}
-#: Several distinct ones together reject a URL.
-SOFT_TERMS = {
-    "cheap": 0.6, "pills": 0.8, "free": 0.3, "bets": 0.8, "bet": 0.7, "win": 0.4, "ads": 0.6, "track": 0.4, "tracker": 0.6, "adult": 0.8, "sex": 0.8,
-    "bonus": 0.6, "poker": 0.8, "slots": 0.8, "loan": 0.5, "loans": 0.6, "dating": 0.6, "spam": 0.9, "farm": 0.3, "click": 0.4, "promo": 0.5,
-    "replica": 0.7, "discount": 0.4, "hack": 0.6, "crack": 0.7, "keygen": 0.9, "torrent": 0.8, "nude": 0.9, "pharmacy": 0.6, "crypto": 0.4,
-}
-MIN_SOFT = 2
+#: (term, strict, weight): any strict term rejects, soft ones together. The built-in words are a start for tests and small
+#: crawls; vocabulary_table() takes others from a table.
+VOCABULARY = (
+    # Sex.
+    *((t, True, 9) for t in ("porn", "porno", "pornhub", "xxx", "xvideos", "adult-x", "camgirls", "escorts", "hentai", "milf", "sexcam", "sex-chat")),
+    *((t, False, 3) for t in ("adult", "nude", "nudes", "sex", "sexy", "erotic", "fetish", "webcam", "hookup")),
+    # Gambling.
+    *((t, True, 8) for t in ("casino", "jackpot", "free-bets", "slot-machine", "sportsbook", "roulette", "blackjack")),
+    *((t, False, 3) for t in ("poker", "slots", "bets", "bet", "betting", "lottery", "bingo", "wager")),
+    # Medicines without a doctor.
+    *((t, True, 9) for t in ("viagra", "cialis", "cheap-pills", "levitra", "tramadol", "no-prescription")),
+    *((t, False, 2) for t in ("pills", "pharmacy", "meds", "steroids", "weight-loss", "diet-pill")),
+    # Stolen goods and harmful programs.
+    *((t, True, 8) for t in ("warez", "malware", "phishing", "keylogger", "ransomware", "botnet", "carding")),
+    *((t, False, 3) for t in ("keygen", "torrent", "torrents", "crack", "cracked", "serial-key", "nulled", "replica")),
+    *((t, False, 2) for t in ("hack", "hacks", "cheats", "unlocker", "proxy-list")),
+    # Spam, advertising and loans.
+    *((t, True, 8) for t in ("spam-farm", "ads-track", "link-farm", "click-fraud")),
+    *((t, False, 3) for t in ("spam", "tracker", "adserver", "doubleclick")),
+    *((t, False, 2) for t in ("cheap", "free", "win", "ads", "track", "bonus", "loan", "loans", "payday", "dating", "farm", "click", "clicks", "promo", "discount", "crypto", "airdrop", "popunder")),
+    *((t, False, 1) for t in ("deal", "deals", "offer", "offers", "coupon", "coupons", "sale", "buy", "shop", "gift", "prize", "cash", "credit", "best", "top", "hot")),
+)
+#: Distinct soft terms reject when there are so many, and their weights add up to so much.
+MIN_SOFT, SOFT_WEIGHT = 2, 4
+#: Terms of a table that the driver takes at most; a longer one is an error.
+MAX_TERMS = 1_000_000
 
 _LOWER = str.maketrans({c: c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"})
 _ALNUM = frozenset("abcdefghijklmnopqrstuvwxyz0123456789")
@@ -63,73 +78,80 @@ class RuleSet:
         self.by_host: dict[str, list[tuple[str, str, str]]] = {}
         for host, path, verdict in rules:
             self.by_host.setdefault(host.translate(_LOWER), []).append((path, host + path, verdict))
+        self.sizes = sorted({len(h) for h in self.by_host if h})
 
     def find(self, host: str, path: str) -> tuple[str | None, str | None]:
         best: tuple[int, int] = (-1, -1)
         found: tuple[str | None, str | None] = (None, None)
-        at = 0
-        while host and at >= 0:
-            suffix = host[at:]
-            for prefix, name, verdict in self.by_host.get(suffix, ()):
-                if path.startswith(prefix) and (len(name), len(suffix)) > best:
-                    best, found = (len(name), len(suffix)), (name, verdict)
-            dot = host.find(".", at)
-            at = dot + 1 if dot >= 0 else -1
+        for size in self.sizes:
+            # Only ends of the host that are as long as a rule's host can be one.
+            if size > len(host) or (size < len(host) and host[-size - 1] != "."):
+                continue
+            for prefix, name, verdict in self.by_host.get(host[-size:], ()):
+                if path.startswith(prefix) and (len(name), size) > best:
+                    best, found = (len(name), size), (name, verdict)
         return found
 
 
+def vocabulary_table(terms: DataFrame, most: int = MAX_TERMS) -> tuple[tuple[str, bool, int], ...]:
+    """A vocabulary from a table (term, strict, weight): of a term's rows a strict one counts, then the heaviest. Empty and null terms are left out."""
+    rows = terms.where("length(term) > 0").groupBy(F.lower("term").alias("term")).agg(F.max(F.struct("strict", "weight")).alias("w"))
+    found = rows.select("term", "w.*").limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"more than {most} terms")
+    return tuple(sorted((r["term"], bool(r["strict"]), int(r["weight"] or 0)) for r in found))
+
+
 class Vocabulary:
-    def __init__(self, strict: dict[str, float], soft: dict[str, float]):
+    def __init__(self, terms):
         import ahocorasick
 
         self.automaton = ahocorasick.Automaton()
-        for terms, is_strict in ((soft, False), (strict, True)):
-            for term, weight in terms.items():
-                self.automaton.add_word(term.translate(_LOWER), (len(term), term, is_strict, weight))
+        for term, strict, weight in terms:
+            self.automaton.add_word(term.translate(_LOWER), (len(term), term, strict, weight))
         if len(self.automaton):
             self.automaton.make_automaton()
 
-    def hits(self, url: str | None) -> tuple[int, int, float]:
-        """Distinct strict terms, distinct soft terms, and the sum of their weights."""
+    def hits(self, url: str | None) -> tuple[int, int, int, int]:
+        """Distinct strict terms and soft terms, and the sums of their weights."""
         if not url or not len(self.automaton):
-            return 0, 0, 0.0
+            return 0, 0, 0, 0
         low = url.translate(_LOWER)
         found = {}
-        for end, (size, term, is_strict, weight) in self.automaton.iter(low):
+        for end, (size, term, strict, weight) in self.automaton.iter(low):
             start = end - size + 1
             if (start and low[start - 1] in _ALNUM) or (end + 1 < len(low) and low[end + 1] in _ALNUM):
                 continue
-            found[term] = (is_strict, weight)
-        strict = sum(s for s, _ in found.values())
-        return strict, len(found) - strict, float(sum(w for _, w in found.values()))
+            found[term] = (strict, weight)
+        hard, soft = [w for s, w in found.values() if s], [w for s, w in found.values() if not s]
+        return len(hard), len(soft), sum(hard), sum(soft)
 
 
-_OUT = "id bigint, host string, path string, rule string, verdict string, strict_hits int, soft_hits int, weight double"
+_OUT = "id bigint, host string, path string, rule string, verdict string, strict_hits int, soft_hits int, weight bigint"
 
 
 def judge_urls(
-    pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=DEFAULT_RULES, strict=None, soft=None, min_soft: int = MIN_SOFT
+    pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=DEFAULT_RULES, vocabulary=VOCABULARY, min_soft: int = MIN_SOFT, soft_weight: int = SOFT_WEIGHT
 ) -> DataFrame:
-    """One row per row of pages: id, host, path, rule, verdict, strict_hits, soft_hits, weight.
+    """One row per row of pages: id, host, path, rule, verdict, strict_hits, soft_hits, weight (of all distinct terms).
 
     A null URL and one without :// have an empty host and path, fit no rule and are judged by the
     vocabulary alone (null: allow). Repeated and null ids are returned as they come; an empty table
     gives an empty result; other columns are not read.
     """
-    strict, soft = strict if strict is not None else STRICT_TERMS, soft if soft is not None else SOFT_TERMS
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, vocabulary = RuleSet(rules), Vocabulary(strict, soft)
-        for batch in batches:
+        known, terms = RuleSet(rules), Vocabulary(vocabulary)
+        for batch in slices(batches):
             out = ([], [], [], [], [], [], [])
             for url in batch.column(1).to_pylist():
                 host, path = split_url(url)
                 rule, verdict = known.find(host, path)
-                n_strict, n_soft, weight = vocabulary.hits(url)
-                verdict = verdict or ("block" if n_strict or n_soft >= min_soft else "allow")
-                for column, value in zip(out, (host, path, rule, verdict, n_strict, n_soft, weight)):
+                n_strict, n_soft, hard, soft = terms.hits(url)
+                verdict = verdict or ("block" if n_strict or (n_soft >= min_soft and soft >= soft_weight) else "allow")
+                for column, value in zip(out, (host, path, rule, verdict, n_strict, n_soft, hard + soft)):
                     column.append(value)
-            types = (pa.string(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.float64())
+            types = (pa.string(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int64())
             names = ["id", "host", "path", "rule", "verdict", "strict_hits", "soft_hits", "weight"]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(out, types))], names)
 
@@ -142,24 +164,28 @@ def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
-def judge_sql(rules=DEFAULT_RULES, strict=None, soft=None, min_soft: int = MIN_SOFT, table: str = "pages") -> str:
+def judge_sql(rules=DEFAULT_RULES, vocabulary=VOCABULARY, min_soft: int = MIN_SOFT, soft_weight: int = SOFT_WEIGHT, table: str = "pages") -> str:
     """DuckDB SQL for the same verdicts."""
-    strict, soft = strict if strict is not None else STRICT_TERMS, soft if soft is not None else SOFT_TERMS
     lower = "translate(coalesce(url, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
-    def hit(term: str) -> str:
-        pattern = "".join(c if c.isalnum() else "\\" + c for c in term)
-        return f"(regexp_matches(low, {_quoted(f'(^|[^a-z0-9]){pattern}([^a-z0-9]|$)')}))::INT"
+    def pattern(term: str) -> str:
+        escaped = "".join(c if c.isalnum() else "\\" + c for c in term)
+        return _quoted(f"(^|[^a-z0-9]){escaped}([^a-z0-9]|$)")
 
+    terms = ", ".join(f"({pattern(t)}, {strict}, {weight})" for t, strict, weight in vocabulary)
     ordered = sorted(rules, key=lambda r: (-len(r[0] + r[1]), -len(r[0])))
     fits = [f"WHEN (host = {_quoted(h)} OR suffix(host, {_quoted('.' + h)})) AND starts_with(path, {_quoted(p)}) THEN " for h, p, _ in ordered]
     rule = " ".join(f + _quoted(h + p) for f, (h, p, _) in zip(fits, ordered))
     verdict = " ".join(f + _quoted(v) for f, (_, _, v) in zip(fits, ordered))
     return rf"""
-        WITH a AS (SELECT page_id, {lower} AS low,
+        WITH v AS (SELECT * FROM (VALUES {terms}) AS x(pattern, strict, weight)),
+        a AS (SELECT page_id, url, {lower} AS low,
             CASE WHEN contains(url, '://') THEN regexp_extract(substr(url, strpos(url, '://') + 3), '^([^/?#]*)([^?#]*)', ['h', 'p']) END AS parts FROM {table}),
-        b AS (SELECT page_id, low, translate(coalesce(parts.h, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, coalesce(parts.p, '') AS path,
-            {' + '.join(map(hit, strict)) or '0'} AS strict_hits, {' + '.join(map(hit, soft)) or '0'} AS soft_hits FROM a)
+        u AS (SELECT DISTINCT low FROM a),
+        n AS (SELECT low, count(*) FILTER (strict)::INT AS strict_hits, count(*) FILTER (NOT strict)::INT AS soft_hits,
+            sum(weight)::BIGINT AS weight, coalesce(sum(weight) FILTER (NOT strict), 0) AS soft FROM u JOIN v ON regexp_matches(low, pattern) GROUP BY low),
+        b AS (SELECT page_id, translate(coalesce(parts.h, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, coalesce(parts.p, '') AS path,
+            coalesce(strict_hits, 0) AS strict_hits, coalesce(soft_hits, 0) AS soft_hits, coalesce(weight, 0) AS weight, coalesce(soft, 0) AS soft FROM a LEFT JOIN n USING (low))
         SELECT page_id, host, path, CASE {rule} END AS rule,
-            CASE {verdict} WHEN strict_hits > 0 OR soft_hits >= {min_soft} THEN 'block' ELSE 'allow' END AS verdict,
-            strict_hits, soft_hits FROM b"""
+            CASE {verdict} WHEN strict_hits > 0 OR (soft_hits >= {min_soft} AND soft >= {soft_weight}) THEN 'block' ELSE 'allow' END AS verdict,
+            strict_hits, soft_hits, weight FROM b"""

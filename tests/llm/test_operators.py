@@ -657,3 +657,22 @@ def test_features_without_toxic_texts_weigh_nothing():
     w, _ = toxicity.fit_ordinal(x, y, 2)
     weights = dict(zip(names, w))
     assert weights[b"fine"] == 0 and weights[b"vile"] == max(w) > 1 and b"fine" not in toxicity._features(texts, y)[0]
+
+
+def test_url_vocabulary(spark):
+    """Weights decide how many soft terms are several; a table gives a vocabulary; long URLs cost their length."""
+    urls = ["http://a.com/top/offers", "http://a.com/top-hot/best-offers", "http://a.com/adult", "http://a.com/adult/adult", "http://a.com/poker-bonus", "http://a.com/roulettes"]
+    rows = spark.createDataFrame([(i, u, "c", "d") for i, u in enumerate(urls)], "page_id long, url string, weight string, host string")
+    got = {r["page_id"]: (r["verdict"], r["soft_hits"], r["weight"]) for r in url_filter.judge_urls(rows).collect()}
+    assert got == {0: ("allow", 2, 2), 1: ("block", 4, 4), 2: ("allow", 1, 3), 3: ("allow", 1, 3), 4: ("block", 2, 5), 5: ("allow", 0, 0)}
+    terms = url_filter.vocabulary_table(spark.createDataFrame([("Vile", True, 7), ("vile", False, 9), ("", True, 1), (None, True, 1), ("odd", False, None)], "term string, strict boolean, weight int"))
+    assert terms == (("odd", False, 0), ("vile", True, 7))
+    got = [r["verdict"] for r in url_filter.judge_urls(spark.createDataFrame([(1, "http://x/VILE"), (2, "http://x/adult-poker")], "page_id long, url string"), vocabulary=terms).orderBy("page_id").collect()]
+    assert got == ["block", "allow"]
+    with pytest.raises(ValueError):
+        url_filter.vocabulary_table(spark.createDataFrame([("a", True, 1), ("b", True, 1)], "term string, strict boolean, weight int"), most=1)
+    assert url_filter.judge_urls(rows.where("page_id < 0")).count() == 0
+    began = time.perf_counter()
+    rules = url_filter.RuleSet(url_filter.DEFAULT_RULES)
+    assert rules.find("." * 400_000, "/") == (None, None) and rules.find("a." * 100_000 + "net", "/x") == ("net/", "block")
+    assert time.perf_counter() - began < 1

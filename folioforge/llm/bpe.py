@@ -26,7 +26,9 @@ from .common import held, id_and_text, rows, tidied
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SHORT_WORD = 96
 #: Words kept, twice over: when so many are new, they become the older half, of which what is used again is kept.
-_CACHE_WORDS = 300_000
+_CACHE_WORDS = 200_000
+#: Characters of a word that is kept at most, so that the cache is bounded in bytes.
+_CACHED_CHARS = 64
 _NONE = 1 << 60
 
 
@@ -111,7 +113,8 @@ class BytePairCodec:
         made = self.older[0].get(word)
         if made is None:
             made = ",".join(map(str, self.merge(word.encode())))
-        self.encoded[word] = made
+        if len(word) <= _CACHED_CHARS:
+            self.encoded[word] = made
         return made
 
     def encode(self, text: str) -> list[str]:
@@ -135,7 +138,8 @@ class BytePairCodec:
         made = self.older[1].get(ids)
         if made is None:
             made = b"".join([self.content[int(i)] for i in ids.split(",")])
-        self.decoded[ids] = made
+        if len(made) <= 4 * _CACHED_CHARS and len(self.decoded) < 2 * self.cache_words:
+            self.decoded[ids] = made
         return made
 
     def decode(self, groups: list[str]) -> bytes:

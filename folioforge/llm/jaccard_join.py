@@ -8,6 +8,7 @@ A document is its set of distinct n-grams; two documents link from a similarity
 * Index lists. N-grams are ordered by how many sets hold them, and only a set's prefix is indexed:
   linked sets share an n-gram there. A list is in order of size and position and cut into blocks;
   a block is skipped if no set in it is of a size or has enough n-grams left after its position.
+  Long lists are cut by size first: sets link within a class of sizes and the next class only.
 * Answers. Every set is first compared with one set that is as similar as its index lists can tell,
   its lead. Sets that link to a lead have its answers as far as components go, so no list emits a
   pair inside a component; and for two sets with the same lead the difference of their distances
@@ -16,12 +17,16 @@ A document is its set of distinct n-grams; two documents link from a similarity
 All links between components that the bounds leave are verified on whole sets, so components are exact.
 
 Scale: n-grams of candidates only are shuffled in full. Lists that are longer than LIST_BLOCK are
-dealt out as pairs of blocks to different tasks. Nothing of the size of the corpus is broadcast or
+dealt out as pairs of blocks to different tasks, of near classes of sizes only; the entries of the
+component that holds most of a list meet those of others alone, so a list of near copies of one text
+costs its length times what else is in it. Sets that many pairs name reach them by a bounded
+broadcast, once for all. Nothing of the size of the corpus is broadcast or
 collected: the candidates' filter is a bitmap of bounded size, thinning a scan that an exact join follows.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bitmap, discard, held, id_and_text, materialise, row_numbers, rows, split, tidied, whole_rows
+from .common import bitmap, discard, held, id_and_text, join_counted, materialise, row_numbers, rows, split, tidied, whole_rows
 from .graph import components
 
 SHINGLE = 4
@@ -115,16 +120,52 @@ def _needed(n: Column, percent: int) -> Column:
     return F.ceil(n * percent / 100.0 - 1e-9)
 
 
+#: A set that more than one pair in so many names is broadcast if it has no more n-grams than that: 100 MB together at most.
+_HOT_SETS, _HOT_GRAMS = 256, 50_000
+
+
+def _with_sets(pairs: DataFrame, sets: DataFrame, end: str, n: str, toks: str) -> DataFrame:
+    """pairs with size and n-grams of the sets at one end; pairs is read three times."""
+    named = sets.select(F.col("row").alias(end), F.col("n").alias(n), F.col("toks").alias(toks))
+    total = pairs.count()
+    often = pairs.groupBy(end).count().where(F.col("count") * _HOT_SETS > total)
+    hot = F.broadcast(named.where(F.col(n) <= _HOT_GRAMS).join(F.broadcast(often.select(end)), end))
+    return pairs.join(hot, end).unionByName(pairs.join(hot.select(end), end, "left_anti").join(named, end))
+
+
 def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """pairs (a, b) of rows with overlap and both sizes; sets has row, n and the shared toks."""
-    left = sets.select(F.col("row").alias("a"), F.col("n").alias("na"), F.col("toks").alias("ta"))
-    right = sets.select(F.col("row").alias("b"), F.col("n").alias("nb"), F.col("toks").alias("tb"))
-    both = pairs.join(left, "a").join(right, "b")
+    pairs = materialise(pairs, "pairs")
+    # The end that many pairs share is the lead, or the smaller row.
+    both = _with_sets(pairs, sets, "b", "nb", "tb").join(sets.select(F.col("row").alias("a"), F.col("n").alias("na"), F.col("toks").alias("ta")), "a")
     overlap = F.size(F.array_intersect("ta", "tb")).cast("bigint")
     out = both.select("a", "b", "na", "nb", overlap.alias("o"))
     return out.withColumn("linked", 100 * F.col("o") >= percent * (F.col("na") + F.col("nb") - F.col("o")))
 
 
+def _dealt(long: DataFrame, percent: int, list_block: int) -> DataFrame:
+    """Entries of long lists, once for each pair of blocks they take part in: b1, b2 and the entry's own block.
+
+    A block is a part of a cell: the entries of a list in one class of sizes, either of the component
+    that holds most of the list or of others. Two cells meet if their classes are the same or
+    neighbours, unless both are of that component.
+    """
+    size_class = F.floor(F.log(F.col("n").cast("double")) / (math.log(100 / percent) * (1 + 1e-9))).cast("long") if percent < 100 else F.col("n")
+    entries = long.withColumn("g", size_class)
+    most = entries.groupBy("tok", "comp").count().groupBy("tok").agg(F.max_by("comp", F.struct("count", "comp")).alias("most"))
+    entries = materialise(entries.join(most, "tok").withColumn("cell", 2 * F.col("g") + (F.col("comp") == F.col("most")).cast("long")).drop("g", "most"), "longlists")
+    cells = materialise(entries.groupBy("tok", "cell").agg(F.ceil(F.count(F.lit(1)) / list_block).cast("long").alias("parts")), "cells")
+    near = F.explode(F.sequence(F.expr("cell div 2") - 1, F.expr("cell div 2") + 1)).alias("g2")
+    other = cells.select("tok", F.expr("cell div 2").alias("g2"), F.col("cell").alias("cell2"), F.col("parts").alias("parts2"))
+    meets = cells.select("tok", "cell", "parts", near).join(other, ["tok", "g2"]).where("cell % 2 = 0 or cell2 % 2 = 0")
+    meets = meets.groupBy("tok", "cell", "parts").agg(F.collect_list(F.struct("cell2", "parts2")).alias("others"))
+    part = F.pmod(F.xxhash64("row"), F.col("parts"))
+    spread = entries.join(meets, ["tok", "cell"]).withColumn("block", F.shiftleft(F.col("cell"), 32) + part).withColumn("o", F.explode("others"))
+    first = F.shiftleft(F.col("o.cell2"), 32)
+    spread = spread.withColumn("other", F.explode(F.sequence(first, first + F.col("o.parts2") - 1)))
+    return spread.select("tok", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"), "row", "n", "pos", "comp", "lead", "dist", "block")
+
+
 def list_pairs(n: np.ndarray, pos: np.ndarray, comp: np.ndarray, lead: np.ndarray, dist: np.ndarray, block: np.ndarray, cross: bool, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of places in one index list, ordered by size and position, that no bound rules out.
 
@@ -242,8 +283,8 @@ def similar_classes(
     entries = materialise(entries.select("tok", "row", "n", "u", (F.col("k") + F.col("u")).alias("pos")), "index")
 
     # Answers by the lead: of all sets in its lists, the one with the fewest n-grams of its own.
-    heads = entries.groupBy("tok").agg(F.min(F.struct("u", "row")).alias("head"))
-    leads = entries.join(heads, "tok").groupBy("row").agg(F.min("head").alias("head")).select(F.col("row").alias("a"), F.col("head.row").alias("b"))
+    heads = materialise(entries.groupBy("tok").agg(F.min(F.struct("u", "row")).alias("head"), F.count(F.lit(1)).alias("len")), "heads")
+    leads = join_counted(entries, heads, ["tok"], "len", entries.count()).groupBy("row").agg(F.min("head").alias("head")).select(F.col("row").alias("a"), F.col("head.row").alias("b"))
     led = materialise(_links(leads.where("a <> b"), kept, percent), "leads")
     comp = materialise(components(led.where("linked").select("a", "b")), "leadcomponents")
     place = kept.select("row", "n").join(comp.withColumnRenamed("node", "row"), "row", "left").join(led.select(F.col("a").alias("row"), "b", "na", "nb", "o"), "row", "left")
@@ -260,13 +301,14 @@ def similar_classes(
     # Pairs across components, from the lists that have more than one.
     listed = entries.join(place, "row")
     mixed = listed.groupBy("tok").agg(F.count(F.lit(1)).alias("len"), F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 <> c2")
-    blocks = F.ceil(F.col("len") / list_block).cast("int")
-    dealt = (
-        listed.join(mixed.select("tok", blocks.alias("nb")), "tok")
-        .withColumn("block", F.pmod(F.xxhash64("row"), F.col("nb")))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-        .select("tok", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"), "row", "n", "pos", "comp", "lead", "dist", "block")
-    )
+    mixed = materialise(mixed.select("tok", "len"), "mixed")
+    none = F.lit(0).cast("long")
+    short = listed.join(mixed.where(F.col("len") <= list_block).select("tok"), "tok")
+    dealt = short.select("tok", none.alias("b1"), none.alias("b2"), "row", "n", "pos", "comp", "lead", "dist", none.alias("block"))
+    long = mixed.where(F.col("len") > list_block)
+    if not long.isEmpty():
+        total = mixed.agg(F.sum("len")).first()[0]
+        dealt = dealt.unionByName(_dealt(join_counted(listed, long, ["tok"], "len", total).drop("len"), percent, list_block))
     keys = ["tok", "b1", "b2"]
     sorted_ = dealt.repartition(*keys).sortWithinPartitions(*keys, "n", "pos", "row")
     pairs = sorted_.mapInArrow(tidied(_scan_lists(percent)), "a bigint, b bigint").distinct()

@@ -64,7 +64,7 @@ def near_copies(seed=5):
     return out
 
 
-@pytest.mark.parametrize("block", [2048, 3])
+@pytest.mark.parametrize("block", [2048, 7, 1])
 def test_jaccard_components(spark, block):
     texts = near_copies()
     want, sizes = brute_components(texts)

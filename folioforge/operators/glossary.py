@@ -3,7 +3,8 @@
 A glossary is a table (ord, term, gloss) whose order counts. Matching is by substring, so the join
 has no key. A glossary up to MAX_BROADCAST rows (checked by a bounded count) goes to all tasks;
 a larger one is dealt out by the terms' first letters, and a text meets only the terms whose first
-letters occur in it.
+letters occur in it. Both ways give the same rows: rows with one id are one text in parts, and a
+term counts once for it.
 """
 
 from __future__ import annotations
@@ -28,15 +29,20 @@ def _matches(texts: DataFrame, glossary: DataFrame, id_col: str, hay: str, fold:
     n = F.length(hay)
     grams = F.array_distinct(F.flatten(F.transform(sizes, lambda k: F.transform(F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1))), lambda i: F.substring(F.col(hay), i, k)))))
     keys = texts.select(id_col, F.explode(grams).alias("_gram"))
-    pairs = keys.join(keyed, "_gram").drop("_gram")
-    return texts.join(pairs, id_col).where(contained).drop("_needle")
+    pairs = keys.join(keyed, "_gram").drop("_gram").withColumnRenamed(id_col, "_id").distinct()
+    return texts.join(pairs, F.col(id_col).eqNullSafe(F.col("_id"))).where(contained).drop("_needle", "_id")
+
+
+def _once(matches: DataFrame, id_col: str) -> DataFrame:
+    """A term of a text once, however many rows of the text hold it."""
+    return matches.groupBy(id_col, "ord", "term", "gloss").agg(F.lit(1).alias("_one")).drop("_one")
 
 
 def hints(docs: DataFrame, glossary: DataFrame, id_col: str, text_col: str, most: int = 15, fold_term: bool = True) -> DataFrame:
     """(id, hint, n_terms): 'term → gloss' lines of the first terms, in glossary order, that the text holds."""
     texts = docs.select(id_col, F.lower(text_col).alias("_hay"))
     w = Window.partitionBy(id_col).orderBy("ord")
-    ranked = _matches(texts, glossary, id_col, "_hay", fold_term).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)
+    ranked = _once(_matches(texts, glossary, id_col, "_hay", fold_term), id_col).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)
     lines = F.array_sort(F.collect_list(F.struct("ord", F.concat_ws(" → ", "term", "gloss").alias("s"))))
     return ranked.groupBy(id_col).agg(F.array_join(F.transform(lines, lambda x: x["s"]), "\n").alias("hint"), F.count(F.lit(1)).alias("n_terms"))
 
@@ -47,4 +53,4 @@ def issues(pairs: DataFrame, glossary: DataFrame, id_col: str, original: str, tr
     usable = glossary.where(F.length("term") > longer)
     lacking = _matches(texts, usable, id_col, "_hay", True).where(~F.contains(F.coalesce("_t", F.lit("")), F.col("gloss")))
     w = Window.partitionBy(id_col).orderBy("ord")
-    return lacking.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most).select(id_col, "rank", "term", "gloss")
+    return _once(lacking, id_col).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most).select(id_col, "rank", "term", "gloss")

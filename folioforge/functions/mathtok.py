@@ -89,17 +89,17 @@ def preservation(original: Column, still_missing: Column) -> Column:
 
 
 def check(original: Column, translated: Column) -> Column:
-    """struct(score, missing, fixed_text): token difference, repairs in order, difference again."""
+    """struct(score, missing, n_tokens, fixed_text): token difference, repairs in order, difference again."""
 
     def judged(o: Column, t: Column) -> Column:
         empty = F.array().cast("array<string>")
-        none = F.struct(F.lit(100).alias("score"), empty.alias("missing"), t.alias("fixed_text"))
+        none = F.struct(F.lit(100).alias("score"), empty.alias("missing"), F.lit(0).alias("n_tokens"), t.alias("fixed_text"))
         lost = lambda: missing_tokens(o, tokens(t))
         done = let(
             restore_backslashes(restore_delimiters(repair_scripts(t), lost())),
             lambda fixed: let(
                 missing_tokens(o, tokens(fixed)),
-                lambda still: F.struct(preservation(o, still).alias("score"), still.alias("missing"), fixed.alias("fixed_text")),
+                lambda still: F.struct(preservation(o, still).alias("score"), still.alias("missing"), F.size(F.array_distinct(o)).alias("n_tokens"), fixed.alias("fixed_text")),
             ),
         )
         return F.when(F.size(o) == 0, none).otherwise(done)

@@ -119,7 +119,7 @@ def images(pages: DataFrame) -> DataFrame:
 
 
 def page_sections(pages: DataFrame, sections: DataFrame) -> DataFrame:
-    """Documents without any section get one per page, named page_N (from 1)."""
+    """Documents without any section get one per page, named page_N (from 1), with the page's images if pages has any."""
     lone = pages.join(sections.select("doc_id").distinct(), "doc_id", "left_anti")
     number = F.col("page") + 1
     return lone.select(
@@ -131,26 +131,17 @@ def page_sections(pages: DataFrame, sections: DataFrame) -> DataFrame:
         F.col("text").alias("content"),
         number.alias("start_page"),
         number.alias("end_page"),
+        *(["images"] if "images" in pages.columns else []),
     )
 
 
-def toc_ranges(toc: DataFrame, total_pages: Column, partition: list[str] | None = None, ord_col: str = "ord") -> DataFrame:
+def toc_ranges(toc: DataFrame, total_pages: Column, levels: list[int], partition: list[str] | None = None, ord_col: str = "ord") -> DataFrame:
     """Adds end_page and page_count: up to the page before the next entry of the same or a higher level, else the last page.
 
-    Levels are few and small, so the next entry is a minimum over as many running windows as there
-    are levels, not a self-join: for each level, the place of the next row at it.
+    Levels are few and known, so the next entry is the nearest of as many running windows as there are
+    levels, in space that does not grow with the rows of a partition.
     """
     w = Window.partitionBy(*(partition or [])).orderBy(ord_col).rowsBetween(1, Window.unboundedFollowing)
-    following = F.collect_list(F.struct(F.col("level").alias("l"), F.col("page").alias("p"))).over(w)
-    level = F.col("level")
-    nxt = F.filter(following, lambda x: x["l"] <= level)
-    ended = toc.withColumn("end_page", F.coalesce(F.try_element_at(nxt, F.lit(1))["p"] - 1, total_pages))
-    return ended.withColumn("page_count", F.col("end_page") - F.col("page") + 1)
-
-
-def toc_ranges_by_level(toc: DataFrame, total_pages: Column, levels: list[int], partition: list[str] | None = None, ord_col: str = "ord") -> DataFrame:
-    """toc_ranges() for a known list of levels, in space that does not grow with the rows of a partition."""
-    w = Window.partitionBy(*(partition or [])).orderBy(ord_col).rowsBetween(1, Window.unboundedFollowing)
     heads = {k: F.first(F.when(F.col("level") == k, F.struct(F.col(ord_col).alias("o"), F.col("page").alias("p"))), ignorenulls=True).over(w) for k in levels}
     marked = toc.withColumns({f"_h{k}": v for k, v in heads.items()})
     none = F.lit(None).cast(marked.schema[f"_h{levels[0]}"].dataType)

@@ -26,9 +26,11 @@ class Prompts:
     claims: str = "List up to six factual claims, one per line.\n\n{text}"
     preserved: str = 'Does the translation keep this claim? Answer {"preserved": true or false}.\n{claim}\n\n{text}'
     meaning: str = 'Rate from 1 to 10 how far the meaning is kept. Answer {"score": n}.\n{original}\n\n{translated}'
+    equivalent: str = 'How many of these formulas stand in the translation in equivalent forms? Answer {"equivalent": n}.\n{missing}\n\n{original}\n\n{translated}'
+    fact: str = 'Does this text support the claim? Answer {"supported": true or false}.\n{claim}\n\n{title}\n{extract}'
     logic: str = 'List contradictions as {"issues": [..]}.\n\n{text}'
     concepts: str = "List up to eight concepts worth explaining, one per line.\n\n{text}"
-    explain: str = "Explain {term} from this.\n\n{text}"
+    explain: str = "Explain {term} from this.\n\n{text}\n\nIt stands in: {context}"
     title: str = "Translate this name.\n{term}"
     summary: str = "Summarise.\n\n{text}"
     diagram: str = "Draw a diagram of this as a tikzpicture.\n\n{text}"
@@ -46,6 +48,8 @@ class BookConfig:
     enrich: bool = True
     supplements: bool = True
     chunk: int = 2000
+    #: Claims are checked against an entry by the model; otherwise by the words that they share with it.
+    ask_facts: bool = True
     prompts: Prompts = field(default_factory=Prompts)
 
 
@@ -60,9 +64,12 @@ def fill(template: str, **columns):
 def sections_of(pages: DataFrame, end_page: int | None = None) -> DataFrame:
     """Sections of page documents (layout.PAGE_SCHEMA); documents without headers give a section per page."""
     text = pages.select("doc_id", "page").join(layout.page_text(pages), ["doc_id", "page"], "left").withColumn("text", F.coalesce("text", F.lit("")))
+    shown = layout.images(pages).groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(F.struct("img_idx", "filename", "position"))).alias("i"))
+    shown = shown.select("doc_id", "page", F.transform("i", lambda x: F.struct(x["filename"].alias("filename"), x["position"].alias("position"), (F.col("page") + 1).alias("page"))).alias("images"))
+    text = text.join(shown, ["doc_id", "page"], "left").withColumn("images", F.coalesce("images", F.array().cast(shown.schema["images"].dataType)))
     heads = layout.first_header(layout.headers(layout.spans(pages)))
     found = layout.assemble_sections(text, heads, end_page)
-    pick = ["doc_id", "section_id", "title", "font_size", "level", "content", "start_page", "end_page"]
+    pick = ["doc_id", "section_id", "title", "font_size", "level", "content", "start_page", "end_page", "images"]
     unique = layout.last_wins(found.select(*pick, "section_no"), ["doc_id", "section_id"], F.col("section_no")).drop("n_rows", "section_no")
     lone = layout.page_sections(text, found)
     return unique.select(*pick).unionByName(lone.select(*pick)).withColumn("key", F.concat_ws("/", "doc_id", "section_id"))
@@ -100,7 +107,17 @@ def verify(sections: DataFrame, glossary: DataFrame, kb: DataFrame, claims: Data
     blank = (F.coalesce("content", F.lit("")) == "") | (F.coalesce("content_translated", F.lit("")) == "")
     checked = sections.withColumns({"formula": mathtok.check(F.coalesce("content", F.lit("")), F.coalesce("content_translated", F.lit(""))), "skipped": blank})
     checked = persist(checked, "formulas")
-    scores = checked.select("key", F.lit("formula").alias("module"), F.col("formula.score").alias("score"), F.size("formula.missing").alias("n_issues"), "skipped")
+    formulas = checked
+    if "formula" in on:
+        # A model may know some of the missing formulas in other forms.
+        doubtful = checked.where(~F.col("skipped") & F.col("formula.score").between(50, 90))
+        some, cut = F.array_join(F.slice("formula.missing", 1, 5), "\n"), lambda c: F.left(c, F.lit(1500))
+        asked = fill(config.prompts.equivalent, missing=some, original=cut(F.col("content")), translated=cut(F.col("formula.fixed_text")))
+        told = call(doubtful, "key", asked, client).select("key", parsing.json_from_text(F.col("answer"), "equivalent string")["equivalent"].try_cast("int").alias("_same"))
+        formulas = checked.join(told, "key", "left")
+        adjusted = mathtok.adjusted_score(F.col("formula.score"), F.size("formula.missing"), F.col("formula.n_tokens"), F.coalesce("_same", F.lit(0)))
+        formulas = persist(formulas.withColumn("formula", F.col("formula").withField("score", adjusted)).drop("_same"), "judged")
+    scores = formulas.select("key", F.lit("formula").alias("module"), F.col("formula.score").alias("score"), F.size("formula.missing").alias("n_issues"), "skipped")
     if "formula" in on:
         checked = checked.withColumn("content_translated", F.when(F.col("skipped"), F.col("content_translated")).otherwise(F.col("formula.fixed_text")))
     else:
@@ -142,7 +159,13 @@ def verify(sections: DataFrame, glossary: DataFrame, kb: DataFrame, claims: Data
         terms = T.search_terms(F.col("claim"))
         known = knowledge.search(top, kb, "cid", terms)
         checkable = top.where(F.size(terms) > 0).join(known, "cid", "left")
-        ok = F.coalesce(knowledge.word_support(F.col("claim"), F.col("extract")), F.lit(False))
+        ok = knowledge.word_support(F.col("claim"), F.col("extract"))
+        if config.ask_facts:
+            asked = fill(config.prompts.fact, claim=F.col("claim"), title=F.col("title"), extract=F.left("extract", F.lit(1000)))
+            told = call(checkable.where("extract is not null"), "cid", asked, client)
+            checkable = checkable.join(told.select("cid", parsing.json_from_text(F.col("answer"), "supported boolean")["supported"].alias("_ok")), "cid", "left")
+            ok = F.col("_ok")
+        ok = F.coalesce(ok, F.lit(False))
         sums = checkable.groupBy("key").agg(F.count(F.lit(1)).alias("n_checked"), F.sum(F.when(ok, 1).otherwise(0)).alias("n_verified"))
         rows = base.select("key").join(n_claims, "key", "left").join(sums, "key", "left").fillna(0)
         scores = scores.unionByName(module("research", rows.select("key", scoring.research(F.col("n_claims"), F.col("n_checked"), F.col("n_verified")).alias("score"), (F.col("n_checked") - F.col("n_verified")).alias("n_issues"))))
@@ -157,8 +180,10 @@ def enrich(sections: DataFrame, kb: DataFrame, client: ModelClient, config: Book
     answers = call(long, "key", fill(config.prompts.concepts, text=F.left(F.col("content"), F.lit(2500))), client)
     terms = answers.select("key", F.posexplode(F.slice(parsing.concepts(F.col("answer")), 1, most)).alias("i", "term")).withColumn("cid", F.concat_ws("#", "key", F.col("i").cast("string")))
     terms = persist(terms, "concepts")
-    known = persist(knowledge.lookup(terms, kb, "cid", "term").where("title is not null"), "known")
-    told = call(known, "cid", fill(config.prompts.explain, term=F.col("term"), text=F.left(F.col("extract"), F.lit(1500))), client)
+    contexts = long.select("key", F.left("content", F.lit(500)).alias("context"))
+    known = knowledge.lookup(terms, kb, "cid", "term").where("title is not null").join(terms.select("cid", "key"), "cid").join(contexts, "key").drop("key")
+    known = persist(known, "known")
+    told = call(known, "cid", fill(config.prompts.explain, term=F.col("term"), text=F.left(F.col("extract"), F.lit(1500)), context=F.col("context")), client)
     named = call(known, "cid", fill(config.prompts.title, term=F.col("term")), client).select("cid", F.col("answer").alias("name"))
     rows = known.join(told.where(F.length("answer") >= 30), "cid").join(named, "cid").join(terms.select("cid", "key", "i"), "cid")
     entry = F.struct("i", "term", T.concept_title(F.col("name"), F.col("term")).alias("title_ko"), T.clean_explanation(F.col("answer")).alias("explanation"), F.col("title").alias("source"))
@@ -168,19 +193,20 @@ def enrich(sections: DataFrame, kb: DataFrame, client: ModelClient, config: Book
 
 def supplement(sections: DataFrame, client: ModelClient, config: BookConfig, persist: Persist, least: int = 100) -> DataFrame:
     """Adds supplements: summary over 30 characters, balanced diagram, numbered examples and exercises, solutions, glossary pairs."""
-    p, text = config.prompts, F.left(F.coalesce("content_translated", F.lit("")), F.lit(3000))
-    long = sections.where(F.length("content_translated") >= least).select("key", text.alias("text"))
+    p, whole = config.prompts, F.coalesce("content_translated", F.lit(""))
+    text = lambda most: F.left(F.col("text"), F.lit(most))
+    long = sections.where(F.length("content_translated") >= least).select("key", whole.alias("text"))
     out = long.select("key")
-    exercises = call(long, "key", fill(p.exercises, text=F.col("text")), client).select("key", parsing.numbered_items(F.concat(F.lit("\n"), F.col("answer"))).alias("exercises"))
+    exercises = call(long, "key", fill(p.exercises, text=text(2500)), client).select("key", parsing.numbered_items(F.concat(F.lit("\n"), F.col("answer"))).alias("exercises"))
     exercises = persist(exercises, "exercises")
     made = {
-        "summary": (p.summary, lambda a: F.when(F.length(T.clean_output(a)) > 30, T.clean_output(a))),
-        "tikz_diagram": (p.diagram, lambda a: F.nullif(parsing.diagram(a), F.lit(""))),
-        "examples": (p.examples, lambda a: parsing.numbered_items(F.concat(F.lit("\n"), a))),
-        "glossary": (p.glossary, parsing.pairs),
+        "summary": (3000, p.summary, lambda a: F.when(F.length(T.clean_output(a)) > 30, T.clean_output(a))),
+        "tikz_diagram": (2000, p.diagram, lambda a: F.nullif(parsing.diagram(a), F.lit(""))),
+        "examples": (2500, p.examples, lambda a: parsing.numbered_items(F.concat(F.lit("\n"), a))),
+        "glossary": (2500, p.glossary, parsing.pairs),
     }
-    for name, (template, parse) in made.items():
-        out = out.join(call(long, "key", fill(template, text=F.col("text")), client).select("key", parse(F.col("answer")).alias(name)), "key", "left")
+    for name, (most, template, parse) in made.items():
+        out = out.join(call(long, "key", fill(template, text=text(most)), client).select("key", parse(F.col("answer")).alias(name)), "key", "left")
     out = out.join(exercises, "key", "left")
     asked = exercises.where(F.size("exercises") > 0).select("key", F.array_join("exercises", "\n").alias("text"))
     solved = call(asked, "key", fill(p.solutions, text=F.col("text")), client).select("key", F.nullif(T.clean_output(F.col("answer")), F.lit("")).alias("solutions"))

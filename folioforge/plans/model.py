@@ -9,12 +9,12 @@ from __future__ import annotations
 import hashlib
 import json
 import time
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 from typing import Protocol
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioforge.shipping import ship
@@ -28,7 +28,10 @@ class ModelClient(Protocol):
 
 @dataclass(frozen=True)
 class StubModel:
-    """Answers that depend on the prompt alone: canned ones for prompts that hold a key, else kind's."""
+    """Answers that depend on the prompt alone: canned ones for prompts that hold a key, else kind's.
+
+    Kinds: echo (the prompt), quote (what follows its first empty line), score, verdict.
+    """
 
     kind: str = "echo"
     canned: tuple[tuple[str, str], ...] = ()
@@ -40,6 +43,8 @@ class StubModel:
         n = int.from_bytes(hashlib.sha256(prompt.encode()).digest()[:4], "big")
         if self.kind == "echo":
             return prompt
+        if self.kind == "quote":
+            return prompt.partition("\n\n")[2]
         if self.kind == "score":
             return json.dumps({"score": 1 + n % 10, "reason": "stub"})
         if self.kind == "verdict":
@@ -52,7 +57,10 @@ class StubModel:
 
 @dataclass(frozen=True)
 class HttpModel:
-    """A local model server that takes {model, prompt, stream, options} and answers {response}."""
+    """A model server: {model, prompt, stream, options} answered by {response}, or for chat {model, messages, ..} by {message}.
+
+    A chat's messages are the system's text, pairs of examples (asked, answered), and the prompt.
+    """
 
     url: str
     model: str
@@ -60,15 +68,32 @@ class HttpModel:
     max_tokens: int = 4096
     timeout_s: float = 300.0
     pause_s: float = 0.0
+    chat: bool = False
+    system: str = ""
+    examples: tuple[tuple[str, str], ...] = ()
+
+    def request(self, prompt: str) -> tuple[str, dict]:
+        """Path and body of the call for a prompt."""
+        common = {"model": self.model, "stream": False, "options": {"temperature": self.temperature, "num_predict": self.budget()}}
+        if not self.chat:
+            return "/api/generate", common | {"prompt": prompt}
+        given = [{"role": "system", "content": self.system}] if self.system else []
+        shown = [{"role": role, "content": text} for pair in self.examples for role, text in zip(("user", "assistant"), pair)]
+        return "/api/chat", common | {"messages": [*given, *shown, {"role": "user", "content": prompt}]}
+
+    def budget(self) -> int:
+        """Tokens of an answer: models that reason first get more."""
+        return self.max_tokens + (3000 if "qwen3" in self.model else 0)
 
     def generate(self, prompts: list[str]) -> list[str]:
         from urllib.request import Request, urlopen
 
         out = []
         for prompt in prompts:
-            body = {"model": self.model, "prompt": prompt, "stream": False, "options": {"temperature": self.temperature, "num_predict": self.max_tokens}}
-            with urlopen(Request(f"{self.url}/api/generate", json.dumps(body).encode(), {"Content-Type": "application/json"}), timeout=self.timeout_s) as r:
-                out.append(json.loads(r.read()).get("response", ""))
+            path, body = self.request(prompt)
+            with urlopen(Request(self.url + path, json.dumps(body).encode(), {"Content-Type": "application/json"}), timeout=self.timeout_s) as r:
+                answer = json.loads(r.read())
+                out.append(answer.get("message", {}).get("content", "") if self.chat else answer.get("response", ""))
             if self.pause_s:
                 time.sleep(self.pause_s)
         return out
@@ -126,10 +151,7 @@ def ask(df: DataFrame, key: str, prompt: Column, client: ModelClient, path: str)
     return fresh.groupBy(key).agg(best.alias("a")).select(key, "a.*")
 
 
-def stored(spark, path: str, schema: str) -> DataFrame | None:
+def stored(spark: SparkSession, path: str, schema: str) -> DataFrame | None:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     there = target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
     return spark.read.schema(schema).parquet(path) if there else None
-
-
-Step = Callable[[DataFrame], DataFrame]

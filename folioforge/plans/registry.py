@@ -173,9 +173,9 @@ def filler_cleaning(spark, sf_dir):
 
 
 @query("""SELECT doc_id, CASE WHEN length(n) < 0.5 * length(text) THEN 'old' ELSE 'new' END AS taken, coalesce(nullif(left(text, (doc_id % 3)::INT), ''), lang) AS title
-    FROM (SELECT *, left(text, (doc_id * 37 % 400)::INT) AS n FROM documents) WHERE text IS NOT NULL""")
+    FROM (SELECT doc_id, lang, coalesce(text, '') AS text, left(coalesce(text, ''), (doc_id * 37 % 400)::INT) AS n FROM documents)""")
 def polish_guard(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").where("text is not null")
+    docs = table(spark, sf_dir, "documents").withColumn("text", F.coalesce("text", F.lit("")))
     new = F.left(F.col("text"), (F.col("doc_id") * 37 % 400).cast("int"))
     taken = F.when(T.accept_polish(F.col("text"), new) == new, "new").otherwise("old")
     return docs.select("doc_id", taken.alias("taken"), T.or_default(F.left(F.col("text"), (F.col("doc_id") % 3).cast("int")), F.col("lang")).alias("title"))
@@ -306,7 +306,7 @@ def claim_scores(spark, sf_dir):
 def toc_ranges(spark, sf_dir):
     w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
     toc = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", (1 + F.col("o_orderkey") % 3).alias("level"), (F.row_number().over(w) * 5).alias("page"))
-    out = layout.toc_ranges_by_level(toc, F.lit(1000), [1, 2, 3], ["o_custkey"], "o_orderkey")
+    out = layout.toc_ranges(toc, F.lit(1000), [1, 2, 3], ["o_custkey"], "o_orderkey")
     return out.select("o_orderkey", *big("page", "end_page", "page_count"))
 
 
@@ -566,23 +566,93 @@ def metadata(spark, sf_dir):
 PAGE_SELECTORS = Selectors(containers=(("article", None),), chapter_title="h1", paragraph=("p", None), paragraph_text=("p", None))
 
 
-@query()
+@query(r"""WITH a AS (SELECT page_id, regexp_extract(html, '(?s)<article>(.*)</article>', 1) AS inner_html FROM pages),
+    b AS (SELECT page_id, regexp_extract(inner_html, '(?s)<h1>(.*?)</h1>', 1) AS title, CASE WHEN contains(inner_html, '<p><b>') THEN strpos(inner_html, '<p><b>') ELSE length(inner_html) + 1 END AS cut, inner_html FROM a),
+    c AS (SELECT page_id, title, list_concat(regexp_extract_all(left(inner_html, cut - 1), '(?s)<p>(.*?)</p>', 1), CASE WHEN cut <= length(inner_html) THEN [substr(inner_html, cut)] ELSE [] END) AS items FROM b),
+    d AS (SELECT page_id, title, i - 1 AS i, items[i] AS item FROM (SELECT *, unnest(range(1, len(items) + 1)) AS i FROM c)),
+    e AS (SELECT page_id, title, i, list_filter(list_transform(string_split_regex(item, '<[^>]*>'), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> '') AS nodes FROM d)
+    SELECT page_id, trim(regexp_replace(replace(title, '&quot;', '"'), '&amp;?', '&', 'g')) AS chapter_title, 0 AS sec_idx, (row_number() OVER (PARTITION BY page_id ORDER BY i) - 1)::INT AS item_idx, 'paragraph' AS type,
+        regexp_replace(replace(array_to_string(nodes, ' '), '&quot;', '"'), '&amp;?', '&', 'g') AS text FROM e WHERE len(nodes) > 0""")
 def html_items(spark, sf_dir):
     return content_items(table(spark, sf_dir, "pages"), "page_id", "html", PAGE_SELECTORS).select("page_id", "chapter_title", "sec_idx", "item_idx", "type", "text")
 
 
-@query()
+# --- Rendering and formulas: SQL has no lookarounds, so it marks places first ---------------------
+def outside_sql(x: str, regions: str, change: str) -> str:
+    """x with change, of s[1], applied between matches of regions."""
+    return f"array_to_string(list_transform(list_zip(string_split_regex({x}, '{regions}'), regexp_extract_all({x}, '{regions}')), lambda s: {change} || coalesce(s[2], '')), '')"
+
+
+def latex_sql(source: str, key: str, text: str) -> str:
+    """(key, t): clean_for_latex() of a text expression, for texts without bare math and East Asian letters."""
+    escaped = r"replace(regexp_replace(s[1], '([&%#_])', '\\\1', 'g'), '^', '\^{}')"
+    inner = outside_sql("s[1]", render.PROTECTED, escaped).replace("lambda s:", "lambda u:").replace("s[2]", "u[2]").replace("regexp_replace(s[1]", "regexp_replace(u[1]")
+    return rf"""a AS (SELECT {key}, regexp_replace(coalesce({text}, ''), '\*\*(.+?)\*\*', '\\textbf{{\1}}', 'g') AS t FROM {source}),
+    b AS (SELECT {key}, array_to_string(list_transform(list_zip(string_split_regex(t, '\*{{2,}}'), regexp_extract_all(t, '\*{{2,}}')), lambda s: s[1] || repeat(chr(1), coalesce(length(s[2]), 0))), '') AS t FROM a),
+    c AS (SELECT {key}, replace(regexp_replace(t, '\*([^*\n]+)\*', '\\textit{{\1}}', 'g'), chr(1), '*') AS t FROM b),
+    l AS (SELECT {key}, i, parts[i] AS x, regexp_matches(parts[i], '^\s*[*-]\s+') AS item FROM (SELECT {key}, parts, unnest(range(1, len(parts) + 1)) AS i FROM (SELECT {key}, string_split(t, chr(10)) AS parts FROM c))),
+    r AS (SELECT {key}, i, CASE WHEN NOT item THEN x ELSE CASE WHEN coalesce(lag(item) OVER w, false) THEN '' ELSE '\begin{{itemize}}' || chr(10) END || '\item ' || regexp_replace(x, '^\s*[*-]\s+', '')
+        || CASE WHEN coalesce(lead(item) OVER w, false) THEN '' ELSE chr(10) || '\end{{itemize}}' END END AS x FROM l WINDOW w AS (PARTITION BY {key} ORDER BY i)),
+    d AS (SELECT {key}, string_agg(x, chr(10) ORDER BY i) AS t FROM r GROUP BY {key}),
+    e AS (SELECT {key}, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '(?m)^\s*#{{1,3}}\s+(.+)$', '\\paragraph{{\1}}', 'g'), '<sup>(.*?)</sup>', '\\textsuperscript{{\1}}', 'g'),
+        '<sub>(.*?)</sub>', '\\textsubscript{{\1}}', 'g'), '<br\s*/?>', '\\\\\\\\', 'g'), '<[^>]+>', '', 'g') AS t FROM d),
+    f AS (SELECT {key}, regexp_replace(t, '(?s)\$\$(.+?)\$\$', '\\[\1\\]', 'g') AS t FROM e),
+    g AS (SELECT {key}, {STRIP.format(collapse_sql(outside_sql("t", render.MATH, inner)))} AS t FROM f)"""
+
+
+@query(f"WITH {latex_sql('documents', 'doc_id', 'text')} SELECT doc_id, md5(t) AS tex_md5 FROM g")
 def latex_texts(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(render.clean_for_latex(F.col("text")).cast("binary")).alias("tex_md5"))
 
 
-@query()
+@query(r"""SELECT p_partkey, p_name || ' $a_1$ $b_{ij}$ $x^2$ $e^{x+1}$ \textbf{$q_1$} \& $c_2$ \[d_3\] \% $r^{1.4}$' AS bare, p_name || ' a\_1 $b_2$ \& 50\% \_' AS light,
+    p_name || ' ' || repeat('한', 10) || '\hspace{0pt}' || repeat('한', 3) || ' x 한 漢 2' AS broken FROM part""")
+def latex_math(spark, sf_dir):
+    name = lambda tail: F.concat("p_name", F.lit(tail))
+    return table(spark, sf_dir, "part").select(
+        "p_partkey", render.clean_for_latex(name(r" a_1 b_{ij} x^2 e^(x+1) **q_1** & $c_2$ $$d_3$$ % r ^1.4")).alias("bare"),
+        render.escape_light(name(r" a_1 $b_2$ & 50% \_")).alias("light"), render.break_long_runs(render.space_scripts(name("한" * 13 + " x한 漢2"))).alias("broken"),
+    )
+
+
+def tokens_sql(source: str, text: str, out: str) -> str:
+    """source with the math tokens of a text column added. A letter that may begin a variable is marked before the scan."""
+    regions = "list_concat(" + ", ".join(f"regexp_extract_all({text}, '(?s){p}')" for p in mathtok.REGIONS) + ")"
+    arguments = ", ".join(f"regexp_extract_all({text}, '{p}')" for p in mathtok.ARGUMENT_COMMANDS)
+    names = ", ".join(f"'\\{n}'" for n in mathtok.PLAIN_COMMANDS)
+    commands = f"list_concat({arguments}, flatten(list_transform(regexp_extract_all({text}, '\\\\[A-Za-z]+'), lambda w: list_filter([{names}], lambda n: starts_with(w, n)))))"
+    marked = r"regexp_replace(r, '(^|[^a-zA-Z\\])([A-Za-z])', '\1' || chr(2) || '\2', 'g')"
+    variable = r"chr(2) || '[A-Za-z](?:_\{?[^}\s]*\}?)?(?:\^\{?[^}\s]*\}?)?'"
+    variables = f"flatten(list_transform({regions}, lambda r: list_transform(regexp_extract_all({marked}, {variable}), lambda v: replace(v, chr(2), ''))))"
+    return f"SELECT *, list_concat({regions}, {commands}, {variables}) AS {out} FROM {source}"
+
+
+def _backslashes_sql(x: str) -> str:
+    for name in mathtok.BACKSLASHED:
+        for _ in range(2):  # places that share a character between them take a second pass
+            x = rf"regexp_replace({x}, '(^|[^\\]){name}([\s{{(])', '\1\\{name}\2', 'g')"
+    return x
+
+
+_LACKING = "list_sort(list_filter(list_distinct(ot), lambda m: NOT list_contains({0}, m)))"
+_INNER = "(CASE WHEN starts_with(m, '$$') THEN substr(m, 3, length(m) - 4) ELSE substr(m, 2, length(m) - 2) END)"
+_SCRIPTS = r"regexp_replace(regexp_replace(t, '<sup>(.*?)</sup>', '^{\1}', 'g'), '<sub>(.*?)</sub>', '_{\1}', 'g')"
+
+
+@query(rf"""WITH x AS (SELECT doc_id, coalesce(text, '') || ' $\alpha_{{1}}$ \frac{{a}}{{b}} $x^2$' AS o, coalesce(text, '') || CASE WHEN doc_id % 2 = 0 THEN ' $\alpha_{{1}}$ \frac{{a}}{{b}} x^2' ELSE ' \alpha frac{{a}}{{b}} x<sup>2</sup>' END AS t FROM documents),
+    a AS ({tokens_sql("x", "o", "ot")}), b AS ({tokens_sql("a", "t", "tt")}),
+    c AS (SELECT *, list_filter({_LACKING.format("tt")}, lambda m: starts_with(m, '$') AND ends_with(m, '$') AND length(m) > 1) AS lost FROM b),
+    d AS (SELECT *, list_reduce(lost, lambda acc, m: CASE WHEN strpos(acc, {_INNER}) > 0 AND length({_INNER}) > 0 AND NOT contains(acc, '$' || {_INNER} || '$')
+        THEN left(acc, strpos(acc, {_INNER}) - 1) || m || substr(acc, strpos(acc, {_INNER}) + length({_INNER})) ELSE acc END, {_SCRIPTS}) AS r FROM c),
+    e AS (SELECT *, {_backslashes_sql("r")} AS fixed_text FROM d), f AS ({tokens_sql("e", "fixed_text", "ft")}),
+    g AS (SELECT doc_id, len(list_distinct(ot)) AS n, len({_LACKING.format("ft")}) AS lacking, fixed_text FROM f)
+    SELECT doc_id, CASE WHEN n = 0 THEN 100 ELSE trunc((1 - lacking::DOUBLE / n) * 100)::INT END AS score, lacking::INT AS n_missing, md5(fixed_text) AS fixed_md5 FROM g""")
 def formula_check(spark, sf_dir):
     i, text = F.col("doc_id"), F.coalesce("text", F.lit(""))
     original = F.concat(text, F.lit(r" $\alpha_{1}$ \frac{a}{b} $x^2$"))
     translated = F.concat(text, F.when(i % 2 == 0, r" $\alpha_{1}$ \frac{a}{b} x^2").otherwise(r" \alpha frac{a}{b} x<sup>2</sup>"))
-    c = mathtok.check(original, translated)
-    return table(spark, sf_dir, "documents").select("doc_id", c.alias("c")).select("doc_id", "c.score", F.size("c.missing").alias("n_missing"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", mathtok.check(original, translated).alias("c"))
+    return rows.select("doc_id", "c.score", F.size("c.missing").alias("n_missing"), F.md5(F.col("c.fixed_text").cast("binary")).alias("fixed_md5"))
 
 
 # --- Events: windows for streams and tables ----------------------------------------------------
@@ -771,3 +841,7 @@ def supplement_counts(spark, sf_dir):
     s = F.struct(F.when(i % 5 != 0, F.col("lang")).alias("summary"), none.alias("tikz_diagram"), listed(4).alias("examples"), listed(2).alias("exercises"), none.alias("solutions"), listed(3).alias("glossary"))
     out = supplement_summary(table(spark, sf_dir, "documents").select(i.alias("key"), s.alias("supplements")))
     return out.select(F.col("key").alias("doc_id"), *big("n_examples", "n_terms", "summary_chars"), F.array_join("kinds", ",").alias("kinds"))
+
+
+# The plans' queries register themselves; they need what stands above.
+from folioforge.plans import plan_queries  # noqa: E402, F401

@@ -86,7 +86,7 @@ def test_headers_and_sections(spark):
 
 def test_toc(spark):
     toc = spark.createDataFrame([(0, 1, "a", 1), (1, 2, "b", 3), (2, 3, "c", 3), (3, 2, "d", 7), (4, 1, "e", 9)], "ord int, level int, title string, page int").withColumn("k", F.lit(1))
-    for out in (layout.toc_ranges(toc, F.lit(20), ["k"]), layout.toc_ranges_by_level(toc, F.lit(20), [1, 2, 3], ["k"])):
+    for out in (layout.toc_ranges(toc, F.lit(20), [1, 2, 3], ["k"]),):
         assert [(r["end_page"], r["page_count"]) for r in out.orderBy("ord").collect()] == [(8, 8), (6, 4), (6, 4), (8, 2), (20, 12)]
 
 

@@ -131,6 +131,16 @@ def clean_for_latex(c: Column) -> Column:
     return T.py_strip(T.collapse_newlines(c))
 
 
+# Fixed value: references to sections of parts, [IV.1] or [IV.1§14].
+REFERENCE = r"\[([IVXL]+)\.(\d+)(?:§(\d+))?\]"
+
+
+def cross_references(c: Column) -> Column:
+    """References to sections as links to their labels; the text of a reference stays."""
+    far = F.regexp_replace(c, REFERENCE.replace("(?:§(\\d+))?", "§(\\d+)"), r"\\hyperref[sec:$1-$2-$3]{[$1.$2§$3]}")
+    return F.regexp_replace(far, r"(?<!\{)" + REFERENCE.replace("(?:§(\\d+))?", ""), r"\\hyperref[sec:$1-$2]{[$1.$2]}")
+
+
 def environment(name: str, body: Column, argument: Column | None = None) -> Column:
     head = F.lit(f"\\begin{{{name}}}") if argument is None else F.concat(F.lit(f"\\begin{{{name}}}["), argument, F.lit("]"))
     return F.concat(head, F.lit("\n"), body, F.lit(f"\n\\end{{{name}}}"))

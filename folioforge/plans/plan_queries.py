@@ -242,3 +242,9 @@ def answer_defaults(spark, sf_dir):
     rows = table(spark, sf_dir, "part").select("p_partkey", F.array_join(parsing.line_items(lines), "|").alias("items"), parsed.alias("j"), T.strip_foreign_scripts(F.concat(name, F.lit(" 한국漢字かなкиรสعر"))).alias("kept"))
     issues = F.size(F.slice(F.coalesce("j.issues", F.array().cast("array<string>")), 1, 3))
     return rows.select("p_partkey", "items", F.coalesce("j.preserved", F.lit(True)).alias("preserved"), F.coalesce("j.supported", F.lit(False)).alias("supported"), issues.alias("n_issues"), "kept")
+
+
+@query("""SELECT p_partkey, p_name || ' see \\hyperref[sec:IV-' || (p_partkey % 7) || '-2]{[IV.' || (p_partkey % 7) || '§2]} and \\hyperref[sec:II-3]{[II.3]}, not [x.1] or [IV]' AS linked FROM part""".replace("\\\\", "\\"))
+def cross_references(spark, sf_dir):
+    text = F.concat("p_name", F.lit(" see [IV."), (F.col("p_partkey") % 7).cast("string"), F.lit("§2] and [II.3], not [x.1] or [IV]"))
+    return table(spark, sf_dir, "part").select("p_partkey", render.cross_references(text).alias("linked"))

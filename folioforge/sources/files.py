@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import os
+import shutil
+import subprocess
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioforge.functions.text import base_name, safe_key
+from folioforge.shipping import ship
 
 _IMAGE = "struct<filename:string,position:struct<x:double,y:double,width:double,height:double>,page:int,path:string>"
 _MODULE = "struct<score:int,issues:array<string>,auto_fixed:array<string>,flagged:array<string>,skipped:boolean>"
@@ -51,10 +58,10 @@ def write_metadata(sections: DataFrame, path: str, source: str, total_pages: int
     metadata(sections, source, total_pages).write.mode("overwrite").json(path)
 
 
-def metadata(sections: DataFrame, source: str, total_pages: int) -> DataFrame:
-    """One row: total_sections, section_ids in order, pdf_path, total_pages. Of one book, so its list is small."""
+def metadata(sections: DataFrame, source: str, total_pages: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """A row for each book (by): total_sections, section_ids in order, pdf_path, total_pages. A list is as long as a book."""
     ids = F.array_sort(F.collect_list("section_id"))
-    return sections.agg(F.count(F.lit(1)).alias("total_sections"), ids.alias("section_ids")).withColumns({"pdf_path": F.lit(source), "total_pages": F.lit(total_pages)})
+    return sections.groupBy(*by).agg(F.count(F.lit(1)).alias("total_sections"), ids.alias("section_ids")).withColumns({"pdf_path": F.lit(source), "total_pages": F.lit(total_pages)})
 
 
 def write_documents(documents: DataFrame, path: str) -> None:
@@ -78,6 +85,42 @@ def image_kind(content):
     )
 
 
+def fetched(urls: DataFrame, manifest: DataFrame, fetch: Callable[[str], bytes], url_col: str = "url") -> DataFrame:
+    """(name, url, content, error) of what the manifest lacks; a failed fetch has its error and costs only its row.
+
+    fetch runs on the executors, a URL at a time: give it a client with a time limit, and write the result once.
+    """
+
+    def get(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for name, url in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                content = error = None
+                try:
+                    content = fetch(url)
+                except Exception as e:
+                    error = f"{type(e).__name__}: {e}"
+                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([url]), pa.array([content], pa.binary()), pa.array([error], pa.string())], ["name", "url", "content", "error"])
+
+    ship(urls.sparkSession)
+    return assets_to_fetch(urls, manifest, url_col).select("name", "url").mapInArrow(get, "name string, url string, content binary, error string")
+
+
+def compile_document(path: str, command: tuple[str, ...] = ("xelatex", "-interaction=nonstopmode", "-halt-on-error"), passes: int = 2, timeout_s: float = 120.0) -> tuple[bool, str]:
+    """(whether all passes ended well, the last output) of an outside program on one local file, if it is installed."""
+    if shutil.which(command[0]) is None:
+        return False, f"{command[0]} is not installed"
+    out = ""
+    for _ in range(passes):
+        try:
+            done = subprocess.run([*command, os.path.basename(path)], cwd=os.path.dirname(os.path.abspath(path)), capture_output=True, text=True, timeout=timeout_s, check=False)
+        except subprocess.TimeoutExpired:
+            return False, f"no end within {timeout_s} s"
+        out = done.stdout + done.stderr
+        if done.returncode:
+            return False, out
+    return True, out
+
+
 def assets_to_fetch(urls: DataFrame, manifest: DataFrame, url_col: str = "url") -> DataFrame:
     """(name, url): distinct file names that the manifest (name) lacks; of URLs with the same name the least."""
     wanted = urls.where(F.col(url_col).isNotNull()).select(base_name(F.col(url_col)).alias("name"), F.col(url_col).alias("url")).where("name <> ''")

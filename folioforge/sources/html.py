@@ -145,6 +145,7 @@ def page_items(page: str, s: Selectors) -> tuple[str, list[tuple]]:
     if top is None:
         return "", []
     title, out = bare_title(top.first((s.chapter_title, None))), []
+    seen: dict[int, int] = {}
 
     def content(holder: Node, sec_idx: int, section_title: str) -> None:
         for child in holder.children:
@@ -167,7 +168,8 @@ def page_items(page: str, s: Selectors) -> tuple[str, list[tuple]]:
                 latex = latex or "".join(x.strip() for x in child.texts())
                 item = ("equation", None, None, None, latex) if latex else None
             if item is not None:
-                out.append((sec_idx, sum(1 for o in out if o[0] == sec_idx), section_title, *item))
+                out.append((sec_idx, seen.get(sec_idx, 0), section_title, *item))
+                seen[sec_idx] = seen.get(sec_idx, 0) + 1
 
     content(top, 0, "")
     sections = [c for c in top.children if isinstance(c, Node) and c.fits(s.section)]

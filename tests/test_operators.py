@@ -1,15 +1,17 @@
 """Layout, glossary, scoring, rendering, files, models and streams on small rows."""
 
+import inspect
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from folioforge.functions import text as T
 from folioforge.operators import glossary as G
-from folioforge.operators import knowledge, layout, paragraphs, render, scoring
+from folioforge.operators import frames, knowledge, layout, paragraphs, render, scoring
 from folioforge.plans import book, lecture
-from folioforge.plans.model import StubModel, ask, call, suggest
+from folioforge.plans.model import HttpModel, StubModel, ask, call, suggest
 from folioforge.plans.stages import tables
 from folioforge.sources import files
 from folioforge.sources.html import Selectors, page_items
@@ -229,3 +231,50 @@ def test_paginated_source(spark):
 def test_latex_document(spark):
     rows = spark.createDataFrame([("d", "6.10", "c"), ("d", "6.9", "b"), ("d", "1", "a")], "doc_id string, section_id string, tex string")
     assert render.document(rows, ["doc_id"], "P", "E").first()["tex"] == "Pa\n\nb\n\nc\nE"
+
+
+def test_frames():
+    text = frames.Frame("A title", author="Someone", part="I").preamble()
+    used = set(re.findall(r'environment\("(\w+)"', inspect.getsource(render))) | {"deepresearch", "diagrambox"}
+    known = set(re.findall(r"newtcolorbox\{(\w+)\}", text))
+    assert used - known <= {"center", "quote"} and "\\begin{titlepage}" in text and "\\part{I}" in text and text.rstrip().endswith("\\part{I}")
+    assert "titlepage" not in frames.Frame(contents=False).preamble() and "tableofcontents" not in frames.Frame(contents=False).preamble()
+
+
+def test_fetch_and_compile(spark, tmp_path):
+    urls = spark.createDataFrame([("http://h/a.png",), ("http://h/b.png",), ("http://h/bad.png",), (None,)], "url string")
+    manifest = spark.createDataFrame([("a.png",)], "name string")
+
+    def fetch(url):
+        if "bad" in url:
+            raise OSError("no")
+        return url.encode()
+
+    got = {r["name"]: (r["content"], r["error"]) for r in files.fetched(urls, manifest, fetch).collect()}
+    assert bytes(got["b.png"][0]) == b"http://h/b.png" and got["bad.png"] == (None, "OSError: no") and set(got) == {"b.png", "bad.png"}
+    tex = tmp_path / "a.tex"
+    tex.write_text("x")
+    assert files.compile_document(str(tex), ("no-such-program",))[0] is False and files.compile_document(str(tex), ("cat",)) == (True, "x")
+    assert files.compile_document(str(tex), ("false",))[0] is False and "no end" in files.compile_document(str(tex), ("tail", "-f"), timeout_s=0.3)[1]
+
+
+def test_chat_requests():
+    chat = HttpModel("http://h", "qwen3:8b", chat=True, system="s", examples=(("q", "a"),))
+    path, body = chat.request("p")
+    assert path == "/api/chat" and [m["role"] for m in body["messages"]] == ["system", "user", "assistant", "user"] and body["options"]["num_predict"] == 7096
+    path, body = HttpModel("http://h", "m").request("p")
+    assert path == "/api/generate" and body["prompt"] == "p" and body["options"]["num_predict"] == 4096
+
+
+@pytest.mark.parametrize("most", [20_000, 0])
+def test_glossary_counts_a_term_once(spark, monkeypatch, most):
+    monkeypatch.setattr(G, "MAX_BROADCAST", most)
+    texts = spark.createDataFrame([(1, "Ring theory"), (1, "a ring"), (2, None), (None, "rings"), (3, "")], "id int, text string")
+    terms = spark.createDataFrame([(0, "ring", "x"), (1, "theory", "y"), (2, "", "z")], "ord int, term string, gloss string")
+    got = {r["id"]: (r["hint"], r["n_terms"]) for r in G.hints(texts, terms, "id", "text").collect()}
+    assert got == {1: ("ring → x\ntheory → y", 2), None: ("ring → x", 1)}
+
+
+def test_section_images(spark):
+    out = book.sections_of(pages(spark)).select("section_id", "images").collect()
+    assert all(r["images"] is not None for r in out)

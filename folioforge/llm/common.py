@@ -51,7 +51,8 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with small_batches(spark):
+        df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stage_path = path
     if not _written:
@@ -99,9 +100,23 @@ def _clear() -> None:
             _delete(spark, path)
 
 
-#: Rows and bytes that are Python objects at once. Arrow's own batches are bounded in bytes by the session
-#: (spark.sql.execution.arrow.maxBytesPerBatch, 64 MB unless the caller says otherwise).
+#: Rows and bytes that are Python objects at once.
 SLICE_ROWS, SLICE_BYTES = 256, 4_000_000
+#: Bytes of an Arrow batch, on both sides of the pipe, while an operator writes a table of its own. What it returns
+#: runs with the caller's setting (64 MB by default).
+BATCH_BYTES = 8 << 20
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches of at most BATCH_BYTES for what is run inside; the session's setting is as before at the end."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def id_and_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -252,7 +267,7 @@ def split(df: DataFrame, column: str, found: bytes) -> tuple[DataFrame, DataFram
     def part(wanted: bool):
         def select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             bits = unpack(found)
-            for batch in batches:
+            for batch in slices(batches):
                 hit = in_bitmap(bits, batch.column(at).cast(pa.int64()))
                 yield batch.filter(pa.array(hit if wanted else ~hit))
 

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, materialise, rows, slices, tidied
+from .common import id_and_text, materialise, rows, slices, small_batches, tidied
 from .spans import Covered, Span, digest, joined
 
 KINDS = ("assign", "access", "hex")
@@ -256,7 +256,9 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     tokens = found.select(F.explode("candidates.token").alias("token"))
     histogram = {False: np.zeros(_STEPS), True: np.zeros(_STEPS)}
     total = {False: 0, True: 0}
-    for r in tokens.mapInArrow(tidied(measure), "long boolean, step int").groupBy("long", "step").count().collect():  # at most 2 * (_STEPS + 1) rows
+    with small_batches(docs.sparkSession):
+        measured_tokens = tokens.mapInArrow(tidied(measure), "long boolean, step int").groupBy("long", "step").count().collect()
+    for r in measured_tokens:  # at most 2 * (_STEPS + 1) rows
         total[r["long"]] += r["count"]
         if r["step"] >= 0:
             histogram[r["long"]][r["step"]] = r["count"]

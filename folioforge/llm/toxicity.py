@@ -27,7 +27,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, rows, tidied
+from folioforge.shipping import ship
+
+from .common import id_and_text, rows, slices, tidied
 
 MAX_TRAIN = 6000
 GRADES = 4
@@ -193,12 +195,13 @@ def grade_toxicity(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id",
 
 
 def drop_toxic(docs: DataFrame, model: OrdinalModel, text_col: str = "text") -> DataFrame:
-    """The rows of docs, with all columns, that the model does not reject; null texts stay. A map without any exchange."""
+    """The rows of docs, with all columns, that the model does not reject; null texts stay, an empty table gives none. A map without any exchange."""
     at = docs.columns.index(text_col)
 
     def select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column(at).cast(pa.binary()).to_pylist()
             yield batch.filter(pa.array([t is None or model.grades(t)[0] >= 0.5 for t in texts], pa.bool_()))
 
+    ship(docs.sparkSession)
     return docs.mapInArrow(tidied(select), docs.schema)

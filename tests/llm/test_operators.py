@@ -676,3 +676,14 @@ def test_url_vocabulary(spark):
     rules = url_filter.RuleSet(url_filter.DEFAULT_RULES)
     assert rules.find("." * 400_000, "/") == (None, None) and rules.find("a." * 100_000 + "net", "/x") == ("net/", "block")
     assert time.perf_counter() - began < 1
+
+
+def test_the_sessions_settings_stay(spark):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = (spark.conf.get(name), spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
+    assert secret_scan.scan_secrets(docs(spark, EDGE)).count() == len(EDGE)
+    assert exact_dedup.drop_duplicates(docs(spark, EDGE)).count() < len(EDGE)
+    assert before == (spark.conf.get(name), spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
+    with pytest.raises(ZeroDivisionError), common.small_batches(spark):
+        raise ZeroDivisionError
+    assert spark.conf.get(name) == before[0]

@@ -40,3 +40,60 @@ def test_pipeline(spark):
     assert {r["doc_id"] for r in tables[5].collect()} == set(clean)
     out = corpus_pipeline.run(spark, SF)
     assert out.count() == tables[5].count() and corpus_pipeline.ORACLE_SQL is None
+
+
+EXTRA = "doc_id long, text string, lang string, source string, n_chars int, _id string, _sha string, _added string, doc string, sha string, id string, row string"
+
+
+def folder_of(spark, tmp_path, texts, ids=None):
+    ids = list(range(len(texts))) if ids is None else ids
+    rows = [(i, t, None, "s", len(t) if t is not None else None, "x", "y", "z", "d", "h", "i", "r") for i, t in zip(ids, texts)]
+    spark.createDataFrame(rows, EXTRA).write.parquet(f"file://{tmp_path}/documents.parquet")
+    labels = [(k, None if k % 7 == 0 else 1, None if k % 5 == 0 else int("idiot" in (t or ""))) for k, t in zip(ids, texts) if k is not None]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"file://{tmp_path}/labels.parquet")
+    return f"file://{tmp_path}"
+
+
+def test_pipeline_on_odd_rows(spark, tmp_path):
+    """Nulls, empty and long texts, ties, repeated rows and ids, and columns whose names clash with inner ones, stage by stage."""
+    long = "very long text " * 20_000
+    texts = [None, "", " ", "a b c d e f g h", "a  b c\nd e f g h", "a b c d e f g h", "mail jk@mail.example now please do", long, long + "end", "idiot you are", *["plain text of it number " + str(k) for k in range(12)], *["idiot idiot moron " + str(k) for k in range(6)]]
+    ids = [0, 1, 2, 3, 4, 3, None, 7, 8, 9, *range(10, 28)]
+    sf = folder_of(spark, tmp_path, texts, ids)
+    tables = [spark.read.parquet(f"{sf}/documents.parquet")]
+    for _, stage in corpus_pipeline.STAGES:
+        tables.append(stage(spark, tables[-1], sf))
+    kept = [[(r["doc_id"], r["text"]) for r in t.collect()] for t in tables[:5]]
+    assert all(t.columns == tables[0].columns for t in tables[:5])
+    assert all(r["_id"] == "x" and r["sha"] == "h" and r["row"] == "r" for t in tables[1:5] for r in t.collect())
+    calm, single, apart, clean = (sorted(k, key=str) for k in kept[1:])
+    assert not any("idiot idiot" in (t or "") for _, t in calm) and (0, None) in calm and (1, "") in calm
+    first = {}
+    for i, t in calm:
+        first[flat(t)] = min(first.get(flat(t), (1, 0)), (i is None, i or 0))
+    assert sorted((i is None, i or 0) for i, _ in single) == sorted(first.values())
+    names = [i for i, _ in single]
+    label, _ = brute_components([t for _, t in single], 5, 80)
+    least = {c: min((i for i, k in zip(names, label) if k == c and i is not None), default=None) for c in label}
+    assert sorted(str(i) for i, _ in apart) == sorted(str(i) for i, c in zip(names, label) if i is None or i == least[c])
+    assert (None, "mail [EMAIL] now please do") in clean and len(clean) == len(apart)
+    pieces = tables[5].collect()
+    assert sorted({str(r["doc_id"]) for r in pieces}) == sorted({str(i) for i, _ in clean})
+    again = corpus_pipeline.run(spark, sf)
+    assert sorted(map(str, (r[:5] for r in again.collect()))) == sorted(map(str, (r[:5] for r in pieces)))
+
+
+def test_pipeline_on_empty_tables(spark, tmp_path):
+    sf = folder_of(spark, tmp_path, [])
+    assert corpus_pipeline.run(spark, sf).count() == 0
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        assert stage(spark, spark.read.parquet(f"{sf}/documents.parquet"), sf).count() == 0
+
+
+def test_pipeline_leaves_one_table(spark, tmp_path):
+    from folioforge.llm import common
+
+    before = set(common._written)
+    out = corpus_pipeline.run(spark, folder_of(spark, tmp_path, ["one text", "another one", "one  text"]))
+    assert set(common._written) - before == {out._stage_path} and out.count() == 2
+    common.discard(out)

@@ -69,23 +69,34 @@ def discard(df: DataFrame) -> None:
         _written.pop(path, None)
 
 
+def tables_now() -> frozenset[str]:
+    """The tables written so far and not deleted."""
+    return frozenset(_written)
+
+
+def settle(before: frozenset[str], *kept: DataFrame) -> None:
+    """Deletes the tables written since before was taken, but for those of kept: all that a result still reads."""
+    stay = {getattr(df, "_stage_path", None) for df in kept}
+    for path in [p for p in _written if p not in before and p not in stay]:
+        _delete(_written.pop(path), path)
+
+
 @contextmanager
 def stage_tables() -> Iterator[Callable[[DataFrame], DataFrame]]:
     """Deletes the tables written inside the block at its end, but for those given to the function that it yields.
 
     Results of operators are lazy and read their tables: write what is wanted and keep that.
     """
-    before, kept = set(_written), set()
+    before, kept = tables_now(), []
 
     def keep(df: DataFrame) -> DataFrame:
-        kept.add(getattr(df, "_stage_path", None))
+        kept.append(df)
         return df
 
     try:
         yield keep
     finally:
-        for path in [p for p in _written if p not in before and p not in kept]:
-            _delete(_written.pop(path), path)
+        settle(before, *kept)
 
 
 def _delete(spark: SparkSession, path: str) -> None:

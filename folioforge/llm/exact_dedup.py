@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, bitmap, discard, held, id_and_text, join_counted, materialise, parallelism, row_numbers, rows, split, tidied, whole_rows
+from .common import SPACE_CLASS, bitmap, discard, held, id_and_text, join_counted, materialise, parallelism, row_numbers, rows, settle, split, tables_now, tidied, whole_rows
 
 BLOCK_BYTES = 4096
 _RANGE_BITS = 40
@@ -167,7 +167,9 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     with the smallest id stays; null ids come after all others; of rows that repeat an id with an
     equal text exactly one stays. An empty table gives an empty result. Other columns are ignored.
     """
+    before = tables_now()
     found = materialise(identities(docs, id_col, text_col, block_bytes), "identities")
+    settle(before, found)
     groups = found.groupBy("m", "name").agg(
         F.min(F.struct(F.col("id").isNull().alias("last"), F.col("id"), F.col("row"))).alias("keep"),
         F.count(F.lit(1)).alias("group_size"),
@@ -189,9 +191,11 @@ def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     matched by id and digest of the normalised text. Of rows that repeat both, one stays: the one
     with the least text, then the least other columns. Nulls, empty tables as in exact_duplicates().
     """
+    before = tables_now()
     judged = exact_duplicates(docs, id_col, text_col, block_bytes)
     gone = judged.where(~F.col("kept")).select(F.col(id_col).alias("id"), F.col("text_sha256").alias("sha"), "keep_id")
     gone = materialise(gone, "dropped")
+    settle(before, gone)
     # Where the row that stays has the same id, the id and text stay once.
     whole = gone.where(~F.col("id").eqNullSafe(F.col("keep_id"))).select("id", "sha").distinct()
     doubtful, sure = split(docs, id_col, bitmap(gone, "id"))

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bitmap, discard, held, id_and_text, join_counted, materialise, row_numbers, rows, split, tidied, whole_rows
+from .common import bitmap, discard, held, id_and_text, join_counted, materialise, row_numbers, rows, settle, split, tables_now, tidied, whole_rows
 from .graph import components
 
 SHINGLE = 4
@@ -249,6 +249,7 @@ def similar_classes(
     Rows that repeat a text are linked with each other. Null ids stand after all others; a component
     of null ids alone has a null component_id. An empty table gives an empty result.
     """
+    before = tables_now()
     sets = materialise(id_and_text(docs, id_col, text_col).mapInArrow(tidied(_sets(shingle)), _SETS), "sets")
     meta = materialise(sets.select("row", "id", "n", "f1", "f2"), "setmeta")
     first = F.min(F.struct(F.col("id").isNull().alias("last"), F.col("id"), F.col("row")))
@@ -321,6 +322,7 @@ def similar_classes(
     # Names: the smallest id of a component, given to all rows of its classes.
     named = classes.join(final, "row", "left").select("f1", "f2", "n", "id", F.coalesce("comp", "row").alias("comp"))
     named = materialise(named, "classcomponents")
+    settle(before, meta, named)
     names = named.groupBy("comp").agg(F.min("id").alias("component_id"))
     of_class = named.join(names, "comp").select("f1", "f2", "n", "component_id")
     out = meta.join(of_class, ["f1", "f2", "n"], "left")
@@ -335,10 +337,12 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Rows that repeat an id stand or fall together: they stay if the id names a component. Rows
     without an id stay. Rows that no link concerns pass by a map; only the others are shuffled.
     """
+    before = tables_now()
     found = similar_classes(docs, id_col, text_col, shingle, percent)
     named = F.max(F.col(id_col) == F.col("component_id"))
     gone = found.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(named.alias("named")).where(~F.col("named")).select(id_col)
     gone = materialise(gone, "linkedaway")
+    settle(before, gone)
     doubtful, sure = split(docs, id_col, bitmap(gone, id_col))
     nested = doubtful.select(F.col(f"`{id_col}`").alias("id"), whole_rows(docs).alias("doc"))
     stay = nested.join(gone.select(F.col(id_col).alias("id")), "id", "left_anti")

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import byte_alphabet
-from .common import held, id_and_text, materialise, row_numbers, rows, tidied
+from .common import discard, held, id_and_text, materialise, row_numbers, rows, tidied
 
 CAPACITY = 4096
 GROUP_PIECES = 8192
@@ -265,6 +265,8 @@ def pack_documents(
     while True:
         groups = max(1, min(-(-n // group_pieces), total // (group_bins * capacity)))
         out = materialise(_pass(todo, groups, capacity, level << 56), "packed")
+        if level == 0:
+            discard(pieces)
         first, loose = F.col("offset") == 0, F.col("fill") < cut
         seen = out.agg(
             F.count_if(first).alias("bins"), F.count_if(first & loose).alias("loose"), F.count_if(loose).alias("n"), F.sum(F.when(loose, F.col("length"))).alias("total")

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bitmap, id_and_text, in_bitmap, materialise, row_numbers, rows, slices, split, tidied, unpack, whole_rows
+from .common import bitmap, id_and_text, in_bitmap, materialise, row_numbers, rows, settle, slices, split, tables_now, tidied, unpack, whole_rows
 from .spans import Span, digest, joined
 
 KINDS = ("email", "ip", "card", "phone")
@@ -268,7 +268,9 @@ def find_personal_data(
     have none. Repeated rows count as documents, but not as new contexts. An empty table gives an
     empty result; other columns are not read.
     """
+    before = tables_now()
     disclosing = disclosing_terms(docs, id_col, text_col, window, threshold, min_contexts)
+    settle(before, *([] if disclosing is None else [disclosing]))
     marked = _term_bitmap(disclosing) if disclosing is not None else None
     found = materialise(id_and_text(docs, id_col, text_col).mapInArrow(tidied(_marks(marked)), _FOUND), "personal")
     none = F.array().cast("array<struct<kind:string,start:bigint,end:bigint>>")
@@ -326,9 +328,11 @@ def sanitise_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Rows without added spans are rewritten by a map; only the others are shuffled, and matched by id
     and SHA-256 of the text. Null texts stay null; an empty table gives none. Repeated rows are rewritten alike.
     """
+    before = tables_now()
     found = find_personal_data(docs, id_col, text_col)
     more = found.where(F.size("added") > 0).select(F.col(id_col).alias("id"), "sha", F.array_sort("added").alias("added")).distinct()
     more = materialise(more, "disclosing")
+    settle(before, more)
     marked = bitmap(more, "id")
     names = list(docs.columns)
     at, length_at, id_at = names.index(text_col), names.index(length_col) if length_col else None, names.index(id_col)

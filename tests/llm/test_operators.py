@@ -687,3 +687,90 @@ def test_the_sessions_settings_stay(spark):
     with pytest.raises(ZeroDivisionError), common.small_batches(spark):
         raise ZeroDivisionError
     assert spark.conf.get(name) == before[0]
+
+
+def brute_disclosing(texts, window=6, threshold=0.9, min_contexts=3):
+    """Added PII spans of each text, by counting everything for every pair of term and entity."""
+    words = lambda t: [(m.start(), m.end()) for m in re.finditer(r"[^\x20\x09-\x0D]+", t)]
+    term = lambda w: w.strip(pii._EDGES).lower()
+    base = [brute_pii(t or "") for t in texts]
+    free = [[(a, b) for a, b in words(t or "") if all(b <= x or a >= y for _, x, y in s)] for t, s in zip(texts, base)]
+    terms = [{term((t or "")[a:b]) for a, b in f} - {""} for t, f in zip(texts, free)]
+    anywhere = [{term(w) for w in re.split(r"[\x20\x09-\x0D]+", t or "")} - {""} for t in texts]
+    entities = [{(k, (t or "")[a:b].lower()) for k, a, b in s} for t, s in zip(texts, base)]
+    contexts = {}
+    for i, (t, spans, f) in enumerate(zip(texts, base, free)):
+        for kind, a, b in spans:
+            every = words(t)
+            before, after = [w for w in every if w[0] < a][-window:], [w for w in every if w[0] >= b][:window]
+            key = tuple(sorted(term(t[x:y]) for x, y in before + after if (x, y) in f))
+            contexts.setdefault((kind, t[a:b].lower()), {}).setdefault(i, set()).add(key)
+    total, found = len(texts), set()
+    for e, at in contexts.items():
+        n_e = sum(e in x for x in entities)
+        if len(set.union(*at.values())) < min_contexts or n_e == total:
+            continue
+        for w in set.union(*(terms[i] for i in at)):
+            both = [i for i in at if w in terms[i]]
+            n_w = sum(w in x for x in anywhere)
+            pmi = math.log(total * len(both) / (n_w * n_e))
+            if pmi / math.log(total / n_e) >= threshold and len(set.union(*(at[i] for i in both))) >= min_contexts:
+                found.add((e[0], w))
+    out = []
+    for t, f in zip(texts, free):
+        spans = set()
+        for a, b in f:
+            w = t[a:b]
+            spans |= {(f"term_{k}", a + len(w) - len(w.lstrip(pii._EDGES)), b - len(w) + len(w.rstrip(pii._EDGES))) for k, x in found if x == term(w)}
+        out.append(spans)
+    return out
+
+
+def test_disclosing_terms_by_brute_force(spark):
+    r = random.Random(12)
+    filler = [f"w{k}" for k in range(40)]
+    texts = [None, "", "x@y.zz"]
+    for k in range(400):
+        words = r.choices(filler, k=r.randint(3, 25))
+        if r.random() < 0.5:
+            who = r.randrange(12)
+            words.insert(r.randrange(len(words)), f"u{who}@mail.example{r.choice(['', ',', ' +1 555 010 0199'])}")
+            if r.random() < 0.9:
+                words.insert(r.randrange(len(words)), f"{r.choice(['', '('])}Name{who}{r.choice(['', '.', ','])}")
+        elif r.random() < 0.1:
+            words.append(f"name{r.randrange(20)}")
+        texts.append(" ".join(words))
+    got = {x["doc_id"]: {(s["kind"], s["start"], s["end"]) for s in x["added"]} for x in pii.find_personal_data(docs(spark, texts)).collect()}
+    want = brute_disclosing(texts)
+    assert [got[i] for i in range(len(texts))] == want and sum(map(bool, want)) > 50
+
+
+def test_secret_spans_by_brute_force(spark):
+    """The rule over the sorted list of all p-values, against the histogram's."""
+    r = random.Random(13)
+    key = lambda: "".join(r.choice(ALPHABETS[r.choice(list(ALPHABETS))]) for _ in range(r.randint(10, 44)))
+    texts = [" ".join(r.choice([key(), f"name={key()}", "ordinary words and internationalisation", "file-name-2024/version_two", "token=" + key(), key()[:14]]) for _ in range(r.randint(0, 6))) for _ in range(150)]
+    folded = secret_scan._FOLDED[np.frombuffer("\n".join(texts).encode(), np.uint8)]
+    model = secret_scan.TextModel(np.bincount(folded[:-1] * 27 + folded[1:], minlength=729))
+    tested = []
+    for i, t in enumerate(texts):
+        for token, a, b in secret_scan.candidates_in(t, secret_scan.Covered(brute_secrets(t))):
+            encoding = secret_scan.infer_encoding(token)
+            value = secret_scan.evidence(token, encoding[1], model) if encoding else -1.0
+            random_enough = encoding is not None and secret_scan.randomness(token, encoding[1]) >= secret_scan.MIN_RANDOMNESS
+            p = math.exp(-min(799, value // 0.25) * 0.25) if random_enough and value >= -math.log(0.001) else 1.0
+            tested.append((i, a, b, len(token) >= 20, value, p))
+    want = {i: [] for i in range(len(texts))}
+    for long in (False, True):
+        group = sorted((x for x in tested if x[3] == long), key=lambda x: x[5])
+        passing = [k for k, x in enumerate(group) if x[5] < 1 and x[5] <= 0.001 * sum(y[5] <= x[5] for y in group) / len(group)]
+        for x in group[: max(passing) + 1] if passing else []:
+            want[x[0]].append(x)
+    found = {x["doc_id"]: sorted((s["start"], s["end"]) for s in x["added"]) for x in secret_scan.scan_secrets(docs(spark, texts)).collect()}
+    for i in want:
+        taken = []
+        for _, a, b, *_ in sorted(want[i], key=lambda x: (-x[4], x[1])):
+            if all(b <= c or a >= d for c, d in taken):
+                taken.append((a, b))
+        assert found[i] == sorted(taken)
+    assert sum(map(bool, found.values())) > 60

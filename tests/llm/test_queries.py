@@ -1,11 +1,16 @@
 """The registered queries on the smallest tables, and the pipeline stage by stage."""
 
+import hashlib
+import re
+import zlib
+
+import numpy as np
 import pytest
 
 import corpus_pipeline
-from folioforge.llm import queries
+from folioforge.llm import html_extract, pii, queries, secret_scan, toxicity
 from tests.compare import oracle, same
-from tests.llm.test_operators import brute_components, brute_pii, flat
+from tests.llm.test_operators import brute_components, brute_disclosing, brute_pii, brute_quality, brute_secrets, flat, tokenizer
 
 SF = "/root/testdata/sf0.001"
 
@@ -19,6 +24,79 @@ def test_query(spark, name):
         same(got[list(want.columns)], want)
 
 
+def rows_of(spark, name):
+    return {r["doc_id"]: r for r in queries.QUERIES[name](spark, SF).collect()}
+
+
+@pytest.fixture(scope="module")
+def texts(spark):
+    return {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+
+
+def test_quality_query_by_brute_force(spark, texts):
+    for i, r in rows_of(spark, "op3_quality_rules").items():
+        n, chars, symbols, dups, repeats = brute_quality(texts[i])
+        failed = n < 50 or 100 * repeats > 50 * n
+        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"]) == (n, chars, symbols, dups, repeats, failed)
+        assert r["kept"] == (not failed and r["p_good"] >= 0.5)
+
+
+def test_bpe_query_by_the_library(spark, texts):
+    k = tokenizer("byte_bpe_50k.json")
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    for i, r in rows_of(spark, "op4_bpe").items():
+        ids = k.encode(texts[i], add_special_tokens=False).ids
+        assert (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) == (len(ids), sha(",".join(map(str, ids))), sha(k.decode(ids, skip_special_tokens=False)))
+
+
+def test_packing_query_by_the_library(spark, texts):
+    k, pieces, fill = tokenizer("word_bpe_49k.json"), [], {}
+    rows = queries.QUERIES["op5_packing"](spark, SF).collect()
+    for i, t in texts.items():
+        ids = [*k.encode(t, add_special_tokens=False).ids, 1]
+        pieces += [(i, p, s, len(ids[s : s + 4096]), zlib.crc32(np.array(ids[s : s + 4096], "<u4").tobytes())) for p, s in enumerate(range(0, len(ids), 4096))]
+    assert sorted((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in rows) == sorted(pieces)
+    for r in sorted(rows, key=lambda r: (r["sequence_id"], r["offset"])):
+        assert r["offset"] == fill.get(r["sequence_id"], 0)
+        fill[r["sequence_id"]] = r["offset"] + r["length"]
+    assert max(fill.values()) <= 4096 and len(fill) == -(-sum(fill.values()) // 4096)
+
+
+def test_join_query_by_brute_force(spark, texts):
+    ids = sorted(texts)
+    label, sizes = brute_components([texts[i] for i in ids])
+    got = rows_of(spark, "op6_jaccard_join")
+    assert [(got[i]["n_shingles"], got[i]["component_id"]) for i in ids] == [(n, ids[k]) for n, k in zip(sizes, label)]
+
+
+def test_toxicity_query_by_one_model(spark, texts):
+    model = toxicity.train(spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet"))
+    for i, r in rows_of(spark, "op7_toxicity").items():
+        grades = model.grades(texts[i].encode())
+        assert r["kept"] == (grades[0] >= 0.5) and abs(r["expected_severity"] - sum(k * p for k, p in enumerate(grades))) < 1e-9
+
+
+def test_span_queries_by_brute_force(spark, texts):
+    sha = lambda spans: hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in spans).encode()).hexdigest()
+    ids = sorted(texts)
+    more = dict(zip(ids, brute_disclosing([texts[i] for i in ids])))
+    for i, r in rows_of(spark, "op8_pii").items():
+        base = brute_pii(texts[i])
+        assert [r[f"n_{k}"] for k in pii.KINDS] == [sum(s[0] == k for s in base) for k in pii.KINDS] and r["base_sha256"] == sha(base)
+        assert r["spans"] == ",".join(f"{k}:{a}:{b}" for k, a, b in base + sorted(more[i], key=lambda s: (pii.KINDS.index(s[0][5:]), s[1])))
+    for i, r in rows_of(spark, "op10_secret_scan").items():
+        base = brute_secrets(texts[i])
+        assert [r[f"n_{k}"] for k in secret_scan.KINDS] == [sum(s[0] == k for s in base) for k in secret_scan.KINDS] and r["base_sha256"] == sha(base)
+        assert set(f"{k}:{a}:{b}" for k, a, b in base) <= set(r["spans"].split(",")) | {""}
+
+
+def test_pages_query_page_by_page(spark):
+    pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
+    for r in queries.QUERIES["op1_html_extraction"](spark, SF).collect():
+        inner = re.search(r"(?s)<article>(.*)</article>", pages[r["page_id"]])[1]
+        assert r["text"] == "\n".join(html_extract.parse(inner).texts.values()) and r["n_chars"] == len(r["text"])
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}

@@ -114,8 +114,9 @@ def _clear() -> None:
 #: Rows and bytes that are Python objects at once.
 SLICE_ROWS, SLICE_BYTES = 256, 4_000_000
 #: Bytes of an Arrow batch, on both sides of the pipe, while an operator writes a table of its own. What it returns
-#: runs with the caller's setting (64 MB by default).
-BATCH_BYTES = 8 << 20
+#: runs with the caller's setting (64 MB by default). Buffers of batches lie outside the JVM's heap, and the allocator
+#: keeps blocks of up to 32 MB that were freed, so small batches bound what an executor holds over many stages.
+BATCH_BYTES = 1 << 20
 
 
 @contextmanager

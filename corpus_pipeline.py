@@ -1,4 +1,7 @@
-"""From documents to packed training sequences: five stages, each over all that the one before kept."""
+"""From documents to packed training sequences: five stages, each over all that the one before kept.
+
+Stages return tables that they have written, so that all their Python workers get the operators' small batches.
+"""
 
 from __future__ import annotations
 
@@ -14,27 +17,27 @@ from folioforge.llm.queries import tokenizer_path
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the ordinal model, fitted on the labelled ones, does not reject."""
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.drop_toxic(docs, model)
+    return materialise(toxicity.drop_toxic(docs, model), "calm")
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the one with the smallest id."""
-    return exact_dedup.drop_duplicates(docs)
+    return materialise(exact_dedup.drop_duplicates(docs), "single")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of similar documents the one with the smallest id: five-word shingles, similarity 0.8 or more."""
-    return jaccard_join.one_of_each(docs, shingle=5, percent=80)
+    return materialise(jaccard_join.one_of_each(docs, shingle=5, percent=80), "apart")
 
 
 def sanitise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data and the terms that disclose it replaced by their kinds."""
-    return pii.sanitise_documents(docs, length_col="n_chars")
+    return materialise(pii.sanitise_documents(docs, length_col="n_chars"), "clean")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces with their places in training sequences."""
-    return packing.pack_documents(docs, tokenizer_path("word_bpe_49k.json"))
+    return materialise(packing.pack_documents(docs, tokenizer_path("word_bpe_49k.json")), "packed")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
@@ -50,15 +53,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to documents; each result is written as Parquet and read again, and what a stage wrote besides goes with its end.
+    """Apply the stages to documents; each writes its result as Parquet and reads it again, and what it wrote besides goes with its end.
 
     Stages take nulls in any column, empty and long texts, repeated rows, empty tables and columns beyond
     those of documents, whatever their names: the last returns pieces, all others the columns they were given.
     """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
+    for _, stage in STAGES:
         with stage_tables() as keep:
-            made = keep(materialise(stage(spark, docs, sf_dir), f"stage-{name}"))
+            made = keep(stage(spark, docs, sf_dir))
         discard(docs)
         docs = made
     return docs

@@ -174,8 +174,8 @@ def _part(c: Column) -> Column:
     return F.nullif(F.coalesce(c, F.lit("")), F.lit(""))
 
 
-def section(df: DataFrame) -> DataFrame:
-    """(section_id, tex): heading, label, body, enrichments, verification, supplements.
+def section(df: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """(keep, section_id, tex): heading, label, body, enrichments, verification, supplements.
 
     Columns: section_id, title_original, title_translated, level, font_size, content_translated, and
     as far as there are any enrichments, score, band, line, and a struct supplements.
@@ -201,7 +201,7 @@ def section(df: DataFrame) -> DataFrame:
             F.when(F.size(s("glossary")) > 0, environment("glossarybox", F.array_join(pairs, " \\\\\n"))),
             F.when(_part(s("solutions")).isNotNull(), F.concat(F.lit("\\paragraph{풀이}\n"), clean_for_latex(s("solutions")))),
         ]
-    return df.select("section_id", F.concat_ws("\n\n", *parts).alias("tex"))
+    return df.select(*(keep or []), "section_id", F.concat_ws("\n\n", *parts).alias("tex"))
 
 
 def document(sections: DataFrame, by: list[str], preamble: str = "", ending: str = "\\end{document}") -> DataFrame:

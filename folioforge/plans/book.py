@@ -240,6 +240,5 @@ def run(pages: DataFrame, glossary: DataFrame, kb: DataFrame, client: ModelClien
         out = persist(enrich(out, kb, client, config, persist), "enriched")
     if config.supplements:
         out = persist(supplement(out, client, config, persist), "supplemented")
-    rows = render.section(out.withColumnRenamed("title", "title_original").withColumn("section_id", F.col("key")))
-    named = rows.select(F.substring_index("section_id", "/", 1).alias("doc_id"), F.substring_index("section_id", "/", -1).alias("section_id"), "tex")
-    return render.document(named, ["doc_id"], preamble)
+    rows = render.section(out.withColumnRenamed("title", "title_original"), ["doc_id"])
+    return render.document(rows, ["doc_id"], preamble)

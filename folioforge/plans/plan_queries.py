@@ -136,9 +136,7 @@ def book_pages(spark, sf_dir):
     pages = table(spark, sf_dir, "conversations").select("conv_id", F.col("conv_id").alias("doc_id"), F.col("turn").cast("int").alias("page"), "text")
     none = spark.createDataFrame([], "doc_id long")
     rows = layout.page_sections(pages, none).withColumnRenamed("title", "title_original").withColumns({"title_translated": F.lit(None).cast("string"), "content_translated": F.col("content")})
-    made = rows.withColumn("key", F.concat_ws("/", "doc_id", "section_id")).withColumn("section_id", F.col("section_id"))
-    parts = render.section(made.withColumn("_doc", F.col("doc_id")).withColumn("section_id", F.col("key")))
-    split = parts.select(F.substring_index("section_id", "/", 1).cast("long").alias("conv_id"), F.substring_index("section_id", "/", -1).alias("section_id"), F.regexp_replace("tex", r"sec:\d+/", "sec:").alias("tex"))
+    split = render.section(rows.withColumn("conv_id", F.col("doc_id")), ["conv_id"])
     out = render.document(split, ["conv_id"], "\\begin{document}\n")
     return out.select("conv_id", F.md5(F.col("tex").cast("binary")).alias("tex_md5"))
 
@@ -248,3 +246,65 @@ def answer_defaults(spark, sf_dir):
 def cross_references(spark, sf_dir):
     text = F.concat("p_name", F.lit(" see [IV."), (F.col("p_partkey") % 7).cast("string"), F.lit("§2] and [II.3], not [x.1] or [IV]"))
     return table(spark, sf_dir, "part").select("p_partkey", render.cross_references(text).alias("linked"))
+
+
+_TITLE = "CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE '제목' END"
+_BR = " || chr(10) || "
+
+
+@query(rf"""SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN '\chapter' ELSE '\section' END || '{{' || {_TITLE} || '}}' {_BR} '\label{{sec:' || (p_partkey % 9) || '-' || p_size || '}}' || chr(10) {_BR} p_type
+    || chr(10) {_BR} '\begin{{researchbox}}[텐서]' {_BR} 'Explained \& shown' {_BR} '{{\scriptsize \textit{{출처: Wikipedia --- ' || p_name || '}}}}' {_BR} '\end{{researchbox}}'
+    || chr(10) {_BR} '\begin{{verificationbox}}' {_BR} '\textbf{{종합 점수: 80/100 (양호)}} \\[2pt]' {_BR} '{{\small 수식 100}}' {_BR} '\end{{verificationbox}}'
+    || chr(10) {_BR} '\begin{{summarybox}}' {_BR} 'In short' {_BR} '\end{{summarybox}}'
+    || chr(10) {_BR} '\begin{{center}}' {_BR} '\resizebox{{\textwidth}}{{!}}{{\begin{{tikzpicture}}\end{{tikzpicture}}}}' {_BR} '\end{{center}}'
+    || chr(10) {_BR} '\begin{{examplebox}}[예시 1]' {_BR} 'first' {_BR} '\end{{examplebox}}' {_BR} '\begin{{examplebox}}[예시 2]' {_BR} p_name {_BR} '\end{{examplebox}}'
+    || chr(10) {_BR} '\begin{{exercisebox}}' {_BR} '\textbf{{1.}} do $x^2$\\[4pt]' {_BR} '\end{{exercisebox}}'
+    || chr(10) {_BR} '\begin{{glossarybox}}' {_BR} '\textbf{{Ring}} --- 환 \\' {_BR} '\textbf{{Field}} --- 체' {_BR} '\end{{glossarybox}}'
+    || chr(10) {_BR} '\paragraph{{풀이}}' {_BR} 'done' AS tex FROM part""")
+def section_render(spark, sf_dir):
+    """Sections with every part that rendering knows, in its fixed order."""
+    k, text = F.col("p_partkey"), F.lit(None).cast("string")
+    entry = lambda *c: F.struct(*[x.alias(n) for x, n in zip(c, ("term", "title_ko", "explanation", "source"))])
+    entries = F.array(entry(F.lit("Tensor"), F.lit("텐서"), F.lit("Explained & shown"), F.col("p_name")), entry(F.lit("Empty"), text, F.lit(""), text))
+    pair = lambda a, b: F.struct(F.lit(a).alias("term"), F.lit(b).alias("gloss"))
+    supplements = F.struct(
+        F.lit("In short").alias("summary"), F.lit("\\begin{tikzpicture}\\end{tikzpicture}").alias("tikz_diagram"), F.array(F.lit("first"), F.col("p_name")).alias("examples"),
+        F.array(F.lit("do x^2")).alias("exercises"), F.lit("done").alias("solutions"), F.array(pair("Ring", "환"), pair("Field", "체")).alias("glossary"),
+    )
+    rows = table(spark, sf_dir, "part").select(
+        "p_partkey", F.concat((k % 9).cast("string"), F.lit("."), F.col("p_size").cast("string")).alias("section_id"), F.col("p_name").alias("title_original"),
+        F.when(k % 2 == 1, "제목").otherwise("").alias("title_translated"), F.when(k % 3 == 0, "section").alias("level"), F.lit(8.1).alias("font_size"), F.col("p_type").alias("content_translated"),
+        entries.alias("enrichments"), F.lit(80).alias("score"), F.lit("양호").alias("band"), F.lit("수식 100").alias("line"), supplements.alias("supplements"),
+    )
+    return render.section(rows, ["p_partkey"]).select("p_partkey", "tex")
+
+
+_NOTE = r"chr(10) || '\begin{deepresearch}{핵심 개념}' || chr(10) || 'note' || chr(10) || '\end{deepresearch}'"
+_FIRST = r"'\lettrine[lines=2]{' || left(t, 1) || '}{' || substr(t, 2) || '}'"
+_ESCAPED = registry.outside_sql("chapter_title", render.DOLLARS, r"regexp_replace(s[1], '([&%#])', '\\\1', 'g')")
+
+
+@query(rf"""WITH i AS ({_ITEMS}), t AS (SELECT *, {STRIP.format("trim(" + STRIP.format("text") + ", " + _QUOTES + ")")} AS t FROM i),
+    f AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY t = '', item_idx) = 1 AS is_first FROM t),
+    b AS (SELECT page_id, chapter_title, string_agg(CASE WHEN is_first AND t <> '' THEN {_FIRST} ELSE t END || CASE WHEN t <> '' THEN {_NOTE} ELSE '' END, chr(10) || chr(10) ORDER BY item_idx) AS body FROM f GROUP BY page_id, chapter_title)
+    SELECT page_id, md5('\chapter{{' || {_ESCAPED} || '}}' || chr(10) || '\label{{ch:' || page_id || '}}' || chr(10) || chr(10) || '\section{{}}' || chr(10) || chr(10) || body || chr(10) || '\end{{document}}') AS tex_md5 FROM b""")
+def lecture_chapters(spark, sf_dir):
+    """The whole lecture plan: pages to chapters of text."""
+    manifest = spark.createDataFrame([], "name string")
+    out = lecture.run(table(spark, sf_dir, "pages"), "page_id", "html", registry.glossary_table(spark), manifest, _LECTURE_MODEL, _LECTURE, persist=tables(spark))
+    return out.select(F.col("chapter_id").cast("bigint").alias("page_id"), F.md5(F.col("tex").cast("binary")).alias("tex_md5"))
+
+
+_LAYOUT = registry.ORACLE_SQL["page_text_layout"].replace("md5(string_agg(line, chr(10) ORDER BY i, k)) AS text_md5", "string_agg(line, chr(10) ORDER BY i, k) AS page_text")
+_CHECKED = r"chr(10) || chr(10) || '\begin{verificationbox}' || chr(10) || '\textbf{종합 점수: 100/100 (우수)} \\[2pt]' || chr(10) || '{\small ' || CASE WHEN blank THEN '' ELSE '수식 100' END || '}' || chr(10) || '\end{verificationbox}'"
+
+
+@query(rf"""WITH z AS ({_LAYOUT}), p AS (SELECT conv_id, turn, coalesce(page_text, '') AS page_text FROM conversations LEFT JOIN z USING (conv_id, turn)), {latex_sql('p', 'conv_id, turn', 'page_text')},
+    s AS (SELECT conv_id, turn, '\subsection{{Page ' || (turn + 1) || '}}' || chr(10) || '\label{{sec:page_' || (turn + 1) || '}}' || CASE WHEN t <> '' THEN chr(10) || chr(10) || t ELSE '' END || {_CHECKED} AS tex
+        FROM (SELECT conv_id, turn, t, page_text = '' AS blank FROM g JOIN p USING (conv_id, turn)))
+    SELECT conv_id, md5('\begin{{document}}' || chr(10) || string_agg(tex, chr(10) || chr(10) ORDER BY turn) || chr(10) || '\end{{document}}') AS tex_md5 FROM s GROUP BY conv_id""")
+def book_documents(spark, sf_dir):
+    """The book plan over pages of blocks and spans, without a model: layout, sections, formula check, scores, document."""
+    config = book.BookConfig(translate=False, verify=("formula",), enrich=False, supplements=False)
+    out = book.run(registry._made_pages(spark, sf_dir), registry.glossary_table(spark), _known(spark), MODEL, config, "\\begin{document}\n", tables(spark))
+    return out.select(F.col("doc_id").cast("bigint").alias("conv_id"), F.md5(F.col("tex").cast("binary")).alias("tex_md5"))

@@ -21,21 +21,32 @@ PLAIN_COMMANDS = (
 ARGUMENT_COMMANDS = (
     r"\\frac\{[^}]*\}\{[^}]*\}", r"\\mathbb\{[A-Z]\}", r"\\mathcal\{[A-Z]\}", r"\\mathfrak\{[a-z]\}", r"\\text\{[^}]*\}", r"\\mathrm\{[^}]*\}", r"\\operatorname\{[^}]*\}",
 )
+# What every match of a pattern above begins with: a text without it is not scanned.
+REGION_SIGNS = ("$", "$$", "\\(", "\\[")
+ARGUMENT_SIGNS = ("\\frac{", "\\mathbb{", "\\mathcal{", "\\mathfrak{", "\\text{", "\\mathrm{", "\\operatorname{")
 VARIABLE = r"(?<![a-zA-Z\\])([A-Za-z])(?:_\{?[^}\s]*\}?)?(?:\^\{?[^}\s]*\}?)?"
 BACKSLASHED = ("frac", "sum", "prod", "int", "lim", "sqrt", "log", "ln", "sin", "cos", "tan", "exp", "infty", "partial", "nabla")
 
 
+def _all(c: Column, pattern: str, sign: str) -> Column:
+    return F.when(F.contains(c, F.lit(sign)), F.regexp_extract_all(c, F.lit(pattern), F.lit(0))).otherwise(F.array().cast("array<string>"))
+
+
 def regions(c: Column) -> Column:
     """All regions, pattern by pattern; $$x$$ counts as an inner $x$ too."""
-    return F.flatten(F.array(*[F.regexp_extract_all(c, F.lit("(?s)" + p), F.lit(0)) for p in REGIONS]))
+    return let(c, lambda t: F.concat(*[_all(t, "(?s)" + p, sign) for p, sign in zip(REGIONS, REGION_SIGNS)]))
 
 
 def commands(c: Column) -> Column:
     """All commands, as prefixes: \\in also stands at the head of \\int. One scan finds the words, each gives the commands it begins with."""
-    with_arguments = [F.regexp_extract_all(c, F.lit(p), F.lit(0)) for p in ARGUMENT_COMMANDS]
     names = F.array(*[F.lit("\\" + n) for n in PLAIN_COMMANDS])
-    words = F.regexp_extract_all(c, F.lit(r"\\[A-Za-z]+"), F.lit(0))
-    return F.concat(F.flatten(F.array(*with_arguments)), F.flatten(F.transform(words, lambda w: F.filter(names, lambda n: w.startswith(n)))))
+
+    def found(t: Column) -> Column:
+        with_arguments = [_all(t, p, sign) for p, sign in zip(ARGUMENT_COMMANDS, ARGUMENT_SIGNS)]
+        words = _all(t, r"\\[A-Za-z]+", "\\")
+        return F.concat(*with_arguments, F.flatten(F.transform(words, lambda w: F.filter(names, lambda n: w.startswith(n)))))
+
+    return let(c, found)
 
 
 def variables(found: Column) -> Column:

@@ -122,7 +122,7 @@ _SUPPLEMENTS = "summary,tikz_diagram,examples,exercises,solutions,glossary"
 
 
 @query(f"""SELECT doc_id::VARCHAR AS key, CASE WHEN long THEN 2 ELSE 0 END AS n_examples, CASE WHEN long THEN 2 ELSE 0 END AS n_exercises, CASE WHEN long THEN 2 ELSE 0 END AS n_terms,
-    CASE WHEN long THEN length('A long text in a few words, but more than thirty.') ELSE 0 END AS summary_chars, CASE WHEN long THEN '{_SUPPLEMENTS}' ELSE '' END AS kinds FROM (SELECT doc_id, coalesce(length(text), 0) >= 100 AS long FROM documents)""")
+    CASE WHEN long THEN length('A long text in a few words, but more than thirty.')::INT ELSE 0 END AS summary_chars, CASE WHEN long THEN '{_SUPPLEMENTS}' ELSE '' END AS kinds FROM (SELECT doc_id, coalesce(length(text), 0) >= 100 AS long FROM documents)""")
 def book_supplements(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("key"), F.col("text").alias("content_translated"))
     out = book.supplement_summary(book.supplement(docs, MODEL, book.BookConfig(), tables(spark)))

@@ -160,7 +160,7 @@ def test_book_plan(spark, tmp_path):
     out = book.run(pages(spark), g, kb, StubModel(canned=canned), persist=lambda df, name: (seen.append(name), keep(df, name))[1]).collect()
     assert {r["doc_id"] for r in out} == {"d", "e"} and [s for s in seen if s in ("sections", "translated", "claims", "modules", "verified", "enriched", "supplemented")] == ["sections", "translated", "claims", "modules", "verified", "enriched", "supplemented"]
     tex = next(r["tex"] for r in out if r["doc_id"] == "d")
-    assert tex.index("First title") < tex.index("\\label{sec:d/1-2}") and "verificationbox" in tex
+    assert tex.index("First title") < tex.index("\\label{sec:1-2}") and "verificationbox" in tex
     plain = book.run(pages(spark), g, kb, StubModel(), book.BookConfig(translate=False, verify=(), enrich=False, supplements=False), persist=keep).collect()
     assert "verificationbox" not in plain[0]["tex"]
 

@@ -63,7 +63,7 @@ _SCOPES = ("td", "th", "caption", "button")
 _TABLES = frozenset("table thead tbody tfoot tr td th caption button html body".split())
 _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+)>""")
 _PLAIN_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
-_NAME = re.compile(r"""\b(?:class|id|role)\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>"']++))""", re.I)
+_NAME = re.compile(r"""\b(class|id|role)\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>"']++))""", re.I)
 _WORD = re.compile(r"[a-z]+|[0-9]+")
 _CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 _LONG_NUMBER = re.compile(r"&#[0-9]{8,};?")
@@ -72,6 +72,7 @@ _LONG_NUMBER = re.compile(r"&#[0-9]{8,};?")
 _CONTENT_TAGS = frozenset(["article", "main"])
 _CONTENT_NAMES = frozenset(["article", "content", "entry", "main", "post", "story"])
 _JUNK_TAGS = frozenset(["aside", "button", "dialog", "footer", "form", "header", "menu", "nav", "noscript", "search", "select"])
+_JUNK_ROLES = frozenset(["alert", "banner", "complementary", "contentinfo", "dialog", "form", "menu", "navigation", "search"])
 _JUNK_NAMES = frozenset([
     "ad", "ads", "adv", "advert", "advertisement", "advertising", "aside", "banner", "breadcrumb", "colophon", "comment", "comments", "consent", "cookie", "copyright",
     "discussion", "disqus", "foot", "footer", "form", "gdpr", "header", "legal", "login", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter",
@@ -137,7 +138,12 @@ def _element(tag: str, attributes: str, told: int) -> tuple[list[str], int]:
     # The names of a whole page tell what kind of page it is.
     if attributes and tag not in ("html", "body"):
         for m in _NAME.finditer(attributes):
-            value = m[1] or m[2] or m[3] or ""
+            value = m[2] or m[3] or m[4] or ""
+            if m[1].lower() == "role":
+                role = value.strip().lower()
+                out.append("role=" + role)
+                told = told or (_CONTENT if role in _CONTENT_TAGS else _JUNK if role in _JUNK_ROLES else _FREE)
+                continue
             # Capitals part words in names, as hyphens do.
             words = set(_WORD.findall(_CAMEL.sub(" ", value).lower()))
             out += ["name=" + (w[:-1] if len(w) > 3 and w[-1] == "s" else w) for w in words]

@@ -21,7 +21,8 @@ _NAMES = {
     "footer": ["contentinfo", "foot", "site-info", "bottom-bar", "footer", "site-footer", "bottom", "copyright", "legal", "colophon"],
 }
 _TAGS = {"header": "header", "nav": "nav", "aside": "aside", "form": "form", "footer": "footer"}
-_BODY = ["content", "article", "post", "entry-content", "article-body", "main-content", "story", "post-body", "text", "entry", "body-text"]
+_ROLES = {"header": "banner", "nav": "navigation", "aside": "complementary", "form": "search", "footer": "contentinfo", "notice": "alert"}
+_BODY = ["main", "content", "article", "post", "entry-content", "article-body", "main-content", "story", "post-body", "text", "entry", "body-text"]
 _WRAP = ["", "wrapper", "container", "page", "row", "site", "layout", "inner", "col-8", "grid", "clearfix"]
 _PLAIN = ["", "", "", "intro", "lead", "section", "caption", "quote", "c12", "x1", "note-text"]
 
@@ -78,6 +79,8 @@ class Composer:
             return f"<noscript>{text(3, 12)}</noscript>"
         else:
             inner = text() if r.random() < 0.5 else f"<p>{text()}</p>" * r.randint(1, 2)
+        if kind in _ROLES and r.random() < 0.2:
+            return f'<{tag} role="{_ROLES[kind]}">{inner}</{tag}>'
         bare = tag == _TAGS.get(kind) and r.random() < 0.6
         return f"<{tag}>{inner}</{tag}>" if bare else self.named(tag, _NAMES[kind], inner)
 
@@ -86,7 +89,7 @@ class Composer:
         r = self.r
         text = lambda low=style[0], high=style[1]: self.mark(self.words(low, max(low, high)), True)
         kind = r.random()
-        if kind < 0.68:
+        if kind < 0.72:
             link = f' <a href="#">{self.words(1, 3)}</a> {self.words(2, 9)}' if r.random() < 0.25 else ""
             bold = f"<b>{text()}<br>" if r.random() < 0.1 else text() + link
             return f"<p>{bold}" + "</p>" * (r.random() < 0.9)
@@ -125,12 +128,14 @@ class Composer:
             parts = parts[:cut] + [self.named(r.choice(["div", "section"]), _PLAIN, "".join(parts[cut:]) or self.prose())]
         inner = "".join(parts)
         kind, sign = r.random(), " " + CONTENT_SIGN
-        if kind < 0.45:
+        if kind < 0.4:
             return f"<article{sign}>{inner}</article>" if r.random() < 0.7 else self.named("article", _BODY, inner, sign)
-        if kind < 0.6:
+        if kind < 0.54:
             return f"<main{sign}>{inner}</main>" if r.random() < 0.5 else f"<main{sign}><article{sign}>{inner}</article></main>"
-        if kind < 0.63:
+        if kind < 0.57:
             return inner
+        if kind < 0.72:
+            return f'<div role="{r.choice(["main", "main", "article"])}"{sign}>{inner}</div>'
         return self.named(r.choice(["div", "div", "section"]), _BODY, inner, sign)
 
     def bare_junk(self, kind: str) -> str:

@@ -58,4 +58,22 @@ PAGES = [
         "<form><label>Mail</label><select><option>Daily<option>Weekly</select><button>Send</button></form></body>",
         [H, A, B, C],
     ),
+    # fmt: off
+    ("short", f"<html><body><h1>{H}</h1><p>{A}</p></body></html>", [H,A]),
+    ("one word title", f"<html><body><h1>News</h1><p>{A}</p><p>Short.</p></body></html>", ["News",A,"Short."]),
+    ("main-content", f"<div id='main-content'><h1>{H}</h1><p>{A}</p></div><div class='related-links'><a href=1>x</a></div>", [H,A]),
+    ("story", f"<div class='site-header'><a>Home</a></div><div class='story-body'><p>{A}</p><p>{B}</p></div><div class='most-read'><ol><li><a>One thing</a><li><a>Other</a></ol></div>", [A,B]),
+    ("old table", f"<center><table width=100%><tr><td bgcolor=navy><font color=white><a href=/>Home</a> <a href=/x>Links</a></font></td><td><font face=arial><b>{H}</b><br><br>{A}<br><br>{B}</font></td></tr></table></center>", [H+" "+A+" "+B]),
+    ("hr address", f"<body><h2>{H}</h2>{A}<p>{B}<p>{C}<hr><address>webmaster@example.com</address></body>", [H,A,B,C]),
+    ("recipe", f"<body><h1>Bread</h1><p>{A}</p><h2>You need</h2><ul><li>500 g flour</li><li>10 g salt</li><li>water</li></ul><h2>Steps</h2><ol><li>Mix the flour with the salt and the water.</li><li>Wait for a night.</li><li>Bake it hot.</li></ol></body>", ["Bread",A,"You need","500 g flour","10 g salt","water","Steps","Mix the flour with the salt and the water.","Wait for a night.","Bake it hot."]),
+    ("sections", f"<body><section><h2>{H}</h2><p>{A}</p></section><section><h2>Then</h2><p>{B}</p></section></body>", [H,A,"Then",B]),
+    ("role main", f"<div role=navigation><a>a</a></div><div role=main><h1>{H}</h1><p>{A}</p></div><div role=contentinfo>Imprint</div>", [H,A]),
+    ("dl", f"<body><dl><dt>Ring</dt><dd>{A}</dd><dt>Field</dt><dd>{B}</dd></dl></body>", ["Ring",A,"Field",B]),
+    ("wrapper ids", f"<div id=wrapper><div id=top><a href=/>Site</a></div><div id=left><ul><li><a>One</a><li><a>Two</a><li><a>Three</a></ul></div><div id=center><h1>{H}</h1><p>{A}</p><p>{B}</p></div><div id=bottom>&copy; 2011 Us</div></div>", [H,A,B]),
+    ("wiki", f"<div id='mw-navigation'><ul><li><a>Read</a></ul></div><div id='mw-content-text'><p>{A}</p><table><tr><td>Born</td><td>1900</td></tr></table><p>{B}</p></div><div id='footer'><ul><li>Privacy</li></ul></div>", [A,"Born","1900",B]),
+    ("comments unnamed tag", f"<article><h1>{H}</h1><p>{A}</p><p>{B}</p></article><section id='comments'><h3>2 comments</h3><div><b>Bob</b><p>I was there and it was terrible, the water came into our cellar at night.</p></div></section>", [H,A,B]),
+    ("cjk", f"<body><h1>洪水</h1><p>昨日、川の水位が急激に上昇し、多くの農地が浸水しました。住民は避難しました。</p><p>橋は日曜日まで閉鎖されます。</p></body>", ["洪水","昨日、川の水位が急激に上昇し、多くの農地が浸水しました。住民は避難しました。","橋は日曜日まで閉鎖されます。"]),
+    ("pre only", f"<body><pre>int main() {{ return 0; }}</pre></body>", ["int main() { return 0; }"]),
+    ("blockquote", f"<body><p>He said:</p><blockquote>{A}</blockquote><p>{B}</p></body>", ["He said:",A,B]),
+    # fmt: on
 ]

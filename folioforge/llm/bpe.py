@@ -183,7 +183,7 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
     Null and empty texts have no ids. Rows are independent of each other, so repeated and null ids
     are returned as they come; an empty table gives an empty result; other columns are not read.
     """
-    made = id_and_text(docs, id_col, text_col).mapInArrow(tidied(_coded(tokenizer_path, digest)), _DIGEST if digest else _OUT)
+    made = id_and_text(docs, id_col, text_col).mapInArrow(tidied(_coded(tokenizer_path, digest), f"bpe {tokenizer_path}"), _DIGEST if digest else _OUT)
     if digest:
         return made.withColumnRenamed("id", id_col)
     ids = F.when(F.col("ids") == "", F.array().cast("array<int>")).otherwise(F.split("ids", ",").cast("array<int>"))

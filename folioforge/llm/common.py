@@ -112,7 +112,7 @@ def _clear() -> None:
 
 
 #: Rows and bytes that are Python objects at once.
-SLICE_ROWS, SLICE_BYTES = 256, 4_000_000
+SLICE_ROWS, SLICE_BYTES = 256, 1_000_000
 #: Bytes of an Arrow batch, on both sides of the pipe, while an operator writes a table of its own. What it returns
 #: runs with the caller's setting (64 MB by default). Buffers of batches lie outside the JVM's heap, and the allocator
 #: keeps blocks of up to 32 MB that were freed, so small batches bound what an executor holds over many stages.
@@ -171,14 +171,20 @@ def held(key: str, make: Callable[[], object]) -> object:
     return _held[1]
 
 
-def tidied(fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def tidied(
+    fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], holds: str | None = None
+) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """fn for mapInArrow, giving memory back to the system on the way and at its end.
 
     Python workers outlive their tasks, and Arrow's pool and the allocator keep what was freed: on an
-    executor with several workers that adds up to more than they use at any time.
+    executor with several workers that adds up to more than they use at any time. What an earlier
+    stage held() goes at the start, unless it has the key that fn holds.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if _held[0] != holds:
+            _held[:] = [None, None]
+            give_back()
         try:
             for k, out in enumerate(fn(batches)):
                 yield out

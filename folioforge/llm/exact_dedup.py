@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, bitmap, discard, held, id_and_text, join_counted, materialise, parallelism, row_numbers, rows, settle, split, tables_now, tidied, whole_rows
+from .common import SPACE_CLASS, bitmap, discard, id_and_text, join_counted, materialise, parallelism, row_numbers, rows, settle, split, tables_now, tidied, whole_rows
 
 BLOCK_BYTES = 4096
 _RANGE_BITS = 40
@@ -69,7 +69,6 @@ def _cut(block_bytes: int, attempt: int):
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = row_numbers()
-        held("exact dedup", dict)
         found: dict[bytes, list] = {}
         size = refs = 0
         for ids, texts in rows(batches):

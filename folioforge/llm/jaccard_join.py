@@ -250,7 +250,7 @@ def similar_classes(
     of null ids alone has a null component_id. An empty table gives an empty result.
     """
     before = tables_now()
-    sets = materialise(id_and_text(docs, id_col, text_col).mapInArrow(tidied(_sets(shingle)), _SETS), "sets")
+    sets = materialise(id_and_text(docs, id_col, text_col).mapInArrow(tidied(_sets(shingle), "word hashes"), _SETS), "sets")
     meta = materialise(sets.select("row", "id", "n", "f1", "f2"), "setmeta")
     first = F.min(F.struct(F.col("id").isNull().alias("last"), F.col("id"), F.col("row")))
     classes = materialise(

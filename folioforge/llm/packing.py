@@ -37,7 +37,7 @@ REOPEN_BELOW = 0.98
 #: A further pass must have saved this share of the bins that it opened for another to follow.
 _SAVED = 0.01
 #: Words whose ids a Python worker keeps, twice over: more save time, fewer save memory.
-CACHE_WORDS = 250_000
+CACHE_WORDS = 120_000
 _LONG_WORD = 64
 _MARKS = b".,;:!?*#$%&|"
 
@@ -258,7 +258,7 @@ def pack_documents(
     row like any others. Only documents longer than the capacity are cut; only a document's last
     piece may be shorter. An empty table gives no rows. Pieces of a sequence lie without gaps from 0.
     """
-    made = id_and_text(docs, id_col, text_col).mapInArrow(tidied(_tokenised(tokenizer_path, end_id, capacity, cache_words)), _PIECES)
+    made = id_and_text(docs, id_col, text_col).mapInArrow(tidied(_tokenised(tokenizer_path, end_id, capacity, cache_words), f"packing {tokenizer_path}"), _PIECES)
     pieces = materialise(made, "pieces")
     cut, every = int(capacity * REOPEN_BELOW), pieces.agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("total")).first()
     todo, n, total, packed, opened, level = pieces, every["n"], every["total"] or 0, None, math.inf, 0

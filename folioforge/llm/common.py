@@ -171,6 +171,13 @@ def held(key: str, make: Callable[[], object]) -> object:
     return _held[1]
 
 
+def drop_held(but: str | None) -> None:
+    """Lets go of what this Python worker holds, unless it has that key."""
+    if _held[0] is not None and _held[0] != but:
+        _held[:] = [None, None]
+        give_back()
+
+
 def tidied(
     fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], holds: str | None = None
 ) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -182,9 +189,7 @@ def tidied(
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if _held[0] != holds:
-            _held[:] = [None, None]
-            give_back()
+        drop_held(holds)
         try:
             for k, out in enumerate(fn(batches)):
                 yield out

@@ -774,3 +774,19 @@ def test_secret_spans_by_brute_force(spark):
                 taken.append((a, b))
         assert found[i] == sorted(taken)
     assert sum(map(bool, found.values())) > 60
+
+
+def test_workers_drop_what_other_stages_held(spark):
+    """One worker, asked three times: its cache stays for the stage that holds it and goes with the next."""
+    def ask(holds):
+        def fn(batches):
+            for b in batches:
+                found = common._held[0]
+                common.held("mine", dict)
+                yield pa.RecordBatch.from_arrays([pa.array([str(found)] * b.num_rows)], ["x"])
+
+        return spark.range(1, numPartitions=1).mapInArrow(common.tidied(fn, holds), "x string").collect()[0]["x"]
+
+    common.ship(spark)
+    seen = [ask("mine"), *(ask("mine") for _ in range(5)), ask(None), ask("mine")]
+    assert "mine" in seen[1:6] and seen[6] == "None"

@@ -366,7 +366,8 @@ def sanitise_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     sure = docs.mapInArrow(tidied(plain), docs.schema)
     if not any(marked):
         return sure
-    hit, _ = split(docs, id_col, marked)
+    # Written, so that no task runs two Python workers: this and the one behind the join.
+    hit = materialise(split(docs, id_col, marked)[0], "hit")
     sha = F.sha2(F.coalesce(F.col(f"`{text_col}`").cast("binary"), F.lit(b"")), 256)
     keyed = hit.select(F.col(f"`{id_col}`").cast("long").alias("id"), sha.alias("sha"), whole_rows(docs).alias("doc")).alias("d")
     both = keyed.join(more.alias("m"), F.col("d.id").eqNullSafe(F.col("m.id")) & (F.col("d.sha") == F.col("m.sha")), "left")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, html_extract, jaccard_join, packing, pii, quality, secret_scan, toxicity, url_filter
+from . import bpe, collocations, conversation_trie, exact_dedup, html_extract, jaccard_join, packing, pii, quality, secret_scan, topk_search, toxicity, url_filter
 
 
 def tokenizer_path(name: str) -> str:
@@ -67,6 +67,18 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan_digest(secret_scan.scan_secrets(_table(spark, sf_dir, "documents")))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.prefix_trie(_table(spark, sf_dir, "conversations"))
+
+
+def op13_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.top_k(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extraction": op1_html_extraction,
     "op2_url_filter": op2_url_filter,
@@ -78,12 +90,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": op8_pii,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_secret_scan": op10_secret_scan,
+    "op11_collocations": op11_collocations,
+    "op12_conversation_trie": op12_conversation_trie,
+    "op13_topk_search": op13_topk_search,
 }
 
 _NORMAL = r"regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')"
 
 ORACLE_SQL: dict[str, str] = {
     "op2_url_filter": url_filter.judge_sql(),
+    "op11_collocations": collocations.COLLOCATIONS_SQL,
+    "op12_conversation_trie": conversation_trie.TRIE_SQL,
+    "op13_topk_search": topk_search.TOP_K_SQL,
     "op9_exact_dedup": f"""
         WITH t AS (SELECT doc_id, {_NORMAL} AS body FROM documents),
         g AS (SELECT body, min(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY body)

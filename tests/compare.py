@@ -14,7 +14,7 @@ def oracle(sf_dir: str, sql: str) -> pd.DataFrame:
 
 
 def _cell(v):
-    if v is None or v is pd.NaT or v != v:
+    if v is None or v is pd.NaT or v is pd.NA or v != v:
         return "null"
     if isinstance(v, bool) or type(v).__name__ == "bool_":
         return str(bool(v))

@@ -102,7 +102,7 @@ class Dictionary:
         self.langs, self.words = [langs[k] for k in order], [words[k] for k in order]
         self.counts = np.array([0, *(counts[k] for k in order)], np.int64)
         self.number: dict[str, dict[bytes, int]] = {}
-        first = np.ones(len(words) + 1, np.int64)
+        first = np.zeros(len(words) + 1, np.int64)
         for k, (lang, word) in enumerate(zip(self.langs, self.words), 1):
             of = self.number.setdefault(lang, {})
             first[k] = k - len(of)

@@ -2,8 +2,11 @@
 
 import hashlib
 import math
+import os
 import random
 import re
+import subprocess
+import sys
 import time
 import zlib
 from collections import Counter
@@ -14,6 +17,7 @@ import pytest
 
 from folioforge.llm import bpe, common, exact_dedup, graph, html_extract, html_pages, jaccard_join, packing, pii, quality, secret_scan, toxicity, url_filter
 from folioforge.llm.queries import tokenizer_path
+from folioforge.shipping import ROOT
 from tests.llm.hand_pages import PAGES
 
 SCHEMA = "doc_id long, text string, lang string, id string, row string, tok string"
@@ -776,17 +780,27 @@ def test_secret_spans_by_brute_force(spark):
     assert sum(map(bool, found.values())) > 60
 
 
-def test_workers_drop_what_other_stages_held(spark):
-    """One worker, asked three times: its cache stays for the stage that holds it and goes with the next."""
-    def ask(holds):
-        def fn(batches):
-            for b in batches:
-                found = common._held[0]
-                common.held("mine", dict)
-                yield pa.RecordBatch.from_arrays([pa.array([str(found)] * b.num_rows)], ["x"])
-
-        return spark.range(1, numPartitions=1).mapInArrow(common.tidied(fn, holds), "x string").collect()[0]["x"]
-
-    common.ship(spark)
-    seen = [ask("mine"), *(ask("mine") for _ in range(5)), ask(None), ask("mine")]
-    assert "mine" in seen[1:6] and seen[6] == "None"
+def test_workers_drop_what_other_stages_held(tmp_path):
+    """One core, so one worker, asked in turn: its cache stays for the stage that holds it and goes with the next that it serves."""
+    script = """
+import pyarrow as pa
+from pyspark.sql import SparkSession
+from folioforge.llm import common
+
+spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").getOrCreate()
+
+def ask(holds):
+    def fn(batches):
+        for b in batches:
+            found = common._held[0]
+            common.held("mine", dict)
+            yield pa.RecordBatch.from_arrays([pa.array([str(found)] * b.num_rows)], ["x"])
+
+    return spark.range(1, numPartitions=1).mapInArrow(common.tidied(fn, holds), "x string").collect()[0]["x"]
+
+common.ship(spark)
+print("SEEN", *[ask(x) for x in ("mine", "mine", None, "mine")])
+"""
+    env = {**os.environ, "PYTHONPATH": ROOT}
+    done = subprocess.run([sys.executable, "-c", script], capture_output=True, text=True, timeout=300, cwd=tmp_path, env=env)
+    assert "SEEN None mine None mine" in done.stdout, done.stdout + done.stderr[-2000:]

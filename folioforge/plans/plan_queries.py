@@ -17,6 +17,7 @@ from folioforge.plans.registry import STRIP, latex_sql, query, table
 from folioforge.plans.stages import tables
 from folioforge.sources import files
 from folioforge.sources.html import Selectors
+from folioforge.sources.keyed import KeyedTable
 from folioforge.streaming import incremental
 
 # Answers by what a prompt holds; the first that fits counts.
@@ -183,14 +184,30 @@ _SECTION = "n_regionkey || '.' || n_nationkey AS section_id, n_name AS title_ori
 
 @query(f"SELECT {_SECTION} FROM nation")
 def section_files(spark, sf_dir):
-    """Section documents written by key, one of them twice, and read again."""
-    path, rows = _folder(spark), _nations(spark, sf_dir)
-    files.write_sections(rows.withColumn("title_original", F.lit("old")), path)
-    files.write_sections(rows, path)
-    back = files.read_sections(spark, path)
+    """Section documents in a keyed table, written twice: the second version counts."""
+    kept, rows = KeyedTable(spark, _folder(spark), "section_id", buckets=4), _nations(spark, sf_dir)
+    kept.write(rows.withColumn("title_original", F.lit("old")))
+    kept.write(rows)
+    return _section_columns(kept.read())
+
+
+def _section_columns(back: DataFrame) -> DataFrame:
     return back.select("section_id", "title_original", "content_original", F.col("page_range")[1].alias("last_page"), F.col("images")[0]["filename"].alias("filename"), "verification.formula.score")
 
 
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'late' ELSE o_orderstatus END AS state, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_totalprice END AS price, CASE WHEN o_orderkey % 3 = 0 THEN 'added' END AS note
+    FROM orders WHERE o_orderkey % 7 <> 0""")
+def keyed_versions(spark, sf_dir):
+    """Orders in a keyed table: all, then some replaced with a column more, some removed, the deepest buckets rewritten, old versions deleted."""
+    orders = table(spark, sf_dir, "orders")
+    kept = KeyedTable(spark, _folder(spark), "o_orderkey", buckets=8, most_layers=2)
+    kept.write(orders.select("o_orderkey", F.col("o_orderstatus").alias("state"), F.col("o_totalprice").alias("price")))
+    kept.write(orders.where("o_orderkey % 3 = 0").select("o_orderkey", F.lit("late").alias("state"), F.lit("added").alias("note")))
+    kept.remove(orders.where("o_orderkey % 7 = 0"))
+    kept.vacuum()
+    return kept.read().select("o_orderkey", "state", "price", "note")
+
+
 @query("""SELECT r_name AS chapter_id, (dense_rank() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1)::INT AS sec_idx, i::INT AS item_idx, ['paragraph', 'equation'][i + 1] AS type,
     CASE i WHEN 0 THEN n_name END AS text, CASE i WHEN 1 THEN 'x^' || n_nationkey END AS latex FROM nation JOIN region ON n_regionkey = r_regionkey, (VALUES (0), (1)) AS v(i)""")
 def chapter_files(spark, sf_dir):
@@ -219,12 +236,12 @@ def document_files(spark, sf_dir):
 def streamed_sections(spark, sf_dir):
     """Two runs over a folder of files: each takes what is new, and replaces rows by key."""
     rows, folder = _nations(spark, sf_dir), _folder(spark)
-    for part in (rows.where("section_id < '3'"), rows):
-        files.write_sections(part, f"{folder}/in")
-        new = incremental.new_files(spark, f"{folder}/in")
-        incremental.upsert(new, lambda df: df.withColumn("title_original", F.lower("title_original")), f"{folder}/out", f"{folder}/state").awaitTermination()
-    back = files.read_sections(spark, f"{folder}/out")
-    return back.select("section_id", "title_original", "content_original", F.col("page_range")[1].alias("last_page"), F.col("images")[0]["filename"].alias("filename"), "verification.formula.score")
+    kept = KeyedTable(spark, f"{folder}/out", "section_id", buckets=4)
+    for part in (rows.where("section_id < '3'").withColumn("content_original", F.lit("old")), rows):
+        part.write.mode("append").json(f"{folder}/in")
+        new = incremental.new_files(spark, f"{folder}/in", multi_line=False)
+        incremental.upsert(new, lambda df: df.withColumn("title_original", F.lower("title_original")), kept, f"{folder}/state").awaitTermination()
+    return _section_columns(kept.read())
 
 
 # --- Answers that fall back -----------------------------------------------------------------------

@@ -49,7 +49,10 @@ def chapter_items(chapters: DataFrame) -> DataFrame:
 
 
 def write_sections(rows: DataFrame, path: str, key: str = "section_id") -> None:
-    """One folder per key with its dots as underscores; folders of other keys stay, so a run may be repeated or resumed."""
+    """An export for tools that want a file per section: one folder per key with its dots as underscores; folders of other keys stay.
+
+    As many files as sections. What a plan reads again belongs in a keyed.KeyedTable, whose files do not grow with the keys.
+    """
     keyed = rows.withColumn("key", safe_key(F.col(key)))
     keyed.write.partitionBy("key").mode("overwrite").option("partitionOverwriteMode", "dynamic").json(path)
 

@@ -1,4 +1,4 @@
-"""Resumable runs: a file source that takes what is new, and a sink that replaces rows by key."""
+"""Resumable runs: a file source that takes what is new, and a keyed table as sink."""
 
 from __future__ import annotations
 
@@ -8,27 +8,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from folioforge.sources.files import SECTION_SCHEMA, write_sections
+from folioforge.sources.files import SECTION_SCHEMA
+from folioforge.sources.keyed import KeyedTable
 
 
-def new_files(spark: SparkSession, path: str, schema: str = SECTION_SCHEMA, format: str = "json", per_batch: int | None = None) -> DataFrame:
-    """A stream of the files in a folder; per_batch bounds how many a batch takes."""
+def new_files(spark: SparkSession, path: str, schema: str = SECTION_SCHEMA, format: str = "json", per_batch: int | None = None, multi_line: bool = True) -> DataFrame:
+    """A stream of the files in a folder; per_batch bounds how many a batch takes. multi_line: a JSON document a file, else one a line."""
     reader = spark.readStream.schema(schema).format(format)
     if per_batch is not None:
         reader = reader.option("maxFilesPerTrigger", per_batch)
     if format == "json":
-        reader = reader.option("multiLine", True)
+        reader = reader.option("multiLine", multi_line)
     return reader.load(path)
 
 
-def upsert(stream: DataFrame, change: Callable[[DataFrame], DataFrame], sink: str, checkpoint: str, key: str = "section_id") -> StreamingQuery:
-    """Runs change() over all that is new, writes each batch by key, and ends.
+def upsert(stream: DataFrame, change: Callable[[DataFrame], DataFrame], sink: KeyedTable, checkpoint: str) -> StreamingQuery:
+    """Runs change() over all that is new, writes each batch into the keyed table, and ends.
 
-    A batch that is run again after a failure replaces its own folders, so the sink has each key once.
+    A batch that is run again after a failure has its number in the table's manifest, or has left no version:
+    the table has each key once, and is readable as of the last whole batch at any time.
     """
 
-    def batch(df: DataFrame, _: int) -> None:
-        write_sections(change(df), sink, key)
+    def batch(df: DataFrame, number: int) -> None:
+        name = df.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId") or checkpoint
+        sink.write(change(df), batch=(name, number))
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -15,6 +15,7 @@ from folioforge.plans.model import HttpModel, StubModel, ask, call, suggest
 from folioforge.plans.stages import tables
 from folioforge.sources import files
 from folioforge.sources.html import Selectors, page_items
+from folioforge.sources.keyed import KeyedTable
 from folioforge.streaming import incremental
 
 # Golden rows: module scores, overall score and band of recorded sections.
@@ -204,7 +205,8 @@ def test_files(spark, tmp_path):
 
 
 def test_incremental(spark, tmp_path):
-    src, sink, state = f"{tmp_path}/in", f"{tmp_path}/out", f"{tmp_path}/state"
+    src, state = f"{tmp_path}/in", f"{tmp_path}/state"
+    sink = KeyedTable(spark, f"file://{tmp_path}/out", "section_id", buckets=2)
     (tmp_path / "in").mkdir()
     (tmp_path / "in/1.json").write_text(json.dumps({"section_id": "1", "title_original": "a"}))
     run = lambda: incremental.upsert(incremental.new_files(spark, src), lambda df: df.withColumn("title_translated", F.upper("title_original")), sink, state)
@@ -213,7 +215,7 @@ def test_incremental(spark, tmp_path):
     query = run()
     query.awaitTermination()
     assert incremental.progress_of(query)["rows"] == 1
-    assert {r["section_id"]: r["title_translated"] for r in files.read_sections(spark, sink).collect()} == {"1": "A", "2": "B"}
+    assert {r["section_id"]: r["title_translated"] for r in sink.read().collect()} == {"1": "A", "2": "B"}
 
 
 def extract_demo(path, low, high):

@@ -109,15 +109,35 @@ def test_repeats(spark):
     assert joined == "\n\n".join(kept)
 
 
-def test_glossary_ways_agree(spark, monkeypatch):
-    g = spark.createDataFrame([(i, t, t.upper()) for i, t in enumerate(["ring", "group", "in", "subgroup", "x"])], "ord int, term string, gloss string")
+#: Shards of all terms, of one each; automata or term by term.
+GLOSSARY_WAYS = [(100_000, 64), (100_000, 0), (1, 64), (2, 0)]
+
+
+@pytest.mark.parametrize(("shard", "few"), GLOSSARY_WAYS)
+def test_glossary_ways_agree(spark, monkeypatch, shard, few):
+    monkeypatch.setattr(G, "SHARD_TERMS", shard)
+    monkeypatch.setattr(G, "FEW", few)
+    g = spark.createDataFrame([(i, t, t and t.upper()) for i, t in enumerate(["ring", "group", "in", None, "subgroup", "x", ""])] + [(None, "str", None), (1, "a", "b")], "ord int, term string, gloss string")
     docs = spark.createDataFrame([(1, "A String of Subgroup"), (2, ""), (3, None), (4, "x")], "i int, t string")
-    one = sorted(map(tuple, G.hints(docs, g, "i", "t").collect()))
-    monkeypatch.setattr(G, "MAX_BROADCAST", 2)
-    assert sorted(map(tuple, G.hints(docs, g, "i", "t").collect())) == one
-    assert one[0][1].split("\n") == ["ring → RING", "group → GROUP", "in → IN", "subgroup → SUBGROUP"]
-    pairs = spark.createDataFrame([(1, "ring group", "RING here")], "i int, o string, t string")
-    assert [r["term"] for r in G.issues(pairs, g, "i", "o", "t").collect()] == ["group"]
+    got = {r["i"]: (r["hint"].split("\n"), r["n_terms"]) for r in G.hints(docs, g, "i", "t").collect()}
+    assert got == {1: (["str", "ring → RING", "a → b", "group → GROUP", "in → IN", "subgroup → SUBGROUP"], 6), 4: (["x → X"], 1)}
+    assert [r["hint"] for r in G.hints(docs, g, "i", "t", most=2).where("i = 1").collect()] == ["str\nring → RING"]
+    pairs = spark.createDataFrame([(1, "ring group subgroup", "RING here"), (1, "subgroups", "SUBGROUP"), (2, None, "x"), (3, "group", None)], "i int, o string, t string")
+    assert sorted((r["i"], r["rank"], r["term"]) for r in G.issues(pairs, g, "i", "o", "t").collect()) == [(1, 1, "group"), (1, 2, "subgroup"), (3, 1, "group")]
+
+
+def test_large_glossary(spark):
+    """200,000 terms in shards: no join, and the rows of a search text by text."""
+    terms = [f"t{i:06d}q" for i in range(200_000)]
+    g = spark.createDataFrame([(i, t, str(i)) for i, t in enumerate(terms)], "ord int, term string, gloss string").repartition(4)
+    docs = spark.createDataFrame([(k, " ".join(f"T{(k * 7919 + j * 104729) % 260_000:06d}Q" for j in range(k % 40))) for k in range(120)], "i int, t string")
+    out = G.hints(docs, g, "i", "t")
+    text = out._jdf.queryExecution().sparkPlan().toString()
+    assert not re.search("NestedLoop|HashJoin|MergeJoin|Cartesian", text) and text.count("MapInArrow") >= 2
+    got = {r["i"]: r["hint"].split("\n") for r in out.collect()}
+    for k in range(120):
+        held = sorted({n for j in range(k % 40) if (n := (k * 7919 + j * 104729) % 260_000) < 200_000})
+        assert got.get(k, []) == [f"{terms[n]} → {n}" for n in held[:15]]
 
 
 def test_knowledge(spark):
@@ -268,9 +288,10 @@ def test_chat_requests():
     assert path == "/api/generate" and body["prompt"] == "p" and body["options"]["num_predict"] == 4096
 
 
-@pytest.mark.parametrize("most", [20_000, 0])
-def test_glossary_counts_a_term_once(spark, monkeypatch, most):
-    monkeypatch.setattr(G, "MAX_BROADCAST", most)
+@pytest.mark.parametrize(("shard", "few"), GLOSSARY_WAYS)
+def test_glossary_counts_a_term_once(spark, monkeypatch, shard, few):
+    monkeypatch.setattr(G, "SHARD_TERMS", shard)
+    monkeypatch.setattr(G, "FEW", few)
     texts = spark.createDataFrame([(1, "Ring theory"), (1, "a ring"), (2, None), (None, "rings"), (3, "")], "id int, text string")
     terms = spark.createDataFrame([(0, "ring", "x"), (1, "theory", "y"), (2, "", "z")], "ord int, term string, gloss string")
     got = {r["id"]: (r["hint"], r["n_terms"]) for r in G.hints(texts, terms, "id", "text").collect()}

@@ -175,7 +175,7 @@ def concept_title(answer: Column, term: Column) -> Column:
 
 def search_terms(c: Column, stop_words=STOP_WORDS, most: int | None = None) -> Column:
     """Words of letters, digits and hyphens longer than 2 that are no stop words: capitalised first, longer first, then in order; the first ones, if most is given."""
-    words = F.split(F.regexp_replace(c, r"[^a-zA-Z0-9\x20\x09-\x0D-]+", ""), r"[\x20\x09-\x0D]+")
+    clean = lambda x: F.regexp_replace(x, r"[^a-zA-Z0-9\x20\x09-\x0D-]+", "")
     # One search in a line of all stop words, and none for words longer than those.
     stops, longest = F.lit(" " + " ".join(stop_words) + " "), max(map(len, stop_words), default=0)
     is_stop = lambda x: (F.length(x) <= longest) & F.contains(stops, F.concat(F.lit(" "), F.lower(x), F.lit(" ")))
@@ -185,12 +185,14 @@ def search_terms(c: Column, stop_words=STOP_WORDS, most: int | None = None) -> C
         keyed = F.transform(kept, lambda x, i: F.struct(F.when(capital(x), 0).otherwise(1).alias("k"), (-F.length(x)).alias("n"), i.alias("i"), x.alias("w")))
         return F.transform(F.array_sort(keyed), lambda s: s["w"])
 
-    kept = F.filter(words, lambda x: (F.length(x) > 2) & ~is_stop(x))
+    whole = lambda t: F.filter(F.split(t, r"[\x20\x09-\x0D]+"), lambda x: (F.length(x) > 2) & ~is_stop(x))
     if most is None:
-        return ranked(kept)
-    # With enough capitalised words the others need no place in the order.
-    enough = let(kept, lambda k: let(F.filter(k, capital), lambda n: F.when(F.size(n) >= most, n).otherwise(k)))
-    return F.slice(ranked(enough), 1, most)
+        return ranked(whole(clean(c)))
+    # With enough capitalised words the others need no place in the order, and are not even taken apart. The pattern
+    # begins with the letter and looks back over it, as few letters are capitals.
+    capitals = lambda t: F.filter(F.regexp_extract_all(t, F.lit(r"[A-Z](?<![^\x20\x09-\x0D][A-Z])[a-zA-Z0-9-]{2,}"), F.lit(0)), lambda x: ~is_stop(x))
+    first = lambda t: let(capitals(t), lambda n: F.when(F.size(n) >= most, ranked(n)).otherwise(ranked(whole(t))))
+    return F.slice(let(clean(c), first), 1, most)
 
 
 def script_count(c: Column, ranges: str) -> Column:

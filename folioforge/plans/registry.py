@@ -15,6 +15,7 @@ from folioforge.functions import mathtok, parsing
 from folioforge.functions import text as T
 from folioforge.operators import glossary as G
 from folioforge.operators import knowledge, layout, paragraphs, render, scoring
+from folioforge.plans.stages import tables
 from folioforge.sources import files
 from folioforge.sources.html import Selectors, content_items, page_url
 from folioforge.streaming import incremental
@@ -463,7 +464,9 @@ def knowledge_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     b AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY -overlap, length(title), title) AS rn FROM h) SELECT doc_id, title, overlap FROM b WHERE rn = 1""")
 def kb_search(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return knowledge.search(docs, knowledge_table(spark, sf_dir), "doc_id", T.search_terms(F.col("text"), most=4)).select("doc_id", "title", "overlap")
+    kb = knowledge_table(spark, sf_dir)
+    index = knowledge.title_index(kb, persist=tables(spark))
+    return knowledge.search(docs, kb, "doc_id", T.search_terms(F.col("text"), most=4), index=index).select("doc_id", "title", "overlap")
 
 
 @query("""WITH one AS (SELECT p_name AS title, min(p_type) || repeat('x', 46) AS extract FROM part GROUP BY p_name), two AS (SELECT p_name || ' mathematics' AS title, 'broad ' || p_name || repeat('y', 50) AS extract FROM part GROUP BY p_name),

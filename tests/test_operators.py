@@ -2,6 +2,7 @@
 
 import inspect
 import json
+import random
 import re
 
 import pytest
@@ -147,6 +148,33 @@ def test_knowledge(spark):
     assert got == {1: "Group mathematics", 2: None, 3: "Field"}
 
 
+@pytest.mark.parametrize("most_titles", [32, 3, 0])
+def test_title_search_by_brute_force(spark, most_titles):
+    """The same titles whether words are common or rare, and no more rows for a query than its words and sets."""
+    r = random.Random(1)
+    words = ["group", "ring", "field", "theory", "lie", "of", "x-1", "algebra", "finite", "sum"]
+    titles = sorted({" ".join(r.sample(words, r.randint(1, 5))).capitalize() for _ in range(120)} | {"Zeta", "", "Ring ring RING", "Über ring"})
+    kb = spark.createDataFrame([(t, "about " + t) for t in titles], "title string, extract string")
+    asked = [(i, r.sample([*words, "Zeta", "GROUP", "none"], r.randint(0, 6))) for i in range(150)] + [(150, None)]
+    queries = spark.createDataFrame(asked, "id int, t array<string>")
+    index = knowledge.title_index(kb, most_titles=most_titles)
+    assert index.words.where("held is not null").select(F.max(F.size("held"))).first()[0] in ({None} if most_titles == 0 else set(range(most_titles + 1)))
+    got = {x["id"]: (x["title"], x["overlap"], x["extract"]) for x in knowledge.search(queries, kb, "id", F.col("t"), index=index).collect()}
+    for i, terms in asked:
+        first = {w.lower() for w in (terms or [])[:4]}
+        scored = [(-len(first & set(re.split("[^a-z0-9-]+", t.lower()))), len(t), t) for t in titles]
+        less, _, title = min(scored)
+        assert got.get(i) == ((title, -less, "about " + title) if less else None)
+
+
+def test_search_terms_with_and_without_a_number(spark):
+    r = random.Random(2)
+    some = ["The", "Alpha", "beta", "Gam-ma", "of", "delta9", "Ep", "Zeta,", "(Eta)", "été", "Theta\tIota", "AND", "kappa\nLambda", "-Mu", "mu-Nu"]
+    rows = [(i, " ".join(r.choices(some, k=r.randint(0, 14)))) for i in range(200)] + [(200, None)]
+    df = spark.createDataFrame(rows, "i int, t string").select("i", T.search_terms(F.col("t")).alias("a"), *[T.search_terms(F.col("t"), most=n).alias(f"m{n}") for n in (1, 4)])
+    assert all((x["a"] is None and x["m4"] is None) or (x["m4"] == x["a"][:4] and x["m1"] == x["a"][:1]) for x in df.collect())
+
+
 HTML = """<html><body><div class="chapter"><h2><span>1</span> Motion<sup>2</sup></h2>
 <div class="para"><p class="p">Take <script type="math/tex">x^2</script> <span class="MathJax">x2</span> <b>now</b></p></div>
 <div class="section"><h3><a href="#">§</a>Part</h3><div class="figure"><img data-src="a/b/f1.svgz"><div class="caption"> A <i>cap</i></div></div>

@@ -5,7 +5,7 @@ Fixed answers make every stage deterministic, so the SQL states what must come o
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioforge.functions import parsing
@@ -15,7 +15,7 @@ from folioforge.plans import book, lecture, registry
 from folioforge.plans.model import StubModel
 from folioforge.plans.registry import STRIP, latex_sql, query, table
 from folioforge.plans.stages import tables
-from folioforge.sources import files
+from folioforge.sources import files, pages
 from folioforge.sources.html import Selectors
 from folioforge.sources.keyed import KeyedTable
 from folioforge.streaming import incremental
@@ -244,6 +244,24 @@ def streamed_sections(spark, sf_dir):
     return _section_columns(kept.read())
 
 
+@query(r"""WITH p AS (SELECT conv_id // 50 AS book, row_number() OVER (PARTITION BY conv_id // 50 ORDER BY conv_id, turn) - 1 AS page, text FROM conversations)
+    SELECT 'book-' || book AS doc_id, page::BIGINT AS page, CASE WHEN page % 17 <> 5 THEN md5(text) END AS text_md5, CASE WHEN page % 17 = 5 THEN 'JSONDecodeError' END AS error FROM p WHERE page >= 3 AND page < 150""")
+def paginated_pages(spark, sf_dir):
+    """Books of pages written as page files, some pages broken, and a range of pages read again: ranges of a file are tasks."""
+    w = Window.partitionBy("doc_id").orderBy("conv_id", "turn")
+    turns = table(spark, sf_dir, "conversations").withColumn("doc_id", F.concat(F.lit("book-"), F.floor(F.col("conv_id") / 50).cast("string")))
+    placed = turns.select("doc_id", (F.row_number().over(w) - 1).alias("page"), "text")
+    span = F.struct("text", F.lit("Body").alias("font"), F.lit(8.0).alias("size"))
+    box = F.struct(*[F.lit(float(k)).alias(c) for k, c in enumerate(("x0", "y0", "x1", "y1"))])
+    block = F.struct(F.lit(0).alias("type"), box.alias("bbox"), F.array(F.struct(F.array(span).alias("spans"))).alias("lines"))
+    whole = F.to_json(F.struct(F.array(block).alias("blocks"), F.array().cast("array<string>").alias("images")))
+    written = pages.write_pages(placed, _folder(spark), F.when(F.col("page") % 17 == 5, F.left(whole, F.lit(40))).otherwise(whole))
+    paths = [r["path"] for r in written.select("path").collect()]  # one for each book
+    back = layout.page_range(pages.read_paginated(spark, paths, "folioforge.sources.pages:PageFiles", 20), 3, 150)
+    text = F.col("blocks")[0]["lines"][0]["spans"][0]["text"]
+    return back.select("doc_id", F.col("page").cast("bigint").alias("page"), F.md5(text.cast("binary")).alias("text_md5"), F.split("error", ":")[0].alias("error"))
+
+
 # --- Answers that fall back -----------------------------------------------------------------------
 @query(r"""SELECT p_partkey, p_name || ' first item more of it|second item of ' || p_type AS items, CASE p_partkey % 3 WHEN 0 THEN false ELSE true END AS preserved, p_partkey % 3 = 1 AS supported,
     CASE p_partkey % 3 WHEN 2 THEN 0 ELSE 3 END AS n_issues, p_name || ' 한국' AS kept FROM part""")

@@ -2,6 +2,7 @@
 
 import inspect
 import json
+import os
 import random
 import re
 
@@ -278,6 +279,50 @@ def test_paginated_source(spark):
     assert sorted((r["doc_id"], r["page"], r["text"]) for r in layout.page_text(layout.page_range(df, 1, 3)).collect()) == [(d, p, f"p{p}") for d in ("a.pdf", "b.pdf") for p in (1, 2)]
 
 
+def page_files(spark, tmp_path, n=50):
+    from folioforge.sources import pages as P
+
+    rows = [(d, p, "{broken" if p == 7 else json.dumps(next(extract_demo("", p % 4, None))[1])) for d in ("a", "b") for p in range(n)]
+    written = P.write_pages(spark.createDataFrame(rows, "doc_id string, page int, x string").repartition(5), f"{tmp_path}/p", F.col("x")).collect()
+    assert sorted((r["doc_id"], r["n_pages"]) for r in written) == [("a", n), ("b", n)] and sorted(os.listdir(f"{tmp_path}/p")) == ["a", "b"]
+    (tmp_path / "p/cut").write_bytes((tmp_path / "p/a").read_bytes()[:-3])
+    return P.read_paginated(spark, [f"{tmp_path}/p/{d}" for d in ("a", "b", "cut")], "folioforge.sources.pages:PageFiles", 10)
+
+
+def test_page_files(spark, tmp_path):
+    df = page_files(spark, tmp_path)
+    assert df.rdd.getNumPartitions() == 11
+    rows = df.collect()
+    good = [(r["doc_id"], r["page"]) for r in rows if r["error"] is None]
+    assert sorted(good) == [(d, p) for d in ("a", "b") for p in range(50) if p != 7]
+    assert sorted((r["doc_id"], r["page"], r["error"].split(":")[0]) for r in rows if r["error"]) == [("a", 7, "JSONDecodeError"), ("b", 7, "JSONDecodeError"), ("cut", 0, "ValueError")]
+
+
+@pytest.mark.parametrize(
+    ("condition", "tasks", "kept"),
+    [("page >= 20 and page < 25", 3, [20, 21, 22, 23, 24]), ("page > 38 and doc_id = 'a'", 2, list(range(39, 50))), ("page = 45 and doc_id in ('b', 'x')", 1, [45]), ("page >= 100", 1, []), ("page <= 2 and doc_id = 'b'", 1, [0, 1, 2])],
+)
+def test_page_filters_are_pushed(spark, tmp_path, condition, tasks, kept):
+    df = page_files(spark, tmp_path).where(condition)
+    assert df.rdd.getNumPartitions() == tasks
+    assert sorted({r["page"] for r in df.where("error is null").collect()}) == kept
+    assert "page" in df._jdf.queryExecution().executedPlan().toString().split("BatchScan")[1]
+
+
+def breaks_off(path, low, high):
+    yield 0, {"blocks": [], "images": []}
+    yield 1, ValueError("bad")
+    yield 2, {"blocks": [], "images": []}
+    raise OSError("gone")
+
+
+def test_errors_of_pages_are_rows(spark):
+    from folioforge.sources.pages import read_paginated
+
+    got = read_paginated(spark, ["/x/a.pdf"], "tests.test_operators:breaks_off").orderBy("page").collect()
+    assert [(r["page"], r["error"]) for r in got] == [(0, None), (1, "ValueError: bad"), (2, None), (3, "OSError: gone")]
+
+
 def test_latex_document(spark):
     rows = spark.createDataFrame([("d", "6.10", "c"), ("d", "6.9", "b"), ("d", "1", "a")], "doc_id string, section_id string, tex string")
     assert render.document(rows, ["doc_id"], "P", "E").first()["tex"] == "Pa\n\nb\n\nc\nE"

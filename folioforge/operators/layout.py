@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 GAP = 12.0
 BOLD_LEAST = 8.0
+#: Pages of a document that one task carries a header along.
+SEGMENT = 4096
 NUMBER = r"^\d+(?:\.\d+)*$"
 
 #: One page as a text layout library gives it.
@@ -73,33 +75,63 @@ def first_header(found: DataFrame) -> DataFrame:
     return found.groupBy("doc_id", "page").agg(head).select("doc_id", "page", "h.*")
 
 
-def running_sections(pages: DataFrame, heads: DataFrame) -> DataFrame:
-    """Pages with the header that is in force: columns of the header, and section_no counting headers. Pages before the first header go."""
-    w = Window.partitionBy("doc_id").orderBy("page")
-    joined = pages.join(heads, ["doc_id", "page"], "left")
-    filled = joined.withColumn("section_no", F.count("section_id").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    keep = {c: F.last(c, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)) for c in ("section_id", "title", "font_size")}
-    return filled.withColumns(keep).where(F.col("section_no") > 0)
+def running_sections(pages: DataFrame, heads: DataFrame, segment: int = SEGMENT) -> DataFrame:
+    """Pages with the header that is in force: columns of the header, section_no counting headers, and next_page, where the next one stands.
+
+    Pages before the first header go. Documents are cut into segments of so many pages. Headers are carried on
+    within a segment first; what a segment hands on, the number of its headers and its first and last one, is a row,
+    and only those rows are carried on by document. So pages of one document are many tasks' work.
+    """
+    part = F.floor(F.col("page") / segment).alias("_segment")
+    place = Window.partitionBy("doc_id", "_segment")
+    back, ahead = (w.rowsBetween(Window.unboundedPreceding, end) for w, end in ((place.orderBy("page"), 0), (place.orderBy(F.desc("page")), -1)))
+    columns = ("section_id", "title", "font_size")
+    head = F.when(F.col("section_id").isNotNull(), F.struct("page", *columns))
+
+    real = heads.join(pages.select("doc_id", "page"), ["doc_id", "page"], "left_semi")
+    handed = real.groupBy("doc_id", part).agg(F.count("section_id").alias("n"), F.max(head).alias("last"), F.min(F.when(F.col("section_id").isNotNull(), F.col("page"))).alias("first"))
+    handed = pages.select("doc_id", part).distinct().join(handed, ["doc_id", "_segment"], "left")
+    by_doc = Window.partitionBy("doc_id")
+    before, after = (w.rowsBetween(Window.unboundedPreceding, -1) for w in (by_doc.orderBy("_segment"), by_doc.orderBy(F.desc("_segment"))))
+    carried = handed.select(
+        "doc_id",
+        "_segment",
+        F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_n"),
+        F.last("last", ignorenulls=True).over(before).alias("_head"),
+        F.last("first", ignorenulls=True).over(after).alias("_next"),
+    )
+    joined = pages.join(heads, ["doc_id", "page"], "left").withColumn("_segment", part)
+    local = joined.withColumns(
+        {
+            "_no": F.count("section_id").over(back),
+            "_own": F.last(head, ignorenulls=True).over(back),
+            "_after": F.last(F.when(F.col("section_id").isNotNull(), F.col("page")), ignorenulls=True).over(ahead),
+        }
+    )
+    in_force = F.coalesce("_own", "_head")
+    filled = local.join(carried, ["doc_id", "_segment"]).withColumns(
+        {**{c: in_force[c] for c in columns}, "section_no": F.col("_no") + F.col("_n"), "next_page": F.coalesce("_after", "_next")}
+    )
+    return filled.where(F.col("section_no") > 0).drop("_segment", "_no", "_own", "_after", "_n", "_head", "_next")
 
 
-def assemble_sections(pages: DataFrame, heads: DataFrame, end_page: int | None = None) -> DataFrame:
+def assemble_sections(pages: DataFrame, heads: DataFrame, end_page: int | None = None, segment: int = SEGMENT) -> DataFrame:
     """One row per header: section_id, title, font_size, level, content, images, start_page, end_page (1-based, inclusive).
 
     pages: (doc_id, page, text) and maybe images; a section ends on the page before the next header's,
     the last on end_page, or where that is not given on its document's last page.
     """
-    run = running_sections(pages, heads)
+    run = running_sections(pages, heads, segment)
     text = F.array_sort(F.collect_list(F.struct("page", "text")))
-    parts = [F.array_join(F.transform(text, lambda x: x["text"]), "\n").alias("content"), F.min("page").alias("first_page"), F.max("page").alias("last_page")]
+    parts = [F.array_join(F.transform(text, lambda x: x["text"]), "\n").alias("content"), F.min("page").alias("first_page"), F.max("page").alias("last_page"), F.max("next_page").alias("next_page")]
     if "images" in pages.columns:
         shown = F.array_sort(F.collect_list(F.struct("page", "images")))
         parts.append(F.flatten(F.transform(shown, lambda x: F.coalesce(x["images"], F.array().cast(pages.schema["images"].dataType)))).alias("images"))
     rows = run.groupBy("doc_id", "section_no", "section_id", "title", "font_size").agg(*parts)
-    following = F.lead("first_page").over(Window.partitionBy("doc_id").orderBy("section_no"))
     last = F.lit(end_page) if end_page is not None else F.col("last_page") + 1
     level = F.when(F.col("font_size") >= 9.0, "section").otherwise("subsection")
-    out = rows.withColumns({"level": level, "start_page": F.col("first_page") + 1, "end_page": F.coalesce(following, last)})
-    return out.drop("first_page", "last_page")
+    out = rows.withColumns({"level": level, "start_page": F.col("first_page") + 1, "end_page": F.coalesce("next_page", last)})
+    return out.drop("first_page", "last_page", "next_page")
 
 
 def last_wins(rows: DataFrame, key: list[str], order: Column, first_place: str | None = None) -> DataFrame:
@@ -141,8 +173,8 @@ def toc_ranges(toc: DataFrame, total_pages: Column, levels: list[int], partition
     Levels are few and known, so the next entry is the nearest of as many running windows as there are
     levels, in space that does not grow with the rows of a partition.
     """
-    w = Window.partitionBy(*(partition or [])).orderBy(ord_col).rowsBetween(1, Window.unboundedFollowing)
-    heads = {k: F.first(F.when(F.col("level") == k, F.struct(F.col(ord_col).alias("o"), F.col("page").alias("p"))), ignorenulls=True).over(w) for k in levels}
+    w = Window.partitionBy(*(partition or [])).orderBy(F.desc(ord_col)).rowsBetween(Window.unboundedPreceding, -1)
+    heads = {k: F.last(F.when(F.col("level") == k, F.struct(F.col(ord_col).alias("o"), F.col("page").alias("p"))), ignorenulls=True).over(w) for k in levels}
     marked = toc.withColumns({f"_h{k}": v for k, v in heads.items()})
     none = F.lit(None).cast(marked.schema[f"_h{levels[0]}"].dataType)
     nearest = reduce(lambda a, k: F.least(a, F.when(F.col("level") >= k, F.col(f"_h{k}"))), levels, none) if len(levels) > 1 else F.col(f"_h{levels[0]}")

@@ -89,6 +89,44 @@ def test_headers_and_sections(spark):
     assert [r["filename"] for r in layout.images(pages(spark)).orderBy("page").collect()] == ["page_2_img_1.png", "page_4_img_1.png"]
 
 
+@pytest.mark.parametrize("segment", [4096, 5, 1])
+def test_sections_in_segments(spark, segment):
+    """The same sections wherever documents are cut, pages missing, before the first header and without any included."""
+    r = random.Random(3)
+    pages, heads, want = [], [], []
+    for d in range(6):
+        now = None
+        own = sorted(r.sample(range(60), r.choice([0, 1, 40, 60])))
+        for p in own:
+            pages.append((f"d{d}", p, f"text {p}"))
+            if d and r.random() < (0.1 if d < 5 else 0.9):
+                heads.append((f"d{d}", p, str(p), f"title {p}", 8.0 + p % 2))
+                if now:
+                    now[-1] = p
+                now = [f"d{d}", str(p), [], p + 1, None]
+                want.append(now)
+            if now:
+                now[2].append(f"text {p}")
+                last = p
+        if now:
+            now[-1] = last + 1
+    heads.append(("d1", 1000, "no such page", "x", 9.0))
+    made = layout.assemble_sections(spark.createDataFrame(pages, "doc_id string, page int, text string"), spark.createDataFrame(heads, "doc_id string, page int, section_id string, title string, font_size double"), segment=segment)
+    got = [(x["doc_id"], x["section_id"], x["content"], x["start_page"], x["end_page"]) for x in made.collect()]
+    assert sorted(got) == sorted((d, s, "\n".join(t), a, b) for d, s, t, a, b in want)
+
+
+def test_pages_of_one_document_are_many_tasks(spark):
+    """A document of 10^6 pages: no window over all of it, and no task with most of it."""
+    pages = spark.range(1_000_000).select(F.lit("d").alias("doc_id"), F.col("id").cast("int").alias("page"), F.lit("x").alias("text"))
+    heads = pages.where("page % 7 = 3").select("doc_id", "page", F.col("page").cast("string").alias("section_id"), F.lit("t").alias("title"), F.lit(9.0).alias("font_size"))
+    run = layout.running_sections(pages, heads)
+    sizes = [x["count"] for x in run.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 999_997 and max(sizes) < 500_000
+    wrong = run.where((F.col("section_no") != F.floor((F.col("page") - 3) / 7) + 1) | (F.col("section_id").cast("int") != F.col("page") - (F.col("page") - 3) % 7) | (F.col("next_page") != F.col("page") - (F.col("page") - 3) % 7 + 7))
+    assert wrong.count() == 0
+
+
 def test_toc(spark):
     toc = spark.createDataFrame([(0, 1, "a", 1), (1, 2, "b", 3), (2, 3, "c", 3), (3, 2, "d", 7), (4, 1, "e", 9)], "ord int, level int, title string, page int").withColumn("k", F.lit(1))
     for out in (layout.toc_ranges(toc, F.lit(20), [1, 2, 3], ["k"]),):

@@ -24,7 +24,7 @@ ARGUMENT_COMMANDS = (
 # What every match of a pattern above begins with: a text without it is not scanned.
 REGION_SIGNS = ("$", "$$", "\\(", "\\[")
 ARGUMENT_SIGNS = ("\\frac{", "\\mathbb{", "\\mathcal{", "\\mathfrak{", "\\text{", "\\mathrm{", "\\operatorname{")
-VARIABLE = r"(?<![a-zA-Z\\])([A-Za-z])(?:_\{?[^}\s]*\}?)?(?:\^\{?[^}\s]*\}?)?"
+VARIABLE = r"([A-Za-z])(?<![a-zA-Z\\][A-Za-z])(?:_\{?[^}\s]*\}?)?(?:\^\{?[^}\s]*\}?)?"
 BACKSLASHED = ("frac", "sum", "prod", "int", "lim", "sqrt", "log", "ln", "sin", "cos", "tan", "exp", "infty", "partial", "nabla")
 
 
@@ -37,14 +37,25 @@ def regions(c: Column) -> Column:
     return let(c, lambda t: F.concat(*[_all(t, "(?s)" + p, sign) for p, sign in zip(REGIONS, REGION_SIGNS)]))
 
 
+def _by_beginning(names: tuple[str, ...]) -> Column:
+    """A map from the backslash and first two letters of commands to those that begin so, in order."""
+    groups: dict[str, list[str]] = {}
+    for name in names:
+        groups.setdefault("\\" + name[:2], []).append("\\" + name)
+    return F.create_map(*[x for k, same in groups.items() for x in (F.lit(k), F.array(*map(F.lit, same)))])
+
+
 def commands(c: Column) -> Column:
-    """All commands, as prefixes: \\in also stands at the head of \\int. One scan finds the words, each gives the commands it begins with."""
-    names = F.array(*[F.lit("\\" + n) for n in PLAIN_COMMANDS])
+    """All commands, as prefixes: \\in also stands at the head of \\int. One scan finds the words, their first letters the few commands to compare."""
+    begins, empty = _by_beginning(PLAIN_COMMANDS), F.array().cast("array<string>")
+
+    def of(word: Column) -> Column:
+        return F.filter(F.coalesce(F.try_element_at(begins, F.left(word, F.lit(3))), empty), lambda n: word.startswith(n))
 
     def found(t: Column) -> Column:
         with_arguments = [_all(t, p, sign) for p, sign in zip(ARGUMENT_COMMANDS, ARGUMENT_SIGNS)]
-        words = _all(t, r"\\[A-Za-z]+", "\\")
-        return F.concat(*with_arguments, F.flatten(F.transform(words, lambda w: F.filter(names, lambda n: w.startswith(n)))))
+        words = _all(t, r"\\[A-Za-z]{2,}", "\\")
+        return F.when(F.contains(t, F.lit("\\")), F.concat(*with_arguments, F.flatten(F.transform(words, of)))).otherwise(empty)
 
     return let(c, found)
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from folioforge.functions import parsing
 from folioforge.functions import text as T
-from folioforge.operators import layout, render, scoring
+from folioforge.operators import layout, references, render, scoring
 from folioforge.plans import book, lecture, registry
 from folioforge.plans.model import StubModel
 from folioforge.plans.registry import STRIP, latex_sql, query, table
@@ -283,6 +283,50 @@ def cross_references(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", render.cross_references(text).alias("linked"))
 
 
+# --- Labels, index and glossary of documents made of parts ------------------------------------------
+def _book_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sections of books by brand: a label each, two links, terms for the index, an entry for the glossary."""
+    k = F.col("p_partkey")
+    number = lambda n: F.concat(F.lit("[II."), (n % 40 + 1).cast("string"), F.lit("§"), F.col("p_size").cast("string"), F.lit("]"))
+    label = F.concat(F.lit("\\label{sec:II-"), (k % 40 + 1).cast("string"), F.lit("-"), F.col("p_size").cast("string"), F.lit("}"))
+    tex = F.concat(label, F.lit(" see "), render.cross_references(number(k * 7)), F.lit(" and "), render.cross_references(number(k + 1)), F.lit(" \\index{"), "p_type", F.lit("} \\term{ "), F.lower("p_type"), F.lit("}"))
+    entry = F.struct(F.col("p_name").alias("term"), F.concat(F.lit(" "), F.col("p_type"), F.lit(" ")).alias("gloss"))
+    return table(spark, sf_dir, "part").select("p_brand", F.concat_ws(".", k % 40 + 1, "p_size", k).alias("section_id"), tex.alias("tex"), F.array(entry).alias("glossary"))
+
+
+_BOOK_SECTIONS = r"""s AS (SELECT p_brand, p_name, p_type, p_partkey AS k, p_partkey % 40 + 1 AS a, p_size AS b, 'sec:II-' || (p_partkey % 40 + 1) || '-' || p_size AS label,
+        'sec:II-' || (p_partkey * 7 % 40 + 1) || '-' || p_size AS one, 'sec:II-' || ((p_partkey + 1) % 40 + 1) || '-' || p_size AS two, (p_partkey % 40 + 1) || '.' || p_size || '.' || p_partkey AS section_id FROM part)"""
+
+
+@query(f"""WITH {_BOOK_SECTIONS}, r AS (SELECT p_brand, section_id, 0 AS place, one AS label FROM s UNION ALL SELECT p_brand, section_id, 1, two FROM s),
+    l AS (SELECT p_brand, label, arg_min(section_id, [a, b, k]) AS target, count(*) AS n FROM s GROUP BY ALL)
+    SELECT r.p_brand, r.section_id, r.place, r.label, l.target, CASE WHEN l.n IS NULL THEN 'broken' WHEN l.n > 1 THEN 'ambiguous' ELSE 'ok' END AS state FROM r LEFT JOIN l ON l.p_brand = r.p_brand AND l.label = r.label""")
+def checked_references(spark, sf_dir):
+    return references.checked_references(_book_sections(spark, sf_dir), ["p_brand"])
+
+
+@query(f"""WITH {_BOOK_SECTIONS}, r AS (SELECT p_brand, section_id, a, b, k, one AS label FROM s UNION ALL SELECT p_brand, section_id, a, b, k, two FROM s),
+    x AS (SELECT r.* FROM r ANTI JOIN s ON s.p_brand = r.p_brand AND s.label = r.label)
+    SELECT p_brand, label, count(*) AS n_references, (SELECT string_agg(section_id, ' ' ORDER BY a, b, k) FROM (SELECT DISTINCT section_id, a, b, k FROM x AS y WHERE y.p_brand = x.p_brand AND y.label = x.label)) AS sections FROM x GROUP BY p_brand, label""")
+def broken_references(spark, sf_dir):
+    out = references.broken_references(_book_sections(spark, sf_dir), ["p_brand"])
+    return out.withColumn("sections", F.array_join("sections", " "))
+
+
+@query(rf"""WITH {_BOOK_SECTIONS}, l AS (SELECT p_brand, lower(p_type) AS low, arg_min(least(p_type, lower(p_type)), [a, b, k]) AS term, string_agg('\hyperref[sec:' || replace(section_id, '.', '-') || ']{{' || section_id || '}}', ', ' ORDER BY a, b, k) AS links FROM s GROUP BY ALL),
+    g AS (SELECT *, CASE WHEN left(lag(low) OVER (PARTITION BY p_brand ORDER BY low), 1) <> left(low, 1) THEN '\indexspace' || chr(10) ELSE '' END AS gap FROM l)
+    SELECT p_brand, md5('\begin{{theindex}}' || chr(10) || string_agg(gap || '\item ' || term || ', ' || links, chr(10) ORDER BY low) || chr(10) || '\end{{theindex}}') AS tex_md5 FROM g GROUP BY p_brand""")
+def document_index(spark, sf_dir):
+    """Terms that differ in case only are one; the way of writing that comes first counts."""
+    terms = references.index_terms(_book_sections(spark, sf_dir), ["p_brand"])
+    return references.render_index(terms, ["p_brand"]).select("p_brand", F.md5(F.col("tex").cast("binary")).alias("tex_md5"))
+
+
+@query(f"""WITH {_BOOK_SECTIONS} SELECT p_brand, p_name AS term, arg_min(p_type, [a, b, k]) AS gloss, arg_min(section_id, [a, b, k]) AS section_id, count(DISTINCT p_type) AS n_glosses FROM s GROUP BY p_brand, p_name""")
+def document_glossary(spark, sf_dir):
+    return references.glossary_entries(_book_sections(spark, sf_dir), ["p_brand"])
+
+
 _TITLE = "CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE '제목' END"
 _BR = " || chr(10) || "
 

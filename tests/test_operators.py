@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from folioforge.functions import text as T
 from folioforge.operators import glossary as G
-from folioforge.operators import frames, knowledge, layout, paragraphs, render, scoring
+from folioforge.operators import frames, knowledge, layout, paragraphs, references, render, scoring
 from folioforge.plans import book, lecture
 from folioforge.plans.model import HttpModel, StubModel, ask, call, suggest
 from folioforge.plans.stages import tables
@@ -317,6 +317,31 @@ def test_paginated_source(spark):
     assert sorted((r["doc_id"], r["page"], r["text"]) for r in layout.page_text(layout.page_range(df, 1, 3)).collect()) == [(d, p, f"p{p}") for d in ("a.pdf", "b.pdf") for p in (1, 2)]
 
 
+def test_references_index_and_glossary(spark):
+    rows = [
+        ("d", "2", r"\\label{sec:2} see \\hyperref[sec:10]{[X \\S{1}]}, \\hyperref[sec:no]{[gone {x}]} and \\ref{sec:2} \\index{Ring} \\index{ }", [("Ring", "first")]),
+        ("d", "10", r"\\label{sec:10}\\label{twice} \\hyperref[sec:no]{again} \\ref{twice} \\term{ring} \\index{apple}", [("Ring", "later"), ("", "x")]),
+        ("d", "3", r"\\label{twice} plain \\pageref{lost(1)} \\index{Ring}", None),
+        ("e", "1", r"\\hyperref[sec:2]{other book}", []),
+        ("e", "2", None, None),
+    ]
+    rows = [(d, s, x and x.replace("\\\\", "\\"), g) for d, s, x, g in rows]
+    df = spark.createDataFrame(rows, "doc string, section_id string, tex string, glossary array<struct<term:string,gloss:string>>")
+    got = sorted((r["doc"], r["section_id"], r["label"], r["target"], r["state"]) for r in references.checked_references(df, ["doc"]).collect())
+    assert got == [("d", "10", "sec:no", None, "broken"), ("d", "10", "twice", "3", "ambiguous"), ("d", "2", "sec:10", "10", "ok"), ("d", "2", "sec:2", "2", "ok"), ("d", "2", "sec:no", None, "broken"), ("d", "3", "lost(1)", None, "broken"), ("e", "1", "sec:2", None, "broken")]
+    lost = sorted((r["doc"], r["label"], r["n_references"], r["sections"]) for r in references.broken_references(df, ["doc"]).collect())
+    assert lost == [("d", "lost(1)", 1, ["3"]), ("d", "sec:no", 2, ["2", "10"]), ("e", "sec:2", 1, ["1"])]
+    plain = {(r["doc"], r["section_id"]): r["tex"] for r in references.unlink_broken(df, ["doc"]).collect()}
+    assert plain["e", "1"] == "other book" and plain["e", "2"] is None and "hyperref[sec:10]" in plain["d", "2"] and "[gone {x}]" in plain["d", "2"] and "sec:no" not in plain["d", "2"] and plain["d", "3"] == rows[2][2]
+    terms = references.index_terms(df, ["doc"])
+    assert sorted((r["term"], r["sections"]) for r in terms.collect()) == [("Ring", ["2", "3", "10"]), ("apple", ["10"])]
+    index = references.render_index(terms, ["doc"]).first()["tex"]
+    assert index.split("\n")[1:4] == ["\\item apple, \\hyperref[sec:10]{10}", "\\indexspace", "\\item Ring, \\hyperref[sec:2]{2}, \\hyperref[sec:3]{3}, \\hyperref[sec:10]{10}"]
+    entries = references.glossary_entries(df, ["doc"])
+    assert [tuple(r) for r in entries.collect()] == [("d", "Ring", "first", "2", 2)]
+    assert references.render_glossary(entries, ["doc"]).first()["tex"] == "\\begin{description}\n\\item[Ring] first\n\\end{description}"
+
+
 def page_files(spark, tmp_path, n=50):
     from folioforge.sources import pages as P
 

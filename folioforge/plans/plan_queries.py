@@ -70,6 +70,14 @@ def book_polish(spark, sf_dir):
     return out.select("key", "content_translated")
 
 
+@query(f"SELECT p_partkey::VARCHAR AS key, {_CLEAN} AS content_translated FROM part")
+def book_polish_refused(spark, sf_dir):
+    """A second pass whose answers lose nearly all of a text: none is taken."""
+    model = StubModel("quote", (("Polish this translation.", "lost"), *ANSWERS))
+    out = book.translate(_parts(spark, sf_dir), registry.glossary_table(spark), model, book.BookConfig(polish=True), tables(spark))
+    return out.select("key", "content_translated")
+
+
 def _known(spark: SparkSession) -> DataFrame:
     rows = [
         ("Tensor", "A tensor " + "is described here " * 4), ("Manifold mathematics", "A manifold " + "is described here " * 4),

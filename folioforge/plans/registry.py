@@ -580,6 +580,52 @@ def html_items(spark, sf_dir):
     return content_items(table(spark, sf_dir, "pages"), "page_id", "html", PAGE_SELECTORS).select("page_id", "chapter_title", "sec_idx", "item_idx", "type", "text")
 
 
+_LETTERS = "'T' || regexp_replace(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '[^a-zA-Z]', '', 'g')"
+
+
+@query(f"""WITH p AS (SELECT page_id AS i, {_LETTERS} AS t FROM pages WHERE page_id % 5 <> 4),
+    o AS (SELECT i, CASE WHEN i % 3 = 0 THEN 'Outer ' || t ELSE t END AS chapter_title, 0 AS sec_idx, v.k AS item_idx, '' AS section_title, v.type, CASE v.k WHEN 0 THEN 'Take $x^' || i || '$ ' || t || ' $$y$$' END AS text,
+            CASE v.k WHEN 1 THEN 'images/f' || i || '.png' END AS src, CASE v.k WHEN 1 THEN 'Fig' || t END AS caption, NULL::VARCHAR AS latex
+        FROM p, (VALUES (0, 'paragraph'), (1, 'figure')) AS v(k, type) WHERE i % 3 <> 0
+        UNION ALL SELECT i, 'Outer ' || t, 0, 0, '', 'paragraph', 'outer ' || t, NULL, NULL, NULL FROM p WHERE i % 3 = 0),
+    s AS (SELECT i, t AS chapter_title, n.n AS sec_idx, v.k AS item_idx, 'Part ' || n.n AS section_title, v.type, CASE v.k WHEN 3 THEN t END AS text, CASE v.k WHEN 1 THEN 'images/g' || i || '.svgz' END AS src,
+            CASE v.k WHEN 1 THEN '' END AS caption, CASE v.k WHEN 0 THEN 'e_' || i WHEN 2 THEN 'raw ' || t END AS latex
+        FROM p, (VALUES (1), (2)) AS n(n), (VALUES (0, 'equation'), (1, 'figure'), (2, 'equation'), (3, 'paragraph')) AS v(k, type) WHERE i % 3 >= n.n)
+    SELECT i AS page_id, chapter_title, sec_idx, item_idx, section_title, type, text, src, caption, latex FROM (SELECT * FROM o UNION ALL SELECT * FROM s)""")
+def html_structure(spark, sf_dir):
+    """Pages with inline and displayed math, rendered math, figures, captions, equations, sections, and one, two or no containers."""
+    i = F.col("page_id").cast("string")
+    t = F.concat(F.lit("T"), F.regexp_replace(F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1), "[^a-zA-Z]", ""))
+    math = lambda x, kind="": F.concat(F.lit(f'<script type="math/tex{kind}">'), x, F.lit("</script>"))
+    wrap = lambda name, *x: F.concat(F.lit(f'<div class="{name}">'), *x, F.lit("</div>"))
+    para = lambda name, *x: wrap("para", F.lit(f'<p class="{name}">'), *x, F.lit("</p>"))
+    text = para("p", F.lit("Take "), math(F.concat(F.lit("x^"), i)), F.lit(' <span class="MathJax">x y</span>\n <b>'), t, F.lit("</b> "), math(F.lit("y"), "; mode=display"))
+    figure = wrap("figure", F.lit('<a href="#"><img src="a/b/f'), i, F.lit('.png"></a>'), wrap("caption big", F.lit(" Fig <i>"), t, F.lit("</i> ")))
+    head = F.concat(F.lit("<h2><span>3</span> "), t, F.lit("<sup>2</sup></h2>"))
+
+    def section(n: int):
+        parts = (F.lit(f'<h3><a href="#">§</a>Part {n}</h3>'), wrap("equation", math(F.concat(F.lit(" e_"), i, F.lit(" ")), "; mode=display")), wrap("figure", F.lit('<img data-src="z/g'), i, F.lit('.svgz">')),
+                 wrap("equation", F.lit(" raw "), t), wrap("figure", F.lit("<img>")), para("p", t), wrap("equation", F.lit(" ")))
+        return F.when(F.col("page_id") % 3 >= n, wrap("section", *parts)).otherwise("")
+
+    outer = wrap("document", F.lit("<h2>Outer "), t, F.lit("</h2>"), para("p", F.lit("outer "), t))
+    inner = F.when(F.col("page_id") % 3 == 0, "").otherwise(wrap("chapter", head, text, para("q", F.lit("no")), figure, section(1), section(2)))
+    page = F.when(F.col("page_id") % 5 == 4, F.concat(F.lit("<div>"), t, F.lit("</div>"))).otherwise(F.concat(F.lit("<html><body>"), outer, inner))
+    return content_items(table(spark, sf_dir, "pages").select("page_id", page.alias("html")), "page_id", "html")
+
+
+@query("""WITH p AS (SELECT p_partkey, p_partkey % 5 AS lost, p_partkey % 3 AS same FROM part), s AS (SELECT *, (4 - lost) * 25 AS score FROM p)
+    SELECT p_partkey, score::INT AS score, lost::INT AS n_missing, CASE WHEN score BETWEEN 50 AND 90 AND same > 0 AND lost >= same THEN (4 - lost + same) * 25 ELSE score END::INT AS adjusted FROM s""")
+def formula_equivalents(spark, sf_dir):
+    """Scores of formulas of which some are lost, and what a count of equivalent forms makes of those from 50 to 90."""
+    names = ("alpha", "beta", "gamma", "delta")
+    original = F.concat("p_name", F.lit("".join(f" \\{n} here" for n in names)))
+    kept = [F.when(F.col("p_partkey") % 5 < 4 - k, f" \\{n} there").otherwise("") for k, n in enumerate(names)]
+    rows = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") % 3).cast("int").alias("same"), mathtok.check(original, F.concat("p_name", *kept)).alias("c"))
+    adjusted = mathtok.adjusted_score(F.col("c.score"), F.size("c.missing"), F.col("c.n_tokens"), F.col("same"))
+    return rows.select("p_partkey", "c.score", F.size("c.missing").alias("n_missing"), adjusted.alias("adjusted"))
+
+
 # --- Rendering and formulas: SQL has no lookarounds, so it marks places first ---------------------
 def outside_sql(x: str, regions: str, change: str) -> str:
     """x with change, of s[1], applied between matches of regions."""

@@ -11,14 +11,14 @@ from pyspark.sql import functions as F
 from folioforge.functions import parsing
 from folioforge.functions import text as T
 from folioforge.operators import layout, references, render, scoring
-from folioforge.plans import book, lecture, registry
+from folioforge.plans import book, lecture, parts, registry
 from folioforge.plans.model import StubModel
 from folioforge.plans.registry import STRIP, latex_sql, query, table
 from folioforge.plans.stages import tables
 from folioforge.sources import files, pages
 from folioforge.sources.html import Selectors
 from folioforge.sources.keyed import KeyedTable
-from folioforge.streaming import incremental
+from folioforge.streaming import incremental, states
 
 # Answers by what a prompt holds; the first that fits counts.
 ANSWERS = (
@@ -270,6 +270,51 @@ def paginated_pages(spark, sf_dir):
     return back.select("doc_id", F.col("page").cast("bigint").alias("page"), F.md5(text.cast("binary")).alias("text_md5"), F.split("error", ":")[0].alias("error"))
 
 
+@query("""SELECT s_suppkey::VARCHAR AS key, CASE s_suppkey % 5 WHEN 2 THEN 'failed' WHEN 3 THEN 'expired' WHEN 4 THEN 'late' ELSE 'answered' END AS state,
+    CASE s_suppkey % 5 WHEN 2 THEN 'no 3' WHEN 3 THEN NULL ELSE s_name END AS text, CASE s_suppkey % 5 WHEN 2 THEN 3 ELSE 1 END AS tries, CASE s_suppkey % 5 WHEN 2 THEN 4 WHEN 4 THEN 3 ELSE 2 END AS number FROM supplier""")
+def stage_states(spark, sf_dir):
+    """Three runs of a stream of asks, answers and failures by supplier, with repeats: each key's work has one state and one result."""
+    k, folder = F.col("s_suppkey"), _folder(spark)
+    at = lambda minute: F.timestamp_seconds(F.lit(1_700_000_000 + 60 * minute))
+    event = lambda kind, text, minute: F.struct(F.lit(kind).alias("kind"), (text if text is not None else F.lit(None).cast("string")).alias("text"), at(minute).alias("ts"))
+    name, group = F.col("s_name"), k % 5
+    runs = (
+        F.when(group == 0, F.array(event("ask", None, 0), event("answer", name, 1))).when(group == 2, F.array(event("ask", None, 0), *[event("fail", F.lit(f"no {n}"), n) for n in (1, 2)])).otherwise(F.array(event("ask", None, 0))),
+        F.when(group == 1, F.array(event("ask", None, 20), event("answer", name, 30))).when(group == 2, F.array(event("fail", F.lit("no 3"), 31))).otherwise(F.array(event("ask", None, 20))),
+        F.when(group == 4, F.array(event("answer", name, 300))).otherwise(F.array(event("ask", None, 300))),
+    )
+    kept = KeyedTable(spark, f"{folder}/states", "key", buckets=4)
+    for run in runs:
+        rows = table(spark, sf_dir, "supplier").select(k.cast("string").alias("key"), F.inline(run))
+        rows.write.mode("append").parquet(f"{folder}/events")
+        stream = incremental.new_files(spark, f"{folder}/events", states.EVENTS, "parquet")
+        states.settle(stream, kept, f"{folder}/checkpoint", wait_s=7200).awaitTermination()
+    return kept.read().select("key", "state", "text", "tries", "number")
+
+
+# --- Parts and global order ------------------------------------------------------------------------
+@query("""WITH d AS (SELECT 'part-' || (doc_id % 3 + 9) AS part, doc_id, md5(coalesce(text, '')) AS text_md5, CASE WHEN doc_id % 3 < 2 THEN 1 ELSE 2 END AS run FROM documents)
+    SELECT part, doc_id, text_md5, run, row_number() OVER (ORDER BY length(part), part, doc_id) AS rank FROM d""")
+def part_runs(spark, sf_dir):
+    """Three parts in three runs: two, the third, and nothing; then all rows with their numbers in natural order."""
+    docs = table(spark, sf_dir, "documents").select(F.concat(F.lit("part-"), (F.col("doc_id") % 3 + 9).cast("string")).alias("part"), "doc_id", "text")
+    kept, did = parts.Parts(spark, _folder(spark), "part"), []
+    for rows in (docs.where("doc_id % 3 < 2"), docs, docs):
+        number = len(did) + 1
+        did.append(kept.run(rows, lambda df, n=number: df.select("part", "doc_id", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("text_md5"), F.lit(n).alias("run"))))
+    if did[2]:
+        raise AssertionError(f"done again: {did[2]}")
+    return parts.numbered(kept.read(), [T.natural_key(F.replace("part", F.lit("-"), F.lit("."))), F.col("doc_id")], tables(spark))
+
+
+@query(f"""WITH o AS (SELECT o_orderkey, {registry._IDS} AS sid FROM orders)
+    SELECT o_orderkey, sid AS section_id, row_number() OVER (ORDER BY {registry._KEY}, o_orderkey) AS rank FROM o""")
+def ordered_sections(spark, sf_dir):
+    """The natural order of all section ids, by ranges."""
+    rows = registry._section_ids(spark, sf_dir).select("o_orderkey", "section_id")
+    return parts.numbered(rows, [T.natural_key(F.col("section_id")), F.col("o_orderkey")], tables(spark))
+
+
 # --- Answers that fall back -----------------------------------------------------------------------
 @query(r"""SELECT p_partkey, p_name || ' first item more of it|second item of ' || p_type AS items, CASE p_partkey % 3 WHEN 0 THEN false ELSE true END AS preserved, p_partkey % 3 = 1 AS supported,
     CASE p_partkey % 3 WHEN 2 THEN 0 ELSE 3 END AS n_issues, p_name || ' 한국' AS kept FROM part""")

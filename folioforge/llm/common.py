@@ -163,7 +163,7 @@ def held(key: str, make: Callable[[], object]) -> object:
     """What make() gives, kept in this Python worker until another key is asked for.
 
     Workers are used again by later stages; with one place only, caches of earlier stages do not
-    add up to more memory than an executor has.
+    add up to more memory than an executor has. A worker that idles keeps its cache until it is used again.
     """
     if _held[0] != key:
         _held[:] = [None, None]

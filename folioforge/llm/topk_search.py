@@ -69,7 +69,7 @@ class Index:
         left = x.astype(np.float64)
         first = 0
         for level, p in enumerate(used):
-            middle = 1 if p == 0 else 3 << (p - 1)
+            middle = 1 if p == 0 else min(3 << (p - 1), 1 << 62)
             for sign in (1, -1):
                 dims, places = np.nonzero(((power == p) & (x * sign > 0)).T)
                 if len(dims):

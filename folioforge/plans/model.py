@@ -30,6 +30,7 @@ class ModelClient(Protocol):
 class StubModel:
     """Answers that depend on the prompt alone: canned ones for prompts that hold a key, else kind's.
 
+    {chars} in a canned answer becomes the length of its prompt, which shows where prompts are cut.
     Kinds: echo (the prompt), quote (what follows its first empty line), score, verdict.
     """
 
@@ -37,7 +38,7 @@ class StubModel:
     canned: tuple[tuple[str, str], ...] = ()
 
     def generate(self, prompts: list[str]) -> list[str]:
-        return [next((a for k, a in self.canned if k in p), None) or self._made(p) for p in prompts]
+        return [next((a.replace("{chars}", str(len(p))) for k, a in self.canned if k in p), None) or self._made(p) for p in prompts]
 
     def _made(self, prompt: str) -> str:
         n = int.from_bytes(hashlib.sha256(prompt.encode()).digest()[:4], "big")

@@ -138,6 +138,40 @@ def book_supplements(spark, sf_dir):
     return out.withColumn("kinds", F.array_join("kinds", ","))
 
 
+#: Answers that tell how long their prompts were.
+_MEASURED = (
+    ("Summarise", "Here is a summary of {chars} characters."), ("Draw a diagram", "\\begin{tikzpicture}{chars}\\end{tikzpicture}"), ("Give examples", "1. An example for {chars} characters"),
+    ("Give exercises", "1. Exercise for {chars} characters"), ("Solve them", "Solved {chars}"), ("List terms", "Term | {chars}"), ("List up to six factual claims", "1. A claim from {chars} characters"),
+    ("List up to eight concepts", "1. Tensor"), ("Explain Tensor", "An explanation from {chars} characters, long enough."), ("Translate this name.", "Name"),
+)
+
+
+def _asked_sql(template: str, most: int) -> str:
+    return f"({len(template) - len('{text}')} + least(length(text), {most}))"
+
+
+_P = book.Prompts()
+
+
+@query(f"""WITH n AS (SELECT doc_id, text, {_asked_sql(_P.exercises, 2500)} AS exercises FROM documents WHERE length(text) >= 100)
+    SELECT doc_id, {_asked_sql(_P.summary, 3000)}::INT AS summary, {_asked_sql(_P.diagram, 2000)}::INT AS diagram, {_asked_sql(_P.examples, 2500)}::INT AS examples, exercises::INT AS exercises,
+        ({len(_P.solutions) - 6} + length('Exercise for ' || exercises || ' characters'))::INT AS solutions, {_asked_sql(_P.glossary, 2500)}::INT AS glossary, {_asked_sql(_P.claims, 2000)}::INT AS claims,
+        ({len(_P.explain) - len("{term}{text}{context}") + len("Tensor") + len("A tensor " + "is described here " * 4)} + least(length(text), 500))::INT AS explanation FROM n""")
+def prompt_cuts(spark, sf_dir):
+    """How much of a text each prompt holds, as the answers tell: supplements, claims, explanations."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("doc_id").cast("string").alias("key"), F.col("text").alias("content"), F.col("text").alias("content_translated"))
+    model, config, persist = StubModel("quote", _MEASURED), book.BookConfig(), tables(spark)
+    long = persist(docs.where(F.length("content") >= 100), "long")
+    claimed = book.claims_of(long, model, config).where("claim_idx = 0").select("key", "claim")
+    done = book.supplement(book.enrich(long, _known(spark), model, config, persist), model, config, persist).join(claimed, "key", "left")
+    number = lambda c, name: F.regexp_extract(c, r"(\d+)", 1).cast("int").alias(name)
+    s = F.col("supplements")
+    return done.select(
+        "doc_id", number(s["summary"], "summary"), number(s["tikz_diagram"], "diagram"), number(s["examples"][0], "examples"), number(s["exercises"][0], "exercises"), number(s["solutions"], "solutions"),
+        number(s["glossary"][0]["gloss"], "glossary"), number(F.col("claim"), "claims"), number(F.col("enrichments")[0]["explanation"], "explanation"),
+    )
+
+
 @query(rf"""WITH {latex_sql('conversations', 'conv_id, turn', 'text')}, n AS (SELECT conv_id, string_agg('\subsection{{Page ' || (turn + 1) || '}}' || chr(10) || '\label{{sec:page_' || (turn + 1) || '}}' || CASE WHEN t <> '' THEN chr(10) || chr(10) || t ELSE '' END, chr(10) || chr(10) ORDER BY turn) AS body FROM g GROUP BY conv_id)
     SELECT conv_id, md5('\begin{{document}}' || chr(10) || body || chr(10) || '\end{{document}}') AS tex_md5 FROM n""")
 def book_pages(spark, sf_dir):

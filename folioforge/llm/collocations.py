@@ -34,11 +34,13 @@ from pyspark.sql import functions as F
 
 from folioforge.shipping import ship
 
-from .common import bitmap, discard, held, in_bitmap, materialise, parallelism, rows, settle, tables_now, tidied, unpack
+from .common import bitmap, held, in_bitmap, materialise, parallelism, rows, settle, tables_now, tidied, unpack
 
 DICTIONARY, WORD_BYTES = (1 << 19) - 1, 64
 #: Keys of a range, about, and keys that a task sorts at once.
 RANGE_KEYS, FOLD_KEYS = 1 << 22, 1 << 21
+#: Parts of a language whose first rows are taken apart: what meets at the end has a bound of so many times the rows wanted.
+TOP_PARTS = 64
 #: Distinct words that a task counts before it sends them on; bytes of a text that are words at once.
 FOLD_WORDS, WINDOW_BYTES = 200_000, 1 << 20
 
@@ -439,7 +441,7 @@ def collocations(
     pairs = apart.select("lang", phrase("w1", "w2"), "a", F.col("c1").alias("l"), F.col("c2").alias("r"), _floor_score("a", "c1", "c2").alias("score"))
 
     best = (F.desc("score"), F.desc("a"), "phrase")
-    part = F.pmod(F.xxhash64("phrase"), F.lit(parallelism(spark)))
+    part = F.pmod(F.xxhash64("phrase"), F.lit(TOP_PARTS))
     scored = pairs.unionByName(triples).withColumn("part", part)
     scored = scored.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*best))).where(F.col("rank") <= top)
     ranked = scored.drop("part").withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*best)).cast("long")).where(F.col("rank") <= top)

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 _PACKAGES = (
     ("geometry", "a4paper,margin=25mm"), ("fontspec", ""), ("amsmath", ""), ("amssymb", ""), ("graphicx", ""), ("tikz", ""), ("lettrine", ""), ("epigraph", ""),
@@ -48,3 +51,24 @@ class Frame:
         if self.part:
             body.append(f"\\part{{{self.part}}}")
         return "\n".join([*head, *body, "", ""])
+
+    def preamble_of(self, **columns: Column) -> Column:
+        """The preamble with fields such as title or part taken from columns; rows without a value leave that field out.
+
+        For render.document(), whose groups the columns must belong to.
+        """
+        known: list[tuple[Frame, list[tuple[str, bool]]]] = [(self, [])]
+        for name in columns:
+            known = [(replace(f, **{name: v}), [*named, (name, bool(v))]) for f, named in known for v in ("", f"\x00{name}\x00")]
+        out = F.lit(None).cast("string")
+        for frame, named in known:
+            pieces, text = [], frame.preamble()
+            while text:
+                before, _, rest = text.partition("\x00")
+                name, _, text = rest.partition("\x00")
+                pieces += [F.lit(before), *([columns[name]] if name else [])]
+            there = F.lit(True)
+            for name, given in named:
+                there = there & ((F.coalesce(columns[name], F.lit("")) != "") == F.lit(given))
+            out = F.when(there, F.concat(*pieces)).otherwise(out)
+        return out

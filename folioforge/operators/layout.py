@@ -17,7 +17,7 @@ NUMBER = r"^\d+(?:\.\d+)*$"
 PAGE_SCHEMA = (
     "doc_id string, page int, blocks array<struct<type:int,bbox:struct<x0:double,y0:double,x1:double,y1:double>,"
     "lines:array<struct<spans:array<struct<text:string,font:string,size:double>>>>>>, "
-    "images array<struct<ext:string,position:struct<x:double,y:double,width:double,height:double>>>"
+    "images array<struct<ext:string,position:struct<x:double,y:double,width:double,height:double>,data:string>>"
 )
 
 

@@ -204,11 +204,12 @@ def section(df: DataFrame, keep: list[str] | None = None) -> DataFrame:
     return df.select(*(keep or []), "section_id", F.concat_ws("\n\n", *parts).alias("tex"))
 
 
-def document(sections: DataFrame, by: list[str], preamble: str = "", ending: str = "\\end{document}") -> DataFrame:
-    """(by, tex): sections in natural order of their ids between preamble and ending; one row per book."""
+def document(sections: DataFrame, by: list[str], preamble: str | Column = "", ending: str = "\\end{document}") -> DataFrame:
+    """(by, tex): sections in natural order of their ids between preamble and ending; one row per book. preamble may be made of by."""
     ordered = F.array_sort(F.collect_list(F.struct(T.natural_key(F.col("section_id")).alias("k"), F.col("tex").alias("t"))))
     body = F.array_join(F.transform(ordered, lambda x: x["t"]), "\n\n")
-    return sections.groupBy(*by).agg(F.concat(F.lit(preamble), body, F.lit("\n" + ending)).alias("tex"))
+    before = F.lit(preamble) if isinstance(preamble, str) else preamble
+    return sections.groupBy(*by).agg(F.concat(before, body, F.lit("\n" + ending)).alias("tex"))
 
 
 def figure_box(src: Column, caption: Column, converted: Column, present: Column, folder: str = "lecture_json") -> Column:

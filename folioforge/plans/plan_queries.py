@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from folioforge.functions import parsing
 from folioforge.functions import text as T
-from folioforge.operators import layout, references, render, scoring
+from folioforge.operators import frames, layout, references, render, scoring
 from folioforge.plans import book, lecture, parts, registry
 from folioforge.plans.model import StubModel
 from folioforge.plans.registry import STRIP, latex_sql, query, table
@@ -326,6 +326,36 @@ def stage_states(spark, sf_dir):
     return kept.read().select("key", "state", "text", "tries", "number")
 
 
+@query(r"""WITH i AS (SELECT conv_id, turn, k, CASE (turn + k) % 4 WHEN 0 THEN 'png' WHEN 1 THEN 'other' WHEN 2 THEN 'svg' END AS kind, CASE (turn + k) % 4 WHEN 0 THEN '\x89PNG\x0D\x0A\x1A\x0A'::BLOB || encode(role) WHEN 1 THEN encode(role) WHEN 2 THEN encode('<svg>' || role) END AS content
+        FROM conversations, (VALUES (1), (2)) AS v(k))
+    SELECT conv_id::VARCHAR AS doc_id, turn::BIGINT AS page, 'page_' || (turn + 1) || '_img_' || k || '.png' AS filename, md5(content) AS content_md5, coalesce(kind, 'other') AS kind, CASE WHEN kind IS NULL THEN CASE WHEN k = 1 THEN 'no data' ELSE 'no base64' END END AS error FROM i""")
+def image_bytes(spark, sf_dir):
+    """Images that pages carry: whole ones of several kinds, ones without data, ones that cannot be decoded."""
+    def image(k: int):
+        n, role = (F.col("turn") + k) % 4, F.col("role").cast("binary")
+        content = F.when(n == 0, F.concat(F.lit(b"\x89PNG\r\n\x1a\n"), role)).when(n == 1, role).when(n == 2, F.concat(F.lit(b"<svg>"), role))
+        data = F.coalesce(F.base64(content), F.lit("" if k == 1 else "no*base64!"))
+        return F.struct(F.lit("png").alias("ext"), F.lit(None).cast("struct<x:double,y:double,width:double,height:double>").alias("position"), data.alias("data"))
+
+    made = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("doc_id"), F.col("turn").alias("page"), F.array(image(1), image(2)).alias("images"))
+    return pages.page_images(made).select("doc_id", "page", "filename", F.md5("content").alias("content_md5"), F.when(F.col("error").isNull(), F.col("kind")).otherwise("other").alias("kind"), "error")
+
+
+_FRAME = frames.Frame(subtitle="Nations", author="x")
+
+
+@query(f"""WITH r AS (SELECT r_regionkey, CASE WHEN r_regionkey % 2 = 0 THEN r_name ELSE '' END AS title, CASE WHEN r_regionkey % 3 = 0 THEN 'Part ' || r_regionkey ELSE '' END AS part FROM region)
+    SELECT r_regionkey AS doc_id, md5(CASE WHEN title <> '' AND part <> '' THEN replace(replace(chr(1) || '{frames.Frame("@T", "Nations", "x", "@P").preamble()}', '@T', title), '@P', part) WHEN title <> '' THEN replace(chr(1) || '{frames.Frame("@T", "Nations", "x").preamble()}', '@T', title)
+        WHEN part <> '' THEN replace(chr(1) || '{frames.Frame("", "Nations", "x", "@P").preamble()}', '@P', part) ELSE chr(1) || '{_FRAME.preamble()}' END || (SELECT string_agg(n_name, chr(10) || chr(10) ORDER BY n_nationkey) FROM nation WHERE n_regionkey = r_regionkey) || chr(10) || '\\end{{document}}') AS tex_md5 FROM r""".replace("\\\\end", "\\end"))
+def framed_documents(spark, sf_dir):
+    """Whole documents: class, boxes, title page, contents and part, of which some books lack the title or the part."""
+    both = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    k = F.col("r_regionkey")
+    rows = both.select(k.alias("doc_id"), F.when(k % 2 == 0, F.col("r_name")).alias("title"), F.when(k % 3 == 0, F.concat(F.lit("Part "), k.cast("string"))).otherwise("").alias("part"), F.col("n_nationkey").cast("string").alias("section_id"), F.col("n_name").alias("tex"))
+    head = F.concat(F.lit("\x01"), _FRAME.preamble_of(title=F.col("title"), part=F.col("part")))
+    return render.document(rows, ["doc_id", "title", "part"], head).select("doc_id", F.md5(F.col("tex").cast("binary")).alias("tex_md5"))
+
+
 # --- Parts and global order ------------------------------------------------------------------------
 @query("""WITH d AS (SELECT 'part-' || (doc_id % 3 + 9) AS part, doc_id, md5(coalesce(text, '')) AS text_md5, CASE WHEN doc_id % 3 < 2 THEN 1 ELSE 2 END AS run FROM documents)
     SELECT part, doc_id, text_md5, run, row_number() OVER (ORDER BY length(part), part, doc_id) AS rank FROM d""")

@@ -26,8 +26,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 
+from folioforge.operators import layout
 from folioforge.operators.layout import PAGE_SCHEMA
 from folioforge.shipping import ship
+from folioforge.sources.files import image_kind
 
 SCHEMA = "doc_id string, page int, payload string, error string"
 PAGES_A_PARTITION = 64
@@ -130,6 +132,19 @@ def read_paginated(spark: SparkSession, paths: list[str], extractor: str, pages:
     return rows.select("doc_id", "page", F.from_json("payload", inner).alias("p"), "error").select("doc_id", "page", "p.*", "error")
 
 
+def page_images(pages: DataFrame) -> DataFrame:
+    """(doc_id, page, filename, position, content, kind, error): the images that pages carry, decoded from base64.
+
+    An image without data, or whose data cannot be decoded, is a row with an error, and costs no other row; kind is what
+    the first bytes say, whatever the name.
+    """
+    named = layout.images(pages).join(pages.select("doc_id", "page", F.posexplode("images").alias("img_idx", "i")), ["doc_id", "page", "img_idx"])
+    content = F.try_to_binary(F.nullif(F.col("i.data"), F.lit("")), F.lit("base64"))
+    rows = named.select("doc_id", "page", "filename", "position", content.alias("content"), F.col("i.data").alias("_data"))
+    error = F.when(F.coalesce("_data", F.lit("")) == "", "no data").when(F.col("content").isNull(), "no base64")
+    return rows.withColumns({"kind": image_kind(F.col("content")), "error": error}).drop("_data")
+
+
 # --- Page files ------------------------------------------------------------------------------------
 _MARK, _TAIL = b"PAGEFILE", 16
 

@@ -341,6 +341,27 @@ def image_bytes(spark, sf_dir):
     return pages.page_images(made).select("doc_id", "page", "filename", F.md5("content").alias("content_md5"), F.when(F.col("error").isNull(), F.col("kind")).otherwise("other").alias("kind"), "error")
 
 
+@query("""WITH r AS (SELECT conv_id, turn, CASE WHEN role = 'user' THEN turn END AS head FROM conversations),
+    f AS (SELECT conv_id, turn, last_value(head IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn) AS h, max(head) OVER (PARTITION BY conv_id) IS NULL AS bare FROM r),
+    s AS (SELECT conv_id, turn, CASE WHEN bare THEN 'page_' || (turn + 1) ELSE '1.' || h END AS section_id FROM f WHERE bare OR h IS NOT NULL),
+    i AS (SELECT *, unnest(range(1, turn % 3 + 2)) AS k FROM s)
+    SELECT conv_id::VARCHAR AS doc_id, section_id, string_agg('page_' || (turn + 1) || '_img_' || k || '.png@' || (turn + 1), ' ' ORDER BY turn, k) AS shown FROM i GROUP BY conv_id, section_id""")
+def section_images(spark, sf_dir):
+    """Sections of pages with headers of their own, and the images of all their pages in order."""
+    span = lambda text, font: F.struct(text.alias("text"), F.lit(font).alias("font"), F.lit(9.5).alias("size"))
+    turn, box = F.col("turn"), F.struct(*[F.lit(float(k)).alias(c) for k, c in enumerate(("x0", "y0", "x1", "y1"))])
+    line = lambda *spans: F.struct(F.lit(0).alias("type"), box.alias("bbox"), F.array(F.struct(F.array(*spans).alias("spans"))).alias("lines"))
+    head = line(span(F.concat(F.lit("1."), turn.cast("string")), "Body-Bold"), span(F.lit("Title"), "Body-Bold"))
+    body = line(span(F.col("text"), "Body"))
+    image = F.struct(F.lit("png").alias("ext"), F.lit(None).cast("struct<x:double,y:double,width:double,height:double>").alias("position"))
+    made = table(spark, sf_dir, "conversations").select(
+        F.col("conv_id").cast("string").alias("doc_id"), turn.cast("int").alias("page"), F.when(F.col("role") == "user", F.array(head, body)).otherwise(F.array(body)).alias("blocks"),
+        F.transform(F.sequence(F.lit(1), (turn % 3 + 1).cast("int")), lambda _: image).alias("images"),
+    )
+    shown = F.transform("images", lambda i: F.concat_ws("@", i["filename"], i["page"].cast("string")))
+    return book.sections_of(made).select("doc_id", "section_id", F.array_join(shown, " ").alias("shown"))
+
+
 _FRAME = frames.Frame(subtitle="Nations", author="x")
 
 

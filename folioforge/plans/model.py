@@ -20,6 +20,10 @@ from pyspark.sql import functions as F
 from folioforge.shipping import ship
 
 
+#: Prompts and answers that a worker holds at once.
+SLICE = 256
+
+
 class ModelClient(Protocol):
     def generate(self, prompts: list[str]) -> list[str]: ...
 
@@ -118,7 +122,7 @@ def call(df: DataFrame, key: str, prompt: Column, client: ModelClient, batch: in
     kind = df.schema[key].dataType
 
     def answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (whole.slice(at, SLICE) for whole in batches for at in range(0, whole.num_rows, SLICE)):
             prompts = b.column(1).to_pylist()
             answer: list[str | None] = [""] * len(prompts)
             error: list[str | None] = [None] * len(prompts)

@@ -12,7 +12,7 @@ from folioforge.functions import parsing
 from folioforge.functions import text as T
 from folioforge.operators import frames, layout, references, render, scoring
 from folioforge.plans import book, lecture, parts, registry
-from folioforge.plans.model import StubModel
+from folioforge.plans.model import StubModel, ask
 from folioforge.plans.registry import STRIP, latex_sql, query, table
 from folioforge.plans.stages import tables
 from folioforge.sources import files, pages
@@ -138,6 +138,26 @@ def book_supplements(spark, sf_dir):
     return out.withColumn("kinds", F.array_join("kinds", ","))
 
 
+class Unsteady(StubModel):
+    """A model that fails for prompts that hold a word."""
+
+    def generate(self, prompts: list[str]) -> list[str]:
+        if any("STEEL" in p.upper() for p in prompts):
+            raise TimeoutError("no answer")
+        return super().generate(prompts)
+
+
+@query("""SELECT p_partkey, CASE WHEN contains(upper(p_type), 'STEEL') AND p_partkey % 7 <> 0 THEN 'TimeoutError: no answer' END AS first_error,
+    CASE WHEN p_partkey % 7 = 0 THEN '' WHEN contains(upper(p_type), 'STEEL') THEN 'again' ELSE 'Explain ' || p_type END AS answer FROM part""")
+def model_calls(spark, sf_dir):
+    """Calls of which some fail, each with its own error, and are asked again later; blank prompts are not asked; whose answer is stored is not asked again."""
+    rows, path = table(spark, sf_dir, "part").select("p_partkey", "p_type"), f"{_folder(spark)}/answers"
+    prompt = F.when(F.col("p_partkey") % 7 == 0, " ").otherwise(F.concat(F.lit("Explain "), "p_type"))
+    first = tables(spark)(ask(rows, "p_partkey", prompt, Unsteady(), path), "first")
+    second = ask(rows, "p_partkey", prompt, StubModel("echo", (("", "again"),)), path)
+    return second.select("p_partkey", "answer").join(first.select("p_partkey", F.col("error").alias("first_error")), "p_partkey")
+
+
 #: Answers that tell how long their prompts were.
 _MEASURED = (
     ("Summarise", "Here is a summary of {chars} characters."), ("Draw a diagram", "\\begin{tikzpicture}{chars}\\end{tikzpicture}"), ("Give examples", "1. An example for {chars} characters"),

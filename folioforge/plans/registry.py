@@ -565,6 +565,13 @@ def metadata(spark, sf_dir):
     return out.select("total_sections", F.array_join("section_ids", ",").alias("section_ids"), "total_pages")
 
 
+@query("""SELECT o_custkey, count(*) AS total_sections, string_agg(o_orderkey::VARCHAR, ',' ORDER BY o_orderkey::VARCHAR) AS section_ids, 'book.pdf' AS pdf_path FROM orders GROUP BY o_custkey""")
+def metadata_by_book(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").select("o_custkey", F.col("o_orderkey").cast("string").alias("section_id"))
+    out = files.metadata(rows, "book.pdf", 5, ("o_custkey",))
+    return out.select("o_custkey", "total_sections", F.array_join("section_ids", ",").alias("section_ids"), "pdf_path")
+
+
 #: The driver's pages keep their text in paragraphs of an article.
 PAGE_SELECTORS = Selectors(containers=(("article", None),), chapter_title="h1", paragraph=("p", None), paragraph_text=("p", None))
 

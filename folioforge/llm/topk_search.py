@@ -101,7 +101,7 @@ class Index:
                 scores[self.postings[first : ends[at]]] += weights[dim] * impact
                 at += 1
             slack = np.outer(rest, length) * (1 + 1e-9) + 1
-            if n > k:
+            if n > k and not np.isfinite(least).all():  # else blocks before this one have set bounds
                 sure = scores - slack
                 sure[places, queries] = -np.inf
                 least = np.maximum(least, np.partition(sure, n - k, axis=0)[n - k])

@@ -92,6 +92,7 @@ class Index:
         weights, length = np.ascontiguousarray(q.T), np.sqrt((q.astype(np.float64) ** 2).sum(axis=1))
         scores = np.zeros((n, m), np.int64)
         could = np.ones((n, m), bool)
+        first_block = n > k and not np.isfinite(least).all()  # else blocks before this one have set bounds
         places, queries = (np.array(own, np.int64).reshape(-1, 2)).T
         ends = np.append(self.segments[1:, 3], len(self.postings))
         at = 0
@@ -101,7 +102,7 @@ class Index:
                 scores[self.postings[first : ends[at]]] += weights[dim] * impact
                 at += 1
             slack = np.outer(rest, length) * (1 + 1e-9) + 1
-            if n > k and not np.isfinite(least).all():  # else blocks before this one have set bounds
+            if first_block:
                 sure = scores - slack
                 sure[places, queries] = -np.inf
                 least = np.maximum(least, np.partition(sure, n - k, axis=0)[n - k])

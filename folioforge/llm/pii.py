@@ -9,10 +9,13 @@ different contexts (words around the entity), are spans too, wherever they stand
 removed, or generalised to the kind of entity they disclose.
 
 Scale: a first pass over the texts leaves the entities and the terms of the texts that hold one in
-the shared folder. An entity without enough contexts goes before its terms are looked at, and a pair
-goes as soon as the texts with entities alone hold its term too often. Terms' document counts come
-from a second pass over all texts and their places from a third, both thinned by a bitmap of bounded
-size; a task counts its terms together before the counts are shuffled.
+the shared folder. An entity without enough contexts goes before its terms are looked at, a term goes
+when no entity is frequent enough for it. Terms of the same texts have the same counts with every
+entity, and so have entities of the same kind whose contexts lie in the same texts: both are counted
+as classes, one of each standing for all, so a text of n entities and m terms gives as many pairs as
+it has classes of each, not n times m. A text with many classes of entities is dealt in chunks. Terms'
+document counts come from a second pass over all texts and their places from a third, both thinned by
+a bitmap of bounded size; a task counts its terms together before the counts are shuffled.
 """
 
 from __future__ import annotations
@@ -26,10 +29,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bitmap, id_and_text, in_bitmap, materialise, row_numbers, rows, settle, slices, split, tables_now, tidied, unpack, whole_rows
+from .common import bitmap, id_and_text, in_bitmap, join_counted, materialise, row_numbers, rows, settle, slices, split, tables_now, tidied, unpack, whole_rows
 from .spans import Span, digest, joined
 
 KINDS = ("email", "ip", "card", "phone")
@@ -129,19 +132,26 @@ def entity_contexts(text: str, spans: list[Span], window: int | None) -> dict[tu
     out: dict[tuple[str, str], set[int]] = {}
     words = list(_words(text, spans))
     starts = [x for x, _, _ in words]
-    for kind, a, b in spans:
-        first = bisect.bisect_left(starts, a)
-        after = bisect.bisect_left(starts, b)
-        around = words if window is None else words[max(0, first - window) : first] + words[after : after + window]
+
+    def checksum(around: list[tuple[int, int, bool]]) -> int:
         terms = [_term(text[x:y]) for x, y, free in around if free]
-        out.setdefault((kind, text[a:b].lower()), set()).add(zlib.crc32(" ".join(sorted(terms)).encode("utf-8", "replace")))
+        return zlib.crc32(" ".join(sorted(terms)).encode("utf-8", "replace"))
+
+    whole = checksum(words) if window is None else 0
+    for kind, a, b in spans:
+        context = whole
+        if window is not None:
+            first = bisect.bisect_left(starts, a)
+            after = bisect.bisect_left(starts, b)
+            context = checksum(words[max(0, first - window) : first] + words[after : after + window])
+        out.setdefault((kind, text[a:b].lower()), set()).add(context)
     return out
 
 
 _SPAN = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
 _ENTITY = pa.struct([("kind", pa.string()), ("entity", pa.string()), ("contexts", pa.list_(pa.int64()))])
 _PLACE = pa.struct([("term", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
-_HOLDING = "entities array<struct<kind:string,entity:string,contexts:array<bigint>>>, terms array<string>"
+_HOLDING = "row bigint, entities array<struct<kind:string,entity:string,contexts:array<bigint>>>, terms array<string>"
 _FOUND = (
     "row bigint, id bigint, sha string, base array<struct<kind:string,start:bigint,end:bigint>>, "
     "places array<struct<term:string,start:bigint,end:bigint>>"
@@ -149,9 +159,10 @@ _FOUND = (
 
 
 def _scan(window: int | None):
-    """Entities with their contexts, and all terms, of each text that holds an entity."""
+    """A number, the entities with their contexts, and all terms, of each text that holds an entity."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = row_numbers()
         for _, texts in rows(batches):
             entities, terms = [], []
             for text in texts:
@@ -161,7 +172,8 @@ def _scan(window: int | None):
                     found = entity_contexts(decoded, base, window)
                     entities.append([{"kind": k, "entity": e, "contexts": sorted(c)} for (k, e), c in found.items()])
                     terms.append(sorted({t for t, _, _ in free_words(decoded, base) if t}))
-            yield pa.RecordBatch.from_arrays([pa.array(entities, pa.list_(_ENTITY)), pa.array(terms, pa.list_(pa.string()))], ["entities", "terms"])
+            arrays = [pa.array(number(len(terms)), pa.int64()), pa.array(entities, pa.list_(_ENTITY)), pa.array(terms, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays(arrays, ["row", "entities", "terms"])
 
     return scan
 
@@ -220,35 +232,82 @@ def _term_bitmap(df: DataFrame) -> bytes:
     return bitmap(df.select(F.expr("crc32(encode(term, 'utf-8'))").alias("crc")), "crc")
 
 
+#: Classes of entities of one text that one task pairs with the text's classes of terms.
+_CHUNK = 256
+
+
+def _set_digest(*columns: str) -> list[Column]:
+    """What tells sets of rows apart, whatever their order: their number and 128 bits of hashes."""
+    return [F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64(*columns)).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), *columns)).alias("y")]
+
+
+def _entity_classes(every: DataFrame, min_contexts: int) -> tuple[DataFrame, DataFrame]:
+    """(one entity of each class with n_entity, the contexts that count of each entity).
+
+    Contexts found in the same texts count together or not at all, so min_contexts of them stand for
+    all. Entities of a class have the same kind, texts, and numbers of contexts in each set of texts.
+    """
+    key = ["kind", "entity"]
+    places = every.select(*key, "row", F.explode("contexts").alias("context"))
+    by_context = places.groupBy(*key, "context").agg(*_set_digest("row"))
+    # The contexts of one set of texts are no more than one text's.
+    few = by_context.groupBy(*key, "n", "x", "y").agg(F.slice(F.sort_array(F.collect_list("context")), 1, max(min_contexts, 1)).alias("contexts"))
+    few = materialise(few.withColumn("size", F.size("contexts")), "piicontexts")
+    of_entity = few.groupBy(*key).agg(F.sum("size").alias("contexts"), *_set_digest("n", "x", "y", "size"))
+    one = of_entity.where(F.col("contexts") >= min_contexts).groupBy("kind", "n", "x", "y").agg(F.min("entity").alias("entity")).select(*key)
+    n_entity = every.groupBy(*key).agg(F.count(F.lit(1)).alias("n_entity"))
+    return materialise(n_entity.join(one, key), "piientities"), few.select(*key, F.explode("contexts").alias("context"))
+
+
 def disclosing_terms(docs: DataFrame, id_col: str, text_col: str, window: int | None, threshold: float, min_contexts: int) -> DataFrame | None:
     """(kind, term) for the terms above the threshold of an entity of the kind, or None if no pair has enough contexts."""
-    key = ["kind", "entity"]
+    key, cls = ["kind", "entity"], ["n_holding", "x", "y"]
     texts = id_and_text(docs, id_col, text_col)
     holding = materialise(texts.mapInArrow(tidied(_scan(window)), _HOLDING), "holding")
-    every = holding.select(F.explode("entities").alias("e"), "terms").select("e.*", "terms")
-    contexts = every.select(*key, F.explode("contexts").alias("context")).distinct().groupBy(*key).agg(F.count(F.lit(1)).alias("contexts"))
-    enough = contexts.where(F.col("contexts") >= min_contexts).select(*key)
-    entities = materialise(every.groupBy(*key).agg(F.count(F.lit(1)).alias("n_entity")).join(enough, key), "piientities")
-    total = F.lit(float(docs.count()))
-
-    def discloses(n_term: str):
-        pmi = F.log(total * F.col("n_both") / (F.col(n_term) * F.col("n_entity")))
+    every = holding.select("row", F.explode("entities").alias("e")).select("row", "e.*")
+    entities, contexts = _entity_classes(every, min_contexts)
+    most = entities.agg(F.max("n_entity")).first()[0]
+    if most is None:
+        return None
+    n_docs = docs.count()
+    total = F.lit(float(n_docs))
+
+    def discloses(n_term: str, n_both: Column | str = "n_both"):
+        pmi = F.log(total * (F.col(n_both) if isinstance(n_both, str) else n_both) / (F.col(n_term) * F.col("n_entity")))
         content = F.log(total / F.col("n_entity"))
         return (content > 0) & (pmi / content >= threshold)
 
-    known = every.join(entities, key)
-    joint = known.select(*key, "n_entity", F.explode("terms").alias("term")).groupBy(*key, "n_entity", "term").agg(F.count(F.lit(1)).alias("n_both"))
     # A term stands in at least as many texts as in those that hold an entity: what fails by these fails by all.
-    at_least = holding.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_holding"))
-    likely = materialise(joint.join(at_least, "term").where(discloses("n_holding")).drop("n_holding"), "piilikely")
-    met = known.select(*key, F.explode("terms").alias("term"), "contexts").join(likely.select(*key, "term"), [*key, "term"])
-    met = met.select(*key, "term", F.explode("contexts").alias("context")).distinct().groupBy(*key, "term").agg(F.count(F.lit(1)).alias("contexts"))
-    pairs = materialise(likely.join(met.where(F.col("contexts") >= min_contexts).drop("contexts"), [*key, "term"]), "piipairs")
+    # As n_both <= n_entity, no term of more than N^(1 - threshold) n_entity^threshold texts discloses an entity.
+    in_texts = holding.select("row", F.explode("terms").alias("term"))
+    terms = in_texts.groupBy("term").agg(*_set_digest("row")).withColumnRenamed("n", "n_holding")
+    if threshold > 0:
+        terms = terms.where(F.col("n_holding") <= n_docs ** (1 - threshold) * most**threshold * (1 + 1e-9))
+    terms = materialise(terms, "piiterms")
+    one = terms.groupBy(*cls).agg(F.min("term").alias("term"))
+    classes = in_texts.join(one, "term").select("row", *cls)
+    known = join_counted(every.select("row", *key), entities, key, "n_entity", every.count())
+    chunks = known.groupBy("row").agg(F.ceil(F.count(F.lit(1)) / _CHUNK).cast("int").alias("chunks"))
+    known = materialise(known.join(chunks, "row").withColumn("chunk", F.pmod(F.xxhash64("entity"), "chunks").cast("int")).drop("chunks"), "piiknown")
+    classes = classes.join(chunks, "row").select("row", *cls, F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
+    classes = materialise(classes, "piiclasses")
+    met = known.join(classes, ["row", "chunk"]).where(discloses("n_holding", F.least("n_holding", "n_entity")))
+    likely = met.groupBy(*key, "n_entity", *cls).agg(F.count(F.lit(1)).alias("n_both")).where(discloses("n_holding"))
+    if min_contexts > 1:
+        likely = materialise(likely, "piilikely")
+        counted = known.join(likely.select(*key).distinct(), key, "left_semi").join(every.select("row", *key, "contexts"), ["row", *key])
+        counted = counted.select("row", "chunk", *key, F.explode("contexts").alias("context")).join(contexts, [*key, "context"], "left_semi")
+        shared = counted.join(classes, ["row", "chunk"]).join(likely.select(*key, *cls), [*key, *cls], "left_semi")
+        shared = shared.select(*key, *cls, "context").distinct().groupBy(*key, *cls).agg(F.count(F.lit(1)).alias("contexts"))
+        likely = likely.join(shared.where(F.col("contexts") >= min_contexts).drop("contexts"), [*key, *cls])
+    # Of the entities of one kind that share as many texts with a class, the one that is disclosed most easily decides.
+    easiest = (F.min if threshold <= 1 else F.max)("n_entity").alias("n_entity")
+    pairs = materialise(terms.join(likely.groupBy("kind", *cls, "n_both").agg(easiest), cls).select("kind", "term", "n_both", "n_entity"), "piipairs")
     marked = _term_bitmap(pairs)
     if not any(marked):
         return None
-    in_texts = texts.mapInArrow(tidied(_term_counts(marked)), "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n_term"))
-    return materialise(pairs.join(in_texts, "term").where(discloses("n_term")).select("kind", "term").distinct(), "disclosing")
+    in_all = texts.mapInArrow(tidied(_term_counts(marked)), "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n_term"))
+    return materialise(pairs.join(in_all, "term").where(discloses("n_term")).select("kind", "term").distinct(), "disclosing")
 
 
 def find_personal_data(

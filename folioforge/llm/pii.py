@@ -5,8 +5,9 @@ that shares texts with an entity discloses it as far as knowing the term makes t
 with document counts n(t, e), n(t), n(e) and N, disclosure = PMI(t; e) / IC(e), where
 PMI = log(N n(t,e) / n(t) n(e)) and IC(e) = log(N / n(e)). It is 1 for a term that is found only with
 the entity and about 0 for a common word. Terms above the threshold, met with the entity in several
-different contexts (words around the entity), are spans too, wherever they stand in any text:
-removed, or generalised to the kind of entity they disclose.
+different contexts (words around the entity's places in a text), are spans too, wherever they stand in
+any text: removed, or generalised to the kind of entity they disclose. A text is one context, however
+often it names the entity, and copies are one together: the words of a single text tell nothing.
 
 Scale: a first pass over the texts leaves the entities and the terms of the texts that hold one in
 the shared folder. An entity without enough contexts goes before its terms are looked at, a term goes
@@ -39,7 +40,7 @@ KINDS = ("email", "ip", "card", "phone")
 LABELS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]"}
 #: Words on each side of an entity that make a context; None: all of the text.
 WINDOW = 6
-#: Different contexts that an entity, and each term that discloses it, must be met in; 1 asks for none: then copies count too.
+#: Texts with different contexts that an entity, and each term that discloses it, must be met in; 1 asks for none: then copies count too.
 MIN_CONTEXTS = 3
 #: Share of an entity's information content that a term must give away.
 DISCLOSURE = 0.9
@@ -149,9 +150,9 @@ def entity_contexts(text: str, spans: list[Span], window: int | None) -> dict[tu
 
 
 _SPAN = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
-_ENTITY = pa.struct([("kind", pa.string()), ("entity", pa.string()), ("contexts", pa.list_(pa.int64()))])
+_ENTITY = pa.struct([("kind", pa.string()), ("entity", pa.string()), ("context", pa.int64())])
 _PLACE = pa.struct([("term", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
-_HOLDING = "row bigint, entities array<struct<kind:string,entity:string,contexts:array<bigint>>>, terms array<string>"
+_HOLDING = "row bigint, entities array<struct<kind:string,entity:string,context:bigint>>, terms array<string>"
 _FOUND = (
     "row bigint, id bigint, sha string, base array<struct<kind:string,start:bigint,end:bigint>>, "
     "places array<struct<term:string,start:bigint,end:bigint>>"
@@ -159,7 +160,7 @@ _FOUND = (
 
 
 def _scan(window: int | None):
-    """A number, the entities with their contexts, and all terms, of each text that holds an entity."""
+    """A number, the entities with their context, and all terms, of each text that holds an entity."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = row_numbers()
@@ -170,7 +171,7 @@ def _scan(window: int | None):
                 if base:
                     decoded = text.decode("utf-8", "replace")
                     found = entity_contexts(decoded, base, window)
-                    entities.append([{"kind": k, "entity": e, "contexts": sorted(c)} for (k, e), c in found.items()])
+                    entities.append([{"kind": k, "entity": e, "context": zlib.crc32(str(sorted(c)).encode())} for (k, e), c in found.items()])
                     terms.append(sorted({t for t, _, _ in free_words(decoded, base) if t}))
             arrays = [pa.array(number(len(terms)), pa.int64()), pa.array(entities, pa.list_(_ENTITY)), pa.array(terms, pa.list_(pa.string()))]
             yield pa.RecordBatch.from_arrays(arrays, ["row", "entities", "terms"])
@@ -241,22 +242,12 @@ def _set_digest(*columns: str) -> list[Column]:
     return [F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64(*columns)).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), *columns)).alias("y")]
 
 
-def _entity_classes(every: DataFrame, min_contexts: int) -> tuple[DataFrame, DataFrame]:
-    """(one entity of each class with n_entity, the contexts that count of each entity).
-
-    Contexts found in the same texts count together or not at all, so min_contexts of them stand for
-    all. Entities of a class have the same kind, texts, and numbers of contexts in each set of texts.
-    """
+def _entity_classes(every: DataFrame, min_contexts: int) -> DataFrame:
+    """One entity of each class of those with enough contexts, and n_entity: entities of a class have the same kind, and for each context of one the other has one in the same texts."""
     key = ["kind", "entity"]
-    places = every.select(*key, "row", F.explode("contexts").alias("context"))
-    by_context = places.groupBy(*key, "context").agg(*_set_digest("row"))
-    # The contexts of one set of texts are no more than one text's.
-    few = by_context.groupBy(*key, "n", "x", "y").agg(F.slice(F.sort_array(F.collect_list("context")), 1, max(min_contexts, 1)).alias("contexts"))
-    few = materialise(few.withColumn("size", F.size("contexts")), "piicontexts")
-    of_entity = few.groupBy(*key).agg(F.sum("size").alias("contexts"), *_set_digest("n", "x", "y", "size"))
-    one = of_entity.where(F.col("contexts") >= min_contexts).groupBy("kind", "n", "x", "y").agg(F.min("entity").alias("entity")).select(*key)
-    n_entity = every.groupBy(*key).agg(F.count(F.lit(1)).alias("n_entity"))
-    return materialise(n_entity.join(one, key), "piientities"), few.select(*key, F.explode("contexts").alias("context"))
+    by_context = every.groupBy(*key, "context").agg(*_set_digest("row"))
+    of_entity = by_context.groupBy(*key).agg(*_set_digest("n", "x", "y"), F.sum("n").alias("n_entity")).where(F.col("n") >= min_contexts)
+    return materialise(of_entity.groupBy("kind", "n", "x", "y").agg(F.min_by(F.struct("entity", "n_entity"), "entity").alias("e")).select("kind", "e.*"), "piientities")
 
 
 def disclosing_terms(docs: DataFrame, id_col: str, text_col: str, window: int | None, threshold: float, min_contexts: int) -> DataFrame | None:
@@ -265,7 +256,7 @@ def disclosing_terms(docs: DataFrame, id_col: str, text_col: str, window: int |
     texts = id_and_text(docs, id_col, text_col)
     holding = materialise(texts.mapInArrow(tidied(_scan(window)), _HOLDING), "holding")
     every = holding.select("row", F.explode("entities").alias("e")).select("row", "e.*")
-    entities, contexts = _entity_classes(every, min_contexts)
+    entities = _entity_classes(every, min_contexts)
     most = entities.agg(F.max("n_entity")).first()[0]
     if most is None:
         return None
@@ -286,7 +277,7 @@ def disclosing_terms(docs: DataFrame, id_col: str, text_col: str, window: int |
     terms = materialise(terms, "piiterms")
     one = terms.groupBy(*cls).agg(F.min("term").alias("term"))
     classes = in_texts.join(one, "term").select("row", *cls)
-    known = join_counted(every.select("row", *key), entities, key, "n_entity", every.count())
+    known = join_counted(every, entities, key, "n_entity", every.count())
     chunks = known.groupBy("row").agg(F.ceil(F.count(F.lit(1)) / _CHUNK).cast("int").alias("chunks"))
     known = materialise(known.join(chunks, "row").withColumn("chunk", F.pmod(F.xxhash64("entity"), "chunks").cast("int")).drop("chunks"), "piiknown")
     classes = classes.join(chunks, "row").select("row", *cls, F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
@@ -295,9 +286,7 @@ def disclosing_terms(docs: DataFrame, id_col: str, text_col: str, window: int |
     likely = met.groupBy(*key, "n_entity", *cls).agg(F.count(F.lit(1)).alias("n_both")).where(discloses("n_holding"))
     if min_contexts > 1:
         likely = materialise(likely, "piilikely")
-        counted = known.join(likely.select(*key).distinct(), key, "left_semi").join(every.select("row", *key, "contexts"), ["row", *key])
-        counted = counted.select("row", "chunk", *key, F.explode("contexts").alias("context")).join(contexts, [*key, "context"], "left_semi")
-        shared = counted.join(classes, ["row", "chunk"]).join(likely.select(*key, *cls), [*key, *cls], "left_semi")
+        shared = known.join(classes, ["row", "chunk"]).join(likely.select(*key, *cls), [*key, *cls], "left_semi")
         shared = shared.select(*key, *cls, "context").distinct().groupBy(*key, *cls).agg(F.count(F.lit(1)).alias("contexts"))
         likely = likely.join(shared.where(F.col("contexts") >= min_contexts).drop("contexts"), [*key, *cls])
     # Of the entities of one kind that share as many texts with a class, the one that is disclosed most easily decides.

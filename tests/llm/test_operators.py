@@ -643,6 +643,24 @@ def test_names_planted_in_driver_documents(spark):
     assert without == 0
 
 
+def test_many_entities_and_terms_in_one_text(spark):
+    """3,000 addresses and 12,000 words in each of four texts: all pairs of a text would be 36 million."""
+    r = random.Random(8)
+    shared, texts = [f"t{k}" for k in range(9000)], []
+    for j in range(4):
+        words = shared + [f"own{j}x{k}" for k in range(3000)]
+        r.shuffle(words)
+        texts.append(" ".join(" ".join(words[4 * k : 4 * k + 4]) + f" user{k}@mail{k % 97}.example.com" for k in range(3000)))
+    texts += [f"a small text {k} of few words t{k}" for k in range(60)]
+    find = lambda t: {x["doc_id"]: len(x["added"]) for x in pii.find_personal_data(docs(spark, t)).collect()}
+    began = time.perf_counter()
+    found = find(texts)
+    assert time.perf_counter() - began < 90
+    assert [found[j] for j in range(4)] == [9000] * 4 and [found[4 + k] for k in range(60)] == [1] * 60
+    # Repeated in one text only, and in its copies, no entity has words that disclose it.
+    assert not any(find(texts[:1] * 3 + ["me@x.example one me@x.example two me@x.example three me@x.example four"] + texts[4:]).values())
+
+
 def test_context_parameters(spark):
     text = "Kowalskine writes from jk@mail.example and all others do write to us too "
     texts = [text] * 5 + ["nothing of it at all and no one here"] * 50

@@ -1,8 +1,8 @@
 """Packing token sequences into fixed-length training sequences.
 
 Texts become ids, longer documents are cut into pieces, and the pieces are packed into bins of one
-capacity. The start is cheap: best fit in the order that pieces come in, without a sort. Then a local
-search empties the emptiest bins into the other underfull ones: it moves one piece or two, or exchanges
+capacity. The start is cheap: best fit in the order that pieces come in, without a sort (and, where the
+search from there ends above the lower bound, a second one in order of length). Then a local search empties the emptiest bins into the other underfull ones: it moves one piece or two, or exchanges
 one or two pieces for a smaller one, always the step that raises the sum of squared fills most, until
 bins run empty, the lower bound is reached or no step is left.
 
@@ -208,8 +208,17 @@ class LocalSearch:
 
 
 def pack_lengths(lengths: list[int], capacity: int = CAPACITY) -> list[list[int]]:
-    """Bins of indexes into lengths: best fit in the order given, then the local search."""
-    return LocalSearch(best_fit(lengths, capacity), lengths, capacity).run()
+    """Bins of indexes into lengths: best fit in the order given, then the local search.
+
+    Where that ends above the lower bound, the search runs again from best fit in order of decreasing
+    lengths, and the fewer bins stay: never more than best fit decreasing itself gives.
+    """
+    found = LocalSearch(best_fit(lengths, capacity), lengths, capacity).run()
+    if len(found) * capacity < sum(lengths) + capacity:
+        return found
+    order = sorted(range(len(lengths)), key=lambda i: -lengths[i])
+    longest_first = [[order[k] for k in b] for b in best_fit([lengths[i] for i in order], capacity)]
+    return min(found, LocalSearch(longest_first, lengths, capacity).run(), key=len)
 
 
 def _pack_group(capacity: int, base: int):

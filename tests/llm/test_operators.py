@@ -266,6 +266,19 @@ def test_search_reaches_the_bound_from_poor_starts():
     assert len(packing.pack_lengths([2049] * 50)) == 50 and len(packing.pack_lengths([1] * 9000)) == 3
 
 
+def test_packing_never_above_best_fit_decreasing():
+    r = random.Random(4)
+    below = 0
+    for low, high in ((1, 4096), (1200, 1500), (1300, 1500), (900, 2200)):
+        lengths = [r.randint(low, high) for _ in range(2000)]
+        bins = packing.pack_lengths(lengths, 4096)
+        check_bins(bins, lengths, 4096)
+        decreasing = len(packing.best_fit(sorted(lengths, reverse=True), 4096))
+        assert -(-sum(lengths) // 4096) <= len(bins) <= decreasing
+        below += len(bins) < decreasing
+    assert below >= 2
+
+
 @pytest.mark.parametrize("text", ["word " * 30, "q " * 2060, ""])
 def test_packing_in_many_groups(spark, text):
     """Passes across groups: pieces that fill bins together, that never do, and many tiny ones."""

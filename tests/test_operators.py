@@ -437,3 +437,15 @@ def test_glossary_counts_a_term_once(spark, monkeypatch, shard, few):
 def test_section_images(spark):
     out = book.sections_of(pages(spark)).select("section_id", "images").collect()
     assert all(r["images"] is not None for r in out)
+
+
+def test_first_headers_do_not_follow_the_order_of_rows(spark, tmp_path):
+    from folioforge.plans import registry
+
+    # A number and its title of one line number and part, in both orders of the file.
+    rows, found = [(1, 1, 2, 5, "A"), (1, 1, 2, 10, "R"), (2, 1, 2, 1, "A"), (2, 1, 2, 1, "N")], []
+    for name, given in (("one", rows), ("two", rows[::-1])):
+        df = spark.createDataFrame(given, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_returnflag string")
+        df.coalesce(1).write.parquet(f"{tmp_path}/{name}/lineitem.parquet")
+        found.append({tuple(r) for r in registry.QUERIES["first_headers"](spark, f"{tmp_path}/{name}").collect()})
+    assert found[0] == found[1] == {(1, "2", "2", 8.0)}

@@ -15,7 +15,7 @@ from folioforge.operators import frames, knowledge, layout, paragraphs, referenc
 from folioforge.plans import book, lecture
 from folioforge.plans.model import HttpModel, StubModel, ask, call, suggest
 from folioforge.plans.stages import tables
-from folioforge.sources import files
+from folioforge.sources import files, html
 from folioforge.sources.html import Selectors, page_items
 from folioforge.sources.keyed import KeyedTable
 from folioforge.streaming import incremental
@@ -449,3 +449,36 @@ def test_first_headers_do_not_follow_the_order_of_rows(spark, tmp_path):
         df.coalesce(1).write.parquet(f"{tmp_path}/{name}/lineitem.parquet")
         found.append({tuple(r) for r in registry.QUERIES["first_headers"](spark, f"{tmp_path}/{name}").collect()})
     assert found[0] == found[1] == {(1, "2", "2", 8.0)}
+
+
+@pytest.mark.parametrize("name", ["section_render", "latex_math", "book_translation"])
+def test_rows_of_a_small_file_are_work_of_all_cores(spark, name):
+    from pyspark.sql import DataFrame
+
+    from folioforge.plans import plan_queries, registry
+
+    sf = "/root/testdata/sf0.001"
+    df: DataFrame = plan_queries._parts(spark, sf) if name == "book_translation" else registry.QUERIES[name](spark, sf)
+    assert df.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_parsed_trees_are_no_cycles(monkeypatch):
+    import gc
+    import weakref
+
+    made = []
+
+    class Watched(html.Node):
+        __slots__ = ("__weakref__",)
+
+        def __init__(self, *given):
+            super().__init__(*given)
+            made.append(weakref.ref(self))
+
+    monkeypatch.setattr(html, "Node", Watched)
+    gc.disable()
+    try:
+        html.parse_tree("<div><p>a<b>c</b></div>")
+        assert len(made) == 4 and not [r for r in made if r() is not None]
+    finally:
+        gc.enable()

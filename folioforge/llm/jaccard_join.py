@@ -4,7 +4,8 @@ A document is its set of distinct n-grams; two documents link from a similarity
 
 * Sets that are equal answer alike: one of each class is joined.
 * A set with more than 1 - t of its n-grams in no other set has no answer. A first count over a
-  quarter of the hash range finds most such sets; a second over the rest's whole sets finds all.
+  quarter of the hash range finds most such sets, a second over the next quarter, among what is left,
+  most others; a third over the rest's whole sets finds all.
 * Index lists. N-grams are ordered by how many sets hold them, and only a set's prefix is indexed:
   linked sets share an n-gram there. A list is in order of size and position and cut into blocks;
   a block is skipped if no set in it is of a size or has enough n-grams left after its position.
@@ -120,6 +121,16 @@ def _needed(n: Column, percent: int) -> Column:
     return F.ceil(n * percent / 100.0 - 1e-9)
 
 
+def _lone(grams: DataFrame) -> DataFrame:
+    """(row, u): at least how many of a row's n-grams (row, tok) no other row has.
+
+    N-grams are told apart by their upper 42 bits: two that share them count as shared, so u is never too
+    large, and fewer bytes are shuffled.
+    """
+    alone = grams.groupBy(F.shiftright("tok", 22).alias("bucket")).agg(F.min("row").alias("row"), F.max("row").alias("other")).where("row = other")
+    return alone.groupBy("row").agg(F.count(F.lit(1)).alias("u"))
+
+
 #: A set that more than one pair in so many names is broadcast if it has no more n-grams than that: 100 MB together at most.
 _HOT_SETS, _HOT_GRAMS = 256, 50_000
 
@@ -258,25 +269,30 @@ def similar_classes(
         "setclasses",
     )
 
-    # First count: n-grams of the probed range that only one class has.
-    probed = sets.where("n_probe > 0").select("f1", F.explode(F.slice("toks", F.lit(1), F.col("n_probe"))).alias("tok"))
-    alone = probed.groupBy("tok").agg(F.min("f1").alias("f1"), F.max("f1").alias("other")).where("f1 = other")
-    single = alone.groupBy("f1").agg(F.count(F.lit(1)).alias("u"))
+    # First count: n-grams of the probed range that only one class has. A copy that the bitmap lets by only makes them fewer.
     slack = F.col("n") - _needed(F.col("n"), percent)
-    possible = classes.join(single, "f1", "left").where(F.coalesce(F.col("u"), F.lit(0)) <= slack)
-    possible = materialise(possible.select("row", "n"), "candidates")
+    probed = sets.where("n_probe > 0").select("row", F.slice("toks", F.lit(1), F.col("n_probe")).alias("toks"))
+    single = _lone(split(probed, "row", bitmap(classes, "row"))[0].select("row", F.explode("toks").alias("tok")))
+    possible = classes.join(single, "row", "left").withColumn("u", F.coalesce("u", F.lit(0))).where(F.col("u") <= slack)
+    possible = materialise(possible.select("row", "n", "u"), "candidates")
 
-    # Candidates' whole sets; then the count of every n-gram among them.
+    # The next quarter of the range, among candidates only; sets that a bitmap lets by cost time and change nothing.
     thinned, _ = split(sets.select("row", "toks"), "row", bitmap(possible, "row"))
-    whole = materialise(possible.join(thinned, "row"), "candidatesets")
+    candidates = materialise(possible.join(thinned, "row"), "candidatesets")
     discard(sets)
+    second = candidates.select("row", F.explode("toks").alias("tok")).where((F.col("tok") >= _PROBE) & (F.col("tok") < 0))
+    lone = _lone(second).withColumnRenamed("u", "u2")
+    still = materialise(candidates.select("row", "n", "u").join(lone, "row", "left").where(F.col("u") + F.coalesce("u2", F.lit(0)) <= slack).select("row"), "doubtful")
+    whole, _ = split(candidates.select("row", "n", "toks"), "row", bitmap(still, "row"))
+
+    # The count of every n-gram among what is left.
     spread = whole.select("row", "n", F.explode("toks").alias("tok"))
     counts = spread.groupBy("tok").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     shared = spread.join(counts, "tok").groupBy("row", "n").agg(F.array_sort(F.collect_list(F.struct("df", "tok"))).alias("l"))
     u = F.col("n") - F.size("l")
     shared = shared.withColumn("u", u).where(F.col("u") <= slack)
     kept = materialise(shared.select("row", "n", "u", F.transform("l", lambda x: x["tok"]).alias("toks")), "sharedsets")
-    discard(whole)
+    discard(candidates)
 
     # Index: what of each prefix other sets have too. A prefix has n - needed + 1 n-grams, the u lone ones first.
     prefix = (slack + 1 - F.col("u")).cast("int")
@@ -299,8 +315,10 @@ def similar_classes(
         "places",
     )
 
-    # Pairs across components, from the lists that have more than one.
-    listed = entries.join(place, "row")
+    # Pairs across components, from the lists that have more than one. Places meet prefixes as wholes, entry by entry they would be copied.
+    placed = kept.select("row", "n", "u", F.slice("toks", F.lit(1), prefix).alias("toks")).join(place, "row")
+    placed = materialise(placed, "placed")
+    listed = placed.select("row", "n", "comp", "lead", "dist", F.col("u"), F.posexplode("toks").alias("k", "tok")).withColumn("pos", F.col("k") + F.col("u")).drop("k", "u")
     mixed = listed.groupBy("tok").agg(F.count(F.lit(1)).alias("len"), F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 <> c2")
     mixed = materialise(mixed.select("tok", "len"), "mixed")
     none = F.lit(0).cast("long")

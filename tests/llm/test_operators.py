@@ -835,3 +835,19 @@ print("SEEN", *[ask(x) for x in ("mine", "mine", None, "mine")])
     env = {**os.environ, "PYTHONPATH": ROOT}
     done = subprocess.run([sys.executable, "-c", script], capture_output=True, text=True, timeout=300, cwd=tmp_path, env=env)
     assert "SEEN None mine None mine" in done.stdout, done.stdout + done.stderr[-2000:]
+
+
+def test_lone_grams_are_never_overcounted(spark):
+    # Rows 1 and 2 share a number, 3's stand alone but for one that shares its upper bits with 4's.
+    grams = [(1, 7 << 40), (2, 7 << 40), (3, 9 << 40), (3, 10 << 40), (3, (11 << 40) + 1), (4, (11 << 40) + 2), (5, -5 << 40)]
+    assert dict(jaccard_join._lone(spark.createDataFrame(grams, "row long, tok long")).collect()) == {3: 2, 5: 1}
+
+
+def test_places_meet_prefixes_not_entries(spark, monkeypatch):
+    """Rows that joins by row alone make: sets, not their index entries."""
+    seen, kept = [], common.materialise
+    monkeypatch.setattr(jaccard_join, "materialise", lambda df, name: seen.append((name, df.columns)) or kept(df, name))
+    texts = [" ".join(f"w{(i * 7 + j) % 90}" for j in range(60)) for i in range(40)]
+    jaccard_join.similar_classes(docs(spark, texts)).collect()
+    columns = dict(seen)
+    assert "toks" in columns["placed"] and "tok" not in columns["placed"] and {"comp", "lead", "dist"} <= set(columns["placed"])

@@ -3,9 +3,11 @@
 A document is its set of distinct n-grams; two documents link from a similarity on. What is skipped:
 
 * Sets that are equal answer alike: one of each class is joined.
-* A set with more than 1 - t of its n-grams in no other set has no answer. A first count over a
-  quarter of the hash range finds most such sets, a second over the next quarter, among what is left,
-  most others; a third over the rest's whole sets finds all.
+* Two sets that link differ in few n-grams, a bound D by their sizes. Each set is cut by ranges of its
+  n-grams' hashes into more than D blocks; as a differing n-gram touches one block, a set with more than
+  D blocks that no other set has as a whole has no answer. A block is several n-grams together, so what
+  texts share by chance or custom, which grows faster than the corpus, lets no set pass.
+* A set with more than 1 - t of its n-grams in no other of the sets left has no answer.
 * Index lists. N-grams are ordered by how many sets hold them, and only a set's prefix is indexed:
   linked sets share an n-gram there. A list is in order of size and position and cut into blocks;
   a block is skipped if no set in it is of a size or has enough n-grams left after its position.
@@ -17,7 +19,8 @@ A document is its set of distinct n-grams; two documents link from a similarity
 
 All links between components that the bounds leave are verified on whole sets, so components are exact.
 
-Scale: n-grams of candidates only are shuffled in full. Lists that are longer than LIST_BLOCK are
+Scale: of most sets only blocks are shuffled, about one for three n-grams; n-grams of candidates only are
+shuffled in full. Lists that are longer than LIST_BLOCK are
 dealt out as pairs of blocks to different tasks, of near classes of sizes only; the entries of the
 component that holds most of a list meet those of others alone, so a list of near copies of one text
 costs its length times what else is in it. Sets that many pairs name reach them by a bounded
@@ -35,15 +38,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bitmap, discard, held, id_and_text, join_counted, materialise, row_numbers, rows, settle, split, tables_now, tidied, whole_rows
+from .common import bitmap, discard, held, id_and_text, in_bitmap, join_counted, materialise, row_numbers, rows, settle, slices, split, tables_now, tidied, unpack, whole_rows
 from .graph import components
 
 SHINGLE = 4
 PERCENT = 85
 LIST_BLOCK = 512
 _SKIP_BLOCK = 64
-#: Signed hashes below this are the quarter of the range that the first count looks at.
-_PROBE = -(1 << 62)
+#: Sizes of sets are dealt into classes of this ratio, or of 1 / t if that is more: sets that link are of one class or of neighbours.
+_CLASS_RATIO = 1.5
 _CACHE_WORDS = 60_000
 
 
@@ -90,7 +93,55 @@ def _identity(found: np.ndarray) -> tuple[int, int]:
     return int(both[0].view(np.int64)), int(both[1].view(np.int64))
 
 
-_SETS = "row bigint, id bigint, n bigint, f1 bigint, f2 bigint, n_probe int, toks array<bigint>"
+def size_classes(percent: int) -> np.ndarray:
+    """The smallest size of each class, ascending; the last class is beyond any set."""
+    low, ratio = [1], max(_CLASS_RATIO, 100 / percent)
+    while low[-1] < 1 << 31:
+        low.append(max(low[-1] + 1, math.ceil(low[-1] * ratio)))
+    return np.array(low, np.int64)
+
+
+def _differing(classes: np.ndarray, c: np.ndarray, percent: int) -> np.ndarray:
+    """In how many n-grams two sets that link differ at most, if the larger is of class c."""
+    return 2 * (classes[c + 1] - 1) * (100 - percent) // (100 + percent)
+
+
+def set_blocks(toks: np.ndarray, n: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(owner, block, own, next): hashes of the blocks of sets, and how many blocks of a set a linked one may lack.
+
+    toks holds the sorted n-grams of all sets in turn, n their sizes. A set is cut as sets of its own
+    class are, owner 2 * its place, and if one of the next class may link to it as those are too, owner
+    2 * its place + 1. Of more than own (next) blocks that another set lacks, no link follows; next is
+    -1 for sets that are not cut twice. Blocks without n-grams are left out, as if another set had them.
+    """
+    classes = size_classes(percent)
+    own_class = np.searchsorted(classes, n, side="right") - 1
+    own = np.where(n > 0, _differing(classes, np.maximum(own_class, 0), percent), -1)
+    reaches = (n > 0) & (100 * n >= percent * classes[own_class + 1])
+    following = np.where(reaches, _differing(classes, np.minimum(own_class + 1, len(classes) - 2), percent), -1)
+    starts = np.concatenate([[0], np.cumsum(n)])
+    mixed, high = _mix(toks.view(np.uint64), 0x5EED5EED), toks.view(np.uint64) >> np.uint64(32)
+    owners, blocks = [], []
+    for k, most in enumerate((own, following)):
+        sets = np.flatnonzero(most >= 0)
+        if not len(sets):
+            continue
+        # Two blocks more than need be and an eighth of them, for those that are empty or agree by chance.
+        cuts = (most + 3 + most // 8)[sets].astype(np.uint64)
+        at = np.concatenate([np.arange(starts[i], starts[i + 1]) for i in sets])
+        which = np.repeat(np.arange(len(sets)), n[sets])
+        block = (high[at] * cuts[which]) >> np.uint64(32)
+        first = np.flatnonzero(np.concatenate([[True], (which[1:] != which[:-1]) | (block[1:] != block[:-1])]))
+        with np.errstate(over="ignore"):
+            whole = np.add.reduceat(mixed[at], first)
+            place = block[first] + (((own_class[sets] + k).astype(np.uint64) << np.uint64(40))[which[first]])
+        owners.append(2 * sets[which[first]] + k)
+        blocks.append(_mix(whole ^ _mix(place, 0xB10C), 0xB10CB10C).view(np.int64))
+    empty = np.empty(0, np.int64)
+    return (np.concatenate(owners) if owners else empty), (np.concatenate(blocks) if blocks else empty), own, following
+
+
+_SETS = "row bigint, id bigint, n bigint, f1 bigint, f2 bigint, toks array<bigint>"
 
 
 def _sets(size: int):
@@ -108,14 +159,37 @@ def _sets(size: int):
                 pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([p[0] for p in prints], pa.int64()),
                 pa.array([p[1] for p in prints], pa.int64()),
-                pa.array([int(np.searchsorted(s, _PROBE)) for s in sets], pa.int32()),
                 pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values),
             ]
-            yield pa.RecordBatch.from_arrays(arrays, ["row", "id", "n", "f1", "f2", "n_probe", "toks"])
+            yield pa.RecordBatch.from_arrays(arrays, ["row", "id", "n", "f1", "f2", "toks"])
 
     return make
 
 
+def _cut(found: bytes, percent: int):
+    """Blocks of the sets (row, toks) whose rows are in a bitmap, as rows (row, tok): row is twice the set's, and one more for the next class's cut."""
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = unpack(found)
+        for part in slices(batches):
+            part = part.filter(pa.array(in_bitmap(bits, part.column(0))))
+            toks, row = part.column(1), part.column(0).to_numpy()
+            n = np.diff(toks.offsets.to_numpy()).astype(np.int64)
+            owner, block, _, _ = set_blocks(toks.flatten().to_numpy(), n, percent)
+            yield pa.RecordBatch.from_arrays([pa.array(2 * row[owner // 2] + owner % 2), pa.array(block)], ["row", "tok"])
+
+    return make
+
+
+def _lacking(percent: int) -> tuple[Column, Column]:
+    """own and next of set_blocks() for a set of n n-grams, by its class."""
+    classes = size_classes(percent)
+    c = np.arange(len(classes) - 2)
+    known = F.array(*[F.struct(*[F.lit(int(v)) for v in row]) for row in zip(classes[c + 1], _differing(classes, c, percent), _differing(classes, c + 1, percent))])
+    mine = F.filter(known, lambda k: k["col1"] > F.col("n"))[0]
+    return mine["col2"], F.when(100 * F.col("n") >= percent * mine["col1"], mine["col3"]).otherwise(-1)
+
+
 def _needed(n: Column, percent: int) -> Column:
     """The least overlap that a set of n has with any set it links to."""
     return F.ceil(n * percent / 100.0 - 1e-9)
@@ -269,21 +343,17 @@ def similar_classes(
         "setclasses",
     )
 
-    # First count: n-grams of the probed range that only one class has. A copy that the bitmap lets by only makes them fewer.
+    # Blocks that only one class has. A copy that the bitmap lets by only makes them fewer.
     slack = F.col("n") - _needed(F.col("n"), percent)
-    probed = sets.where("n_probe > 0").select("row", F.slice("toks", F.lit(1), F.col("n_probe")).alias("toks"))
-    single = _lone(split(probed, "row", bitmap(classes, "row"))[0].select("row", F.explode("toks").alias("tok")))
-    possible = classes.join(single, "row", "left").withColumn("u", F.coalesce("u", F.lit(0))).where(F.col("u") <= slack)
-    possible = materialise(possible.select("row", "n", "u"), "candidates")
+    blocks = sets.where("n > 0").select("row", "toks").mapInArrow(tidied(_cut(bitmap(classes, "row"), percent)), "row bigint, tok bigint")
+    single = _lone(blocks).groupBy(F.shiftright("row", 1).alias("row")).agg(*[F.sum(F.when(F.col("row") % 2 == k, F.col("u"))).alias(f"u{k}") for k in (0, 1)])
+    own, following = _lacking(percent)
+    may = [F.coalesce(F.col(f"u{k}"), F.lit(0)) <= most for k, most in enumerate((own, following))]
+    possible = materialise(classes.join(single, "row", "left").where(may[0] | may[1]).select("row", "n"), "candidates")
 
-    # The next quarter of the range, among candidates only; sets that a bitmap lets by cost time and change nothing.
     thinned, _ = split(sets.select("row", "toks"), "row", bitmap(possible, "row"))
-    candidates = materialise(possible.join(thinned, "row"), "candidatesets")
+    whole = materialise(possible.join(thinned, "row"), "candidatesets")
     discard(sets)
-    second = candidates.select("row", F.explode("toks").alias("tok")).where((F.col("tok") >= _PROBE) & (F.col("tok") < 0))
-    lone = _lone(second).withColumnRenamed("u", "u2")
-    still = materialise(candidates.select("row", "n", "u").join(lone, "row", "left").where(F.col("u") + F.coalesce("u2", F.lit(0)) <= slack).select("row"), "doubtful")
-    whole, _ = split(candidates.select("row", "n", "toks"), "row", bitmap(still, "row"))
 
     # The count of every n-gram among what is left.
     spread = whole.select("row", "n", F.explode("toks").alias("tok"))
@@ -292,7 +362,7 @@ def similar_classes(
     u = F.col("n") - F.size("l")
     shared = shared.withColumn("u", u).where(F.col("u") <= slack)
     kept = materialise(shared.select("row", "n", "u", F.transform("l", lambda x: x["tok"]).alias("toks")), "sharedsets")
-    discard(candidates)
+    discard(whole)
 
     # Index: what of each prefix other sets have too. A prefix has n - needed + 1 n-grams, the u lone ones first.
     prefix = (slack + 1 - F.col("u")).cast("int")

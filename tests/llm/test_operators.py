@@ -851,3 +851,49 @@ def test_places_meet_prefixes_not_entries(spark, monkeypatch):
     jaccard_join.similar_classes(docs(spark, texts)).collect()
     columns = dict(seen)
     assert "toks" in columns["placed"] and "tok" not in columns["placed"] and {"comp", "lead", "dist"} <= set(columns["placed"])
+
+
+def test_blocks_of_linked_sets():
+    """Sets that link share all blocks of one cut but as many as they may lack, whichever their classes."""
+    r, linked = np.random.default_rng(5), 0
+    for percent in (85, 80, 50):
+        for _ in range(300):
+            size = int(r.integers(1, 400))
+            base = r.integers(-(1 << 63), (1 << 63) - 1, size, dtype=np.int64)
+            drop, add = (int(r.integers(0, size // 6 + 2)) for _ in range(2))
+            other = np.concatenate([base[drop:], r.integers(-(1 << 63), (1 << 63) - 1, add, dtype=np.int64)])
+            a, b = sorted((np.unique(base), np.unique(other)), key=len)
+            shared = len(np.intersect1d(a, b))
+            if not len(a) or 100 * shared < percent * (len(a) + len(b) - shared):
+                continue
+            linked += 1
+            owner, block, own, following = jaccard_join.set_blocks(np.concatenate([a, b]), np.array([len(a), len(b)]), percent)
+            cuts = [set(block[owner == k].tolist()) for k in range(4)]
+            # The larger set's own cut, met by the smaller one's own or next.
+            whose, most = (0, own) if len(cuts[0] & cuts[2]) >= len(cuts[1] & cuts[2]) else (1, following)
+            assert most[0] == own[1] and len(cuts[whose] - cuts[2]) <= most[0] and len(cuts[2] - cuts[whose]) <= own[1]
+    assert linked > 200
+
+
+def test_bounds_of_blocks_are_the_same_in_both_places(spark):
+    sizes = np.unique(np.concatenate([np.arange(1, 60), *(c + np.arange(-1, 2) for c in jaccard_join.size_classes(85)[3:20]), [170, 171, 10**6]]))
+    _, _, own, following = jaccard_join.set_blocks(np.arange(sizes.sum()), sizes, 85)
+    made = spark.createDataFrame([(int(n),) for n in sizes], "n long").select("n", *jaccard_join._lacking(85)).collect()
+    assert {tuple(r) for r in made} == set(zip(sizes.tolist(), own.tolist(), following.tolist()))
+
+
+def test_ngrams_shared_by_chance_make_few_candidates(spark, monkeypatch):
+    """Few words, so that nearly every n-gram is in several texts and no text is like another: hardly any is joined."""
+    seen, kept = {}, common.materialise
+
+    def counted(df, name):
+        out = kept(df, name)
+        seen[name] = out.count()
+        return out
+
+    monkeypatch.setattr(jaccard_join, "materialise", counted)
+    r = random.Random(7)
+    texts = [" ".join(r.choice("abcdefgh") for _ in range(150)) for _ in range(120)]
+    got = jaccard_join.similar_classes(docs(spark, texts)).collect()
+    assert [x["component_id"] for x in sorted(got, key=lambda x: x["doc_id"])] == list(range(120))
+    assert seen["candidates"] <= 6

@@ -11,6 +11,10 @@ from folioforge.llm.common import discard, materialise, stage_tables
 from folioforge.llm.queries import tokenizer_path
 
 
+#: Words that a worker keeps the ids of, twice over: fewer than alone, as the executors still hold what five stages have touched.
+CACHE_WORDS = 30_000
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the ordinal model, fitted on the labelled ones, does not reject."""
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -34,7 +38,7 @@ def sanitise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces with their places in training sequences."""
-    return packing.pack_documents(docs, tokenizer_path("word_bpe_49k.json"))
+    return packing.pack_documents(docs, tokenizer_path("word_bpe_49k.json"), cache_words=CACHE_WORDS)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

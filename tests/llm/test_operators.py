@@ -897,3 +897,13 @@ def test_ngrams_shared_by_chance_make_few_candidates(spark, monkeypatch):
     got = jaccard_join.similar_classes(docs(spark, texts)).collect()
     assert [x["component_id"] for x in sorted(got, key=lambda x: x["doc_id"])] == list(range(120))
     assert seen["candidates"] <= 6
+
+
+def test_pipeline_packs_with_a_small_cache(monkeypatch):
+    """The last stage runs on executors that still hold what four stages have touched."""
+    import corpus_pipeline
+
+    seen = {}
+    monkeypatch.setattr(packing, "pack_documents", lambda docs, path, **options: seen.update(options))
+    corpus_pipeline.pack(None, None, "")
+    assert seen["cache_words"] <= packing.CACHE_WORDS // 4

@@ -373,6 +373,7 @@ def similar_classes(
     heads = entries.groupBy("tok").agg(F.min(F.struct("u", "row")).alias("head"))
     leads = entries.join(heads, "tok").groupBy("row").agg(F.min("head").alias("head")).select(F.col("row").alias("a"), F.col("head.row").alias("b"))
     led = materialise(_links(leads.where("a <> b"), kept, percent), "leads")
+    discard(entries)
     comp = materialise(components(led.where("linked").select("a", "b")), "leadcomponents")
     place = kept.select("row", "n").join(comp.withColumnRenamed("node", "row"), "row", "left").join(led.select(F.col("a").alias("row"), "b", "na", "nb", "o"), "row", "left")
     place = materialise(
@@ -388,7 +389,10 @@ def similar_classes(
     # Pairs across components, from the lists that have more than one. Places meet prefixes as wholes, entry by entry they would be copied.
     placed = kept.select("row", "n", "u", F.slice("toks", F.lit(1), prefix).alias("toks")).join(place, "row")
     placed = materialise(placed, "placed")
+    # Taken apart once: counts, short lists and long ones, these four times over, read the entries.
     listed = placed.select("row", "n", "comp", "lead", "dist", F.col("u"), F.posexplode("toks").alias("k", "tok")).withColumn("pos", F.col("k") + F.col("u")).drop("k", "u")
+    listed = materialise(listed, "listed")
+    discard(placed)
     mixed = listed.groupBy("tok").agg(F.count(F.lit(1)).alias("len"), F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 <> c2")
     mixed = materialise(mixed.select("tok", "len"), "mixed")
     none = F.lit(0).cast("long")

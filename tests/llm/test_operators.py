@@ -853,6 +853,20 @@ def test_places_meet_prefixes_not_entries(spark, monkeypatch):
     assert "toks" in columns["placed"] and "tok" not in columns["placed"] and {"comp", "lead", "dist"} <= set(columns["placed"])
 
 
+def test_prefixes_are_taken_apart_once(spark, monkeypatch):
+    """However many lists are long: what is written after the places takes the prefixes apart in one plan only."""
+    seen, kept = [], common.materialise
+
+    def noted(df, name):
+        seen.append((name, df._jdf.queryExecution().optimizedPlan().toString().count("posexplode(toks")))
+        return kept(df, name)
+
+    monkeypatch.setattr(jaccard_join, "materialise", noted)
+    texts = near_copies()
+    jaccard_join.similar_classes(docs(spark, texts), list_block=1).collect()
+    assert "longlists" in dict(seen) and [(name, n) for name, n in seen if n] == [("listed", 1)]
+
+
 def test_blocks_of_linked_sets():
     """Sets that link share all blocks of one cut but as many as they may lack, whichever their classes."""
     r, linked = np.random.default_rng(5), 0

@@ -5,7 +5,8 @@ change of a key's state, numbered by key: asked (work is to be done, again after
 most_tries failures), expired (no answer within wait of the last ask), late (an answer after that, still taken). Asks
 for a key that has a state change nothing, nor do answers after an answer, so a key's work is asked for once however
 often its rows come, and its result is there once. Keys that are settled are forgotten after keep, by the watermark:
-state is bounded by the keys of that time, and a key that comes later begins anew.
+state is bounded by the keys of that time, and a key that comes later begins anew. Keys are dealt by hash to states of
+many keys, each with its own times.
 """
 
 from __future__ import annotations
@@ -23,7 +24,11 @@ from folioforge.sources.keyed import KeyedTable
 
 EVENTS = "key string, kind string, text string, ts timestamp"
 CHANGES = "key string, state string, text string, tries int, number int, ts timestamp"
-_STATE = "state string, tries int, number int, due bigint"
+#: A shard's keys; timer is when a key is looked at without events: as due, but after the watermark of its last events.
+_STATE = "keys array<struct<key:string,state:string,tries:int,number:int,due:bigint,timer:bigint>>"
+#: A call of a state's function costs some milliseconds, whatever it does, so keys share states: so many for a whole
+#: stream, fixed by its checkpoint. A state holds that share of the keys and is written again with any of them.
+SHARDS = 4096
 _ORDER = {"ask": 0, "fail": 1, "answer": 2}
 
 
@@ -41,45 +46,57 @@ def change(state: tuple, kind: str, text: str | None, ms: int, wait_ms: int, kee
     return state, None
 
 
-def track(events: DataFrame, wait_s: int = 3600, keep_s: int = 7 * 86400, late: str = "10 minutes", most_tries: int = 3) -> DataFrame:
+def track(events: DataFrame, wait_s: int = 3600, keep_s: int = 7 * 86400, late: str = "10 minutes", most_tries: int = 3, shards: int = SHARDS) -> DataFrame:
     """The changes (CHANGES) that a stream of events (EVENTS) makes, in the order of their times, asks before failures before answers."""
     wait_ms, keep_ms = 1000 * wait_s, 1000 * keep_s
 
-    def advance(key: tuple, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        state = held.get if held.exists else ("new", 0, 0, 0)
+    def advance(shard: tuple, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        now = held.getCurrentWatermarkMs()
+        known = {r[0]: tuple(r[1:]) for r in held.get[0]} if held.exists else {}
+        rows: dict[str, list] = {}
+        if not held.hasTimedOut:
+            for f in frames:
+                for key, *event in zip(f["key"], f["ts"], f["kind"], f["text"]):
+                    rows.setdefault(key, []).append(event)
         out = []
 
-        def note(text: str | None, ms: int) -> None:
-            out.append((key[0], state[0], text, state[1], state[2], pd.Timestamp(ms, unit="ms")))
-
-        if held.hasTimedOut:
-            if state[0] != "asked":
-                held.remove()
-                return
-            due = state[3]
-            state = ("expired", state[1], state[2] + 1, due + keep_ms)
-            note(None, due)
-        else:
-            rows = [r for f in frames for r in zip(f["ts"], f["kind"], f["text"])]
-            for ts, kind, text in sorted(rows, key=lambda r: (r[0], _ORDER.get(r[1], 3), r[2] or "")):
+        def note(key: str, state: tuple, text: str | None, ms: int) -> None:
+            out.append((key, state[0], text, state[1], state[2], pd.Timestamp(ms, unit="ms")))
+
+        def expired(key: str, state: tuple) -> tuple:
+            after = ("expired", state[1], state[2] + 1, state[3] + keep_ms)
+            note(key, after, None, state[3])
+            return after
+
+        for key in [k for k, v in known.items() if v[4] < now and k not in rows]:
+            *state, _ = known.pop(key)
+            if state[0] == "asked":
+                state = expired(key, state)
+                known[key] = (*state, max(state[3], now + 1))
+        for key, found in rows.items():
+            state = known.get(key, ("new", 0, 0, 0))[:4]
+            for ts, kind, text in sorted(found, key=lambda r: (r[0], _ORDER.get(r[1], 3), r[2] or "")):
                 ms = int(ts.timestamp() * 1000)
                 if state[0] == "asked" and ms > state[3]:  # due before this came
-                    due = state[3]
-                    state = ("expired", state[1], state[2] + 1, due + keep_ms)
-                    note(None, due)
+                    state = expired(key, state)
                 after, said = change(state, kind, text, ms, wait_ms, keep_ms, most_tries)
                 if after != state:
                     state = after
-                    note(said, ms)
-        if state[0] != "new":
-            held.update(state)
-            held.setTimeoutTimestamp(max(state[3], held.getCurrentWatermarkMs() + 1))
+                    note(key, state, said, ms)
+            if state[0] != "new":
+                known[key] = (*state, max(state[3], now + 1))
+        if known:
+            held.update(([(k, *v) for k, v in known.items()],))
+            held.setTimeoutTimestamp(min(v[4] for v in known.values()))
+        elif held.exists:
+            held.remove()
         if out:
             yield pd.DataFrame(out, columns=["key", "state", "text", "tries", "number", "ts"])
 
     ship(events.sparkSession)
     timed = events.where(F.col("key").isNotNull() & F.col("ts").isNotNull()).withWatermark("ts", late)
-    return timed.groupBy("key").applyInPandasWithState(advance, CHANGES, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    sharded = timed.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)))
+    return sharded.groupBy("shard").applyInPandasWithState(advance, CHANGES, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def settle(events: DataFrame, sink: KeyedTable, checkpoint: str, **options) -> StreamingQuery:

@@ -62,3 +62,28 @@ def test_each_key_once(spark, tmp_path):
     got = {r["key"]: (r["state"], r["text"], r["tries"]) for r in kept.read().collect()}
     assert failed == 1 and got == {"a": ("answered", "A", 1), "b": ("answered", "B", 1), "c": ("expired", None, 2), "d": ("late", "D", 1), "e": ("answered", "E", 1)}
     assert kept.read().count() == 5 and len(kept.versions()) == len(set(seen))
+
+
+def test_keys_share_states(spark, tmp_path):
+    """Many keys in few states: each has its own changes and its own time, with events of others or without any."""
+    day, n = dt.datetime(2024, 1, 1), 300
+    at = lambda minutes: day + dt.timedelta(minutes=minutes)
+    kept, sizes = KeyedTable(spark, f"file://{tmp_path}/states", "key", buckets=2), []
+    batches = [
+        [(f"k{i}", "ask", None, at(i % 3)) for i in range(n)] + [(f"k{i}", "answer", f"A{i}", at(5)) for i in range(0, n, 3)],
+        [("other", "ask", None, at(200))],
+        [(f"k{i}", "answer", f"L{i}", at(201)) for i in range(1, n, 3)] + [("k0", "answer", "again", at(201))],
+        [("later", "ask", None, at(60 * 24 * 9))],
+        [("k0", "ask", None, at(60 * 24 * 9 + 1))],
+    ]
+    for rows in batches:
+        spark.createDataFrame(rows, states.EVENTS).coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/events")
+        stream = incremental.new_files(spark, f"file://{tmp_path}/events", states.EVENTS, "parquet")
+        query = states.settle(stream, kept, f"file://{tmp_path}/state", wait_s=3600, shards=4)
+        query.awaitTermination()
+        sizes.append(query.lastProgress["stateOperators"][0]["numRowsTotal"])
+    assert max(sizes) <= 4
+    got = {r["key"]: tuple(r)[1:5] for r in kept.read().select("key", "state", "text", "tries", "number").collect()}
+    want = {f"k{i}": (("answered", f"A{i}", 1, 2), ("late", f"L{i}", 1, 3), ("expired", None, 1, 2))[i % 3] for i in range(n)}
+    # All others are forgotten by the watermark of the ninth day; k0 begins anew.
+    assert got == want | {"k0": ("asked", None, 1, 1), "other": ("expired", None, 1, 2), "later": ("asked", None, 1, 1)}

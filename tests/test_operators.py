@@ -482,3 +482,14 @@ def test_parsed_trees_are_no_cycles(monkeypatch):
         assert len(made) == 4 and not [r for r in made if r() is not None]
     finally:
         gc.enable()
+
+
+def test_search_takes_terms_from_a_text_once(spark):
+    """The terms are an expression over long texts: one pass for each reading of the texts, none for filters."""
+    kb = spark.createDataFrame([("The River", "long"), ("A Tensor", "many")], "title string, extract string")
+    rows = spark.createDataFrame([(1, "Tensor of the sea"), (2, ""), (3, None), (4, "Nothing here"), (5, "River and tensor")], "id long, text string")
+    found = knowledge.search(rows, kb, "id", T.search_terms(F.col("text"), most=4))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    passes = [line.count("regexp_extract_all") for line in plan.splitlines() if "regexp_extract_all" in line]
+    assert passes and all(n == 1 for n in passes) and not any("Filter" in line for line in plan.splitlines() if "regexp_extract_all" in line)
+    assert {(r["id"], r["title"], r["overlap"]) for r in found.collect()} == {(1, "A Tensor", 1), (5, "A Tensor", 1)}

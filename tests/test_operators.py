@@ -493,3 +493,18 @@ def test_search_takes_terms_from_a_text_once(spark):
     passes = [line.count("regexp_extract_all") for line in plan.splitlines() if "regexp_extract_all" in line]
     assert passes and all(n == 1 for n in passes) and not any("Filter" in line for line in plan.splitlines() if "regexp_extract_all" in line)
     assert {(r["id"], r["title"], r["overlap"]) for r in found.collect()} == {(1, "A Tensor", 1), (5, "A Tensor", 1)}
+
+
+def test_polish_reads_cleaned_texts(spark):
+    """Texts are cleaned once: neither the second pass's prompts nor its comparison takes them through the cleaning again."""
+    plans, store = {}, tables(spark)
+
+    def persist(df, name):
+        plans[name] = df._jdf.queryExecution().optimizedPlan().toString()
+        return store(df, name)
+
+    rows = spark.createDataFrame([("a", "T", "**One** text\n\nand two"), ("b", "U", "")], "key string, title string, content string")
+    terms = spark.createDataFrame([(1, "text", "t")], "ord int, term string, gloss string")
+    out = book.translate(rows, terms, StubModel("quote"), book.BookConfig(polish=True), persist)
+    assert "array_sort" in plans["cleaned"] and "array_sort" not in plans["polished"] and "array_sort" not in plans["chunks"]
+    assert {r["key"]: r["content_translated"] for r in out.collect()} == {"a": "One text\n\nand two", "b": None}

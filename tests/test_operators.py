@@ -451,6 +451,18 @@ def test_first_headers_do_not_follow_the_order_of_rows(spark, tmp_path):
     assert found[0] == found[1] == {(1, "2", "2", 8.0)}
 
 
+def test_first_headers_put_a_number_before_its_title(spark, tmp_path):
+    from folioforge.plans import registry
+
+    # Of two lines of one number and part, one is too small for a header's number, one is not bold.
+    rows, found = [(1, 1, 2, 8, "A"), (1, 1, 2, 9, "R"), (2, 1, 2, 1, "N"), (2, 1, 2, 5, "A"), (2, 2, 2, 9, "R")], []
+    for name, given in (("one", rows), ("two", rows[::-1])):
+        df = spark.createDataFrame(given, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_returnflag string")
+        df.coalesce(1).write.parquet(f"{tmp_path}/{name}/lineitem.parquet")
+        found.append({tuple(r) for r in registry.QUERIES["first_headers"](spark, f"{tmp_path}/{name}").collect()})
+    assert found[0] == found[1] == {(1, "2", "2", 8.0)}
+
+
 @pytest.mark.parametrize("name", ["section_render", "latex_math", "book_translation"])
 def test_rows_of_a_small_file_are_work_of_all_cores(spark, name):
     from pyspark.sql import DataFrame

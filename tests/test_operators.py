@@ -6,6 +6,7 @@ import os
 import random
 import re
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -229,6 +230,35 @@ def test_html_items():
     assert page_items("no container", Selectors()) == ("", []) and page_items("", Selectors()) == ("", [])
 
 
+def test_references_of_a_page():
+    page = "<article><h1>a &quot</h1><p>&lt;b&gt &amp;quot; &ampx &copy &#65; &<i title='&quot;'>&quot;</i><script>1 && 2 &amp; 3</script></article>"
+    chosen = dict(containers=(("article", None),), chapter_title="h1", paragraph=("p", None), paragraph_text=("p", None))
+    title, items = page_items(page, Selectors(**chosen))
+    assert (title, items[0][4]) == ('a "', '<b> &quot; &x © A & " 1 && 2 &amp; 3')
+    title, items = page_items(page, Selectors(**chosen, references=((r"&quot;", '"'), (r"&amp;?", "&"))))
+    assert (title, items[0][4]) == ("a &quot", '&lt;b&gt &quot; &x &copy &#65; & " 1 && 2 &amp; 3')
+
+
+#: Pages whose titles and paragraphs are cut within references.
+CUT = ["&", "&a", "&am", "&amp", "&amp;", "&q", "&quo", "&quot", "&quot;", "&lt", "&lt;", "&copy", "&amp;quot", "&amp;quot;", "&quot&amp", "&#39", "x &"]
+
+
+def against_sql(spark, path, name):
+    """A query of CUT's pages and its SQL."""
+    import __spark_entry__ as entry
+    from tests.compare import same
+
+    rows = [(i, f"<html><head><title>{c}</title></head><body><article><h1>It is {c}</h1><p>one {c}</p><p>{c} two</p><p><b>end{c}<br></article></body></html>") for i, c in enumerate(CUT)]
+    spark.createDataFrame(rows, "page_id long, html string").coalesce(1).write.parquet(f"{path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{path}/pages.parquet/*.parquet'")
+    same(entry.queries()[name](spark, str(path)).toPandas(), con.sql(entry.oracle_sql()[name]).df())
+
+
+def test_html_items_cut_within_references(spark, tmp_path):
+    against_sql(spark, tmp_path, "html_items")
+
+
 def test_lecture_plan(spark, tmp_path):
     df = spark.createDataFrame([(1, HTML), (2, "<title>Attention Required!</title>" + HTML)], "page_id long, html string")
     g = spark.createDataFrame([(0, "now", "지금")], "ord int, term string, gloss string")

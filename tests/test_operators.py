@@ -259,6 +259,11 @@ def test_html_items_cut_within_references(spark, tmp_path):
     against_sql(spark, tmp_path, "html_items")
 
 
+@pytest.mark.parametrize("name", ["lecture_items", "lecture_chapters"])
+def test_lectures_cut_within_references(spark, tmp_path, name):
+    against_sql(spark, tmp_path, name)
+
+
 def test_lecture_plan(spark, tmp_path):
     df = spark.createDataFrame([(1, HTML), (2, "<title>Attention Required!</title>" + HTML)], "page_id long, html string")
     g = spark.createDataFrame([(0, "now", "지금")], "ord int, term string, gloss string")
